@@ -105,11 +105,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 16 << 20)
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.array([len(x) for x in as_bytes(batch.column(column))], np.int64) if batch.nbytes > most else None
-        if sizes is None:
+        if batch.nbytes <= most:
             yield batch
             continue
-        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1
+        offsets = flat(as_bytes(batch.column(column)))[1]
+        cuts = np.flatnonzero(np.diff(offsets[1:] // most)) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             yield batch.slice(a, b - a)
 
