@@ -1,8 +1,7 @@
 """Helpers that the training-data operators share.
 
 Everything here keeps data on the executors: tables that cut lineage are
-written below the shared folder named by ``spark.checkpoint.dir``, prefix sums
-work in blocks, and small tables are broadcast only after their rows have been
+written below the shared folder named by ``spark.checkpoint.dir``, and small tables are broadcast only after their rows have been
 counted against a bound.
 """
 
@@ -14,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,8 +21,6 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a table counts as small enough to broadcast.
 BROADCAST_ROWS = 50_000
-#: Rows of a block in two-level prefix sums.
-BLOCK = 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,30 +59,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def prefix_sums(df: DataFrame, value: str, order: list[str], before: str) -> DataFrame:
-    """Add ``before``: the sum of ``value`` over all rows that come earlier in ``order``.
-
-    The rows are dealt by range, summed per partition and numbered block, and
-    only the sums of the blocks meet in one window, so no task sees all rows.
-    """
-    spread = (
-        df.repartitionByRange(*order)
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-        .withColumn("_block", F.floor(F.col("_nth") / BLOCK))
-    )
-    spread = materialise(spread, "prefix")
-    sums = spread.groupBy("_part", "_block").agg(F.sum(value).alias("_sum"))
-    earlier = Window.orderBy("_part", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("_part", "_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_part", "_block").orderBy("_nth").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        spread.join(small(sums), ["_part", "_block"])
-        .withColumn(before, (F.col("_base") + F.coalesce(F.sum(value).over(inside), F.lit(0))).cast("long"))
-        .drop("_part", "_block", "_nth", "_base")
-    )
-
-
 def as_bytes(column: pa.Array) -> pa.Array:
     """A string column as UTF-8 bytes, nulls as empty texts."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
@@ -100,6 +73,11 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]] if len(column) else data[:0], offsets - (offsets[0] if len(column) else 0)
 
 
+def summed(marks: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Marks between neighbouring offsets."""
+    return np.diff(np.concatenate([[0], np.cumsum(marks, dtype=np.int64)])[offsets])
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a piece holds about ``most`` bytes of ``column``, or one row."""
     for batch in batches:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, flat, materialise, plus, slices, small
+from .common import as_bytes, flat, materialise, plus, slices, small, summed
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
@@ -49,11 +49,6 @@ IN_WORD[0x80:0xC0] = False
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
-def summed(marks: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Marks between neighbouring offsets."""
-    return np.diff(np.concatenate([[0], np.cumsum(marks, dtype=np.int64)])[offsets])
-
-
 def repeated_words(words: list[list[bytes]]) -> np.ndarray:
     """For each text its words that stand in a window which the text holds twice or more."""
     lengths = np.array([len(w) for w in words], np.int64)
