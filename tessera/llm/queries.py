@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, quality_model, quality_rules, secrets, simhash, token_store, url_filter
+from . import decontam, mixing, pii, quality_model, quality_rules, secrets, simhash, token_store, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,6 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_decontamination, op3_quality_model, op5_quality_rules, op6_mixing, op7_simhash, op8_url_filter, op10_token_store)
+    for f in (op1_secret_scan, op2_decontamination, op3_quality_model, op4_personal_data, op5_quality_rules, op6_mixing, op7_simhash, op8_url_filter, op10_token_store)
 }
 ORACLES: dict[str, str] = {"op8_url_filter": url_filter.oracle()}
