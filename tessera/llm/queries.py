@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, pii, quality_model, quality_rules, secrets, simhash, token_store, url_filter
+from . import decontam, mixing, pii, quality_model, quality_rules, repeats, secret_scan, simhash, token_store, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +19,7 @@ def tokenizer() -> str:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secret_scan(table(spark, sf_dir, "documents"))
+    return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,12 +50,16 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_store(table(spark, sf_dir, "documents"), tokenizer()).drop("stored_bytes")
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_decontamination, op3_quality_model, op4_personal_data, op5_quality_rules, op6_mixing, op7_simhash, op8_url_filter, op10_token_store)
+    for f in (op1_secret_scan, op2_decontamination, op3_quality_model, op4_personal_data, op5_quality_rules, op6_mixing, op7_simhash, op8_url_filter, op9_repeated_passages, op10_token_store)
 }
 ORACLES: dict[str, str] = {"op8_url_filter": url_filter.oracle()}
