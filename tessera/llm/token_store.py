@@ -24,8 +24,10 @@ One shard, as bytes (little-endian)::
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -39,6 +41,8 @@ from .common import materialise, slices, small
 
 MAGIC = b"TRP1\n\0"
 HEAD = struct.Struct("<6sHIIII")
+#: The bin of pairs that may not be replaced, behind all others.
+SHUT = 1 << 20
 #: Ids of a shard, about.
 SHARD_IDS = 4_000_000
 #: A pair that is replaced occurs so often at least.
@@ -46,17 +50,27 @@ LEAST = 16
 #: Pairs replaced in one round, and rounds.
 PER_ROUND, ROUNDS = 2048, 9
 #: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
+MARKS = ".,;:!?"
+#: White space other than a single space or newline between words.
+UNEVEN = ("  ", " \n", "\n ", "\n\n", *(chr(c) for c in range(0x110000) if chr(c).isspace() and chr(c) not in " \n"))
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+#: Byte-level BPE writes the bytes that are not printable in Latin-1 as the characters from 256 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+SPACE_CHAR = chr(BYTE_CHARS[32])
 #: Shards in a block of the two-level prefix sum.
 SHARDS_IN_BLOCK = 4096
 
 
 class Encoder:
-    """Texts to ids by a ``tokenizers`` file, remembering the ids of words.
+    """Texts to ids by a ``tokenizers`` file of a byte-level BPE, remembering the ids of words.
 
     In a byte-level BPE a token never reaches over a single space or newline
     between words, so texts with no other white space are put together from
-    the ids of their words; any other text goes through the library whole.
+    the ids of their words; any other text goes through the library whole. A
+    new word of Latin letters, with or without a mark behind it, goes straight
+    to the library's BPE model, other new words through all of the library.
     """
 
     def __init__(self, path: str):
@@ -64,51 +78,65 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.model = self.library.model
         self.size = self.library.get_vocab_size()
-        self.known: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-        self.newline = self._whole(["\n"])[0]
+        self.spaced: dict[str, bytes] = {}  # ids of a word with a space before it; a key with a newline in front has that instead
+        self.bare: dict[str, bytes] = {}  # ids of a word with nothing before it
+        self.newline, *marks = self._whole(["\n", *MARKS])
+        self.marks = dict(zip(MARKS, marks, strict=True))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, keys: set[str], known: dict[str, bytes]) -> None:
-        """Ids of words; a key that begins with a newline is that newline and a word without a space before it."""
-        todo = list(keys)
-        whole = self._whole([k if k[0] == "\n" else " " + k for k in todo])
-        known.update(zip(todo, whole, strict=True))
+        return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters(self, word: str, spaced: bool) -> bytes:
+        """Ids of a word of Latin letters."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(BYTE_CHARS)
+        return array("I", [t.id for t in self.model.tokenize(SPACE_CHAR + word if spaced else word)]).tobytes()
+
+    def _learn(self, keys: set[str], known: dict[str, bytes], spaced: bool) -> None:
+        rest = []
+        for key in keys:
+            after_line = spaced and key[0] == "\n"
+            word = key[1:] if after_line else key
+            mark = self.marks.get(word[-1:], b"")
+            core = word[:-1] if mark else word
+            if not LATIN(core):
+                rest.append(key)
+            elif after_line:
+                known[key] = self.newline + (self.bare.get(core) or self._letters(core, False)) + mark
+            else:
+                known[key] = (known.get(core) if mark else None) or self._letters(core, spaced)
+                if mark:
+                    known[key] += mark
+        known.update(zip(rest, self._whole([" " + k if spaced and k[0] != "\n" else k for k in rest]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as unsigned 32-bit integers."""
         out: list = [None] * len(texts)
         plain, odd = [], []
         for i, text in enumerate(texts):
-            words = text.split()
-            gaps = len(words) - 1
-            if gaps >= 0 and text.count(" ") + text.count("\n") == gaps and sum(map(len, words)) + gaps == len(text):
+            if text and text[0] not in " \n" and text[-1] not in " \n" and not any(map(text.__contains__, UNEVEN)):
                 plain.append((i, text.replace("\n", " \n").split(" ")))
             elif text:
                 odd.append(i)
             else:
                 out[i] = b""
-        known = self.known
-        fresh = set(chain.from_iterable(keys[1:] for _, keys in plain)) - known.keys()
-        if len(known) + len(fresh) > REMEMBERED:
-            known = dict(known)
-        if fresh:
-            self._learn(fresh, known)
-        firsts = list({keys[0] for _, keys in plain} - self.first.keys())
-        first = self.first if len(self.first) < REMEMBERED // 8 else dict(self.first)
-        first.update(zip(firsts, self._whole(firsts), strict=True))
+        first = {keys[0] for _, keys in plain} - self.bare.keys()
+        bare = self.bare if len(self.bare) + len(first) <= REMEMBERED // 4 else dict(self.bare)
+        self._learn(first, bare, False)
+        fresh = set().union(*(keys[1:] for _, keys in plain)) - self.spaced.keys()
+        spaced = self.spaced if len(self.spaced) + len(fresh) <= REMEMBERED else dict(self.spaced)
+        self._learn(fresh, spaced, True)
         for i, keys in plain:
-            out[i] = first[keys[0]] + b"".join(map(known.__getitem__, keys[1:]))
+            out[i] = bare[keys[0]] + b"".join(map(spaced.__getitem__, keys[1:]))
         for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
             out[i] = ids
         return out
 
 
 def grammar(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair over the ids of a shard: (symbols, rules, which symbols end a document).
+    """Re-Pair over the ids of a shard, of which those at ``ends`` end a document: (symbols, rules, where documents end).
 
     Each round counts neighbouring pairs in hashed bins, counts exactly what
     falls into frequent bins, and replaces the most frequent pairs from left to
@@ -117,23 +145,28 @@ def grammar(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray,
     """
     wide = first > 60_000
     limit = (1 << 31) if wide else (1 << 16)
-    seq, stop = ids.astype(np.uint64 if wide else np.uint32), ends.copy()
-    shift = seq.dtype.type(32 if wide else 16)
+    seq = ids.astype(np.uint64 if wide else np.uint32)
+    word = seq.dtype.type
+    shift, mask = word(32 if wide else 16), word((1 << (32 if wide else 16)) - 1)
     rules: list[np.ndarray] = []
     symbol = first
+
+    def bins_of(key: np.ndarray) -> np.ndarray:
+        spread = (key * word(0x9E3779B97F4A7C15)) >> word(44) if wide else (key * word(0x9E3779B1)) >> word(12)
+        return spread.astype(np.intp)
+
     for _ in range(ROUNDS):
         room = min(PER_ROUND, limit - symbol)
         if len(seq) < 2 or room <= 0:
             break
         key = (seq[:-1] << shift) | seq[1:]
-        free = ~(stop[:-1] | stop[1:])
-        if wide:
-            bins = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        else:
-            bins = (key * np.uint32(0x9E3779B1)) >> np.uint32(12)
-        counts = np.bincount(bins[free], minlength=1 << 20)
+        bins = bins_of(key)
+        shut = np.concatenate([ends[ends < len(key)], ends[ends > 0] - 1])  # pairs with an end id
+        shut = np.unique(shut)
+        bins[shut] = SHUT
+        counts = np.bincount(bins, minlength=SHUT + 1)[:SHUT]
         bar = max(LEAST, int(np.partition(counts, -room)[-room]))
-        at = np.flatnonzero((counts >= bar)[bins] & free)
+        at = np.flatnonzero(np.append(counts >= bar, False)[bins])
         if not len(at):
             break
         pairs, times = np.unique(key[at], return_counts=True)
@@ -141,35 +174,39 @@ def grammar(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray,
         best = np.sort(pairs[best[times[best] >= LEAST]])
         if not len(best):
             break
-        nth = np.minimum(np.searchsorted(best, key[at]), len(best) - 1)
-        hit = best[nth] == key[at]
+        at_bin = bins_of(best)
+        _, alone = np.unique(at_bin, return_index=True)  # pairs that share a bin wait for the next round
+        best, at_bin = best[alone], at_bin[alone]
+        nth_of = np.full(SHUT + 1, -1, np.int32)
+        nth_of[at_bin] = np.arange(len(best))
+        nth = nth_of[bins[at]]
+        hit = (best[nth] == key[at]) & (nth >= 0)
         at, nth = at[hit], nth[hit]
         head = np.ones(len(at), bool)  # of overlapping pairs every second one is taken
         head[1:] = np.diff(at) != 1
         order = np.arange(len(at))
         take = (order - np.maximum.accumulate(np.where(head, order, 0))) % 2 == 0
         at, nth = at[take], nth[take]
-        seq[at] = (nth + symbol).astype(seq.dtype)
+        seq[at] = nth.astype(seq.dtype) + word(symbol)
+        gone = at + 1
         keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq, stop = seq[keep], stop[keep]
-        mask = best.dtype.type((1 << int(shift)) - 1)
+        keep[gone] = False
+        seq = seq[keep]
+        ends = ends - np.searchsorted(gone, ends)
         rules.append(np.stack([best >> shift, best & mask], 1).astype("<u4"))
         symbol += len(best)
-    return seq, np.concatenate(rules) if rules else np.zeros((0, 2), "<u4"), stop
+    return seq, np.concatenate(rules) if rules else np.zeros((0, 2), "<u4"), ends
 
 
 def pack(parts: list[bytes], first: int) -> bytes:
     """One shard of documents given as bytes of unsigned 32-bit ids, end ids included."""
     lengths = np.array([len(x) // 4 for x in parts], "<u4")
     ids = np.frombuffer(b"".join(parts), "<u4")
-    ends = np.zeros(len(ids), bool)
-    ends[np.cumsum(lengths, dtype=np.int64) - 1] = True
-    seq, rules, stop = grammar(ids, ends, first)
+    seq, rules, ends = grammar(ids, np.cumsum(lengths, dtype=np.int64) - 1, first)
     spans = np.ones(first + len(rules), "<u4")
     for i, (a, b) in enumerate(rules.tolist(), first):
         spans[i] = spans[a] + spans[b]
-    starts = np.concatenate([[0], np.flatnonzero(stop) + 1]).astype("<u4")
+    starts = np.concatenate([[0], ends + 1]).astype("<u4")
     width = 2 if first + len(rules) <= 1 << 16 else 4
     head = HEAD.pack(MAGIC, width, len(parts), first, len(rules), len(seq))
     return b"".join([head, rules.tobytes(), spans[first:].tobytes(), starts.tobytes(), lengths.tobytes(), seq.astype(f"<u{width}").tobytes()])
