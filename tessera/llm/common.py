@@ -78,7 +78,7 @@ def summed(marks: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(marks, dtype=np.int64)])[offsets])
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a piece holds about ``most`` bytes of ``column``, or one row."""
     for batch in batches:
         if not batch.num_rows:

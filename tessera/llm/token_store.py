@@ -29,7 +29,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,13 +44,15 @@ HEAD = struct.Struct("<6sHIIII")
 #: The bin of pairs that may not be replaced, behind all others.
 SHUT = 1 << 20
 #: Ids of a shard, about.
-SHARD_IDS = 4_000_000
+SHARD_IDS = 2_000_000
 #: A pair that is replaced occurs so often at least.
 LEAST = 16
 #: Pairs replaced in one round, and rounds.
 PER_ROUND, ROUNDS = 2048, 9
 #: Words whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
+#: Words that a worker still remembers when a task is over; the first ones learned are the frequent ones.
+RETAINED = 100_000
 MARKS = ".,;:!?"
 #: White space other than a single space or newline between words.
 UNEVEN = ("  ", " \n", "\n ", "\n\n", *(chr(c) for c in range(0x110000) if chr(c).isspace() and chr(c) not in " \n"))
@@ -111,6 +113,11 @@ class Encoder:
                     known[key] += mark
         known.update(zip(rest, self._whole([" " + k if spaced and k[0] != "\n" else k for k in rest]), strict=True))
 
+    def forget(self) -> None:
+        """Keep the words learned first, so that an idle worker holds little memory."""
+        self.spaced = dict(islice(self.spaced.items(), RETAINED))
+        self.bare = dict(islice(self.bare.items(), RETAINED // 4))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as unsigned 32-bit integers."""
         out: list = [None] * len(texts)
@@ -325,6 +332,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str =
                 ids.append(keys.slice(from_row))
         if parts:
             yield shard()
+        encoder.forget()
 
     return materialise(rows.mapInArrow(run, out), "token-shards")
 
