@@ -120,7 +120,8 @@ def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame
     """``docs`` without near-duplicates: of each group the document with the smallest id stays, once."""
     groups = materialise(near_duplicates(docs, shingle, radius).select("doc_id", "component_id"), "groups")
     gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    # a shuffle at any size: what goes is a share of the documents, so it is not broadcast even where it happens to be small
+    kept = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
     again = groups.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if again.isEmpty():
         return kept
