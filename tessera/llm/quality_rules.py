@@ -140,7 +140,7 @@ def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
 
 def fences(counted: DataFrame, prefix: str = "", reach: float = REACH, least: int = 50) -> DataFrame:
     """Fences by language and source: rows (lang, source, and for each ratio lo_ and hi_)."""
-    pairs = [F.struct(F.lit(name).alias("rule"), bucket(F.col(prefix + a) / F.col(prefix + b)).alias("bucket")) for name, a, b, *_ in RATIOS]
+    pairs = [F.struct(F.lit(name).alias("rule"), bucket(F.try_divide(F.col(prefix + a), F.col(prefix + b))).alias("bucket")) for name, a, b, *_ in RATIOS]
     long = counted.filter(~base_failed(prefix)).select("lang", "source", F.explode(F.array(*pairs)).alias("x")).select("lang", "source", "x.*")
     by_group = materialise(sketches(long, ["lang", "source"]), "sketches")
     merged = by_group.groupBy("rule", "bucket").agg(F.sum("n").alias("n"))
@@ -165,7 +165,7 @@ def judged(counted: DataFrame, limits: DataFrame, prefix: str = "") -> DataFrame
     joined = counted.join(limits, same, "left")
     broken = []
     for name, a, b, _, _ in RATIOS:
-        value = F.col(prefix + a) / F.col(prefix + b)
+        value = F.try_divide(F.col(prefix + a), F.col(prefix + b))
         broken.append(F.when((value > F.col(f"hi_{name}")) | (value < F.col(f"lo_{name}")), F.lit(name)))
     joined = joined.withColumn(prefix + "failed_rules", F.array_compact(F.array(*broken))).withColumn(prefix + "base_failed", base_failed(prefix))
     joined = joined.withColumn(prefix + "kept", ~F.col(prefix + "base_failed") & (F.size(prefix + "failed_rules") == 0))
