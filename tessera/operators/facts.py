@@ -64,7 +64,7 @@ def diffs(pairs: DataFrame) -> DataFrame:
     def same(x: F.Column, y: F.Column) -> F.Column:
         """Elements that two arrays share at their start."""
         n = F.least(F.size(x), F.size(y))
-        differs = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: ~x[k - 1].eqNullSafe(y[k - 1]))
+        differs = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: ~F.get(x, k - 1).eqNullSafe(F.get(y, k - 1)))
         return F.least(F.coalesce(F.try_element_at(differs, F.lit(1)) - 1, n), n)
 
     rows = rows.withColumn("head", same(F.col("a"), F.col("b")))

@@ -348,7 +348,8 @@ def j7_g4_e3_module_edges(v):
     return graph.module_edges(v("v_edges"), v("v_modules")).select("src", "dst", "weight")
 
 
-@query("""SELECT 'n' || CAST(t.type AS STRING) || '#m9' AS method FROM {v_modules} t WHERE type % 2 = 0""")
+@query("""SELECT method FROM (SELECT 'n' || CAST(type AS STRING) || m AS method FROM {v_modules}, (SELECT unnest(['#m0', '#m9']) AS m) WHERE type % 2 = 0)
+  WHERE method NOT IN (SELECT callee FROM {v_calls} WHERE caller <> callee)""")
 def j6_dead(v):
     own = v("v_modules").select("project_id", F.explode(F.array(F.lit("#m0"), F.lit("#m9"))).alias("m"), "type")
     methods = own.select("project_id", F.concat(F.lit("n"), F.col("type").cast("string"), "m").alias("method"), (F.col("type") % 2 == 0).alias("is_private"), F.lit(True).alias("has_body"), F.lit(False).alias("is_constructor"), F.lit(False).alias("is_callback"))
