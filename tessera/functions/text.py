@@ -117,6 +117,13 @@ def repo_key(url: Column) -> Column:
     return F.when((host == "") | (path == ""), "").otherwise(F.concat(host, F.lower(path)))
 
 
+def project_name(url: Column) -> Column:
+    """The last part of a repository's or archive's address without its ending; ``project`` if that is blank."""
+    bare = F.regexp_replace(F.regexp_replace(url, "[?#].*$", ""), "/+$", "")
+    name = F.regexp_extract(bare, r"([^/]*?)(\.git|\.zip)?$", 1)
+    return F.when(F.trim(name) != "", name).otherwise("project")
+
+
 def package_layer(package: Column) -> Column:
     """The layer of the rightmost package segment that has one."""
     found = F.transform(F.reverse(F.split(package, r"\.")), lambda s: lookup(L.PACKAGE_LAYERS, F.trim(s)))

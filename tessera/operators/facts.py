@@ -82,6 +82,12 @@ def suggested_code(replies: DataFrame) -> DataFrame:
     return replies.withColumn("code", F.coalesce(fenced, F.try_element_at(spans, F.lit(-1))))
 
 
+def sections(replies: DataFrame, mark: str = "[①②③④⑤]", least: int = 2) -> DataFrame:
+    """Replies with what stands between marks, blank parts left out; null under ``least`` parts."""
+    parts = F.filter(F.transform(F.split("content", mark), F.trim), lambda s: s != "")
+    return replies.withColumn("sections", F.when(F.size(parts) >= least, parts))
+
+
 def last_actions(messages: DataFrame, marker: str, types: list[str], most: int = 3) -> DataFrame:
     """Actions, a JSON list after the last marker of a message: known types, the first few."""
     parsed = F.from_json(F.substring_index("content", marker, -1), "array<struct<type: string, target: string, label: string>>")

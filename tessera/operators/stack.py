@@ -21,6 +21,22 @@ def by_name(names: DataFrame, rules: DataFrame) -> DataFrame:
     return names.join(rules, "name", "left")
 
 
+def by_exact_or_prefix(names: DataFrame, rules: DataFrame) -> DataFrame:
+    """Names with every stack of the rule (key, stack) of that very name, else of the longest key that they begin with; a name is exploded into its beginnings, so the join is an equi-join."""
+    each = names.select("name").distinct().filter("name <> ''")
+    each = each.withColumn("key", F.explode(F.transform(F.sequence(F.lit(1), F.length("name")), lambda k: F.substring("name", F.lit(1), k))))
+    best = each.join(rules.select("key").distinct(), "key").groupBy("name").agg(F.max_by("key", F.length("key")).alias("key"))
+    return names.join(best.join(rules, "key"), "name")
+
+
+def by_category(found: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """Per project its stacks, in the order given; stacks that are not listed come last, by name."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("stack"))
+    rank = F.when(place == 0, len(order) + 1).otherwise(place)
+    rows = found.filter("stack is not null").groupBy("project_id").agg(F.sort_array(F.collect_set(F.struct(rank.alias("rank"), "stack"))).alias("s"))
+    return rows.select("project_id", F.array_join(F.transform("s", lambda x: x["stack"]), ",").alias("stacks"))
+
+
 def unrecognised(found: DataFrame) -> DataFrame:
     return found.filter("stack is null").select("project_id", "name").distinct()
 

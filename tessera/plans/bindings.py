@@ -20,12 +20,13 @@ VIEWS = {
             WHEN 5 THEN 'yml' WHEN 6 THEN 'txt' WHEN 7 THEN 'png' WHEN 8 THEN 'go' ELSE 'log' END) AS path,
         n_chars AS size, text AS content FROM {documents}""",
     "v_names": "SELECT CAST(p_size % 7 AS BIGINT) AS project_id, p_partkey AS pos, replace(lower(p_name), ' ', '.') AS name, p_brand AS version FROM {part}",
-    "v_coords": """SELECT l_suppkey % 10 AS project_id, CAST(l_orderkey AS STRING) AS file_path, CAST(l_linenumber AS BIGINT) AS line, CAST(l_linenumber AS BIGINT) AS ordinal,
-        CAST(l_partkey % 40 AS STRING) AS dep_id, CASE WHEN l_returnflag = 'N' THEN concat('$', '{{v}}') ELSE l_returnflag END AS version FROM {lineitem} WHERE l_orderkey % 10 = 0""",
+    "v_coords": """SELECT l_orderkey % 10 AS project_id, CAST(l_orderkey AS STRING) AS file_path, CAST(l_linenumber AS BIGINT) AS line, CAST(l_linenumber AS BIGINT) AS ordinal,
+        CAST(l_partkey AS STRING) AS dep_id, CASE WHEN l_returnflag = 'N' THEN concat('$', '{{v}}') ELSE l_returnflag END AS version FROM {lineitem}""",
     "v_trade": """SELECT c_nationkey AS a, s_nationkey AS b, o_orderkey, CAST(l_linenumber AS BIGINT) AS pos FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey
         JOIN {customer} ON c_custkey = o_custkey JOIN {supplier} ON s_suppkey = l_suppkey""",
-    "v_edges": """SELECT CAST(0 AS BIGINT) AS project_id, CAST(a AS BIGINT) AS src, CAST(b AS BIGINT) AS dst, count(*) AS weight FROM {v_trade} AS t
-        WHERE o_orderkey % 997 = 0 GROUP BY a, b""",
+    "v_flows": "SELECT CAST(a AS BIGINT) AS src, CAST(b AS BIGINT) AS dst, count(*) AS weight FROM {v_trade} AS t GROUP BY a, b",
+    # of all flows between nations, those above the average
+    "v_edges": "SELECT CAST(0 AS BIGINT) AS project_id, src, dst, weight FROM {v_flows} AS f WHERE weight > (SELECT avg(weight) FROM {v_flows} AS g)",
     "v_calls": """SELECT CAST(0 AS BIGINT) AS project_id, concat('n', CAST(a AS STRING), '#m', CAST(o_orderkey % 3 AS STRING)) AS caller,
         concat('n', CAST(b AS STRING), '#m', CAST(pos % 3 AS STRING)) AS callee, concat('k', CAST(pos AS STRING)) AS kind, concat('p', CAST(o_orderkey % 5 AS STRING)) AS path,
         o_orderkey * 10 + pos AS pos FROM {v_trade} AS t""",

@@ -60,6 +60,11 @@ def lines_of(v: View) -> DataFrame:
     return facts.lines(v("v_files").withColumnRenamed("path", "file_path"))
 
 
+def by_file(v: View) -> DataFrame:
+    """All issues, each file a project of its own."""
+    return v("v_issues").withColumn("project_id", F.col("file_path"))
+
+
 def hardcoded(v: View) -> DataFrame:
     rules = issues.Rules([issues.Rule("HARDCODED-VALUE", "HARDCODED", "HIGH", issues.line_issues)])
     return rules.audit(lines_of(v))
@@ -96,13 +101,13 @@ def g19_counts_at_once(v):
 
 @query("""WITH c AS (SELECT project_id, count(*) AS total, count(*) FILTER (risk_level = 'HIGH') AS high, count(*) FILTER (risk_level = 'MEDIUM') AS medium,
   count(*) FILTER (risk_level = 'LOW') AS low, count(DISTINCT file_path) AS files,
-  CASE min(CASE risk_level WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END) WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS highest FROM {v_issues} WHERE pos % 40 = 0 GROUP BY 1),
+  CASE min(CASE risk_level WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END) WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS highest FROM (SELECT * REPLACE (file_path AS project_id) FROM {v_issues}) GROUP BY 1),
   s AS (SELECT *, greatest(0.0::DOUBLE, least(100.0::DOUBLE, 100 - (high * 8.0::DOUBLE + medium * 3.0::DOUBLE + low * 0.8::DOUBLE))) AS overall FROM c)
   SELECT *, (high + medium) / total AS severe_share, low / total AS minor_share, greatest(0.0::DOUBLE, 1 - medium / (total + 5)) AS architecture,
   greatest(0.0::DOUBLE, 1 - high / (total + 3)) AS rule_match, CASE WHEN overall >= 70 THEN 0.85::DOUBLE ELSE 0.55::DOUBLE END AS documentation,
   CASE WHEN overall >= 60 THEN 'PASSED' ELSE 'FAILED' END AS status, CASE WHEN overall >= 80 THEN 'good' WHEN overall >= 60 THEN 'fair' ELSE 'poor' END AS grade FROM s""")
 def g20_m10_m11_report(v):
-    return issues.report(v("v_issues").filter("pos % 40 = 0"))
+    return issues.report(by_file(v))
 
 
 @query(f"""WITH e AS (SELECT project_id, unnest([string_split(file_path, '/')[1], file_path]) AS path, {RANK} AS rank FROM {{v_issues}}),
@@ -112,9 +117,9 @@ def g21_i8_tree_density(v):
     return issues.tree_density(v("v_issues"))
 
 
-@query("SELECT project_id, rule_id, count(*) AS n FROM {v_issues} WHERE pos % 400 = 0 GROUP BY ALL HAVING count(*) >= 2")
+@query("SELECT file_path AS project_id, rule_id, count(*) AS n FROM {v_issues} GROUP BY ALL HAVING count(*) >= 2")
 def g24_batches(v):
-    return issues.batches(v("v_issues").filter("pos % 400 = 0"))
+    return issues.batches(by_file(v))
 
 
 @query("""SELECT project_id, pos, row_number() OVER (PARTITION BY project_id ORDER BY file_path, line, rule_id, pos) AS nth FROM {v_issues} QUALIFY nth <= 100""")
@@ -128,10 +133,11 @@ def w9_f13_top_issues(v):
     return rows.select("project_id", "pos", "nth")
 
 
-@query("""SELECT i.project_id, pos, risk_level FROM {v_issues} i JOIN (SELECT project_id, bool_or(risk_level <> 'LOW') AS any_severe FROM {v_issues} WHERE pos % 500 = 3 GROUP BY 1) s
-  ON s.project_id = i.project_id WHERE pos % 500 = 3 AND (risk_level <> 'LOW' OR NOT any_severe)""")
+@query("""SELECT i.day AS project_id, pos, risk_level FROM (SELECT *, file_path || ' ' || rule_id || ' ' || CAST(CAST(ts AS DATE) AS STRING) AS day FROM {v_issues}) i
+  JOIN (SELECT file_path || ' ' || rule_id || ' ' || CAST(CAST(ts AS DATE) AS STRING) AS day, bool_or(risk_level <> 'LOW') AS any_severe FROM {v_issues} GROUP BY 1) s ON s.day = i.day WHERE risk_level <> 'LOW' OR NOT any_severe""")
 def w10_targets(v):
-    return issues.severe_or_all(v("v_issues").filter("pos % 500 = 3")).select("project_id", "pos", "risk_level")
+    day = F.concat_ws(" ", "file_path", "rule_id", F.to_date("ts").cast("string"))
+    return issues.severe_or_all(v("v_issues").withColumn("project_id", day)).select("project_id", "pos", "risk_level")
 
 
 @query(f"""SELECT project_id, {ISSUE_KEY} AS issue_key, max(pos) AS pos, arg_max(risk_level, pos) AS risk_level FROM {{v_issues}} GROUP BY 1, 2""")
@@ -140,16 +146,16 @@ def w2_f3_latest_fix(v):
     return issues.latest(rows, ["project_id", "issue_key"], F.col("pos"))
 
 
-@query(f"""SELECT project_id, pos, {ISSUE_KEY} AS issue_key FROM {{v_issues}} WHERE (project_id, {ISSUE_KEY}) NOT IN (SELECT (project_id, {ISSUE_KEY}) FROM {{v_issues}} WHERE pos % 3 = 0)""")
+@query(f"""SELECT project_id, pos, {ISSUE_KEY} AS issue_key FROM {{v_issues}} WHERE (project_id, {ISSUE_KEY}) NOT IN (SELECT (project_id, {ISSUE_KEY}) FROM {{v_issues}} WHERE risk_level = 'HIGH')""")
 def j14_j15_without_fixes(v):
     rows = issues.keyed(v("v_issues"))
-    return issues.without(v("v_issues"), rows.filter("pos % 3 = 0")).select("project_id", "pos", "issue_key")
+    return issues.without(v("v_issues"), rows.filter("risk_level = 'HIGH'")).select("project_id", "pos", "issue_key")
 
 
-@query(f"""SELECT i.project_id, i.pos, s.fix FROM {{v_issues}} i JOIN (SELECT project_id, {ISSUE_KEY} AS k, max(pos) AS fix FROM {{v_issues}} WHERE pos % 7 = 0 GROUP BY 1, 2) s
+@query(f"""SELECT i.project_id, i.pos, s.fix FROM {{v_issues}} i JOIN (SELECT project_id, {ISSUE_KEY} AS k, max(pos) AS fix FROM {{v_issues}} WHERE risk_level = 'HIGH' GROUP BY 1, 2) s
   ON s.project_id = i.project_id AND s.k = {ISSUE_KEY}""")
 def j16_with_suggestion(v):
-    fixes = issues.keyed(v("v_issues")).filter("pos % 7 = 0").groupBy("project_id", "issue_key").agg(F.max("pos").alias("fix"))
+    fixes = issues.keyed(v("v_issues")).filter("risk_level = 'HIGH'").groupBy("project_id", "issue_key").agg(F.max("pos").alias("fix"))
     return issues.with_suggestion(v("v_issues"), fixes).select("project_id", "pos", "fix")
 
 
@@ -288,16 +294,16 @@ def w6_samples(v):
     return files.samples(v("v_files")).select("project_id", "path", "nth")
 
 
-@query("SELECT project_id, path FROM {v_files} WHERE size % 4 <> 0")
+@query("SELECT project_id, path FROM {v_files} WHERE size < 1000")
 def j19_changed(v):
-    cached = files.checksums(v("v_files")).filter("size % 4 = 0").select("project_id", "path", "checksum")
+    cached = files.checksums(v("v_files")).filter("size >= 1000").select("project_id", "path", "checksum")
     return files.changed(v("v_files"), cached).select("project_id", "path")
 
 
-@query("SELECT project_id, path, CASE WHEN size % 3 = 0 THEN 2 ELSE 1 END AS updated_at FROM {v_files}")
+@query("SELECT project_id, path, CASE WHEN size >= 1000 THEN 2 ELSE 1 END AS updated_at FROM {v_files}")
 def s8_upsert(v):
     old = v("v_files").select("project_id", "path", "content", F.lit(1).alias("updated_at"))
-    new = v("v_files").filter("size % 3 = 0").select("project_id", "path", "content", F.lit(2).alias("updated_at"))
+    new = v("v_files").filter("size >= 1000").select("project_id", "path", "content", F.lit(2).alias("updated_at"))
     return files.upserted(old, new, ["project_id", "path"]).select("project_id", "path", "updated_at")
 
 
@@ -502,6 +508,60 @@ def g12_f9_invalid(v):
     return manifests.invalid(v("v_coords"))
 
 
+# --- names, replies, pairs ---------------------------------------------------
+
+NAMED = "CASE {key} WHEN 'Brand#11' THEN 'One' WHEN 'Brand#22' THEN 'Two' WHEN 'Brand#33' THEN 'Three' END"
+
+
+def named(v: View) -> DataFrame:
+    rules = v("region").select(F.explode(F.array(*[F.struct(F.lit(a).alias("name"), F.lit(b).alias("stack")) for a, b in (("Brand#11", "One"), ("Brand#22", "Two"), ("Brand#33", "Three"))])).alias("r")).select("r.*").distinct()
+    names = v("v_names").select("project_id", "pos", F.col("version").alias("name"))
+    return stack.by_name(names, rules)
+
+
+@query("SELECT pos, version AS name, " + NAMED.format(key="version") + " AS stack FROM {v_names}")
+def j11_j12_by_name(v):
+    return named(v).select("pos", "name", "stack")
+
+
+@query("""WITH r(name, stack) AS (VALUES ('small', 'S'), ('small.ring', 'Ring'), ('red', 'Red'), ('red.b', 'RedB'))
+  SELECT n.pos, n.name, r.stack FROM {v_names} n JOIN r ON starts_with(n.name, r.name)
+  WHERE NOT EXISTS (SELECT 1 FROM r b WHERE starts_with(n.name, b.name) AND (length(b.name) > length(r.name) AND NOT EXISTS (SELECT 1 FROM r e WHERE e.name = n.name) OR b.name = n.name AND r.name <> n.name))""")
+def j10_exact_or_prefix(v):
+    rules = [("small", "S"), ("small.ring", "Ring"), ("red", "Red"), ("red.b", "RedB")]
+    table = v("region").select(F.explode(F.array(*[F.struct(F.lit(a).alias("key"), F.lit(b).alias("stack")) for a, b in rules])).alias("r")).select("r.*").distinct()
+    return stack.by_exact_or_prefix(v("v_names"), table).select("pos", "name", "stack")
+
+
+@query("""WITH c AS (SELECT CASE {key} WHEN 'Ring' THEN 1 WHEN 'Small' THEN 2 WHEN 'Red' THEN 3 END AS place, * FROM (SELECT DISTINCT project_id, stack FROM {stacked} WHERE stack IS NOT NULL))
+  SELECT project_id, string_agg(stack, ',' ORDER BY place) AS stacks FROM c GROUP BY 1""".replace("{key}", "stack").replace("{stacked}", STACKED))
+def g16_by_category(v):
+    return stack.by_category(stacked(v), ("Ring", "Small", "Red"))
+
+
+REPLY = "(SELECT conv_id, turn, text AS content FROM {conversations} WHERE role = 'assistant')"
+
+
+@query(f"""SELECT conv_id, turn, array_to_string(list_filter(list_transform(regexp_split_to_array(content, '[.!?][ \\n]'), lambda s: trim(s)), lambda s: s <> ''), '|') AS sections
+  FROM (SELECT * FROM {REPLY} WHERE len(list_filter(list_transform(regexp_split_to_array(content, '[.!?][ \\n]'), lambda s: trim(s)), lambda s: s <> '')) >= 2)""")
+def x11_sections(v):
+    replies = v("conversations").filter("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("content"))
+    return facts.sections(replies, r"[.!?][ \n]").filter("sections is not null").select("conv_id", "turn", F.array_join("sections", "|").alias("sections"))
+
+
+@query("""SELECT c.conv_id AS id, CAST(list_position(list_transform(list_zip(string_split(c.text, chr(10)), string_split(n.text, chr(10))), lambda p: p[1] IS DISTINCT FROM p[2]), true) AS INTEGER) AS start
+  FROM {conversations} c JOIN {conversations} n ON n.conv_id = c.conv_id AND c.turn = 0 AND n.turn = 1 WHERE c.text <> n.text""")
+def x14_diffs(v):
+    c = v("conversations")
+    pairs = c.filter("turn = 0").select("conv_id", F.col("text").alias("before")).join(c.filter("turn = 1").select("conv_id", F.col("text").alias("after")), "conv_id")
+    return facts.diffs(pairs.withColumnRenamed("conv_id", "id")).select("id", "start")
+
+
+@query("""SELECT page_id, CASE WHEN trim(name) <> '' THEN name ELSE 'project' END AS name FROM (SELECT page_id, regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '([^/]*?)(\\.git|\\.zip)?$', 1) AS name FROM {pages})""")
+def f15_project_names(v):
+    return v("pages").select("page_id", X.project_name(F.col("url")).alias("name"))
+
+
 # --- evaluation, sessions, links ---------------------------------------------
 
 METRIC_ROWS = """(SELECT e.sample_id, category, len(list_intersect(required, coalesce(detected, []))) / len(required) AS recall,
@@ -564,9 +624,9 @@ def w13_ordered(v):
     return sessions.ordered(v("conversations")).select("conv_id", "turn", "role")
 
 
-@query("SELECT conv_id, turn FROM {conversations} WHERE conv_id % 3 <> 0")
+@query("SELECT conv_id, turn FROM {conversations} WHERE conv_id NOT IN (SELECT conv_id FROM {conversations} WHERE role = 'system')")
 def u4_without_sessions(v):
-    return sessions.without_sessions(v("conversations"), v("conversations").filter("conv_id % 3 = 0")).select("conv_id", "turn")
+    return sessions.without_sessions(v("conversations"), v("conversations").filter("role = 'system'")).select("conv_id", "turn")
 
 
 @query("""SELECT user_id AS run_id, min(event_id) AS pos, arg_min(event_type, event_id) AS node, arg_min(props, event_id) AS message FROM {events} WHERE event_type = 'error' GROUP BY 1""")
@@ -599,9 +659,9 @@ def t2_task_states(v):
     return sessions.task_states(rows).select("task_id", "status", "events", "progress")
 
 
-@query("SELECT o_orderkey, o_orderdate FROM {orders} WHERE o_orderstatus = 'F' AND (o_custkey = 7 OR o_custkey % 5 = 0)")
+@query("SELECT o_orderkey, o_orderdate FROM {orders} WHERE o_orderstatus = 'F' AND (o_custkey = 7 OR o_orderpriority = '5-LOW')")
 def p5_s5_listing(v):
-    rows = v("orders").filter((F.col("o_orderstatus") == "F") & ((F.col("o_custkey") == 7) | (F.col("o_custkey") % 5 == 0)))
+    rows = v("orders").filter((F.col("o_orderstatus") == "F") & ((F.col("o_custkey") == 7) | (F.col("o_orderpriority") == "5-LOW")))
     return rows.select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"))
 
 
