@@ -50,9 +50,9 @@ LEAST = 16
 #: Pairs replaced in one round, and rounds.
 PER_ROUND, ROUNDS = 2048, 9
 #: Words whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 350_000
 #: Words that a worker still remembers when a task is over; the first ones learned are the frequent ones.
-RETAINED = 100_000
+RETAINED = 220_000
 MARKS = ".,;:!?"
 #: White space other than a single space or newline between words.
 UNEVEN = ("  ", " \n", "\n ", "\n\n", *(chr(c) for c in range(0x110000) if chr(c).isspace() and chr(c) not in " \n"))
@@ -98,6 +98,8 @@ class Encoder:
 
     def _learn(self, keys: set[str], known: dict[str, bytes], spaced: bool) -> None:
         rest = []
+        spaced_core: dict[str, bytes] = {}  # a new word stands before several marks and after lines
+        bare_core: dict[str, bytes] = {}
         for key in keys:
             after_line = spaced and key[0] == "\n"
             word = key[1:] if after_line else key
@@ -106,11 +108,15 @@ class Encoder:
             if not LATIN(core):
                 rest.append(key)
             elif after_line:
-                known[key] = self.newline + (self.bare.get(core) or self._letters(core, False)) + mark
+                ids = self.bare.get(core) or bare_core.get(core)
+                if ids is None:
+                    ids = bare_core[core] = self._letters(core, False)
+                known[key] = self.newline + ids + mark
             else:
-                known[key] = (known.get(core) if mark else None) or self._letters(core, spaced)
-                if mark:
-                    known[key] += mark
+                ids = known.get(core) or spaced_core.get(core)
+                if ids is None:
+                    ids = spaced_core[core] = self._letters(core, spaced)
+                known[key] = ids + mark
         known.update(zip(rest, self._whole([" " + k if spaced and k[0] != "\n" else k for k in rest]), strict=True))
 
     def forget(self) -> None:
