@@ -70,7 +70,9 @@ class Encoder:
 
     In a byte-level BPE a token never reaches over a single space or newline
     between words, so texts with no other white space are put together from
-    the ids of their words; any other text goes through the library whole. A
+    the ids of their words; any other text goes through the library whole, as
+    does one that holds the content of an added token of the file, such as
+    <|endoftext|>, which the library finds before it looks at words. A
     new word of Latin letters, with or without a mark behind it, goes straight
     to the library's BPE model, other new words through all of the library.
     """
@@ -79,9 +81,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.model = self.library.model
         self.size = self.library.get_vocab_size()
+        self.whole = (*UNEVEN, *(t.content for t in self.library.get_added_tokens_decoder().values()))  # what a text put together from words must not hold
         self.spaced: dict[str, bytes] = {}  # ids of a word with a space before it; a key with a newline in front has that instead
         self.bare: dict[str, bytes] = {}  # ids of a word with nothing before it
         self.newline, *marks = self._whole(["\n", *MARKS])
@@ -129,7 +131,7 @@ class Encoder:
         out: list = [None] * len(texts)
         plain, odd = [], []
         for i, text in enumerate(texts):
-            if text and text[0] not in " \n" and text[-1] not in " \n" and not any(map(text.__contains__, UNEVEN)):
+            if text and text[0] not in " \n" and text[-1] not in " \n" and not any(map(text.__contains__, self.whole)):
                 plain.append((i, text.replace("\n", " \n").split(" ")))
             elif text:
                 odd.append(i)
