@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, materialise, slices
+from .common import as_bytes, materialise, slices, small
 
 SPAN, GRAM = 400, 100
 #: Different segments of an anchor up to which they are sorted together.
@@ -332,6 +332,17 @@ def single_windows(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["t1", "t2", "start", "h1", "h2"])
 
 
+def wanted_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One row (t1, t2, text, wanted) for each text with wanted segments, however many copies of it there are."""
+    wanted = wanted.filter(F.size("wanted") > 0)
+    named = wanted.select("t1", "t2")
+    few = small(named)
+    if few is not named:  # otherwise this would deal out all copies of a text to one task
+        rows = rows.join(few, ["t1", "t2"], "left_semi")
+    # copies go within each task first, so a task gets no more of them than there are tasks before it
+    return rows.groupBy("t1", "t2").agg(F.first("text").alias("text")).join(wanted, ["t1", "t2"]).select("t1", "t2", "text", "wanted")
+
+
 def covered(rows: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """Ranges of texts (t1, t2) that are covered by repeated strings: rows (t1, t2, lo, hi), overlapping ones included."""
     anchors = cut(rows, False, span, gram).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
@@ -348,13 +359,13 @@ def covered(rows: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT)
     buckets = int(several.agg(F.coalesce(F.sum(F.when(F.col("kinds") <= hot, F.col("kinds"))), F.lit(0))).first()[0]) // BUCKET + 1
 
     few, many = F.filter("all", lambda x: x.kinds <= hot), F.filter("all", lambda x: x.kinds > hot)
-    texts = rows.join(wanted.select("t1", "t2", few.alias("wanted")).filter(F.size("wanted") > 0), ["t1", "t2"]).select("t1", "t2", "text", "wanted")
+    texts = wanted_texts(rows, wanted.select("t1", "t2", few.alias("wanted")))
     runs = texts.mapInArrow(partial(sorted_runs, span=span, buckets=buckets), RUN)
     agreed = runs.groupBy("bucket").applyInPandas(partial(merged, span=span), COVER)
     out = whole.unionByName(agreed)
 
     if not several.filter(F.col("kinds") > hot).isEmpty():
-        texts = rows.join(wanted.select("t1", "t2", many.alias("wanted")).filter(F.size("wanted") > 0), ["t1", "t2"]).select("t1", "t2", "text", "wanted")
+        texts = wanted_texts(rows, wanted.select("t1", "t2", many.alias("wanted")))
         windows = materialise(texts.mapInArrow(partial(single_windows, span=span), "t1 long, t2 int, start int, h1 long, h2 long").distinct(), "windows")
         twice = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
         out = out.unionByName(windows.join(twice, ["h1", "h2"], "left_semi").select("t1", "t2", F.col("start").alias("lo"), (F.col("start") + span).cast("int").alias("hi")))
