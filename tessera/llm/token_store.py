@@ -7,19 +7,20 @@ of every rule and where each document's symbols start, so a document, or a
 range of its ids, is decoded without the rest.
 
 Cases: a null or empty text is the end id alone; rows that repeat a doc_id are
-separate documents in the order of their texts; null ids come first; an empty
+separate documents in the order of their lengths, then texts; null ids come first; an empty
 table gives no shard; other columns are ignored.
 
 One shard, as bytes (little-endian)::
 
-    6 s   magic b"TRP1\\n\\0"          2 B  bytes of a symbol (2 or 4)
+    6 s   magic b"TRP2\\n\\0"          2 B  bits of a symbol (16 or more)
     4 B   number of documents         4 B  first nonterminal (ids are below it)
     4 B   number of rules             4 B  number of symbols
     u4[rules, 2]  the pair that each rule stands for
     u4[rules]     ids that each rule expands to
     u4[docs + 1]  first symbol of each document
     u4[docs]      ids of each document
-    symbols
+    u2[symbols]   the lower 16 bits of the symbols
+    u1[symbols / 8, rounded up]  for each higher bit, from the lowest, that bit of all symbols
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ import re
 import struct
 import zlib
 from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,44 +39,104 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, slices, small
+from .common import as_bytes, flat, materialise, slices, small
+from .repeats import BASES, Hashes
 
-MAGIC = b"TRP1\n\0"
+MAGIC = b"TRP2\n\0"
 HEAD = struct.Struct("<6sHIIII")
-#: The bin of pairs that may not be replaced, behind all others.
-SHUT = 1 << 20
+#: Bits of the hash by which pairs are counted.
+BIN_BITS = 20
 #: Ids of a shard, about.
 SHARD_IDS = 2_000_000
-#: A pair that is replaced occurs so often at least.
-LEAST = 16
-#: Pairs replaced in one round, and rounds.
-PER_ROUND, ROUNDS = 2048, 9
-#: Words whose ids a worker remembers.
-REMEMBERED = 350_000
-#: Words that a worker still remembers when a task is over; the first ones learned are the frequent ones.
-RETAINED = 220_000
-MARKS = ".,;:!?"
-#: White space other than a single space or newline between words.
-UNEVEN = ("  ", " \n", "\n ", "\n\n", *(chr(c) for c in range(0x110000) if chr(c).isspace() and chr(c) not in " \n"))
-LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+#: A rule takes twelve bytes and each pair it replaces saves two, so it pays from so many on.
+LEAST = 7
+#: What the bar for the number of a pair falls by from round to round.
+DOWN = 4
+#: Words whose ids a worker remembers; each takes about 40 bytes.
+REMEMBERED = 1_000_000
+#: Bytes of a word up to which its ids are remembered, and bytes of a text whose words are hashed at once.
+LONG, PIECE = 4096, 1 << 17
+#: Words that the library's model is given at once.
+AT_ONCE = 16
+#: What a byte is between words: 1 for a space or newline, 2 for other ASCII white space.
+GAP = np.zeros(256, np.uint8)
+GAP[[32, 10]] = 1
+GAP[[9, 11, 12, 13, 28, 29, 30, 31]] = 2
+#: White space outside ASCII: the bytes of a character as one number, by how many there are; and the bytes it can begin with.
+_WIDE = [chr(c).encode() for c in range(128, 0xD800) if chr(c).isspace()]
+WIDE_SPACE = {n: np.array([int.from_bytes(w, "big") for w in _WIDE if len(w) == n]) for n in (2, 3)}
+LEAD = np.zeros(256, bool)
+LEAD[[w[0] for w in _WIDE]] = True
+#: Marks: ASCII punctuation other than the apostrophe, before which contractions are split.
+MARKS = re.escape("".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'"))
+#: A word of Latin letters, with or without marks behind it, after a space or newline.
+LATIN = re.compile(f"[ \n][A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[{MARKS}]*").fullmatch
 #: Byte-level BPE writes the bytes that are not printable in Latin-1 as the characters from 256 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
-SPACE_CHAR = chr(BYTE_CHARS[32])
+_OTHER = [b for b in range(256) if b not in _PLAIN]
+BYTE_CHARS = "".join(chr(b) if b in _PLAIN else chr(256 + _OTHER.index(b)) for b in range(256))
+SPACE, NEWLINE = BYTE_CHARS[32], BYTE_CHARS[10]
+#: The bytes of the letters above as a vocabulary writes them.
+_LETTERS = "A-Za-z" + re.escape(BYTE_CHARS[0xC3] + BYTE_CHARS[0x80:0xC0])
+#: A token of all these characters that reaches over the end of a word, or from letters into marks.
+JOINT = re.compile(f"(?=[{_LETTERS}{MARKS}{SPACE}{NEWLINE}]+$).*(?:[{_LETTERS}][{MARKS}]|[{_LETTERS}{MARKS}][{SPACE}{NEWLINE}]|{NEWLINE}[{_LETTERS}])").match
 #: Shards in a block of the two-level prefix sum.
 SHARDS_IN_BLOCK = 4096
 
 
+class Words:
+    """Ids of words, found by 128 bits of a hash: a sorted table, and a small one of what is new."""
+
+    def __init__(self) -> None:
+        self.main = self.recent = (*np.zeros((2, 0), np.uint64), *np.zeros((2, 0), np.int64))  # both hashes, where the ids begin, how many
+        self.pool = np.zeros(1 << 16, np.uint32)
+        self.used = 0
+
+    def __len__(self) -> int:
+        return len(self.main[0]) + len(self.recent[0])
+
+    def find(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the pool the ids of words (by ascending h1) begin, -1 for unknown words, and how many there are."""
+        begin, n = np.full(len(h1), -1), np.zeros(len(h1), np.int64)
+        for t1, t2, t_begin, t_n in (self.main, self.recent):
+            if len(t1):
+                at = np.minimum(np.searchsorted(t1, h1), len(t1) - 1)
+                hit = np.flatnonzero((t1[at] == h1) & (t2[at] == h2))
+                begin[hit], n[hit] = t_begin[at[hit]], t_n[at[hit]]
+        return begin, n
+
+    def add(self, h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Put ids of new words (by ascending h1) into the pool, where they stay if there is room for the words; where they begin."""
+        end = self.used + len(ids)
+        if end > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(end - len(self.pool), len(self.pool) // 2), np.uint32)])
+        self.pool[self.used : end] = ids
+        begin = self.used + np.cumsum(n) - n
+        if len(self) + len(h1) <= REMEMBERED:
+            self.used = end
+            self.recent = self._merged(self.recent, (h1, h2, begin, n))
+            if len(self.recent[0]) > len(self.main[0]) // 4:
+                self.main, self.recent = self._merged(self.main, self.recent), tuple(x[:0] for x in self.main)
+        return begin
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple:
+        at = np.searchsorted(a[0], b[0])
+        return tuple(np.insert(x, at, y) for x, y in zip(a, b, strict=True))
+
+
 class Encoder:
     """Texts to ids by a ``tokenizers`` file of a byte-level BPE, remembering the ids of words.
 
     In a byte-level BPE a token never reaches over a single space or newline
     between words, so texts with no other white space are put together from
-    the ids of their words; any other text goes through the library whole, as
-    does one that holds the content of an added token of the file, such as
-    <|endoftext|>, which the library finds before it looks at words. A
-    new word of Latin letters, with or without a mark behind it, goes straight
-    to the library's BPE model, other new words through all of the library.
+    the ids of their words, which stand with the space or newline before them.
+    Any other text goes through the library whole, as does one with a very
+    long word, or one that holds the content of an added token of the file,
+    such as <|endoftext|>, which the library finds before it looks at words.
+    New words of Latin letters, with or without marks, go straight to the
+    library's BPE model, several at once, if no token of the vocabulary could
+    join them; other new words go through all of the library.
     """
 
     def __init__(self, path: str):
@@ -83,133 +145,169 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.size = self.library.get_vocab_size()
-        self.whole = (*UNEVEN, *(t.content for t in self.library.get_added_tokens_decoder().values()))  # what a text put together from words must not hold
-        self.spaced: dict[str, bytes] = {}  # ids of a word with a space before it; a key with a newline in front has that instead
-        self.bare: dict[str, bytes] = {}  # ids of a word with nothing before it
-        self.newline, *marks = self._whole(["\n", *MARKS])
-        self.marks = dict(zip(MARKS, marks, strict=True))
+        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.begins = np.zeros(self.size, bool)  # tokens with which a word begins
+        self.joinable = True
+        for token, nth in self.library.get_vocab(with_added_tokens=False).items():
+            self.begins[nth] = token[:1] in (SPACE, NEWLINE)
+            self.joinable = self.joinable and not JOINT(token)
+        self.words = Words()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _letters(self, word: str, spaced: bool) -> bytes:
-        """Ids of a word of Latin letters."""
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(BYTE_CHARS)
-        return array("I", [t.id for t in self.model.tokenize(SPACE_CHAR + word if spaced else word)]).tobytes()
-
-    def _learn(self, keys: set[str], known: dict[str, bytes], spaced: bool) -> None:
-        rest = []
-        spaced_core: dict[str, bytes] = {}  # a new word stands before several marks and after lines
-        bare_core: dict[str, bytes] = {}
-        for key in keys:
-            after_line = spaced and key[0] == "\n"
-            word = key[1:] if after_line else key
-            mark = self.marks.get(word[-1:], b"")
-            core = word[:-1] if mark else word
-            if not LATIN(core):
-                rest.append(key)
-            elif after_line:
-                ids = self.bare.get(core) or bare_core.get(core)
-                if ids is None:
-                    ids = bare_core[core] = self._letters(core, False)
-                known[key] = self.newline + ids + mark
-            else:
-                ids = known.get(core) or spaced_core.get(core)
-                if ids is None:
-                    ids = spaced_core[core] = self._letters(core, spaced)
-                known[key] = ids + mark
-        known.update(zip(rest, self._whole([" " + k if spaced and k[0] != "\n" else k for k in rest]), strict=True))
-
-    def forget(self) -> None:
-        """Keep the words learned first, so that an idle worker holds little memory."""
-        self.spaced = dict(islice(self.spaced.items(), RETAINED))
-        self.bare = dict(islice(self.bare.items(), RETAINED // 4))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as unsigned 32-bit integers."""
+    def _joined(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words that the BPE model can take at once."""
+        ids = array("I")
+        for a in range(0, len(words), AT_ONCE):
+            text = charmap_decode("".join(words[a : a + AT_ONCE]).encode(), "strict", BYTE_CHARS)[0]
+            ids.extend([t.id for t in self.model.tokenize(text)])
+        at = (4 * np.flatnonzero(self.begins[np.frombuffer(ids, np.uint32)])).tolist() if ids else []
+        raw = ids.tobytes()
+        return (raw[a:b] for a, b in zip(at, [*at[1:], len(raw)]))  # noqa: B905
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Ids of words, each with the space or newline before it if there is one."""
+        fit = list(map(LATIN, words)) if self.joinable else [None] * len(words)
+        plain = self._joined([w for w, f in zip(words, fit, strict=True) if f])
+        other = iter(self._whole([w for w, f in zip(words, fit, strict=True) if not f]))
+        return [next(plain) if f else next(other) for f in fit]
+
+    def _odd(self, data: np.ndarray, offsets: np.ndarray, gap: np.ndarray) -> np.ndarray:
+        """Which texts can't be put together from words."""
+        some = np.flatnonzero(np.diff(offsets))
+        at = [np.flatnonzero(gap == 2), np.flatnonzero(gap[1:] & gap[:-1])]
+        at += [x[gap[x] > 0] for x in (offsets[some], offsets[some + 1] - 1)]  # at either end
+        gaps = np.concatenate([[0], np.flatnonzero(gap), [len(data)]])
+        at.append(gaps[:-1][np.diff(gaps) > LONG])
+        lead = np.flatnonzero(LEAD[data[:-1]])
+        two = (data[lead].astype(np.int64) << 8) | data[lead + 1]
+        three = (two << 8) | data[np.minimum(lead + 2, len(data) - 1)]
+        at.append(lead[np.isin(two, WIDE_SPACE[2]) | np.isin(three, WIDE_SPACE[3])])
+        raw = data.tobytes()
+        for found in self.added:
+            k = raw.find(found)
+            while k >= 0:
+                at.append([k])
+                k = raw.find(found, k + 1)
+        odd = np.zeros(len(offsets), bool)
+        odd[np.searchsorted(offsets, np.concatenate(at).astype(np.int64), "right") - 1] = True
+        return odd[:-1]
+
+    def _put_together(self, data: np.ndarray, offsets: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, behind each other, and how many each has."""
+        mark = gap > 0
+        mark[offsets[:-1][np.diff(offsets) > 0]] = True
+        start = np.flatnonzero(mark)
+        end = np.append(start[1:], len(data))
+        h = np.empty((2, len(start)), np.uint64)
+        a = 0
+        while a < len(start):
+            b = max(a + 1, int(np.searchsorted(end, start[a] + PIECE, "right")))
+            piece = data[start[a] : end[b - 1]]
+            for k in range(2):
+                h[k, a:b] = Hashes(piece, BASES[k]).of(start[a:b] - start[a], end[a:b] - start[a])
+            a = b
+        order = np.argsort(h[0])
+        h1, h2 = h[0][order], h[1][order]
+        first = np.flatnonzero(np.append(True, h1[1:] != h1[:-1])[: len(order)])
+        times = np.diff(np.append(first, len(order)))
+        if (np.repeat(h2[first], times) != h2).any():
+            raise ValueError("two words share a hash")  # 64 bits; the other 64 tell them apart
+        h1, h2 = h1[first], h2[first]
+        begin, n = self.words.find(h1, h2)
+        new = np.flatnonzero(begin < 0)
+        if len(new):
+            raw = data.tobytes()
+            where = order[first[new]]
+            learned = self._learn([raw[a:b].decode() for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)])
+            n[new] = [len(x) // 4 for x in learned]
+            begin[new] = self.words.add(h1[new], h2[new], np.frombuffer(b"".join(learned), np.uint32), n[new])
+        nth = np.empty(len(order), np.int64)
+        nth[order] = np.repeat(np.arange(len(first)), times)
+        begin, n = begin[nth], n[nth]
+        to = np.cumsum(n)
+        ids = self.words.pool[np.repeat(begin - (to - n), n) + np.arange(to[-1] if len(to) else 0)]
+        words_before = np.searchsorted(start, offsets)
+        return ids, np.diff(np.append(0, to)[words_before])
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text, of a binary column without nulls, as bytes of unsigned 32-bit integers."""
+        data, offsets = flat(texts)
+        gap = GAP[data]
+        odd = self._odd(data, offsets, gap)
         out: list = [None] * len(texts)
-        plain, odd = [], []
-        for i, text in enumerate(texts):
-            if text and text[0] not in " \n" and text[-1] not in " \n" and not any(map(text.__contains__, self.whole)):
-                plain.append((i, text.replace("\n", " \n").split(" ")))
-            elif text:
-                odd.append(i)
-            else:
-                out[i] = b""
-        first = {keys[0] for _, keys in plain} - self.bare.keys()
-        bare = self.bare if len(self.bare) + len(first) <= REMEMBERED // 4 else dict(self.bare)
-        self._learn(first, bare, False)
-        fresh = set().union(*(keys[1:] for _, keys in plain)) - self.spaced.keys()
-        spaced = self.spaced if len(self.spaced) + len(fresh) <= REMEMBERED else dict(self.spaced)
-        self._learn(fresh, spaced, True)
-        for i, keys in plain:
-            out[i] = bare[keys[0]] + b"".join(map(spaced.__getitem__, keys[1:]))
-        for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
-            out[i] = ids
+        if odd.any():
+            data, offsets = flat(texts.filter(pa.array(~odd)))
+            gap = GAP[data]
+        ids, n = self._put_together(data, offsets, gap)
+        raw = ids.tobytes()
+        to = (4 * np.cumsum(n)).tolist()
+        for k, a, b in zip(np.flatnonzero(~odd).tolist(), [0, *to], to):  # noqa: B905
+            out[k] = raw[a:b]
+        rest = np.flatnonzero(odd).tolist()
+        for k, x in zip(rest, self._whole([texts[k].as_py().decode() for k in rest]), strict=True):
+            out[k] = x
         return out
 
 
-def grammar(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def grammar(ids: np.ndarray, ends: np.ndarray, first: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair over the ids of a shard, of which those at ``ends`` end a document: (symbols, rules, where documents end).
 
-    Each round counts neighbouring pairs in hashed bins, counts exactly what
-    falls into frequent bins, and replaces the most frequent pairs from left to
-    right. The end id of a document stays a symbol of its own, so no pair
-    reaches over it.
+    Each round replaces, from left to right, all pairs of neighbours that occur
+    as often as a bar says. The bar starts at the number of the most frequent
+    pair and falls by ``DOWN`` each round down to ``least``, and rounds go on
+    until no pair occurs so often. Pairs are counted in hashed bins first, and
+    exactly where a bin is full enough. Of a pair that overlaps itself or
+    others, what is left must still reach ``least``. The end id of a document
+    stays a symbol of its own, so no pair reaches over it.
     """
-    wide = first > 60_000
-    limit = (1 << 31) if wide else (1 << 16)
-    seq = ids.astype(np.uint64 if wide else np.uint32)
-    word = seq.dtype.type
-    shift, mask = word(32 if wide else 16), word((1 << (32 if wide else 16)) - 1)
+    seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
-    symbol = first
-
-    def bins_of(key: np.ndarray) -> np.ndarray:
-        spread = (key * word(0x9E3779B97F4A7C15)) >> word(44) if wide else (key * word(0x9E3779B1)) >> word(12)
-        return spread.astype(np.intp)
-
-    for _ in range(ROUNDS):
-        room = min(PER_ROUND, limit - symbol)
-        if len(seq) < 2 or room <= 0:
-            break
-        key = (seq[:-1] << shift) | seq[1:]
-        bins = bins_of(key)
-        shut = np.concatenate([ends[ends < len(key)], ends[ends > 0] - 1])  # pairs with an end id
-        shut = np.unique(shut)
-        bins[shut] = SHUT
-        counts = np.bincount(bins, minlength=SHUT + 1)[:SHUT]
-        bar = max(LEAST, int(np.partition(counts, -room)[-room]))
-        at = np.flatnonzero(np.append(counts >= bar, False)[bins])
-        if not len(at):
-            break
-        pairs, times = np.unique(key[at], return_counts=True)
-        best = np.lexsort((pairs, -times))[:room]
-        best = np.sort(pairs[best[times[best] >= LEAST]])
-        if not len(best):
-            break
-        at_bin = bins_of(best)
-        _, alone = np.unique(at_bin, return_index=True)  # pairs that share a bin wait for the next round
-        best, at_bin = best[alone], at_bin[alone]
-        nth_of = np.full(SHUT + 1, -1, np.int32)
-        nth_of[at_bin] = np.arange(len(best))
-        nth = nth_of[bins[at]]
-        hit = (best[nth] == key[at]) & (nth >= 0)
-        at, nth = at[hit], nth[hit]
+    symbol, bar, fresh = first, 0, 0
+    while len(seq) > 1:
+        if fresh:  # at the last bar only a pair with a symbol of the last round can be frequent
+            new = np.flatnonzero(seq >= fresh)
+            at = np.unique(np.concatenate([new - 1, new]))
+            at = at[(at >= 0) & (at < len(seq) - 1)]
+            shut = np.zeros(len(seq), bool)
+            shut[ends] = shut[ends[ends > 0] - 1] = True
+            at = at[~shut[at]]
+        else:
+            bins = (((seq[:-1] * np.uint32(0x9E3779B1)) ^ (seq[1:] * np.uint32(0x85EBCA6B))) >> np.uint32(32 - BIN_BITS)).astype(np.intp)
+            bins[ends[ends < len(bins)]] = bins[ends[ends > 0] - 1] = 1 << BIN_BITS  # pairs with an end id
+            counts = np.bincount(bins, minlength=(1 << BIN_BITS) + 1)
+            counts[-1] = 0
+            bar = max(least, bar // DOWN if bar else int(counts.max()) // 2)
+            at = np.flatnonzero((counts >= bar)[bins])
+        key = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
+        order = np.argsort(key)
+        key = key[order]
+        begin = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+        times = np.diff(np.append(begin, len(key)))
+        often = times >= bar
+        nth = np.empty(len(at), np.int64)
+        nth[order] = np.repeat(np.where(often, np.cumsum(often) - 1, -1), times)
+        pairs = key[begin[often]]
+        at, nth = at[nth >= 0], nth[nth >= 0]
         head = np.ones(len(at), bool)  # of overlapping pairs every second one is taken
         head[1:] = np.diff(at) != 1
-        order = np.arange(len(at))
-        take = (order - np.maximum.accumulate(np.where(head, order, 0))) % 2 == 0
+        place = np.arange(len(at))
+        take = (place - np.maximum.accumulate(np.where(head, place, 0))) % 2 == 0
         at, nth = at[take], nth[take]
-        seq[at] = nth.astype(seq.dtype) + word(symbol)
-        gone = at + 1
-        keep = np.ones(len(seq), bool)
-        keep[gone] = False
-        seq = seq[keep]
-        ends = ends - np.searchsorted(gone, ends)
-        rules.append(np.stack([best >> shift, best & mask], 1).astype("<u4"))
-        symbol += len(best)
+        pays = np.bincount(nth, minlength=len(pairs)) >= least
+        at, nth, pairs = at[pays[nth]], (np.cumsum(pays) - 1)[nth[pays[nth]]], pairs[pays]
+        if len(pairs):
+            seq[at] = nth.astype(np.uint32) + np.uint32(symbol)
+            keep = np.ones(len(seq), bool)
+            keep[at + 1] = False
+            seq = seq[keep]
+            ends = ends - np.searchsorted(at + 1, ends)
+            rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype("<u4"))
+        elif bar == least and not fresh:
+            break
+        fresh = symbol if bar == least and len(pairs) else 0  # the last look is at all pairs again
+        symbol += len(pairs)
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), "<u4"), ends
 
 
@@ -222,16 +320,17 @@ def pack(parts: list[bytes], first: int) -> bytes:
     for i, (a, b) in enumerate(rules.tolist(), first):
         spans[i] = spans[a] + spans[b]
     starts = np.concatenate([[0], ends + 1]).astype("<u4")
-    width = 2 if first + len(rules) <= 1 << 16 else 4
-    head = HEAD.pack(MAGIC, width, len(parts), first, len(rules), len(seq))
-    return b"".join([head, rules.tobytes(), spans[first:].tobytes(), starts.tobytes(), lengths.tobytes(), seq.astype(f"<u{width}").tobytes()])
+    bits = max(16, (first + len(rules) - 1).bit_length())
+    head = HEAD.pack(MAGIC, bits, len(parts), first, len(rules), len(seq))
+    high = [np.packbits((seq >> np.uint32(k)).astype(np.uint8) & np.uint8(1)).tobytes() for k in range(16, bits)]
+    return b"".join([head, rules.tobytes(), spans[first:].tobytes(), starts.tobytes(), lengths.tobytes(), seq.astype("<u2").tobytes(), *high])
 
 
 class Shard:
     """A shard's bytes, opened for reading."""
 
     def __init__(self, blob: bytes):
-        magic, width, self.docs, self.first, rules, symbols = HEAD.unpack_from(blob)
+        magic, bits, self.docs, self.first, rules, symbols = HEAD.unpack_from(blob)
         if magic != MAGIC:
             raise ValueError("not a token shard")
         at = HEAD.size
@@ -246,7 +345,10 @@ class Shard:
         self.spans = part("<u4", rules)
         self.starts = part("<u4", self.docs + 1)
         self.lengths = part("<u4", self.docs)
-        self.symbols = part(f"<u{width}", symbols)
+        self.symbols = part("<u2", symbols).astype(np.uint32)
+        for k in range(16, bits):
+            high = np.unpackbits(part("u1", -(-symbols // 8)), count=symbols)
+            self.symbols |= high.astype(np.uint32) << np.uint32(k)
         self._flat: tuple[np.ndarray, np.ndarray] | None = None
 
     def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
@@ -299,7 +401,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str =
     """
     id_type = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.repartitionByRange("id", F.length("text")).sortWithinPartitions("id", "text")
+    rows = rows.repartitionByRange("id", F.length("text")).sortWithinPartitions("id", F.length("text"), "text")
     out = T.StructType().add("part", "integer").add("nth", "integer").add("doc_ids", T.ArrayType(id_type)).add("n_ids", "long").add("shard", "binary")
     encoders: dict[str, Encoder] = {}
 
@@ -324,11 +426,10 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str =
                 names=["part", "nth", "doc_ids", "n_ids", "shard"],
             )
 
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             keys = batch.column("id")
-            texts = batch.column("text").fill_null("").to_pylist()
             from_row = 0
-            for i, x in enumerate(encoder.encode(texts)):
+            for i, x in enumerate(encoder.encode(as_bytes(batch.column("text")))):
                 parts.append(x + end)
                 held += len(x) // 4 + 1
                 if held >= shard_ids:
@@ -340,7 +441,6 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str =
                 ids.append(keys.slice(from_row))
         if parts:
             yield shard()
-        encoder.forget()
 
     return materialise(rows.mapInArrow(run, out), "token-shards")
 
