@@ -20,6 +20,11 @@ suffixes are thinned first without losing any repeat:
 4. An anchor with more than ``hot`` different segments is never gathered:
    each of its windows becomes a row, and rows are counted by their hashes.
 
+Copies of whole texts are counted before all else. A text that a thousandth
+of all rows or more are copies of is cut once, with its number of copies, and
+its rows, all of which are repeated from end to end, never meet in one task;
+there are a thousand such texts at most, whatever the size of the corpus.
+
 Matches never cross documents. Texts are known by 96 bits of hashes, segments
 and windows by 128.
 
@@ -41,13 +46,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, materialise, slices, small
+from .common import as_bytes, materialise, slices
 
 SPAN, GRAM = 400, 100
 #: Different segments of an anchor up to which they are sorted together.
 HOT = 4000
 #: Suffixes of a merge bucket, about.
-BUCKET = 20_000
+BUCKET = 4000
+#: A text counts as frequent if this number times its copies is all rows or more.
+OFTEN = 1000
 #: Bytes of a text that are hashed at once.
 PIECE = 1 << 22
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -124,11 +131,12 @@ SEGMENT = (("anchor", "long"), ("h1", "long"), ("h2", "long"), ("start", "intege
 
 
 def cut(rows: DataFrame, full: bool, span: int, gram: int) -> DataFrame:
-    """Segments of every text: (t1, t2) naming the text, and those of ``segments``; or distinct anchors per text alone."""
+    """Segments of rows (t1, t2, text, n): (t1, t2) naming the text, those of ``segments``, and n copies; or anchors and n alone."""
+    fields = SEGMENT if full else SEGMENT[:1]
     schema = T.StructType()
     if full:
         schema.add("t1", "long").add("t2", "integer")
-    for name, kind in SEGMENT if full else SEGMENT[:1]:
+    for name, kind in (*fields, ("n", "long")):
         schema.add(name, kind)
     types = {"long": np.int64, "integer": np.int32}
 
@@ -143,11 +151,10 @@ def cut(rows: DataFrame, full: bool, span: int, gram: int) -> DataFrame:
             if not found:
                 continue
             columns = [np.concatenate(x) for x in zip(*found, strict=True)]
-            arrays = [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(types[kind])) for c, (_, kind) in zip(columns, SEGMENT, strict=False)]
-            if full:
-                at = pa.array(np.concatenate(nth))
-                arrays = [batch.column("t1").take(at), batch.column("t2").take(at), *arrays]
-            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+            at = pa.array(np.concatenate(nth))
+            arrays = [batch.column(n).take(at) for n in (("t1", "t2") if full else ())]
+            arrays += [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(types[kind])) for c, (_, kind) in zip(columns, fields, strict=True)]
+            yield pa.RecordBatch.from_arrays([*arrays, batch.column("n").take(at)], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -334,23 +341,18 @@ def single_windows(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.
 
 def wanted_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """One row (t1, t2, text, wanted) for each text with wanted segments, however many copies of it there are."""
-    wanted = wanted.filter(F.size("wanted") > 0)
-    named = wanted.select("t1", "t2")
-    few = small(named)
-    if few is not named:  # otherwise this would deal out all copies of a text to one task
-        rows = rows.join(few, ["t1", "t2"], "left_semi")
-    # copies go within each task first, so a task gets no more of them than there are tasks before it
-    return rows.groupBy("t1", "t2").agg(F.first("text").alias("text")).join(wanted, ["t1", "t2"]).select("t1", "t2", "text", "wanted")
+    both = rows.join(wanted.filter(F.size("wanted") > 0), ["t1", "t2"])
+    return both.groupBy("t1", "t2").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))  # where the join has put them
 
 
 def covered(rows: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """Ranges of texts (t1, t2) that are covered by repeated strings: rows (t1, t2, lo, hi), overlapping ones included."""
-    anchors = cut(rows, False, span, gram).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    """Ranges of texts (t1, t2, text, n: copies that the row stands for) that are covered by repeated strings: rows (t1, t2, lo, hi), overlapping ones included."""
+    anchors = cut(rows, False, span, gram).groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
     anchors = materialise(anchors, "anchors")
     found = materialise(cut(rows, True, span, gram).join(anchors, "anchor", "left_semi"), "segments")
     key = ["anchor", "h1", "h2"]
     one = F.min(F.struct("t1", "t2", "start", "count", "offset")).alias("one")
-    distinct = materialise(found.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), one), "distinct-segments")
+    distinct = materialise(found.groupBy(*key).agg(F.sum("n").alias("n"), one), "distinct-segments")
     repeated = distinct.filter("n > 1").select(*key)
     whole = found.join(repeated, key, "left_semi").select("t1", "t2", F.col("start").alias("lo"), (F.col("start") + F.col("count") - 1 + span).cast("int").alias("hi")).distinct()
     several = materialise(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "anchors")
@@ -387,9 +389,18 @@ def with_ranges(docs: DataFrame, span: int, gram: int, hot: int = HOT) -> DataFr
     """Texts (doc_id, text) with their covered ranges."""
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumns({"t1": F.xxhash64("text"), "t2": F.hash("text")})
-    ranges = covered(rows.filter(F.octet_length("text") >= span).drop("doc_id"), span, gram, hot)
-    ranges = ranges.groupBy("t1", "t2").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
-    return rows.join(ranges, ["t1", "t2"], "left").select("doc_id", "text", "ranges")
+    long = F.octet_length("text") >= span
+    copies = materialise(rows.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("n")), "copies")
+    total = copies.agg(F.sum("n")).first()[0] or 0
+    often = F.broadcast(copies.filter((F.col("n") > 1) & (F.col("n") * OFTEN >= total)))  # OFTEN rows at most
+    once = rows.filter(long).join(often, ["t1", "t2"]).groupBy("t1", "t2").agg(F.first("text").alias("text"), F.first("n").alias("n"))
+    once = materialise(once, "often")
+    seldom = rows.join(often, ["t1", "t2"], "left_anti")
+    cut_rows = seldom.filter(long).select("t1", "t2", "text", F.lit(1).cast("long").alias("n")).unionByName(once)
+    ranges = covered(cut_rows, span, gram, hot).groupBy("t1", "t2").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    found = seldom.join(ranges, ["t1", "t2"], "left").select("doc_id", "text", "ranges")
+    every = F.when(long, F.array(F.struct(F.lit(0).alias("lo"), F.octet_length("text").alias("hi"))))
+    return found.unionByName(rows.join(often, ["t1", "t2"], "left_semi").select("doc_id", "text", every.alias("ranges")))
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT) -> DataFrame:

@@ -5,16 +5,15 @@ import uuid
 
 import pytest
 
-from tessera.llm import common, repeats
+from tessera.llm import repeats
 
 
 @pytest.mark.parametrize("hot", [4000, 1])
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_copies_are_sorted_once(spark, tmp_path, monkeypatch, hot, broadcast):
+@pytest.mark.parametrize("often", [1000, 1])
+def test_copies_are_sorted_once(spark, tmp_path, monkeypatch, hot, often):
     name, folder = ("sorted_runs" if hot > 1 else "single_windows"), str(tmp_path)
     inner = getattr(repeats, name)
-    if not broadcast:
-        monkeypatch.setattr(repeats, "small", lambda df: common.small(df, 0))
+    monkeypatch.setattr(repeats, "OFTEN", often)
 
     def counted(batches, **more):
         def seen():
