@@ -158,35 +158,6 @@ def test_tokens(spark, texts):
     assert got == want
 
 
-def test_decontamination(spark):
-    rng = random.Random(4)
-    items = [words(rng, rng.randint(6, 60)) for _ in range(40)] + ["a b", "", None]
-    made = [words(rng, rng.randint(0, 400)) for _ in range(60)]
-    for k in range(0, 60, 3):
-        w = items[k % 40].split()
-        w[rng.randrange(len(w))] = rng.choice([w[0], "zz"])
-        at = rng.randrange(len(made[k].split()) + 1)
-        made[k] = " ".join([*made[k].split()[:at], *(x.upper() for x in w), *made[k].split()[at:]])
-    df = docs(spark, [*ODD, *made])
-    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    index = decontam.build([(i, x) for i, x in enumerate(items) if x])
-    want = set()
-    for d, t in enumerate([*ODD, *made]):
-        w = decontam.words_of(t or "")
-        for p in range(0, max(1, len(w)), index.stride):
-            part = w[p : p + 2 * index.stride]
-            for nth, i in enumerate(index.ids):
-                s = index.shingles[nth]
-                n = len(next(iter(s)))
-                own = set(zip(*(part[k:] for k in range(n))))
-                if len(s & own) / len(s) >= 0.8:
-                    want.add((d, i))
-    got = {(r.doc_id, r.item_id) for r in decontam.leaks(df, bench).collect()}
-    assert got == want and len(got) >= 10
-    assert {(r.doc_id, r.item_id) for r in decontam.leaks(df, bench, group=10).filter("overlap >= 1").collect()} <= got
-    assert {r.doc_id for r in decontam.without_leaks(df, bench).collect()} == set(range(len(ODD) + 60)) - {d for d, _ in want}
-
-
 def test_secrets(spark):
     live, shared = "Zx9" + "aB3dE6gH8jK1mN4pQ7", "Yw8" + "cD2fG5hJ7kL9nP3rS6"
     texts = [f"password = 'abc123def' {live}", "secret: token: abcdefgh", f"AKIA{'A1' * 8} {shared}", f"{'0a' * 12} {shared}", "API-KEY=short", "apikey:x.y=z/0 é token=\"éa\"", None]
