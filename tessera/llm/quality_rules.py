@@ -8,10 +8,13 @@ factor. Fences follow from the quartiles (the upper one plus a multiple of
 their distance, the lower one minus it), are joined back to the documents and
 take the place of fixed cutoffs.
 
+Quartiles of a group are shrunk towards those of all documents, as if
+``prior`` more documents lay there, so a small group follows the others and a
+large one itself.
+
 Cases: a null text counts as empty and fails the base rules (no words); null
-languages and sources are groups of their own; in a group of few documents
-(``least`` or fewer) the fences of all documents hold; ties and repeated rows
-are judged alike; an empty table gives no rows.
+languages and sources are groups of their own; ties and repeated rows are
+judged alike; an empty table gives no rows; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ SYMBOLS = b"#*$%&|<>"
 GROWTH, UNIT = 1.05, 1e-3
 #: A fence stands so many quartile distances from its quartile.
 REACH = 6.0
+#: Documents that the quartiles of all documents count for in each group.
+PRIOR = 50
 #: Ratios that are judged: (name, numerator, denominator, least distance of quartiles, with a lower fence).
 RATIOS = (
     ("word_length", "word_chars", "n_words", 0.5, True),
@@ -97,9 +102,9 @@ def counts(texts: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
-def with_counts(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """``docs`` with the counts of each whole text, in columns named ``prefix`` and the count."""
-    schema = plus(docs.schema, *((prefix + name, "long") for name in COUNTS))
+def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with the counts of each whole text."""
+    schema = plus(docs.schema, *((name, "long") for name in COUNTS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
@@ -109,9 +114,9 @@ def with_counts(docs: DataFrame, text_col: str = "text", prefix: str = "") -> Da
     return docs.mapInArrow(run, schema)
 
 
-def base_failed(prefix: str = "") -> Column:
+def base_failed() -> Column:
     """The rules that hold everywhere: under 20 words, or over 30 % of words in repeated windows."""
-    n, r = F.col(prefix + "n_words"), F.col(prefix + "n_repeat_words")
+    n, r = F.col("n_words"), F.col("n_repeat_words")
     return (n < 20) | (100 * r > 30 * n)
 
 
@@ -138,16 +143,17 @@ def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return ranked.groupBy(*keys, "rule").agg(F.max("size").alias("size"), middle(at(0.25)).alias("low"), middle(at(0.75)).alias("high"))
 
 
-def fences(counted: DataFrame, prefix: str = "", reach: float = REACH, least: int = 50) -> DataFrame:
+def fences(counted: DataFrame, reach: float = REACH, prior: float = PRIOR) -> DataFrame:
     """Fences by language and source: rows (lang, source, and for each ratio lo_ and hi_)."""
-    pairs = [F.struct(F.lit(name).alias("rule"), bucket(F.try_divide(F.col(prefix + a), F.col(prefix + b))).alias("bucket")) for name, a, b, *_ in RATIOS]
-    long = counted.filter(~base_failed(prefix)).select("lang", "source", F.explode(F.array(*pairs)).alias("x")).select("lang", "source", "x.*")
-    by_group = materialise(sketches(long, ["lang", "source"]), "sketches")
+    pairs = [F.struct(F.lit(name).alias("rule"), bucket(F.try_divide(F.col(a), F.col(b))).alias("bucket")) for name, a, b, *_ in RATIOS]
+    long = counted.filter(~base_failed()).select("lang", "source", F.explode(F.array(*pairs)).alias("x")).select("lang", "source", "x.*")
+    # a ratio without a value, as that of lines of a text without lines, is not in its sketch
+    by_group = materialise(sketches(long.filter("bucket is not null"), ["lang", "source"]), "sketches")
     merged = by_group.groupBy("rule", "bucket").agg(F.sum("n").alias("n"))
     every = quartiles(merged, []).select("rule", F.col("low").alias("all_low"), F.col("high").alias("all_high"))
     own = quartiles(by_group, ["lang", "source"]).join(F.broadcast(every), "rule")  # one row per rule
-    few = F.col("size") <= least
-    own = own.withColumn("low", F.when(few, F.col("all_low")).otherwise(F.col("low"))).withColumn("high", F.when(few, F.col("all_high")).otherwise(F.col("high")))
+    shrunk = lambda q: (F.col(q) * F.col("size") + F.col(f"all_{q}") * prior) / (F.col("size") + prior)
+    own = own.withColumns({"low": shrunk("low"), "high": shrunk("high")})
     out = []
     for name, _, _, distance, lower in RATIOS:
         apart = F.greatest(F.col("high") - F.col("low"), F.lit(distance)) * F.lit(reach)
@@ -158,30 +164,37 @@ def fences(counted: DataFrame, prefix: str = "", reach: float = REACH, least: in
     return own.groupBy("lang", "source").agg(*out)
 
 
-def judged(counted: DataFrame, limits: DataFrame, prefix: str = "") -> DataFrame:
-    """Counted documents with base_failed, failed_rules (names of the ratios beyond a fence) and kept; other columns unchanged."""
-    limits = limits.withColumnsRenamed({"lang": "_lang_", "source": "_source_"})
-    same = F.col("lang").eqNullSafe(F.col("_lang_")) & F.col("source").eqNullSafe(F.col("_source_"))
-    joined = counted.join(limits, same, "left")
+def judged(counted: DataFrame, limits: DataFrame) -> DataFrame:
+    """Counted documents (lang, source, the counts, others) with base_failed, failed_rules (names of the ratios beyond a fence) and kept."""
+    names = [f"{side}_{r[0]}" for r in RATIOS for side in ("hi", "lo")]
+    limits = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *names)
+    joined = counted.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     broken = []
     for name, a, b, _, _ in RATIOS:
-        value = F.try_divide(F.col(prefix + a), F.col(prefix + b))
+        value = F.try_divide(F.col(a), F.col(b))
         broken.append(F.when((value > F.col(f"hi_{name}")) | (value < F.col(f"lo_{name}")), F.lit(name)))
-    joined = joined.withColumn(prefix + "failed_rules", F.array_compact(F.array(*broken))).withColumn(prefix + "base_failed", base_failed(prefix))
-    joined = joined.withColumn(prefix + "kept", ~F.col(prefix + "base_failed") & (F.size(prefix + "failed_rules") == 0))
-    return joined.drop("_lang_", "_source_", *(f"{side}_{r[0]}" for r in RATIOS for side in ("hi", "lo")))
+    joined = joined.withColumn("failed_rules", F.array_compact(F.array(*broken))).withColumn("base_failed", base_failed())
+    return joined.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("_lang", "_source", *names)
 
 
 def quality_rules(docs: DataFrame, reach: float = REACH) -> DataFrame:
     """The verdict on each document: doc_id, the counts, base_failed, kept, failed_rules."""
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     counted = materialise(with_counts(rows).drop("text"), "counts")
-    limits = small(materialise(fences(counted, reach=reach), "fences"))
+    limits = small(materialise(fences(counted, reach), "fences"))
     return judged(counted, limits).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
 
 
 def kept(docs: DataFrame, reach: float = REACH) -> DataFrame:
-    """The rows of ``docs`` that are kept. Fences and verdicts each take a pass over the texts; nothing but sketches is shuffled."""
-    slim = with_counts(docs.select("lang", "source", "text"), prefix="_").drop("text")
-    limits = small(materialise(fences(slim, "_", reach), "fences"))
-    return judged(with_counts(docs, prefix="_"), limits, "_").filter("_kept").select(*docs.columns)
+    """The rows of ``docs`` that are kept.
+
+    Fences and verdicts each take a pass over the texts; nothing but sketches
+    is shuffled or written, so counting twice takes the place of writing or
+    shuffling every text once more.
+    """
+    slim = with_counts(docs.select(F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))).drop("text")
+    limits = small(materialise(fences(slim, reach), "fences"))
+    names = [f"c{k}" for k in range(len(docs.columns))]  # so that no column has a name that is used here
+    at = {n: names[docs.columns.index(n)] for n in ("lang", "source", "text")}
+    rows = with_counts(docs.toDF(*names).withColumns({n: F.col(at[n]).cast("string") for n in ("lang", "source")}), at["text"])
+    return judged(rows, limits).filter("kept").select(*names).toDF(*docs.columns)
