@@ -1,15 +1,18 @@
 """URL filters: rules first, then empirical-Bayes reputation of hosts.
 
 Labelled outcomes of pages (1 good, 0 bad) are counted per host, registered
-domain (the last two labels) and suffix (the last label). Each level's rate of
-bad pages is shrunk to the level above by a beta-binomial prior whose strength
-comes from how much the rates of that level differ (method of moments). A host
-is blocked if the lower posterior bound of its rate of bad pages lies above
-``limit``; hosts without labels inherit their domain's, suffix's or overall
-rate and its prior.
+domain and suffix. A suffix is the last label of a host, or one of the longer
+``SUFFIXES``; the registered domain is the suffix with one more label. Each
+level's rate of bad pages is shrunk to the level above by a beta-binomial prior
+whose strength comes from how much the rates of that level differ (method of
+moments). A host is blocked if the lower posterior bound of its rate of bad
+pages lies above ``limit``, by default the rate of all labelled pages: that is
+a host which is worse than the others beyond chance. Hosts without labels
+inherit their domain's, suffix's or overall rate and its prior.
 
 Counts are partial aggregates, so a host with a third of all pages is one row
-per task; only rows per host are joined back.
+per task. Hosts of a thousandth of all pages or more, a thousand at most, are
+joined to their pages by broadcast, all others by a shuffle.
 
 Cases: a null url, or one without ``://``, has empty host and path and is
 judged by the overall rate; labels that are null are no outcome; repeated
@@ -36,8 +39,16 @@ RULES = (
 )
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Bad pages a host may have, as the lower bound of its rate; how many deviations the bound is off.
-LIMIT, DEVIATIONS = 0.5, 1.645
+#: Suffixes of two labels under which domains are registered.
+SUFFIXES = (
+    "ac.jp ac.nz ac.uk ac.za co.id co.il co.in co.jp co.kr co.nz co.th co.uk co.za com.ar com.au com.br com.cn com.co com.hk com.mx com.my com.pe com.ph com.pl "
+    "com.sg com.tr com.tw com.ua com.ve com.vn edu.au edu.br edu.cn edu.tw go.jp gov.au gov.br gov.cn gov.in gov.uk ne.jp net.au net.br net.cn net.nz net.uk "
+    "nhs.uk or.jp or.kr org.au org.br org.cn org.nz org.tw org.uk org.za"
+).split()
+#: How many deviations the bound of a rate is off.
+DEVIATIONS = 1.645
+#: A host counts as frequent if this number times its pages is all pages or more.
+OFTEN = 1000
 #: Bounds of the strength of a prior, in pages.
 WEAKEST, STRONGEST = 2.0, 1000.0
 
@@ -59,6 +70,16 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
     return rule, verdict
 
 
+def suffix_of(host: Column, suffixes: Sequence[str]) -> Column:
+    last = F.substring_index(host, ".", -2)
+    return F.when(last.isin(*suffixes), last).otherwise(F.substring_index(host, ".", -1))
+
+
+def domain_of(host: Column, suffixes: Sequence[str]) -> Column:
+    long = F.substring_index(host, ".", -2).isin(*suffixes)
+    return F.when(long, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+
+
 def strength(counts: DataFrame) -> DataFrame:
     """One row: the overall rate and the strength of the prior for rates in ``counts`` (n, bad)."""
     total = counts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("k"), F.sum(F.col("bad") * F.col("bad") / F.col("n")).alias("xx"))
@@ -70,40 +91,44 @@ def strength(counts: DataFrame) -> DataFrame:
     return total.select(F.coalesce(rate, F.lit(0.0)).alias("rate"), F.least(F.greatest(F.coalesce(raw, F.lit(STRONGEST)), F.lit(WEAKEST)), F.lit(STRONGEST)).alias("kappa"))
 
 
-def reputation(labelled: DataFrame, hosts: DataFrame, limit: float = LIMIT, deviations: float = DEVIATIONS) -> DataFrame:
-    """Verdicts by host: (host, bad_rate, bound, verdict) for all ``hosts``, from labelled outcomes (host, good)."""
-    domain = F.substring_index("host", ".", -2)
-    suffix = F.substring_index("host", ".", -1)
+def reputation(labelled: DataFrame, hosts: DataFrame, limit: float | None = None, deviations: float = DEVIATIONS, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
+    """Verdicts by host: ``hosts`` (host, ...) with bad_rate, bound and by_host, from labelled outcomes (host, good)."""
+    levels = {"domain": domain_of(F.col("host"), suffixes), "suffix": suffix_of(F.col("host"), suffixes)}
     own = labelled.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(1 - F.col("good")).alias("bad"))
-    own = materialise(own.withColumn("domain", domain).withColumn("suffix", suffix), "host-outcomes")
+    own = materialise(own.withColumns(levels), "host-outcomes")
     domains = own.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = own.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    priors = [materialise(strength(x), "prior").first() for x in (suffixes, domains, own)]  # a row each
+    suffix_counts = own.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    priors = [materialise(strength(x), "prior").first() for x in (suffix_counts, domains, own)]  # a row each
     top = priors[0].rate
     shrunk = lambda up, k: (F.coalesce(F.col("bad"), F.lit(0)) + k * up) / (F.coalesce(F.col("n"), F.lit(0)) + k)
-    suffixes = suffixes.select("suffix", shrunk(F.lit(top), priors[0].kappa).alias("suffix_rate"))
-    domains = domains.join(small(suffixes), "suffix").select("domain", shrunk(F.col("suffix_rate"), priors[1].kappa).alias("domain_rate"))
-    rows = hosts.select("host").distinct().withColumn("domain", domain).withColumn("suffix", suffix)
-    rows = rows.join(own.select("host", "n", "bad"), "host", "left").join(domains, "domain", "left").join(suffixes, "suffix", "left")
+    by_suffix = suffix_counts.select("suffix", shrunk(F.lit(top), priors[0].kappa).alias("suffix_rate"))
+    domains = domains.join(small(by_suffix), "suffix").select("domain", shrunk(F.col("suffix_rate"), priors[1].kappa).alias("domain_rate"))
+    rows = hosts.withColumns(levels).join(own.select("host", "n", "bad"), "host", "left").join(domains, "domain", "left").join(small(by_suffix), "suffix", "left")
     prior = F.coalesce("domain_rate", "suffix_rate", F.lit(top))
     kappa = priors[2].kappa
     size = F.coalesce(F.col("n"), F.lit(0)) + kappa
     rows = rows.withColumn("bad_rate", shrunk(prior, kappa))
     bound = F.col("bad_rate") - deviations * F.sqrt(F.col("bad_rate") * (1 - F.col("bad_rate")) / (size + 1))
-    return rows.withColumn("bound", bound).select("host", "bad_rate", "bound", F.when(F.col("bound") > limit, "block").otherwise("allow").alias("by_host"))
+    verdict = F.when(F.col("bound") > (top if limit is None else limit), "block").otherwise("allow")
+    return rows.withColumn("bound", bound).select(*hosts.columns, "bad_rate", "bound", verdict.alias("by_host"))
 
 
-def url_filter(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, limit: float = LIMIT) -> DataFrame:
+def url_filter(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, limit: float | None = None) -> DataFrame:
     """The verdict on each page: page_id, host, path, rule, verdict. ``labels`` holds (doc_id, quality) of pages by their id."""
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     outcomes = labels.filter("quality is not null").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
     labelled = rows.select("page_id", "host").join(outcomes, "page_id")
-    hosts = small(materialise(reputation(labelled, rows, limit).select("host", "by_host"), "hosts"))
+    counts = materialise(rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "hosts")
+    total = counts.agg(F.sum("pages")).first()[0] or 0
+    hosts = materialise(reputation(labelled, counts, limit).select("host", "pages", "by_host"), "reputation")
+    often = F.broadcast(hosts.filter(F.col("pages") * OFTEN >= total).select("host", "by_host"))  # OFTEN rows at most
+    seldom = rows.join(often, "host", "left_anti").join(hosts.select("host", "by_host"), "host", "left")
+    found = rows.join(often, "host").unionByName(seldom)
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    return rows.join(hosts, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, "by_host").alias("verdict"))
+    return found.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, "by_host").alias("verdict"))
 
 
-def oracle(rules: Sequence[tuple[str, str, str]] = RULES) -> str:
+def oracle(rules: Sequence[tuple[str, str, str]] = RULES, suffixes: Sequence[str] = SUFFIXES) -> str:
     """The same as DuckDB SQL."""
     cases = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[0] != "block"))
     fits = [(f"(host = '{h}' OR suffix(host, '.{h}')) AND prefix(path, '{p}')", h + p, v) for v, h, p in cases]
@@ -114,18 +139,20 @@ def oracle(rules: Sequence[tuple[str, str, str]] = RULES) -> str:
         f"SELECT rate, least(greatest(CASE WHEN extra > 0 THEN rate * (1 - rate) / extra ELSE {STRONGEST} END, {WEAKEST}), {STRONGEST}) AS kappa FROM ("
         f"SELECT sum(bad) / sum(n) AS rate, sum(bad * bad / n) / sum(n) - rate * rate - rate * (1 - rate) * count(*) / sum(n) AS extra FROM {t})"
     )
+    listed = ", ".join(f"'{x}'" for x in suffixes)
     return f"""
 WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{URL}', 1), '{UPPER}', '{LOWER}') AS host,
                   regexp_extract(coalesce(url, ''), '{URL}', 2) AS path FROM pages),
-parts AS (SELECT DISTINCT host, string_split(host, '.')[-1] AS suffix, array_to_string(string_split(host, '.')[-2:], '.') AS domain FROM u),
+labels_of AS (SELECT host, labels, CASE WHEN array_to_string(labels[-2:], '.') IN ({listed}) THEN 2 ELSE 1 END AS k FROM (SELECT DISTINCT host, string_split(host, '.') AS labels FROM u)),
+parts AS (SELECT host, array_to_string(labels[-k:], '.') AS suffix, array_to_string(labels[-(k + 1):], '.') AS domain FROM labels_of),
 own AS (SELECT host, domain, suffix, count(*)::DOUBLE AS n, sum(1 - quality)::DOUBLE AS bad FROM u JOIN labels ON doc_id = page_id JOIN parts USING (host)
         WHERE quality IS NOT NULL GROUP BY ALL),
 dom AS ({level("own", "domain, suffix")}), suf AS ({level("own", "suffix")}),
 ps AS ({moments("suf")}), pd AS ({moments("dom")}), ph AS ({moments("own")}),
 sr AS (SELECT suffix, (bad + ps.kappa * ps.rate) / (n + ps.kappa) AS suffix_rate FROM suf, ps),
 dr AS (SELECT domain, (bad + pd.kappa * suffix_rate) / (n + pd.kappa) AS domain_rate FROM dom JOIN sr USING (suffix), pd),
-hr AS (SELECT host, (coalesce(bad, 0) + ph.kappa * coalesce(domain_rate, suffix_rate, ps.rate)) / (coalesce(n, 0) + ph.kappa) AS r, coalesce(n, 0) + ph.kappa AS size
+hr AS (SELECT host, (coalesce(bad, 0) + ph.kappa * coalesce(domain_rate, suffix_rate, ps.rate)) / (coalesce(n, 0) + ph.kappa) AS r, coalesce(n, 0) + ph.kappa AS size, coalesce(ps.rate, 0) AS top
        FROM parts LEFT JOIN (SELECT host, n, bad FROM own) USING (host) LEFT JOIN dr USING (domain) LEFT JOIN sr USING (suffix), ph, ps)
 SELECT page_id, host, path, {rule} AS rule,
-       coalesce({verdict}, CASE WHEN r - {DEVIATIONS} * sqrt(r * (1 - r) / (size + 1)) > {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce({verdict}, CASE WHEN r - {DEVIATIONS} * sqrt(r * (1 - r) / (size + 1)) > top THEN 'block' ELSE 'allow' END) AS verdict
 FROM u JOIN hr USING (host)"""
