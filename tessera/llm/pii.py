@@ -1,19 +1,24 @@
 """Personal data: patterns first, then a linear-chain conditional random field.
 
 The field labels words with O or with the begin and inside of a kind. Its
-features are word shapes: the shape of a word, of its neighbours, how many
-digits and which marks it has. Only words that hold a digit, ``@`` or ``+``
-may carry a label other than O; all other words are fixed to O, which cuts a
-text into short chains that are decoded by Viterbi in numpy, many at a time.
-
-It is trained from a small labelled table: chains of at most ``SAMPLE``
-documents (those with the smallest hashes), labelled by the patterns. What it
-adds beyond the patterns, such as a phone number without its plus sign, is kept
-if it touches no base span and passes the exact check of its kind.
-
-Cases: a null text is empty and has no spans; with no labelled chain nothing
-is added; repeated rows get equal spans; an empty table gives no rows; other
-columns are ignored. Positions are code points, ends exclusive.
+features are word shapes: the shape of a word in full and with runs written
+once, those of its neighbours, how many digits and which marks it has. Only
+words that hold a digit, ``@`` or ``+`` may carry a label other than O; all
+other words are fixed to O, which cuts a text into short chains that are
+decoded by Viterbi in numpy, many at a time.
+
+It is trained from a small labelled table that is written by hand and knows
+nothing of the patterns: lines with tags around personal data. Another table
+may take its place; at most ``LINES`` lines of it count. What the field finds
+beyond the patterns, such as a phone number without its country code, a host
+without a dot, an address of the newer kind, or a number that the patterns
+lose as it runs into the next, is added if it touches no base span and is
+plausible: 7 to 15 digits of a phone number, a card's checksum, something on
+either side of an ``@``.
+
+Cases: a null text is empty and has no spans; with an empty labelled table
+nothing is added; repeated rows get equal spans; an empty table gives no rows;
+other columns are ignored. Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import slices
+from .pii_table import LABELLED
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, *("crf_" + k for k in BASE))
@@ -43,10 +49,11 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 MARKED = re.compile(r"[0-9@+]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LABELS = ("O", *(f"{p}-{k}" for k in BASE for p in "BI"))
-#: Documents that the labelled table is made from, at most; chains and words of a chain in training.
-SAMPLE, CHAINS, CHAIN_WORDS = 4000, 20_000, 16
-BUCKETS = 1 << 12
-STEPS, STEP, DECAY = 80, 0.3, 1e-3
+TAG = re.compile("<(/?)(" + "|".join(BASE) + ")>")
+#: Lines of the labelled table that count.
+LINES = 10_000
+BUCKETS = 1 << 13
+STEPS, STEP, DECAY = 150, 0.3, 0.02
 
 
 def luhn(digits: str) -> bool:
@@ -135,22 +142,27 @@ def bucket(name: str) -> int:
     return int.from_bytes(hashlib.blake2b(name.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little") % BUCKETS
 
 
+def full_shape(word: str) -> str:
+    """Letters as x or X, digits as d, one for one; long words are cut."""
+    return "".join("d" if "0" <= c <= "9" else "X" if c.isupper() else "x" if c.isalpha() else c for c in word[:24])
+
+
 def features(chain: Chain) -> list[list[int]]:
     """Weights' places for each word of a chain."""
-    shapes = [shape(w) for w in chain.words]
-    sides = [shape(chain.before)[:2] and "w", *shapes, shape(chain.after)[:2] and "w"]
+    shapes, full = [shape(w) for w in chain.words], [full_shape(w.rstrip(".,;:!?")) for w in chain.words]
+    sides = [shape(chain.before)[:2] and "w", *full, shape(chain.after)[:2] and "w"]
     out = []
     for k, word in enumerate(chain.words):
         digits = sum("0" <= c <= "9" for c in word)
         names = (
-            f"s{shapes[k]}", f"p{sides[k]}", f"n{sides[k + 2]}", f"sn{shapes[k]}|{sides[k + 2]}", f"ps{sides[k]}|{shapes[k]}",
-            f"d{min(digits, 20)}", f"a{'@' in word}{word[:1] == '+'}{word.count('.')}", f"l{min(len(word), 30) // 3}",
+            f"s{shapes[k]}", f"f{full[k]}", f"p{sides[k]}", f"n{sides[k + 2]}", f"sn{full[k]}|{sides[k + 2]}", f"ps{sides[k]}|{full[k]}",
+            f"d{min(digits, 20)}", f"a{'@' in word}{word[:1] == '+'}{word.count('.')}{min(word.count(':'), 2)}", f"l{min(len(word), 30) // 3}",
         )
         out.append([bucket(n) for n in names])
     return out
 
 
-N_FEATURES = 8
+N_FEATURES = 9
 
 
 @dataclass
@@ -233,9 +245,18 @@ def padded(found: list[Chain]) -> tuple[np.ndarray, np.ndarray]:
     return x, lengths
 
 
-def labelled(text: str) -> list[tuple[Chain, list[int]]]:
-    """Chains of a text with the labels that its base spans give."""
-    spans = base_spans(text)
+def labelled(line: str) -> list[tuple[Chain, list[int]]]:
+    """Chains of a line of the labelled table with their labels."""
+    text, spans, opened = "", [], 0
+    at = 0
+    for m in TAG.finditer(line):
+        text += line[at : m.start()]
+        at = m.end()
+        if m[1]:
+            spans.append((opened, len(text), m[2]))
+        else:
+            opened = len(text)
+    text += line[at:]
     out = []
     for c in chains(text):
         y = []
@@ -246,26 +267,12 @@ def labelled(text: str) -> list[tuple[Chain, list[int]]]:
     return out
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """The field, from the labelled chains of at most ``sample`` documents that have marked words."""
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").rlike(MARKED.pattern))
-    ids = texts.select("doc_id", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(sample)
-    out = T.StructType().add("h", "long").add("x", T.ArrayType(T.IntegerType())).add("y", T.ArrayType(T.IntegerType()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            rows = [(h, c, y) for h, t in zip(batch.column("h").to_pylist(), batch.column("text").to_pylist(), strict=True) for c, y in labelled(t) if len(y) <= CHAIN_WORDS]
-            x = [[f for w in features(c) for f in w] for _, c, _ in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(x, pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.list_(pa.int32()))], names=out.names)
-
-    chosen = texts.join(F.broadcast(ids.select("doc_id", "h")), "doc_id").filter(F.xxhash64("doc_id", "text") == F.col("h"))  # bounded by sample
-    table = chosen.select("h", "text").mapInArrow(run, out).orderBy("h", "x").limit(CHAINS).toArrow()
-    ys = table.column("y").to_pylist()
-    lengths = np.array([len(y) for y in ys], np.int64)
-    x = np.zeros((len(ys), int(lengths.max(initial=1)), N_FEATURES), np.int64)
+def train(lines: Sequence[str]) -> Field:
+    """The field, from lines with tags."""
+    found = [x for line in lines for x in labelled(line)]
+    x, lengths = padded([c for c, _ in found])
     y = np.zeros(x.shape[:2], np.int64)
-    for k, (fs, own) in enumerate(zip(table.column("x").to_pylist(), ys, strict=True)):
-        x[k, : len(own)] = np.array(fs).reshape(-1, N_FEATURES)
+    for k, (_, own) in enumerate(found):
         y[k, : len(own)] = own
     return fit(x, y, lengths)
 
@@ -287,11 +294,12 @@ def decode(field: Field, found: list[Chain]) -> list[np.ndarray]:
     return out
 
 
+#: What the field finds must be plausible.
 CHECKS = {
-    "email": lambda t: re.fullmatch(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", t) is not None,
-    "ip": lambda t: re.fullmatch(r"[0-9]+(?:\.[0-9]+){3}", t) is not None and is_ip(t),
-    "card": is_card,
-    "phone": is_phone,
+    "email": lambda t: re.fullmatch(r"[^@\s]+@[^@\s]+", t) is not None,
+    "ip": lambda t: re.fullmatch(r"[0-9]+(?:\.[0-9]+){3}", t) is not None and is_ip(t) or re.fullmatch(r"(?=.*:.*:)[0-9a-fA-F:]{3,39}", t) is not None,
+    "card": lambda t: 13 <= sum("0" <= c <= "9" for c in t) <= 19 and luhn(re.sub(r"[^0-9]", "", t)),
+    "phone": lambda t: 7 <= sum("0" <= c <= "9" for c in t) <= 15,
 }
 
 
@@ -336,9 +344,10 @@ def label(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
 
-def personal_data(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Personal data by document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added."""
-    field = docs.sparkSession.sparkContext.broadcast(train(docs, sample))
+def personal_data(docs: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    """Personal data by document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added; ``table`` holds labelled lines (line)."""
+    lines = LABELLED if table is None else [r.line for r in table.filter("line is not null").orderBy("line").limit(LINES).collect()]
+    field = docs.sparkSession.sparkContext.broadcast(train(lines))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     schema = T.StructType([docs.schema["doc_id"]])
     for k in BASE:

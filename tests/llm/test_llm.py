@@ -167,32 +167,6 @@ def test_secrets(spark):
     assert rows[0].base_sha256 == hashlib.sha256(b"assign:0:21").hexdigest()
 
 
-def test_personal_data(spark):
-    texts = ["mail a.b+c@x-y.co.uk, ip 10.0.0.255 and 1.2.3.256", "card 4111 1111 1111 1111 or 4111-1111-1111-1112", "call +1 (212) 555-0147 or +12 34", "1.2.3.4.5 a@b @c.d x@y.z@w.v", "9" * 5000, None]
-    rows = {r.doc_id: r for r in pii.personal_data(docs(spark, texts)).collect()}
-    assert [(rows[i].n_email, rows[i].n_ip, rows[i].n_card, rows[i].n_phone) for i in range(6)] == [(1, 1, 0, 0), (0, 0, 1, 0), (0, 0, 0, 1), (1, 1, 0, 0), (0, 0, 0, 0), (0, 0, 0, 0)]
-    import re
-
-    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-    rng = random.Random(5)
-    for _ in range(300):
-        t = "".join(rng.choice("ab@.. -") for _ in range(40))
-        assert [s[:2] for s in pii.base_spans(t + "0") if s[2] == "email"] == [m.span() for m in email.finditer(t + "0")]
-
-
-def test_viterbi_is_the_best_path():
-    rng = np.random.default_rng(0)
-    n = len(pii.LABELS)
-    field = pii.Field(rng.normal(size=(pii.BUCKETS, n)), rng.normal(size=(n + 1, n)))
-    x, lengths = rng.integers(0, pii.BUCKETS, (6, 3, pii.N_FEATURES)), np.array([1, 2, 3, 3, 2, 1])
-    got = field.viterbi(x, lengths)
-    from itertools import product
-
-    for k, length in enumerate(lengths):
-        score = lambda y: field.move[-1, y[0]] + sum(field.emit[x[k, j]].sum(0)[y[j]] for j in range(len(y))) + sum(field.move[a, b] for a, b in zip(y, y[1:]))  # noqa: B023
-        assert tuple(got[k, :length]) == max(product(range(n), repeat=int(length)), key=score)
-
-
 def test_quality_model(spark):
     rng = random.Random(6)
     texts = [words(rng, 60) if i % 2 else "BUY NOW!! " * 20 for i in range(400)]
