@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a table counts as small enough to broadcast.
 BROADCAST_ROWS = 50_000
+#: A key counts as frequent if this number times its rows is all rows or more, so that many keys are frequent at most.
+OFTEN = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,6 +48,19 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def by_key(rows: DataFrame, keyed: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``keyed``, which has a row per key and says in ``n`` how many rows have it.
+
+    Keys of a thousandth of all rows or more, a thousand at most at any size,
+    are broadcast, so that none of them meets in one task; the others are
+    shuffled.
+    """
+    total = keyed.agg(F.sum(n)).first()[0] or 0
+    often = F.broadcast(keyed.filter(F.col(n) * OFTEN >= total).drop(n))
+    seldom = rows.join(often.select(key), key, "left_anti").join(keyed.drop(n), key, how)
+    return rows.join(often, key).unionByName(seldom)
+
+
 def plus(schema: T.StructType, *fields: tuple[str, str]) -> T.StructType:
     """A copy of ``schema`` with more fields."""
     out = T.StructType(list(schema.fields))

@@ -4,14 +4,15 @@ Patterns give base spans: assignments to a key-like name, access keys, long
 hexadecimal runs. The method looks at values: every candidate value, those of
 the base spans and other high-entropy tokens, is hashed, and for each hash the
 distinct repositories and owners that hold it are counted over the whole
-corpus. A value that several owners share is a copied example; one that a
-single owner holds looks live. High-entropy tokens that look live are added to
-the spans (kind ``live``); base spans always stay, and their classes are
-counted beside them.
+corpus. A value that several owners share, or that stands in several
+repositories of its one owner, is a copied example; one that a single owner
+holds in few repositories looks live. High-entropy tokens that look live are
+added to the spans (kind ``live``); base spans always stay, and their classes
+are counted beside them.
 
 Counting is one partial aggregate on (hash, owner, repository) and one on the
 hash, so a value that a third of all documents hold meets no single task as
-more than one row per owner and repository.
+more than one row per owner and repository; frequent values are broadcast.
 
 Cases: a null text is empty and has no spans; a null owner or repository
 counts as one more of them; repeated rows are documents of their own; an empty
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, slices
+from .common import by_key, materialise, slices
 
 KINDS = ("assign", "access", "hex", "live")
 #: The patterns of the contract.
@@ -42,8 +43,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: A long token: what has letters of either case and digits, and enough entropy, is a candidate.
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}", re.ASCII)
 ENTROPY = 3.5
-#: Owners from which on a value counts as a copied example.
-SHARED = 2
+#: Owners, and repositories of one owner, from which on a value counts as a copied example.
+SHARED, SPREAD = 2, 4
 
 
 def entropy(value: str) -> float:
@@ -119,16 +120,23 @@ def ownership(scanned: DataFrame) -> DataFrame:
     return owners.groupBy("hash").agg(F.sum("n").alias("occurrences"), F.sum("repositories").alias("repositories"), F.count(F.lit(1)).alias("owners"))
 
 
-def secret_scan(docs: DataFrame, owner: str = "source", repository: str = "lang", shared: int = SHARED) -> DataFrame:
-    """Secrets by document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example (base spans by class), n_added."""
+def secret_scan(docs: DataFrame, owner: str = "source", repository: str = "lang", shared: int = SHARED, spread: int = SPREAD) -> DataFrame:
+    """Secrets by document.
+
+    Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live and
+    n_example (base spans by class), n_added, and most_owners and
+    most_repositories (of the most widely held value among its spans).
+    """
     scanned = materialise(scan(docs, owner, repository), "secrets")
-    held = ownership(scanned).select("hash", (F.col("owners") < shared).alias("live"))
+    live = (F.col("owners") < shared) & (F.col("repositories") < spread)
+    held = materialise(ownership(scanned).select("hash", "occurrences", "owners", "repositories", live.alias("live")), "ownership")
     one = scanned.select("_row", F.explode("found").alias("x")).select("_row", "x.*")
-    known = one.join(held, "hash").filter("kind <> 'live' or live")
+    known = by_key(one, held, "hash", "occurrences").filter("kind <> 'live' or live")
     text = F.concat_ws(":", "kind", "start", "end")
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     row = F.struct("start", rank.alias("rank"), text.alias("text"), "kind", "live")
-    by_doc = known.groupBy("_row").agg(F.sort_array(F.collect_list(row)).alias("all"))  # spans of one document
+    most = [F.max(c).alias(f"most_{c}") for c in ("owners", "repositories")]
+    by_doc = known.groupBy("_row").agg(F.sort_array(F.collect_list(row)).alias("all"), *most)  # spans of one document
     joined = scanned.select("_row", "doc_id").join(by_doc, "_row", "left").withColumn("all", F.coalesce("all", F.array().cast(by_doc.schema["all"].dataType)))
     base = F.filter("all", lambda x: x.kind != "live")
     n = lambda kind: F.size(F.filter("all", lambda x: x.kind == kind)).cast("long")
@@ -143,4 +151,5 @@ def secret_scan(docs: DataFrame, owner: str = "source", repository: str = "lang"
         F.size(F.filter(base, lambda x: x.live)).cast("long").alias("n_live"),
         F.size(F.filter(base, lambda x: ~x.live)).cast("long").alias("n_example"),
         n("live").alias("n_added"),
+        *[F.coalesce(f"most_{c}", F.lit(0)).alias(f"most_{c}") for c in ("owners", "repositories")],
     )

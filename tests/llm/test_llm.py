@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tessera.llm import decontam, mixing, pii, quality_model, quality_rules, repeats, secret_scan, simhash, token_store, url_filter
+from tessera.llm import decontam, mixing, near_copies, pii, quality_model, quality_rules, repeats, secret_scan, simhash, token_store, url_filter
 from tessera.llm.queries import tokenizer
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, start int, fp string"
@@ -74,8 +74,6 @@ def test_simhash(spark, texts):
                     root[i] = root[j] = min(root[i], root[j])
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs(spark, texts)).collect()}
     assert got == {i: (f"{want[i]:016x}", root[i]) for i in range(len(texts))}
-    kept = simhash.one_of_each(docs(spark, texts))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root)) and kept.columns == docs(spark, texts).columns
 
 
 def test_simhash_components(spark):
@@ -158,15 +156,6 @@ def test_tokens(spark, texts):
     assert got == want
 
 
-def test_secrets(spark):
-    live, shared = "Zx9" + "aB3dE6gH8jK1mN4pQ7", "Yw8" + "cD2fG5hJ7kL9nP3rS6"
-    texts = [f"password = 'abc123def' {live}", "secret: token: abcdefgh", f"AKIA{'A1' * 8} {shared}", f"{'0a' * 12} {shared}", "API-KEY=short", "apikey:x.y=z/0 é token=\"éa\"", None]
-    rows = {r.doc_id: r for r in secret_scan.secret_scan(docs(spark, texts, lambda i: f"s{i}")).collect()}
-    assert [(rows[i].n_assign, rows[i].n_access, rows[i].n_hex) for i in range(7)] == [(1, 0, 0), (0, 0, 0), (0, 1, 0), (0, 0, 1), (0, 0, 0), (1, 0, 0), (0, 0, 0)]
-    assert rows[0].spans == "assign:0:21,live:23:44" and rows[2].n_added == 0 and rows[3].n_added == 0
-    assert rows[0].base_sha256 == hashlib.sha256(b"assign:0:21").hexdigest()
-
-
 def test_quality_model(spark):
     rng = random.Random(6)
     texts = [words(rng, 60) if i % 2 else "BUY NOW!! " * 20 for i in range(400)]
@@ -196,7 +185,7 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int")
     for df in (
-        simhash.near_duplicates(none), simhash.one_of_each(none), quality_rules.quality_rules(none), quality_rules.kept(none), mixing.mix(none), mixing.mixed(none),
+        simhash.near_duplicates(none), near_copies.without_near_copies(none), quality_rules.quality_rules(none), quality_rules.kept(none), mixing.mix(none), mixing.mixed(none),
         decontam.leaks(none, bench), decontam.without_leaks(none, bench), token_store.token_store(none, tokenizer()), secret_scan.secret_scan(none), pii.personal_data(none),
         quality_model.quality_scores(none, labels), repeats.remove_repeats(none),
     ):
