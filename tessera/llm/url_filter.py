@@ -11,8 +11,7 @@ a host which is worse than the others beyond chance. Hosts without labels
 inherit their domain's, suffix's or overall rate and its prior.
 
 Counts are partial aggregates, so a host with a third of all pages is one row
-per task. Hosts of a thousandth of all pages or more, a thousand at most, are
-joined to their pages by broadcast, all others by a shuffle.
+per task, and the pages of frequent hosts are never shuffled.
 
 Cases: a null url, or one without ``://``, has empty host and path and is
 judged by the overall rate; labels that are null are no outcome; repeated
@@ -27,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small
+from .common import by_key, materialise, small
 
 #: The rules of the contract (verdict, host, path).
 RULES = (
@@ -47,8 +46,6 @@ SUFFIXES = (
 ).split()
 #: How many deviations the bound of a rate is off.
 DEVIATIONS = 1.645
-#: A host counts as frequent if this number times its pages is all pages or more.
-OFTEN = 1000
 #: Bounds of the strength of a prior, in pages.
 WEAKEST, STRONGEST = 2.0, 1000.0
 
@@ -119,11 +116,8 @@ def url_filter(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, s
     outcomes = labels.filter("quality is not null").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
     labelled = rows.select("page_id", "host").join(outcomes, "page_id")
     counts = materialise(rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "hosts")
-    total = counts.agg(F.sum("pages")).first()[0] or 0
     hosts = materialise(reputation(labelled, counts, limit).select("host", "pages", "by_host"), "reputation")
-    often = F.broadcast(hosts.filter(F.col("pages") * OFTEN >= total).select("host", "by_host"))  # OFTEN rows at most
-    seldom = rows.join(often, "host", "left_anti").join(hosts.select("host", "by_host"), "host", "left")
-    found = rows.join(often, "host").unionByName(seldom)
+    found = by_key(rows, hosts, "host", "pages")
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     return found.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, "by_host").alias("verdict"))
 
