@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, components, materialise, plus, slices
+from .common import as_bytes, by_key, components, materialise, plus, slices
 
 SEED = 42
 BITS = 64
@@ -108,21 +108,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col:
     """Groups of near-duplicates: doc_id, fingerprint (16 hexadecimal digits) and component_id (the smallest id in the group), a row per row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = materialise(with_fingerprint(rows, "text", shingle).drop("text"), "fingerprints")
-    fps = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
+    fps = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
     found = components(links(fps.select("fp"), radius))
-    named = fps.join(found, fps.fp == found.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    named = fps.join(found, fps.fp == found.node, "left").select("fp", "n", "least_id", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    ids = named.join(smallest, "root").select("fp", "component_id")
-    return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """``docs`` without near-duplicates: of each group the document with the smallest id stays, once."""
-    groups = materialise(near_duplicates(docs, shingle, radius).select("doc_id", "component_id"), "groups")
-    gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    # a shuffle at any size: what goes is a share of the documents, so it is not broadcast even where it happens to be small
-    kept = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
-    again = groups.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if again.isEmpty():
-        return kept
-    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    ids = materialise(named.join(smallest, "root").select("fp", "n", "component_id"), "component-ids")
+    return by_key(rows, ids, "fp", "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
