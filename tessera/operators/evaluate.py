@@ -6,7 +6,7 @@ observed: (sample_id, detected, layers_seen, documented). Lists are arrays.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 METRICS = ("recall", "false_positive_rate", "architecture_accuracy", "rule_match", "documentation_score")
@@ -34,18 +34,41 @@ def metrics(expected: DataFrame, observed: DataFrame) -> DataFrame:
 
 
 def macro_average(rows: DataFrame, by: str | None = None) -> DataFrame:
-    """Plain averages over samples, in all or by a column."""
+    """Plain averages over samples, in all or by a column; no sample at all is an error."""
+    if rows.isEmpty():
+        raise ValueError("no sample to average")
     means = [F.avg(m).alias(m) for m in METRICS]
     return (rows.groupBy(by) if by else rows).agg(F.count(F.lit(1)).alias("samples"), *means)
 
 
-def problems(expected: DataFrame, categories: list[str], least: int = 3) -> DataFrame:
-    """What is wrong with a data set: (problem, subject) for repeated ids, blank ids, and categories with too few samples."""
-    repeated = expected.groupBy("sample_id").count().filter("count > 1").select(F.lit("repeated id").alias("problem"), F.col("sample_id").cast("string").alias("subject"))
-    blank = expected.filter(F.coalesce(F.trim(F.col("sample_id").cast("string")), F.lit("")) == "").select(F.lit("blank id").alias("problem"), F.lit("").alias("subject"))
+def problems(expected: DataFrame, categories: list[str], least: int = 3, undocumented: str | None = None) -> DataFrame:
+    """What is wrong with a data set: (problem, subject).
+
+    Repeated and blank ids, categories with too few samples, lists with blank
+    entries, samples of the ``undocumented`` category that expect
+    documentation, and, where there are such columns, a minimum above its
+    maximum.
+    """
+    subject = F.coalesce(F.col("sample_id").cast("string"), F.lit("")).alias("subject")
+    of = lambda rows, problem: rows.select(F.lit(problem).alias("problem"), subject)
+    repeated = of(expected.groupBy("sample_id").count().filter("count > 1"), "repeated id")
+    blank = of(expected.filter(F.coalesce(F.trim(F.col("sample_id").cast("string")), F.lit("")) == ""), "blank id")
     named = expected.sparkSession.createDataFrame([(c,) for c in categories], "category string")
     counts = named.join(expected.groupBy("category").count(), "category", "left").filter(F.coalesce("count", F.lit(0)) < least)
-    return repeated.unionByName(blank).unionByName(counts.select(F.lit("few samples").alias("problem"), F.col("category").alias("subject")))
+    out = repeated.unionByName(blank).unionByName(counts.select(F.lit("few samples").alias("problem"), F.col("category").alias("subject")))
+    for c in ("required", "forbidden", "layers"):
+        out = out.unionByName(of(expected.filter(F.exists(c, lambda x: F.coalesce(F.trim(x), F.lit("")) == "")), f"blank entry in {c}"))
+    if undocumented is not None:
+        out = out.unionByName(of(expected.filter((F.col("category") == undocumented) & F.col("documentation")), "contradictory documentation"))
+    if {"least", "most"} <= set(expected.columns):
+        out = out.unionByName(of(expected.filter("least > most"), "minimum above maximum"))
+    return out
+
+
+def by_category(expected: DataFrame) -> DataFrame:
+    """Samples of each category, numbered: (category, nth, sample_id)."""
+    nth = F.row_number().over(Window.partitionBy("category").orderBy("sample_id"))
+    return expected.select("category", nth.alias("nth"), "sample_id")
 
 
 def reports(rows: DataFrame) -> DataFrame:

@@ -2,44 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-IMPORT = r"^\s*import\s+(static\s+)?([\w.]+)(\.\*)?\s*;"
+from . import code
 
 
-def lines(files: DataFrame) -> DataFrame:
+def lines(files: DataFrame, content: Column | str = "content") -> DataFrame:
     """Lines with their numbers, from 1."""
-    rows = files.select("project_id", "file_path", F.posexplode(F.split("content", "\n")).alias("line", "text"))
+    rows = files.select("project_id", "file_path", F.posexplode(F.split(content, "\n")).alias("line", "text"))
     return rows.withColumn("line", F.col("line") + 1)
 
 
-def imports(files: DataFrame) -> DataFrame:
-    """Imports with their line and whether they are static or end in a wildcard."""
-    rows = lines(files).filter(F.col("text").rlike(IMPORT))
-    part = lambda k: F.regexp_extract("text", IMPORT, k)
-    return rows.select("project_id", "file_path", part(2).alias("imported"), (part(1) != "").alias("is_static"), (part(3) != "").alias("is_wildcard"), "line")
+def found_at(rows: DataFrame, rule: str, category: str, level: str, description: str) -> DataFrame:
+    """Places (project_id, file_path, line) as issue rows."""
+    return rows.select(
+        "project_id", F.lit(rule).alias("rule_id"), F.lit(category).alias("category"), F.lit(level).alias("risk_level"), "file_path", "line", F.lit(description).alias("description"), F.col("line").cast("long").alias("pos")
+    )
 
 
 def empty_catches(files: DataFrame) -> DataFrame:
-    """Catch blocks without a statement; a block of comments alone is empty."""
-    bare = F.regexp_replace(F.regexp_replace("content", r"(?s)/\*.*?\*/", ""), r"//[^\n]*", "")
-    found = F.regexp_extract_all(bare, F.lit(r"catch\s*\([^)]*\)\s*\{\s*\}"), F.lit(0))
-    return files.select("project_id", "file_path", F.size(found).cast("long").alias("n")).filter("n > 0")
+    """Catch blocks without a statement as issues, LOW; a block of comments alone is empty."""
+    after = F.lead(F.struct("mark", "head")).over(Window.partitionBy("project_id", "file_path").orderBy("seq"))
+    rows = code.segments(files).withColumn("after", after)
+    rows = rows.filter((F.col("mark") == "{") & F.col("head").rlike(r"\bcatch ?\([^()]*\)$") & (F.col("after.mark") == "}") & (F.col("after.head") == ""))
+    return found_at(rows, "EMPTY-CATCH", "ROBUSTNESS", "LOW", "empty catch block")
 
 
 def literal_equals(files: DataFrame) -> DataFrame:
-    """Lines that call equals with one literal on a name or field."""
-    return lines(files).filter(F.col("text").rlike(r'(^|[^\w.)"])[A-Za-z_]\w*(\.[A-Za-z_]\w*)*\.equals\(\s*"[^"]*"\s*\)'))
+    """Calls of equals on a name or field with a literal as their one argument as issues, MEDIUM, once a line."""
+    call = r"(^|[^\w.)\]\x22])([A-Za-z_]\w*\.)*(?!super\b|this\.equals)[A-Za-z_]\w*\s*\.\s*equals\(\s*(\x22\x22|-?[0-9][\w.]*|true|false|null)\s*\)"
+    rows = lines(files, code.blanked(F.col("content"))).filter(F.col("text").rlike(call))
+    return found_at(rows, "LITERAL-EQUALS", "ROBUSTNESS", "MEDIUM", "equals on a name that may be null")
 
 
 def outline(files: DataFrame, most: int = 24) -> DataFrame:
-    """Declared methods by pattern: the first of each name, at most ``most`` a file, with line and parameters."""
+    """The first type of each file, and its methods by pattern: constructors first, the first of each name, at most ``most`` a file, with line and parameters."""
     pattern = r"^\s*(?:(?:public|protected|private|static|final|abstract|synchronized)\s+)+(?:[\w<>\[\],.? ]+\s+)?(\w+)\s*\(([^)]*)\)\s*(?:throws\s+[\w., ]+)?\s*[{;]"
     rows = lines(files).withColumns({"name": F.regexp_extract("text", pattern, 1), "parameters": F.regexp_extract("text", pattern, 2)}).filter("name <> ''")
     first = rows.groupBy("project_id", "file_path", "name").agg(F.min_by(F.struct("line", "parameters"), "line").alias("m"))
-    listed = F.slice(F.sort_array(F.collect_list(F.struct("m.line", "name", "m.parameters"))), 1, most)
-    return first.groupBy("project_id", "file_path").agg(listed.alias("methods"))
+    type_line = r"^\s*(?:[\w@]+\s+)*(?:class|interface|enum|record)\s+(\w+)"
+    types = lines(files).withColumn("type", F.regexp_extract("text", type_line, 1)).filter("type <> ''").groupBy("project_id", "file_path").agg(F.min_by("type", "line").alias("type"))
+    first = first.join(types, ["project_id", "file_path"], "left")
+    nth = F.row_number().over(Window.partitionBy("project_id", "file_path").orderBy(F.col("name") != F.coalesce("type", F.lit("")), "m.line"))
+    first = first.withColumn("nth", nth).filter(F.col("nth") <= most)
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("nth", "m.line", "name", "m.parameters"))), lambda x: F.struct(x.line.alias("line"), x["name"].alias("name"), x.parameters.alias("parameters")))
+    return first.groupBy("project_id", "file_path").agg(F.first("type").alias("type"), listed.alias("methods"))
 
 
 def symbol_lines(text_lines: DataFrame, symbol: str) -> DataFrame:
@@ -51,7 +59,9 @@ def symbol_lines(text_lines: DataFrame, symbol: str) -> DataFrame:
 def best_symbol(text_lines: DataFrame, symbol: str, most: int = 48) -> DataFrame:
     """Per project the best place of a symbol: files named like it first, then by path; the first ``most`` candidates count."""
     rank = F.when(F.contains(F.col("file_path"), F.lit(f"/{symbol}.")), 0).when(F.contains(F.lower("file_path"), F.lit(symbol.lower())), 1).otherwise(2)
-    rows = symbol_lines(text_lines, symbol).withColumn("rank", rank)
+    files = text_lines.select("project_id", "file_path").distinct().withColumn("rank", rank)
+    nth = F.row_number().over(Window.partitionBy("project_id").orderBy("rank", "file_path"))
+    rows = symbol_lines(text_lines, symbol).join(files.withColumn("nth", nth).filter(F.col("nth") <= most), ["project_id", "file_path"])
     best = rows.groupBy("project_id").agg(F.min(F.struct("rank", "file_path", "line")).alias("b"))
     return best.select("project_id", "b.file_path", "b.line")
 
@@ -84,7 +94,7 @@ def suggested_code(replies: DataFrame) -> DataFrame:
 
 def sections(replies: DataFrame, mark: str = "[①②③④⑤]", least: int = 2) -> DataFrame:
     """Replies with what stands between marks, blank parts left out; null under ``least`` parts."""
-    parts = F.filter(F.transform(F.split("content", mark), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split("content", mark), lambda s: F.trim(s)), lambda s: s != "")
     return replies.withColumn("sections", F.when(F.size(parts) >= least, parts))
 
 
@@ -93,3 +103,32 @@ def last_actions(messages: DataFrame, marker: str, types: list[str], most: int =
     parsed = F.from_json(F.substring_index("content", marker, -1), "array<struct<type: string, target: string, label: string>>")
     good = F.slice(F.filter(parsed, lambda a: a.type.isin(*types)), 1, most)
     return messages.withColumn("actions", F.when(F.contains(F.col("content"), F.lit(marker)), F.coalesce(good, F.array().cast("array<struct<type: string, target: string, label: string>>"))))
+
+
+def model_suggestions(replies: DataFrame, targets: DataFrame) -> DataFrame:
+    """Suggestions in replies (project_id, reply_id, content), each a JSON list that may stand in a fence or in text.
+
+    Entries with a blank field and unknown issues are dropped; of several for
+    an issue in a reply the last counts. targets: (project_id, issue_key).
+    """
+    bare = F.trim("content")
+    fenced = F.regexp_extract(bare, r"(?s)^```[^\n]*\n(.*)```", 1)
+    bare = F.when(fenced != "", F.trim(fenced)).otherwise(bare)
+    listed = F.regexp_extract(bare, r"(?s)(\[.*\])", 1)
+    parsed = F.from_json(F.when(listed != "", listed).otherwise(bare), "array<struct<issueKey: string, suggestion: string, rationale: string>>")
+    rows = replies.select("project_id", "reply_id", F.posexplode(parsed).alias("nth", "x"))
+    rows = rows.select("project_id", "reply_id", "nth", F.col("x.issueKey").alias("issue_key"), "x.suggestion", "x.rationale")
+    for c in ("issue_key", "suggestion", "rationale"):
+        rows = rows.filter(F.coalesce(F.trim(c), F.lit("")) != "")
+    rows = rows.join(targets.select("project_id", "issue_key").distinct(), ["project_id", "issue_key"], "left_semi")
+    last = F.max_by(F.struct("suggestion", "rationale"), "nth").alias("s")
+    return rows.groupBy("project_id", "reply_id", "issue_key").agg(last).select("project_id", "reply_id", "issue_key", "s.*")
+
+
+def comment_gaps(comments: DataFrame) -> DataFrame:
+    """What method comments (id, comment, parameters, needs_return) lack: (id, missing), a row for each tag, and ``block`` for what is no comment block."""
+    is_block = F.trim("comment").rlike(r"(?s)^/\*\*.*\*/$")
+    tags = F.transform("parameters", lambda p: F.concat(F.lit("@param "), p))
+    tags = F.concat(tags, F.when(F.col("needs_return"), F.array(F.lit("@return"))).otherwise(F.array().cast("array<string>")))
+    lacking = F.when(is_block, F.filter(tags, lambda t: ~F.contains(F.col("comment"), t))).otherwise(F.array(F.lit("block")))
+    return comments.select("id", F.explode(lacking).alias("missing"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -25,10 +27,9 @@ def owner_edges(edges: DataFrame) -> DataFrame:
 
 
 def neighbours(edges: DataFrame) -> DataFrame:
-    """Per node how many callees and callers it has, and which, sorted."""
-    out = edges.groupBy("project_id", F.col("src").alias("node")).agg(F.sort_array(F.collect_set("dst")).alias("callees"))
-    into = edges.groupBy("project_id", F.col("dst").alias("node")).agg(F.sort_array(F.collect_set("src")).alias("callers"))
-    return out.join(into, ["project_id", "node"], "full")
+    """Who calls whom, from either side: a row (project_id, node, direction, other) per callee and caller of a node."""
+    sides = F.array(F.struct(F.col("src").alias("node"), F.lit("callee").alias("direction"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("node"), F.lit("caller").alias("direction"), F.col("src").alias("other")))
+    return edges.select("project_id", F.explode(sides).alias("x")).select("project_id", "x.*").distinct()
 
 
 def split(edges: DataFrame, types: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -51,47 +52,79 @@ def dead(methods: DataFrame, edges: DataFrame) -> DataFrame:
     return own.join(edges.select("project_id", F.col("dst").alias("method")).distinct(), ["project_id", "method"], "left_anti")
 
 
-def reachable(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """All (project_id, a, b) with a way from a to b, by doubling the reach each round until nothing is new.
+def spread(state: DataFrame, edges: DataFrame) -> DataFrame:
+    """Smallest labels along edges: state (project_id, node, label) until no node's label falls; rounds grow with the longest way.
 
-    For graphs of modules, which are small beside the tables they come from;
-    states are tables in the shared folder, so a lost executor costs a round.
+    Only nodes whose label fell in a round pass it on in the next; states are
+    tables in the shared folder, so a lost executor costs a round.
     """
-    reach = materialise(edges.select("project_id", F.col("src").alias("a"), F.col("dst").alias("b")).distinct(), "reach")
-    n = reach.count()
-    for _ in range(rounds):
-        step = reach.select("project_id", "a", F.col("b").alias("m")).join(reach.select("project_id", F.col("a").alias("m"), "b"), ["project_id", "m"])
-        reach = materialise(reach.unionByName(step.select("project_id", "a", "b")).distinct(), "reach")
-        now = reach.count()
-        if now == n:
-            return reach
-        n = now
-    raise RuntimeError(f"reach still grows after {rounds} rounds")
+    state = materialise(state, "labels")
+    moved = state
+    while True:
+        told = moved.join(edges.select("project_id", F.col("src").alias("node"), "dst"), ["project_id", "node"])
+        told = told.groupBy("project_id", F.col("dst").alias("node")).agg(F.min("label").alias("told"))
+        state = state.join(told, ["project_id", "node"], "left").select("project_id", "node", F.least("label", "told").alias("label"), F.coalesce(F.col("told") < F.col("label"), F.lit(False)).alias("fell"))
+        state = materialise(state, "labels")
+        moved = state.filter("fell").drop("fell")
+        state = state.drop("fell")
+        if moved.isEmpty():
+            return state
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Strongly connected components of two nodes or more: (project_id, node, component), the component named by its smallest node."""
-    reach = reachable(edges)
-    back = reach.select("project_id", F.col("a").alias("b"), F.col("b").alias("a"))
-    mutual = reach.join(back, ["project_id", "a", "b"], "left_semi").filter("a <> b")
-    return mutual.groupBy("project_id", F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component"))
-
+    """Strongly connected components of two nodes or more: (project_id, node, component), the component named by its smallest node.
 
-def shortest_cycles(edges: DataFrame, rounds: int = 64) -> DataFrame:
+    Labels spread forwards: a node's label is the smallest node that reaches
+    it, so a component has one label, and the smallest node of each label is in
+    one. What reaches that node under its own label is its component. These
+    leave, and so do edges between labels; the rest goes on until no edge is
+    left. Nodes without a way in or out leave first.
+    """
+    key = ["project_id", "node"]
+    todo = materialise(edges.filter("src <> dst").select("project_id", "src", "dst").distinct(), "edges")
+    out = None
+    while not todo.isEmpty():
+        into, away = (todo.select("project_id", F.col(c).alias("node")).distinct() for c in ("dst", "src"))
+        inner = into.join(away, key)
+        for c in ("src", "dst"):
+            todo = todo.join(inner.withColumnRenamed("node", c), ["project_id", c])
+        todo = materialise(todo.select("project_id", "src", "dst"), "edges")
+        nodes = todo.select("project_id", F.col("src").alias("node")).union(todo.select("project_id", "dst")).distinct()
+        label = materialise(spread(nodes.withColumn("label", F.col("node")), todo), "forward")
+        for c in ("src", "dst"):
+            todo = todo.join(label.select("project_id", F.col("node").alias(c), F.col("label").alias(f"{c}_label")), ["project_id", c])
+        todo = materialise(todo.filter("src_label = dst_label").select("project_id", "src", "dst", F.col("src_label").alias("label")), "edges")
+        # backwards from the smallest node of each label
+        flags = label.select(*key, F.when(F.col("node") == F.col("label"), 0).otherwise(1).alias("label"))
+        back = spread(flags, todo.select("project_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
+        found = label.join(back.filter("label = 0").select(*key), key)
+        found = materialise(found.select(*key, F.col("label").alias("component")), "component")
+        out = found if out is None else out.unionByName(found)
+        for c in ("src", "dst"):
+            todo = todo.join(found.select("project_id", F.col("node").alias(c)), ["project_id", c], "left_anti")
+        todo = materialise(todo.select("project_id", "src", "dst"), "edges")
+    if out is None:
+        return edges.select("project_id", F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    size = out.groupBy("project_id", "component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return out.join(size, ["project_id", "component"]).select(*key, "component")
+
+
+def shortest_cycles(edges: DataFrame) -> DataFrame:
     """The shortest cycle through the smallest node of each component, the smallest one in order of its nodes.
 
-    (project_id, component, length, path), where path joins the nodes by `` -> ``
-    and returns to the start. One best path per node and round is kept.
+    (project_id, component, length, path, nodes), where path joins the nodes by
+    `` -> `` and returns to the start. One best path per node and round is
+    kept; a component of n nodes is done after n rounds at most.
     """
     inside = materialise(components(edges), "components")
     a = inside.select("project_id", F.col("node").alias("src"), "component")
     b = inside.select("project_id", F.col("node").alias("dst"), F.col("component").alias("c2"))
-    own = edges.select("project_id", "src", "dst").distinct().join(a, ["project_id", "src"]).join(b, ["project_id", "dst"]).filter("component = c2")
+    own = edges.select("project_id", "src", "dst").filter("src <> dst").distinct().join(a, ["project_id", "src"]).join(b, ["project_id", "dst"]).filter("component = c2")
     own = materialise(own.select("project_id", "component", "src", "dst"), "inner-edges")
     front = inside.filter("node = component").select("project_id", "component", F.col("node").alias("at"), F.array("node").alias("path"))
     seen = front.select("project_id", "component", "at")
     found = None
-    for _ in range(rounds):
+    while not front.isEmpty():
         step = front.join(own.withColumnRenamed("src", "at"), ["project_id", "component", "at"])
         step = step.groupBy("project_id", "component", F.col("dst").alias("at")).agg(F.min("path").alias("path"))
         step = materialise(step.withColumn("path", F.concat("path", F.array("at"))), "paths")
@@ -100,10 +133,15 @@ def shortest_cycles(edges: DataFrame, rounds: int = 64) -> DataFrame:
         over = found.select("project_id", "component")
         front = step.join(over, ["project_id", "component"], "left_anti").join(seen, ["project_id", "component", "at"], "left_anti")
         front = materialise(front.select("project_id", "component", "at", "path"), "front")
-        if front.isEmpty():
-            break
         seen = seen.unionByName(front.select("project_id", "component", "at"))
-    return found.select("project_id", "component", (F.size("path") - 1).cast("long").alias("length"), F.array_join("path", " -> ").alias("path"))
+    if found is None:
+        found = front.select("project_id", "component", "path")
+    return found.select("project_id", "component", (F.size("path") - 1).cast("long").alias("length"), F.array_join("path", " -> ").alias("path"), F.col("path").alias("nodes"))
+
+
+def cycles_with(cycles: DataFrame, module: Column) -> DataFrame:
+    """Cycles that a module is on, the shortest first."""
+    return cycles.filter(F.array_contains("nodes", module)).orderBy("length", "path")
 
 
 def fan_in(edges: DataFrame, more_than: int = 15) -> DataFrame:
@@ -111,58 +149,124 @@ def fan_in(edges: DataFrame, more_than: int = 15) -> DataFrame:
     return edges.groupBy("project_id", F.col("dst").alias("node")).agg(F.count_distinct("src").alias("dependents")).filter(F.col("dependents") > more_than)
 
 
-def diagram(edges: DataFrame) -> DataFrame:
-    """A line per edge of each project's diagram, numbered nodes, joined as one text."""
+def overused(edges: DataFrame, counted: DataFrame, more_than: int = 15) -> DataFrame:
+    """Nodes of ``counted`` (project_id, node: those whose layer is not exempt) with too many dependents, as findings, LOW."""
+    return fan_in(edges, more_than).join(counted.select("project_id", "node").distinct(), ["project_id", "node"], "left_semi").withColumn("risk_level", F.lit("LOW"))
+
+
+def diagram_lines(edges: DataFrame) -> DataFrame:
+    """A row per node and edge of each project's diagram: (project_id, part, nth, line), labels without marks that end them."""
     nodes = edges.select("project_id", F.col("src").alias("node")).union(edges.select("project_id", "dst")).distinct()
-    nodes = nodes.withColumn("nid", F.concat(F.lit("n"), F.row_number().over(Window.partitionBy("project_id").orderBy("node")).cast("string")))
-    a, b = (nodes.select("project_id", F.col("node").alias(e), F.col("nid").alias(f"{e}_id")) for e in ("src", "dst"))
+    nodes = materialise(nodes.withColumn("nth", F.row_number().over(Window.partitionBy("project_id").orderBy("node"))), "diagram-nodes")
     label = lambda c: F.regexp_replace(c.cast("string"), '["\\[\\]]', "")
-    line = F.format_string('%s["%s"] -->|%s| %s["%s"]', "src_id", label(F.col("src")), F.col("weight").cast("string"), "dst_id", label(F.col("dst")))
-    rows = edges.join(a, ["project_id", "src"]).join(b, ["project_id", "dst"]).select("project_id", "src", "dst", line.alias("line"))
-    lines = F.transform(F.sort_array(F.collect_list(F.struct("src", "dst", "line"))), lambda x: x.line)
-    return rows.groupBy("project_id").agg(F.concat(F.lit("flowchart LR\n"), F.array_join(lines, "\n")).alias("diagram"))
+    shown = nodes.select("project_id", F.lit("node").alias("part"), "nth", F.format_string('n%d["%s"]', "nth", label(F.col("node"))).alias("line"))
+    a, b = (nodes.select("project_id", F.col("node").alias(e), F.col("nth").alias(f"{e}_nth")) for e in ("src", "dst"))
+    rows = edges.join(a, ["project_id", "src"]).join(b, ["project_id", "dst"])
+    nth = F.row_number().over(Window.partitionBy("project_id").orderBy("src_nth", "dst_nth"))
+    arrows = rows.select("project_id", F.lit("edge").alias("part"), nth.alias("nth"), F.format_string("n%d -->|%s| n%d", "src_nth", F.col("weight").cast("string"), "dst_nth").alias("line"))
+    return shown.unionByName(arrows)
+
+
+def diagram(edges: DataFrame) -> DataFrame:
+    """The same as one text per project, for graphs of modules."""
+    order = F.sort_array(F.collect_list(F.struct((F.col("part") == "edge").alias("late"), "nth", "line")))
+    return diagram_lines(edges).groupBy("project_id").agg(F.concat(F.lit("flowchart LR\n"), F.array_join(F.transform(order, lambda x: x.line), "\n")).alias("diagram"))
 
 
-def nearest_declaring(parents: DataFrame, members: DataFrame, depth: int = 32) -> DataFrame:
+def nearest_declaring(parents: DataFrame, members: DataFrame) -> DataFrame:
     """For each type and member name the nearest type, upwards, that declares it: (project_id, type, name, owner, distance).
 
-    parents: (project_id, type, parent); members: (project_id, type, name). A
-    type that has been met already is not climbed again, so circles end.
+    parents: (project_id, type, parent); members: (project_id, type, name).
+    Names go down from the types that declare them, and a type takes a name
+    from the first that brings it, the smaller owner among equals; so circles
+    end, and there are as many rounds as the longest way down.
     """
-    types = parents.select("project_id", "type").union(parents.select("project_id", "parent")).union(members.select("project_id", "type")).distinct()
-    ways = materialise(types.select("project_id", "type", F.col("type").alias("up"), F.lit(0).alias("distance")), "ancestors")
-    front = ways
-    for d in range(1, depth + 1):
-        step = front.join(parents.select("project_id", F.col("type").alias("up"), "parent"), ["project_id", "up"])
-        step = step.select("project_id", "type", F.col("parent").alias("up"), F.lit(d).alias("distance")).distinct()
-        front = materialise(step.join(ways, ["project_id", "type", "up"], "left_anti"), "ancestors")
-        if front.isEmpty():
-            break
-        ways = materialise(ways.unionByName(front), "ancestors")
-    rows = ways.join(members.select("project_id", F.col("type").alias("up"), "name").distinct(), ["project_id", "up"])
-    best = F.min(F.struct("distance", "up")).alias("b")
-    return rows.groupBy("project_id", "type", "name").agg(best).select("project_id", "type", "name", F.col("b.up").alias("owner"), F.col("b.distance").cast("long").alias("distance"))
-
-
-def resolved(refs: DataFrame, types: DataFrame, imports: DataFrame, builtin: tuple[str, ...] = ()) -> DataFrame:
+    front = members.select("project_id", "type", "name", F.col("type").alias("owner"), F.lit(0).cast("long").alias("distance")).distinct()
+    front = materialise(front, "members")
+    out = front
+    below = parents.select("project_id", F.col("parent").alias("type"), F.col("type").alias("child")).distinct()
+    while not front.isEmpty():
+        step = front.join(below, ["project_id", "type"]).groupBy("project_id", F.col("child").alias("type"), "name").agg(F.min("owner").alias("owner"), (F.min("distance") + 1).alias("distance"))
+        front = materialise(step.join(out, ["project_id", "type", "name"], "left_anti"), "members")
+        out = out.unionByName(front)
+    return out
+
+
+def resolved(refs: DataFrame, types: DataFrame, imports: DataFrame) -> DataFrame:
     """Type references to types, in strict order.
 
-    refs: (project_id, ref_id, file_path, package, name); types: (project_id,
+    refs: (project_id, file_path, package, name, others); types: (project_id,
     qualified, package, simple, file_path); imports: (project_id, file_path,
-    imported, is_wildcard). A name is looked up as a qualified name, in its
-    file, among explicit imports, in its package, among wildcard imports if
-    exactly one fits, and among built-in names.
+    imported, is_wildcard). A name is looked up as a qualified name; then its
+    last part in its file, among explicit imports, in its package, among
+    wildcard imports if exactly one fits, and in ``java.lang`` of the project.
     """
-    t = types.select("project_id", "qualified", F.col("package").alias("t_package"), F.col("simple").alias("name"), F.col("file_path").alias("t_file"))
+    t = types.select("project_id", "qualified", F.col("package").alias("t_package"), "simple", F.col("file_path").alias("t_file"))
     exact = t.select("project_id", F.col("qualified").alias("name"), F.col("qualified").alias("by_name")).distinct()
-    same = t.groupBy("project_id", F.col("t_file").alias("file_path"), "name").agg(F.min("qualified").alias("by_file"))
-    single = imports.filter("not is_wildcard").withColumn("name", F.substring_index("imported", ".", -1))
-    single = single.groupBy("project_id", "file_path", "name").agg(F.min("imported").alias("by_import"))
-    pack = t.groupBy("project_id", F.col("t_package").alias("package"), "name").agg(F.min("qualified").alias("by_package"))
+    same = t.groupBy("project_id", F.col("t_file").alias("file_path"), "simple").agg(F.min("qualified").alias("by_file"))
+    single = imports.filter("not is_wildcard").withColumn("simple", F.substring_index("imported", ".", -1))
+    single = single.groupBy("project_id", "file_path", "simple").agg(F.min("imported").alias("by_import"))
+    pack = t.groupBy("project_id", F.col("t_package").alias("package"), "simple").agg(F.min("qualified").alias("by_package"))
     wild = imports.filter("is_wildcard").select("project_id", "file_path", F.col("imported").alias("t_package")).distinct()
-    wild = wild.join(t, ["project_id", "t_package"]).groupBy("project_id", "file_path", "name").agg(F.count_distinct("qualified").alias("hits"), F.min("qualified").alias("by_wildcard"))
+    wild = wild.join(t, ["project_id", "t_package"]).groupBy("project_id", "file_path", "simple").agg(F.count_distinct("qualified").alias("hits"), F.min("qualified").alias("by_wildcard"))
     wild = wild.filter("hits = 1").drop("hits")
-    rows = refs.join(exact, ["project_id", "name"], "left").join(same, ["project_id", "file_path", "name"], "left")
-    rows = rows.join(single, ["project_id", "file_path", "name"], "left").join(pack, ["project_id", "package", "name"], "left").join(wild, ["project_id", "file_path", "name"], "left")
-    known = F.when(F.col("name").isin(*builtin), F.concat(F.lit("java.lang."), F.col("name"))) if builtin else F.lit(None).cast("string")
-    return rows.withColumn("resolved", F.coalesce("by_name", "by_file", "by_import", "by_package", "by_wildcard", known))
+    lang = t.filter("t_package = 'java.lang'").groupBy("project_id", "simple").agg(F.min("qualified").alias("by_lang"))
+    rows = refs.withColumn("simple", F.substring_index("name", ".", -1)).join(exact, ["project_id", "name"], "left")
+    for more, key in ((same, "file_path"), (single, "file_path"), (pack, "package"), (wild, "file_path")):
+        rows = rows.join(more, ["project_id", key, "simple"], "left")
+    rows = rows.join(lang, ["project_id", "simple"], "left")
+    ways = ("by_name", "by_file", "by_import", "by_package", "by_wildcard", "by_lang")
+    return rows.withColumn("resolved", F.coalesce(*ways)).drop("simple", *ways)
+
+
+def callee_owners(sites: DataFrame, imports: DataFrame, declared: DataFrame) -> DataFrame:
+    """Call sites with callee_owner, by the kind of their receiver.
+
+    sites: (project_id, file_path, caller_owner, callee, receiver_kind,
+    resolved, others); imports: (project_id, file_path, imported, is_static,
+    is_wildcard); declared: (project_id, type, name), names that a type
+    declares or inherits. A call without a receiver goes to the caller's own
+    type unless the name is statically imported and not declared there; ``this``
+    is the own type; ``super`` and what can't be told stay open.
+    """
+    static = imports.filter("is_static and not is_wildcard").select(
+        "project_id", "file_path", F.substring_index("imported", ".", -1).alias("callee"), F.regexp_extract("imported", r"^(.*)\.\w+$", 1).alias("static_owner")
+    )
+    static = static.groupBy("project_id", "file_path", "callee").agg(F.min("static_owner").alias("static_owner"))
+    own = declared.select("project_id", F.col("type").alias("caller_owner"), F.col("name").alias("callee"), F.lit(True).alias("is_declared")).distinct()
+    rows = sites.join(static, ["project_id", "file_path", "callee"], "left").join(own, ["project_id", "caller_owner", "callee"], "left")
+    bare = F.when(F.col("static_owner").isNull() | F.col("is_declared"), F.col("caller_owner")).otherwise(F.col("static_owner"))
+    owner = F.when(F.col("receiver_kind") == "NONE", bare).when(F.col("receiver_kind") == "THIS", F.col("caller_owner")).when(F.col("receiver_kind") == "SUPER", F.lit(None)).otherwise(F.col("resolved"))
+    return rows.withColumn("callee_owner", owner).drop("static_owner", "is_declared")
+
+
+def anchors(types: DataFrame, module: str) -> DataFrame:
+    """Where an issue of a type or module is shown: the first declaration, by name, of types (project_id, qualified, file_path, start_line, module column)."""
+    first = F.min(F.struct("qualified", "file_path", "start_line")).alias("a")
+    return types.groupBy("project_id", F.col(module).alias("module")).agg(first).select("project_id", "module", "a.file_path", F.col("a.start_line").alias("line"))
+
+
+def cycle_findings(edges: DataFrame, types: DataFrame, grains: dict[str, str]) -> DataFrame:
+    """Cycles between modules as issues, at several grains.
+
+    edges: (project_id, src, dst, weight) between types; types: (project_id,
+    qualified, file_path, start_line and a column per grain); grains: column
+    and level, such as layer HIGH and package MEDIUM. An issue is anchored at
+    the first type of the cycle's smallest module.
+    """
+    edges = materialise(edges, "type-edges")
+    types = materialise(types, "types")
+    # all grains go through one search, each as projects of its own
+    own = lambda grain: F.struct("project_id", F.lit(grain).alias("grain"))
+    named, modules = [], []
+    for grain in grains:
+        known = types.filter(F.col(grain).isNotNull())
+        named.append(known.select("project_id", F.col("qualified").alias("type"), F.col(grain).alias("module")).distinct())
+        modules.append(anchors(known, grain).withColumn("project_id", own(grain)))
+    found = [module_edges(edges, m).withColumn("project_id", own(grain)) for grain, m in zip(grains, named, strict=True)]
+    cycles = shortest_cycles(materialise(reduce(DataFrame.unionByName, found), "module-edges")).withColumnRenamed("component", "module")
+    rows = cycles.join(reduce(DataFrame.unionByName, modules), ["project_id", "module"], "left")
+    level = F.create_map(*[F.lit(x) for pair in grains.items() for x in pair])
+    return rows.select(
+        "project_id.project_id", F.lit("CYCLE").alias("rule_id"), "project_id.grain", level[F.col("project_id.grain")].alias("risk_level"), "file_path", "line", F.col("path").alias("description"), "length"
+    )

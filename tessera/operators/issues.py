@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lookups as L
 from ..functions import text as X
+from ..sources.tables import materialise
 
 KEY = ["project_id", "rule_id", "file_path", "line", "description"]
 ORDER = ["file_path", "line", "rule_id"]
@@ -75,10 +76,13 @@ def dedupe(issues: DataFrame) -> DataFrame:
     return issues.groupBy(*KEY).agg(best).select(*KEY, "best.*")
 
 
-def counts_by_risk(issues: DataFrame) -> DataFrame:
-    """Issues of each project by level; levels without issues have 0. One row per project enters the second step."""
+def counts_by_risk(issues: DataFrame, projects: DataFrame | None = None) -> DataFrame:
+    """Issues of each project (of ``projects``, or those with issues) by level, a row for every level: those without issues have 0."""
     n = [F.count_if(F.col("risk_level") == r).alias(r) for r in L.RISKS]
-    return issues.groupBy("project_id").agg(*n).unpivot("project_id", list(L.RISKS), "risk_level", "n")
+    rows = issues.groupBy("project_id").agg(*n)
+    if projects is not None:
+        rows = projects.select("project_id").distinct().join(rows, "project_id", "left").fillna(0, list(L.RISKS))
+    return rows.unpivot("project_id", list(L.RISKS), "risk_level", "n")
 
 
 def counts_at_once(issues: DataFrame) -> DataFrame:
@@ -118,8 +122,9 @@ def tree_density(issues: DataFrame) -> DataFrame:
     """For every folder and file on the way to an issue, its issues and the worst level, with the project's largest count."""
     each = issues.select("project_id", F.explode(X.prefixes(X.normal_path(F.col("file_path")))).alias("path"), X.risk_rank(F.col("risk_level")).alias("rank"))
     stats = each.groupBy("project_id", "path").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("rank"))
-    most = F.max("n").over(Window.partitionBy("project_id"))
-    return stats.select("project_id", "path", "n", F.element_at(F.array(*map(F.lit, L.RISKS)), F.col("rank") + 1).alias("worst"), most.alias("most"))
+    stats = materialise(stats, "density")
+    most = stats.groupBy("project_id").agg(F.max("n").alias("most"))  # a row per project
+    return stats.join(most, "project_id").select("project_id", "path", "n", F.element_at(F.array(*map(F.lit, L.RISKS)), F.col("rank") + 1).alias("worst"), "most")
 
 
 def flagged(issues: DataFrame) -> DataFrame:
@@ -172,6 +177,11 @@ def latest(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*keys, "r.*")
 
 
+def ordered(issues: DataFrame) -> DataFrame:
+    """All issues with their place (nth) in the canonical order of their project: file, line, rule, first found."""
+    return issues.withColumn("nth", F.row_number().over(Window.partitionBy("project_id").orderBy(*ORDER, "pos")))
+
+
 def top(issues: DataFrame, n: int, *order: Column) -> DataFrame:
     """The first n issues of each project; Spark keeps n rows per task and group before the shuffle."""
     rn = F.row_number().over(Window.partitionBy("project_id").orderBy(*order))

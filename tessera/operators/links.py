@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from ..functions import lookups as L
 from ..functions import text as X
 
-# Words and hosts that speak for a demonstration page.
-KEYWORDS = ("demo", "live", "preview", "playground", "try it", "homepage")
+# Words and hosts that speak for a demonstration page, what each adds, and the least sum that counts.
+KEYWORDS = ("demo", "live", "preview", "playground", "在线演示", "在线预览", "演示地址", "体验地址", "线上演示", "访问演示", "预览地址", "try it", "homepage")
 HOSTS = ("github.io", "gitee.io", "vercel.app", "netlify.app", "pages.dev", "surge.sh", "herokuapp.com", "web.app", "firebaseapp.com")
+LABEL_WORDS = "demo|演示|预览|live|体验"
+REPOSITORY = r"^https?://(www\.)?github\.com/[^/]+/[^/]+/?$"
+KEYWORD, HOST, LABEL, SAME, REPO, RAW, MIRROR, LOCAL = 3, 6, 8, -20, -12, -8, -4, -15
 LEAST = 5
 
 
@@ -63,14 +66,17 @@ def in_markdown(lines: DataFrame) -> DataFrame:
     return rows.select("doc_id", "line", "text", F.regexp_replace("x.url", "[),.;]+$", "").alias("url"), "x.label")
 
 
-def score(links: DataFrame, line: str = "text") -> DataFrame:
-    """Links with a score that adds words, hosts and penalties."""
+def score(links: DataFrame, line: str = "text", source: str | None = None) -> DataFrame:
+    """Links with a score that adds words, hosts and penalties; ``source`` names a column with the address of the link's own repository."""
     every = F.lower(F.concat_ws(" ", "label", line, "url"))
     low = F.lower("url")
     point = lambda c, n: F.when(c, n).otherwise(0)
-    terms = [point(every.contains(k), 3) for k in KEYWORDS] + [point(low.contains(h), 6) for h in HOSTS]
-    terms += [point(F.lower("label").rlike("demo|preview|live"), 8), point(low.rlike(r"^https?://(www\.)?github\.com/[^/]+/[^/]+/?$"), -12)]
-    terms += [point(low.contains("raw.githubusercontent.com") | low.contains("/raw/"), -8), point(low.contains("gitee.com") & ~low.contains("gitee.io"), -4), point(low.rlike("localhost|127\\.0\\.0\\.1"), -15)]
+    terms = [point(every.contains(k), KEYWORD) for k in KEYWORDS] + [point(low.contains(h), HOST) for h in HOSTS]
+    terms += [point(F.lower("label").rlike(LABEL_WORDS), LABEL), point(low.rlike(REPOSITORY), REPO)]
+    terms += [point(low.contains("raw.githubusercontent.com") | low.contains("/raw/"), RAW), point(low.contains("gitee.com") & ~low.contains("gitee.io"), MIRROR), point(low.rlike("localhost|127\\.0\\.0\\.1"), LOCAL)]
+    if source is not None:
+        own = X.repo_key(F.col("url"))
+        terms.append(point(F.coalesce((own != "") & (own == X.repo_key(F.col(source))), F.lit(False)), SAME))
     return links.withColumn("score", reduce(lambda a, b: a + b, terms))
 
 

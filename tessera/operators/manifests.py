@@ -34,16 +34,36 @@ def conflicts(coords: DataFrame) -> DataFrame:
 
 
 def divergence(coords: DataFrame) -> DataFrame:
-    """Differing versions across files, if no file differs in itself: MEDIUM, at the first declaration, with where each stands."""
+    """Differing versions across files, if no file differs in itself: MEDIUM, at the first declaration.
+
+    Counts decide which dependencies diverge before any place is looked at.
+    """
     own = coords.filter(is_resolved(F.col("version")))
+    per_file = own.groupBy("project_id", "dep_id", "file_path").agg(
+        F.min("version").alias("low"), F.max("version").alias("high"), F.min(F.struct("ordinal", "line")).alias("at")
+    )
+    rows = per_file.groupBy("project_id", "dep_id").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), F.count(F.lit(1)).alias("files"), F.bool_or(F.col("low") != F.col("high")).alias("inside"),
+        F.min(F.struct("file_path", F.col("at.ordinal").alias("ordinal"), F.col("at.line").alias("line"))).alias("at"),
+    )
+    rows = rows.filter("low <> high and files >= 2 and not inside")
+    return rows.select("project_id", "dep_id", "at.file_path", "at.line", F.lit("MEDIUM").alias("risk_level"))
+
+
+def places(coords: DataFrame, found: DataFrame) -> DataFrame:
+    """Where the dependencies of ``found`` (project_id, dep_id) stand: a row (project_id, dep_id, nth, place) for each declaration with a version."""
     place = F.concat("dep_id", F.lit(":"), "version", F.lit(" ("), "file_path", F.lit(":"), F.col("line").cast("string"), F.lit(")"))
-    rows = own.groupBy("project_id", "dep_id").agg(
-        F.count_distinct("version").alias("versions"), F.count_distinct("file_path").alias("files"),
-        F.min_by(F.struct("file_path", "line"), F.struct(*ORDER)).alias("at"),
-        F.sort_array(F.collect_set(F.struct("file_path", "ordinal", place.alias("place")))).alias("places"),
-    ).filter("versions >= 2 and files >= 2")
-    rows = rows.join(conflicts(coords).select("project_id", "dep_id").distinct(), ["project_id", "dep_id"], "left_anti")
-    return rows.select("project_id", "dep_id", "at.file_path", "at.line", F.lit("MEDIUM").alias("risk_level"), F.array_join(F.array_distinct(F.transform("places", lambda x: x.place)), " / ").alias("locations"))
+    rows = coords.filter(is_resolved(F.col("version"))).join(found.select("project_id", "dep_id").distinct(), ["project_id", "dep_id"], "left_semi")
+    rows = rows.select("project_id", "dep_id", *ORDER, place.alias("place")).distinct()
+    nth = F.row_number().over(Window.partitionBy("project_id", "dep_id").orderBy(*ORDER, "place"))
+    return rows.select("project_id", "dep_id", nth.alias("nth"), "place")
+
+
+def locations(coords: DataFrame, found: DataFrame) -> DataFrame:
+    """Findings with their places as one text, in order; for reports, where a finding's places fit into a line."""
+    listed = places(coords, found).groupBy("project_id", "dep_id").agg(F.sort_array(F.collect_list(F.struct("nth", "place"))).alias("p"))
+    listed = listed.select("project_id", "dep_id", F.array_join(F.array_distinct(F.transform("p", lambda x: x.place)), " / ").alias("locations"))
+    return found.join(listed, ["project_id", "dep_id"], "left")
 
 
 def invalid(coords: DataFrame) -> DataFrame:
@@ -77,3 +97,53 @@ def requirements(files: DataFrame) -> DataFrame:
     name = F.regexp_replace(F.lower(F.regexp_extract(main, r"^([A-Za-z0-9._-]+)", 1)), "[-_.]+", "-")
     constraint = F.nullif(F.trim(F.regexp_replace(main, r"^[A-Za-z0-9._-]+\s*(\[[^\]]*\])?", "")), F.lit(""))
     return rows.select("project_id", "file_path", (F.col("line") + 1).alias("line"), name.alias("name"), constraint.alias("constraint"), marker.alias("marker"), "raw")
+
+
+# Operators of a version constraint, and the blocks that list packages.
+OPERATORS = ("==", ">=", "<=", "~=", "!=", ">", "<")
+NPM_BLOCKS = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
+
+
+def pinned_version(constraint: Column) -> Column:
+    """The version of a constraint that allows one only, else null."""
+    return F.nullif(F.regexp_extract(F.trim(constraint), r"^==\s*([0-9][0-9.]*)$", 1), F.lit(""))
+
+
+def legal_constraint(constraint: Column) -> Column:
+    """Whether a constraint is absent or begins with an operator."""
+    bare = F.trim(F.coalesce(constraint, F.lit("")))
+    return (bare == "") | bare.rlike("^(" + "|".join(OPERATORS) + ")")
+
+
+def requirement_findings(rows: DataFrame) -> DataFrame:
+    """What is wrong with requirements (project_id, file_path, line, name, constraint, marker).
+
+    MEDIUM for a line without a name or with an illegal operator; LOW for a
+    name and constraint declared twice in a file, at the second; for pinned
+    versions without a marker that differ HIGH in one file, at its second, or
+    else MEDIUM across files, at the first. (project_id, rule_id, risk_level,
+    file_path, line, name).
+    """
+    parsed = F.coalesce(F.col("name"), F.lit("")) != ""
+    keep = lambda df, rule, level: df.select("project_id", F.lit(rule).alias("rule_id"), F.lit(level).alias("risk_level"), "file_path", "line", "name")
+    wrong = rows.filter(~parsed | ~legal_constraint(F.col("constraint")))
+    own = ["project_id", "file_path", "name"]
+    good = rows.filter(parsed)
+    second = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("line")) == 2
+    twice = good.withColumn("second", second(*own, F.coalesce("constraint", F.lit("")))).filter("second")
+    pinned = good.withColumn("version", pinned_version(F.col("constraint"))).filter(F.col("version").isNotNull() & (F.coalesce(F.trim("marker"), F.lit("")) == ""))
+    per_file = pinned.groupBy(*own).agg(F.min("version").alias("low"), F.max("version").alias("high"), F.min("line").alias("line"))
+    per_name = per_file.groupBy("project_id", "name").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.bool_or(F.col("low") != F.col("high")).alias("inside"), F.min(F.struct("file_path", "line")).alias("at"))
+    differ = per_name.filter("low <> high")
+    across = differ.filter("not inside").select("project_id", "name", "at.*")
+    clash = pinned.withColumn("second", second(*own)).filter("second").join(per_file.filter("low <> high").select(*own), own)
+    return keep(wrong, "INVALID", "MEDIUM").unionByName(keep(twice, "DUPLICATE", "LOW")).unionByName(keep(clash, "CONFLICT", "HIGH")).unionByName(keep(across, "CONFLICT", "MEDIUM"))
+
+
+def npm_packages(files: DataFrame) -> DataFrame:
+    """Packages of package.json files (project_id, file_path, content): (block, name, version), versions without their prefix."""
+    parsed = F.from_json("content", ", ".join(f"`{b}` map<string, string>" for b in NPM_BLOCKS))
+    blocks = F.array(*[F.struct(F.lit(b).alias("block"), F.col(f"json.{b}").alias("packages")) for b in NPM_BLOCKS])
+    rows = files.withColumn("json", parsed).select("project_id", "file_path", F.explode(blocks).alias("b"))
+    rows = rows.select("project_id", "file_path", "b.block", F.explode("b.packages").alias("name", "raw"))
+    return rows.select("project_id", "file_path", "block", "name", F.nullif(F.trim(F.regexp_replace(F.trim("raw"), r"^[\^~>=<v\s]+", "")), F.lit("")).alias("version"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rejections after which a review ends without approval.
 MAX_ROUNDS = 5
@@ -80,10 +84,26 @@ def over_limit(requests: DataFrame, width: str = "1 second", limit: int = 100) -
 
 
 def cache_writes(lookups: DataFrame, seconds: int = 3600) -> DataFrame:
-    """Look-ups (key, ts, id) that begin an entry: the key's first, and any later than ``seconds`` after the one before."""
-    at = F.col("ts").cast("timestamp")
-    gap = at.cast("double") - F.lag(at).over(Window.partitionBy("key").orderBy("ts", "id")).cast("double")
-    return lookups.withColumn("gap", gap).filter(F.col("gap").isNull() | (F.col("gap") > seconds)).drop("gap")
+    """Look-ups (key, ts, id) that write an entry: the key's first, and the first later than ``seconds`` after the last write.
+
+    A key's look-ups pass through a task in order; only the time of its last
+    write is held.
+    """
+    schema = T.StructType([lookups.schema[c] for c in ("key", "ts", "id")])
+    rows = lookups.select("key", "ts", "id").repartition("key").sortWithinPartitions("key", "ts", "id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = written = None
+        for batch in batches:
+            keep = []
+            for key, ts in zip(batch["key"], batch["ts"], strict=True):
+                new = written is None or key != held or ts - written > pd.Timedelta(seconds=seconds)
+                if new:
+                    held, written = key, ts
+                keep.append(new)
+            yield batch[keep]
+
+    return rows.mapInPandas(run, schema)
 
 
 def task_states(events: DataFrame) -> DataFrame:
@@ -94,3 +114,11 @@ def task_states(events: DataFrame) -> DataFrame:
         F.max_by("event", order).alias("status"), F.min("ts").alias("started_at"), F.max(F.when(done, F.col("ts"))).alias("finished_at"), F.count(F.lit(1)).alias("events"),
     )
     return rows.withColumn("progress", F.when(F.col("status") == "SUCCESS", 100).when(F.col("status") == "FAILED", 0).otherwise(50))
+
+
+def listing(projects: DataFrame, user: Column | None = None, status: str = "READY") -> DataFrame:
+    """Projects (status, owner, created_at, others) that are ready, newest first; with a user above 0 those of that user and those of nobody."""
+    rows = projects.filter(F.col("status") == status)
+    if user is not None:
+        rows = rows.filter((user <= 0) | (F.col("owner") == user) | F.col("owner").isNull())
+    return rows.orderBy(F.desc("created_at"))

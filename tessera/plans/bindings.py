@@ -24,13 +24,14 @@ VIEWS = {
         CAST(l_partkey AS STRING) AS dep_id, CASE WHEN l_returnflag = 'N' THEN concat('$', '{{v}}') ELSE l_returnflag END AS version FROM {lineitem}""",
     "v_trade": """SELECT c_nationkey AS a, s_nationkey AS b, o_orderkey, CAST(l_linenumber AS BIGINT) AS pos FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey
         JOIN {customer} ON c_custkey = o_custkey JOIN {supplier} ON s_suppkey = l_suppkey""",
-    "v_flows": "SELECT CAST(a AS BIGINT) AS src, CAST(b AS BIGINT) AS dst, count(*) AS weight FROM {v_trade} AS t GROUP BY a, b",
-    # of all flows between nations, those above the average
-    "v_edges": "SELECT CAST(0 AS BIGINT) AS project_id, src, dst, weight FROM {v_flows} AS f WHERE weight > (SELECT avg(weight) FROM {v_flows} AS g)",
+    # each supplier uses up to seven others of its third, one for each place of an order line
+    "v_uses": """SELECT l_suppkey % 3 AS project_id, l_suppkey AS src, CAST(l_linenumber AS BIGINT) AS k, (min(l_partkey) % (SELECT count(*) FROM {supplier})) - (min(l_partkey) % (SELECT count(*) FROM {supplier})) % 3 + l_suppkey % 3 AS dst,
+        count(*) AS weight FROM {lineitem} GROUP BY l_suppkey, l_linenumber""",
+    "v_edges": "SELECT project_id, src, dst, CAST(sum(weight) AS BIGINT) AS weight FROM {v_uses} AS u GROUP BY project_id, src, dst",
     "v_calls": """SELECT CAST(0 AS BIGINT) AS project_id, concat('n', CAST(a AS STRING), '#m', CAST(o_orderkey % 3 AS STRING)) AS caller,
         concat('n', CAST(b AS STRING), '#m', CAST(pos % 3 AS STRING)) AS callee, concat('k', CAST(pos AS STRING)) AS kind, concat('p', CAST(o_orderkey % 5 AS STRING)) AS path,
         o_orderkey * 10 + pos AS pos FROM {v_trade} AS t""",
-    "v_modules": "SELECT CAST(0 AS BIGINT) AS project_id, CAST(n_nationkey AS BIGINT) AS type, CAST(n_regionkey AS BIGINT) AS module FROM {nation}",
+    "v_modules": "SELECT s_suppkey % 3 AS project_id, s_suppkey AS type, CAST(s_nationkey AS BIGINT) AS module FROM {supplier}",
     "v_reviews": """SELECT user_id AS session_key, ts, event_id AS id,
         CASE event_type WHEN 'purchase' THEN 'APPROVED' WHEN 'click' THEN 'REJECTED' WHEN 'error' THEN 'REJECTED' WHEN 'signup' THEN 'MODIFIED' ELSE 'PENDING' END AS decision
         FROM {events}""",

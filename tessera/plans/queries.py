@@ -122,9 +122,9 @@ def g24_batches(v):
     return issues.batches(by_file(v))
 
 
-@query("""SELECT project_id, pos, row_number() OVER (PARTITION BY project_id ORDER BY file_path, line, rule_id, pos) AS nth FROM {v_issues} QUALIFY nth <= 100""")
+@query("SELECT project_id, pos, row_number() OVER (PARTITION BY project_id ORDER BY file_path, line, rule_id, pos) AS nth FROM {v_issues}")
 def w1_issue_order(v):
-    return issues.top(v("v_issues"), 100, *map(F.col, [*issues.ORDER, "pos"])).select("project_id", "pos", "nth")
+    return issues.ordered(v("v_issues")).select("project_id", "pos", "nth")
 
 
 @query(f"SELECT project_id, pos, row_number() OVER (PARTITION BY project_id ORDER BY {RANK}, file_path, line, rule_id, pos) AS nth FROM {{v_issues}} QUALIFY nth <= 8")
@@ -173,11 +173,15 @@ def p12_validated(v):
     return good.select("pos", "rule_id", F.lit("valid").alias("kind")).unionByName(bad.select("pos", "rule_id", F.lit("rejected").alias("kind")))
 
 
-@query("""SELECT f.project_id, f.path AS file_path, i.line FROM {v_files} f JOIN (SELECT DISTINCT line FROM {v_issues}) i ON i.line BETWEEN 1 AND len(string_split(f.content, chr(10)))""")
+MARKED = "SELECT i.project_id, f.path AS file_path, i.line, i.pos FROM {v_issues} i JOIN {v_files} f ON f.project_id = i.project_id AND length(f.content) % 150 = i.pos % 150"
+
+
+@query("SELECT i.file_path, i.line, i.pos FROM (" + MARKED + ") i JOIN {v_files} f ON f.project_id = i.project_id AND f.path = i.file_path WHERE i.line BETWEEN 1 AND len(string_split(f.content, chr(10)))")
 def p13_line_marks(v):
     rows = v("v_files").withColumnRenamed("path", "file_path")
-    marks = rows.select("project_id", "file_path", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(49).cast("long"))).alias("line"))
-    return issues.line_marks(marks, rows)
+    sizes = rows.select("project_id", "file_path", (F.length("content") % 150).alias("slot"))
+    found = v("v_issues").drop("file_path").withColumn("slot", F.col("pos") % 150).join(sizes, ["project_id", "slot"])
+    return issues.line_marks(found, rows).select("file_path", "line", "pos")
 
 
 @query(f"""SELECT project_id, pos, concat('change ', file_path, ':', CAST(line AS STRING), ': ', description) AS advice FROM {{v_issues}}""")
@@ -336,11 +340,10 @@ def g2_f10_owner_edges(v):
     return graph.owner_edges(graph.method_edges(v("v_calls"))).select("src", "dst", "weight", F.array_join("paths", ",").alias("paths"))
 
 
-@query("""WITH e AS (SELECT DISTINCT caller AS src, callee AS dst FROM {v_calls} WHERE caller <> callee), o AS (SELECT src AS node, count(*) AS n_callees FROM e GROUP BY 1), i AS (SELECT dst AS node, count(*) AS n_callers FROM e GROUP BY 1)
-  SELECT node, coalesce(n_callees, 0) AS n_callees, coalesce(n_callers, 0) AS n_callers FROM o FULL JOIN i USING (node)""")
+@query("""SELECT DISTINCT caller AS node, 'callee' AS direction, callee AS other FROM {v_calls} WHERE caller <> callee UNION ALL
+  SELECT DISTINCT callee, 'caller', caller FROM {v_calls} WHERE caller <> callee""")
 def g3_neighbours(v):
-    n = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long")
-    return graph.neighbours(graph.method_edges(v("v_calls"))).select("node", n("callees").alias("n_callees"), n("callers").alias("n_callers"))
+    return graph.neighbours(graph.method_edges(v("v_calls"))).select("node", "direction", "other")
 
 
 @query("SELECT src, dst, CASE WHEN dst < 12 THEN 'own' ELSE 'other' END AS side FROM {v_edges}")
@@ -349,44 +352,54 @@ def j4_j5_split(v):
     return own.select("src", "dst", F.lit("own").alias("side")).unionByName(other.select("src", "dst", F.lit("other").alias("side")))
 
 
-@query("""SELECT a.module AS src, b.module AS dst, CAST(sum(weight) AS BIGINT) AS weight FROM {v_edges} e JOIN {v_modules} a ON a.type = e.src JOIN {v_modules} b ON b.type = e.dst WHERE a.module <> b.module GROUP BY ALL""")
+@query("""SELECT e.project_id, a.module AS src, b.module AS dst, CAST(sum(weight) AS BIGINT) AS weight FROM {v_edges} e JOIN {v_modules} a ON a.project_id = e.project_id AND a.type = e.src JOIN {v_modules} b ON b.project_id = e.project_id AND b.type = e.dst WHERE a.module <> b.module GROUP BY e.project_id, a.module, b.module""")
 def j7_g4_e3_module_edges(v):
-    return graph.module_edges(v("v_edges"), v("v_modules")).select("src", "dst", "weight")
+    return graph.module_edges(v("v_edges"), v("v_modules"))
 
 
-@query("""SELECT method FROM (SELECT 'n' || CAST(type AS STRING) || m AS method FROM {v_modules}, (SELECT unnest(['#m0', '#m9']) AS m) WHERE type % 2 = 0)
+@query("""SELECT method FROM (SELECT 'n' || CAST(type AS STRING) || m AS method FROM (SELECT n_nationkey AS type FROM {nation}), (SELECT unnest(['#m0', '#m9']) AS m) WHERE type % 2 = 0)
   WHERE method NOT IN (SELECT callee FROM {v_calls} WHERE caller <> callee)""")
 def j6_dead(v):
-    own = v("v_modules").select("project_id", F.explode(F.array(F.lit("#m0"), F.lit("#m9"))).alias("m"), "type")
+    own = v("nation").select(F.lit(0).cast("long").alias("project_id"), F.explode(F.array(F.lit("#m0"), F.lit("#m9"))).alias("m"), F.col("n_nationkey").alias("type"))
     methods = own.select("project_id", F.concat(F.lit("n"), F.col("type").cast("string"), "m").alias("method"), (F.col("type") % 2 == 0).alias("is_private"), F.lit(True).alias("has_body"), F.lit(False).alias("is_constructor"), F.lit(False).alias("is_callback"))
     return graph.dead(methods, graph.method_edges(v("v_calls"))).select("method")
 
 
-REACH = "WITH RECURSIVE r(a, b) AS (SELECT src, dst FROM {v_edges} WHERE src <> dst UNION SELECT r.a, e.dst FROM r JOIN {v_edges} e ON e.src = r.b WHERE e.src <> e.dst)"
-
-
-def loops(v: View) -> DataFrame:
-    return v("v_edges").filter("src <> dst")
+REACH = """WITH RECURSIVE r(p, a, b) AS (SELECT project_id, src, dst FROM {v_edges} WHERE src <> dst UNION SELECT r.p, r.a, e.dst FROM r JOIN {v_edges} e ON e.project_id = r.p AND e.src = r.b WHERE e.src <> e.dst),
+  c AS (SELECT x.p AS project_id, x.a AS node, least(x.a, min(x.b)) AS component FROM r x JOIN r y ON x.p = y.p AND x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.p, x.a)"""
 
 
-@query(REACH + """ SELECT x.a AS node, least(x.a, min(x.b)) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a""")
+@query(REACH + " SELECT * FROM c")
 def i2_components(v):
-    return graph.components(loops(v)).select("node", "component")
+    return graph.components(v("v_edges"))
 
 
-@query(None)
+@query(REACH + """, i AS (SELECT e.project_id, x.component, e.src, e.dst FROM {v_edges} e JOIN c x ON x.project_id = e.project_id AND x.node = e.src JOIN c y ON y.project_id = e.project_id AND y.node = e.dst
+    WHERE e.src <> e.dst AND x.component = y.component),
+  w(project_id, component, place, path, n) AS (SELECT DISTINCT project_id, component, component, [component], 0 FROM c
+    UNION ALL SELECT w.project_id, w.component, i.dst, list_append(min(w.path), i.dst), any_value(w.n) + 1 FROM w JOIN i ON i.project_id = w.project_id AND i.component = w.component AND i.src = w.place
+    WHERE w.n < 40 AND (w.n = 0 OR w.place <> w.component) GROUP BY w.project_id, w.component, i.dst)
+  SELECT project_id, component, CAST(min(n) AS BIGINT) AS length, array_to_string(arg_min(path, n), ' -> ') AS path FROM w WHERE n > 0 AND place = component GROUP BY ALL""")
 def i3_i4_cycles(v):
-    return graph.shortest_cycles(loops(v)).select("component", "length", "path")
+    return graph.shortest_cycles(v("v_edges")).select("project_id", "component", "length", "path")
 
 
-@query("SELECT dst AS node, count(DISTINCT src) AS dependents FROM {v_edges} GROUP BY 1 HAVING count(DISTINCT src) > 2")
+@query("""SELECT e.project_id, e.dst AS node, count(DISTINCT e.src) AS dependents, 'LOW' AS risk_level FROM {v_edges} e JOIN {v_modules} m ON m.project_id = e.project_id AND m.type = e.dst
+  WHERE m.module NOT IN (3, 4) GROUP BY ALL HAVING count(DISTINCT e.src) > 2""")
 def g8_fan_in(v):
-    return graph.fan_in(v("v_edges"), 2).select("node", "dependents")
+    return graph.overused(v("v_edges"), v("v_modules").filter("module not in (3, 4)").select("project_id", F.col("type").alias("node")), 2)
 
 
-@query(None)
+MODULES = """SELECT e.project_id, a.module AS src, b.module AS dst, CAST(sum(weight) AS BIGINT) AS weight FROM {v_edges} e JOIN {v_modules} a ON a.project_id = e.project_id AND a.type = e.src
+  JOIN {v_modules} b ON b.project_id = e.project_id AND b.type = e.dst WHERE a.module <> b.module GROUP BY e.project_id, a.module, b.module"""
+
+
+@query(f"""WITH m AS ({MODULES}), n AS (SELECT project_id, node, row_number() OVER (PARTITION BY project_id ORDER BY node) AS k FROM (SELECT project_id, src AS node FROM m UNION SELECT project_id, dst FROM m))
+  SELECT project_id, 'node' AS part, k AS nth, format('n{{{{}}}}["{{{{}}}}"]', k, node) AS line FROM n
+  UNION ALL SELECT m.project_id, 'edge', row_number() OVER (PARTITION BY m.project_id ORDER BY a.k, b.k), format('n{{{{}}}} -->|{{{{}}}}| n{{{{}}}}', a.k, weight, b.k)
+  FROM m JOIN n a ON a.project_id = m.project_id AND a.node = m.src JOIN n b ON b.project_id = m.project_id AND b.node = m.dst""")
 def i9_diagram(v):
-    return graph.diagram(graph.module_edges(v("v_edges"), v("v_modules")))
+    return graph.diagram_lines(graph.module_edges(v("v_edges"), v("v_modules")))
 
 
 @query("""WITH RECURSIVE u(type, up, d) AS (SELECT n_nationkey, n_nationkey, 0 FROM {nation} UNION ALL SELECT type, up // 2, d + 1 FROM u WHERE up > 0),
@@ -447,8 +460,9 @@ STACKED = "(SELECT project_id, pos, name, version, CASE WHEN name = 'small.ring'
 
 
 def stacked(v: View) -> DataFrame:
-    rules = v("region").select(F.explode(F.array(*[F.struct(F.lit(a).alias("prefix"), F.lit(b).alias("stack")) for a, b in (("small", "Small"), ("small.ring", "Ring"), ("red", "Red"))])).alias("r")).select("r.*").distinct()
-    return stack.by_longest_prefix(v("v_names"), rules)
+    names = v("v_names")
+    rules = names.sparkSession.createDataFrame([("small", "Small"), ("small.ring", "Ring"), ("red", "Red")], "prefix string, stack string")
+    return stack.by_longest_prefix(names, rules)
 
 
 @query(f"SELECT pos, name, stack FROM {STACKED}")
@@ -494,15 +508,22 @@ def g10_conflicts(v):
     return manifests.conflicts(v("v_coords"))
 
 
-@query(f"""WITH o AS (SELECT * FROM {{v_coords}} WHERE NOT starts_with(version, '$')), d AS (SELECT project_id, dep_id, count(DISTINCT version) AS versions, count(DISTINCT file_path) AS files FROM o GROUP BY ALL),
-  f AS (SELECT *, row_number() OVER (PARTITION BY project_id, dep_id ORDER BY file_path, ordinal) AS nth FROM o),
-  p AS (SELECT project_id, dep_id, string_agg(dep_id || ':' || version || ' (' || file_path || ':' || CAST(line AS STRING) || ')', ' / ' ORDER BY file_path, ordinal) AS locations FROM (SELECT DISTINCT * FROM o) GROUP BY ALL)
-  SELECT f.project_id, f.dep_id, f.file_path, f.line, 'MEDIUM' AS risk_level, locations FROM f JOIN d USING (project_id, dep_id) JOIN p USING (project_id, dep_id)
-  WHERE nth = 1 AND versions >= 2 AND files >= 2 AND (f.project_id, f.dep_id) NOT IN (SELECT (project_id, dep_id) FROM {IN_FILE} WHERE versions >= 2)""")
-def g11_g14_divergence(v):
+DIVERGING = f"""(SELECT f.project_id, f.dep_id, f.file_path, f.line FROM (SELECT *, row_number() OVER (PARTITION BY project_id, dep_id ORDER BY file_path, ordinal) AS nth FROM {{v_coords}} WHERE NOT starts_with(version, '$')) f
+  JOIN (SELECT project_id, dep_id FROM {{v_coords}} WHERE NOT starts_with(version, '$') GROUP BY ALL HAVING count(DISTINCT version) >= 2 AND count(DISTINCT file_path) >= 2) d USING (project_id, dep_id)
+  WHERE nth = 1 AND (f.project_id, f.dep_id) NOT IN (SELECT (project_id, dep_id) FROM {IN_FILE} WHERE versions >= 2))"""
+
+
+@query(f"SELECT *, 'MEDIUM' AS risk_level FROM {DIVERGING}")
+def g11_divergence(v):
     return manifests.divergence(v("v_coords"))
 
 
+@query(f"""SELECT project_id, dep_id, row_number() OVER (PARTITION BY project_id, dep_id ORDER BY file_path, ordinal, place) AS nth, place FROM (SELECT DISTINCT o.project_id, o.dep_id, o.file_path, o.ordinal,
+  o.dep_id || ':' || version || ' (' || o.file_path || ':' || CAST(o.line AS STRING) || ')' AS place FROM {{v_coords}} o JOIN {DIVERGING} d ON d.project_id = o.project_id AND d.dep_id = o.dep_id WHERE NOT starts_with(version, '$'))""")
+def g14_places(v):
+    return manifests.places(v("v_coords"), manifests.divergence(v("v_coords")))
+
+
 @query("SELECT project_id, file_path, dep_id, line, 'MEDIUM' AS risk_level FROM {v_coords} WHERE starts_with(version, '$')")
 def g12_f9_invalid(v):
     return manifests.invalid(v("v_coords"))
@@ -514,8 +535,8 @@ NAMED = "CASE {key} WHEN 'Brand#11' THEN 'One' WHEN 'Brand#22' THEN 'Two' WHEN '
 
 
 def named(v: View) -> DataFrame:
-    rules = v("region").select(F.explode(F.array(*[F.struct(F.lit(a).alias("name"), F.lit(b).alias("stack")) for a, b in (("Brand#11", "One"), ("Brand#22", "Two"), ("Brand#33", "Three"))])).alias("r")).select("r.*").distinct()
     names = v("v_names").select("project_id", "pos", F.col("version").alias("name"))
+    rules = names.sparkSession.createDataFrame([("Brand#11", "One"), ("Brand#22", "Two"), ("Brand#33", "Three")], "name string, stack string")
     return stack.by_name(names, rules)
 
 
@@ -529,8 +550,8 @@ def j11_j12_by_name(v):
   WHERE NOT EXISTS (SELECT 1 FROM r b WHERE starts_with(n.name, b.name) AND (length(b.name) > length(r.name) AND NOT EXISTS (SELECT 1 FROM r e WHERE e.name = n.name) OR b.name = n.name AND r.name <> n.name))""")
 def j10_exact_or_prefix(v):
     rules = [("small", "S"), ("small.ring", "Ring"), ("red", "Red"), ("red.b", "RedB")]
-    table = v("region").select(F.explode(F.array(*[F.struct(F.lit(a).alias("key"), F.lit(b).alias("stack")) for a, b in rules])).alias("r")).select("r.*").distinct()
-    return stack.by_exact_or_prefix(v("v_names"), table).select("pos", "name", "stack")
+    names = v("v_names")
+    return stack.by_exact_or_prefix(names, names.sparkSession.createDataFrame(rules, "key string, stack string")).select("pos", "name", "stack")
 
 
 @query("""WITH c AS (SELECT CASE {key} WHEN 'Ring' THEN 1 WHEN 'Small' THEN 2 WHEN 'Red' THEN 3 END AS place, * FROM (SELECT DISTINCT project_id, stack FROM {stacked} WHERE stack IS NOT NULL))
@@ -549,12 +570,16 @@ def x11_sections(v):
     return facts.sections(replies, r"[.!?][ \n]").filter("sections is not null").select("conv_id", "turn", F.array_join("sections", "|").alias("sections"))
 
 
-@query("""SELECT c.conv_id AS id, CAST(list_position(list_transform(list_zip(string_split(c.text, chr(10)), string_split(n.text, chr(10))), lambda p: p[1] IS DISTINCT FROM p[2]), true) AS INTEGER) AS start
-  FROM {conversations} c JOIN {conversations} n ON n.conv_id = c.conv_id AND c.turn = 0 AND n.turn = 1 WHERE c.text <> n.text""")
+@query("""WITH p AS (SELECT c.conv_id AS id, c.turn AS turn, string_split(c.text, chr(10)) AS a, string_split(n.text, chr(10)) AS b FROM {conversations} c JOIN {conversations} n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1),
+  h AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(a), len(b)) + 1), lambda k: a[k] <> b[k])) - 1, least(len(a), len(b))) AS head FROM p),
+  t AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(a), len(b)) - head + 1), lambda k: a[len(a) + 1 - k] <> b[len(b) + 1 - k])) - 1, least(len(a), len(b)) - head) AS tail FROM h)
+  SELECT id, turn, CAST(head + 1 AS INTEGER) AS start, array_to_string(a[head + 1 : len(a) - tail], chr(10)) AS removed, array_to_string(b[head + 1 : len(b) - tail], chr(10)) AS added FROM t
+  WHERE len(a) + len(b) - 2 * (head + tail) > 0""")
 def x14_diffs(v):
     c = v("conversations")
-    pairs = c.filter("turn = 0").select("conv_id", F.col("text").alias("before")).join(c.filter("turn = 1").select("conv_id", F.col("text").alias("after")), "conv_id")
-    return facts.diffs(pairs.withColumnRenamed("conv_id", "id")).select("id", "start")
+    pairs = c.select("conv_id", "turn", F.col("text").alias("before")).join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("after")), ["conv_id", "turn"])
+    rows = facts.diffs(pairs.select(F.struct("conv_id", "turn").alias("id"), "before", "after"))
+    return rows.select("id.conv_id", "id.turn", "start", F.array_join("removed", "\n").alias("removed"), F.array_join("added", "\n").alias("added")).withColumnRenamed("conv_id", "id")
 
 
 @query("""SELECT page_id, CASE WHEN trim(name) <> '' THEN name ELSE 'project' END AS name FROM (SELECT page_id, regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '([^/]*?)(\\.git|\\.zip)?$', 1) AS name FROM {pages})""")
@@ -582,14 +607,25 @@ def m7_m9_macro_average(v):
     return evaluate.macro_average(evaluate.metrics(v("v_expected"), v("v_observed")), "category")
 
 
-@query("SELECT 'few samples' AS problem, 'absent' AS subject UNION ALL SELECT 'repeated id', CAST(sample_id AS STRING) FROM {v_expected} GROUP BY sample_id HAVING count(*) > 1")
+@query("""SELECT 'few samples' AS problem, 'absent' AS subject UNION ALL SELECT 'repeated id', CAST(sample_id AS STRING) FROM {v_expected} GROUP BY sample_id HAVING count(*) > 1
+  UNION ALL SELECT 'contradictory documentation', CAST(sample_id AS STRING) FROM {v_expected} WHERE category = 'clean' AND documentation
+  UNION ALL SELECT 'minimum above maximum', CAST(sample_id AS STRING) FROM {v_expected} WHERE sample_id % 5 > 3""")
 def m8_problems(v):
-    return evaluate.problems(v("v_expected"), ["clean", "dirty", "absent"])
+    rows = v("v_expected").withColumns({"least": F.col("sample_id") % 5, "most": F.lit(3)})
+    return evaluate.problems(rows, ["clean", "dirty", "absent"], undocumented="clean")
 
 
-@query(f"""SELECT sample_id, format('{{{{}}}}: recall {{{{:.2f}}}}, false positives {{{{:.2f}}}}, rules {{{{:.2f}}}}', CAST(sample_id AS STRING), recall, false_positive_rate, rule_match) AS markdown FROM {METRIC_ROWS}""")
+@query(f"""SELECT sample_id, format('{{{{}}}}: recall {{{{:.2f}}}}, false positives {{{{:.2f}}}}, rules {{{{:.2f}}}}', CAST(sample_id AS STRING), recall, false_positive_rate, rule_match) AS markdown,
+  recall, rule_match, documentation_score FROM {METRIC_ROWS}""")
 def m12_reports(v):
-    return evaluate.reports(evaluate.metrics(v("v_expected"), v("v_observed"))).select("sample_id", "markdown")
+    rows = evaluate.reports(evaluate.metrics(v("v_expected"), v("v_observed")))
+    back = F.from_json("metrics", "recall double, rule_match double, documentation_score double")
+    return rows.select("sample_id", "markdown", back.alias("m")).select("sample_id", "markdown", "m.*")
+
+
+@query("SELECT category, row_number() OVER (PARTITION BY category ORDER BY sample_id) AS nth, sample_id FROM {v_expected}")
+def m9_by_category(v):
+    return evaluate.by_category(v("v_expected"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT session_key, decision, row_number() OVER (PARTITION BY session_key ORDER BY ts, id) AS n FROM {v_reviews}),
@@ -646,7 +682,9 @@ def t5_over_limit(v):
     return sessions.over_limit(v("events").select("ts", F.col("event_type").alias("route")), "1 hour", 4)
 
 
-@query("""SELECT key, id FROM (SELECT user_id AS key, event_id AS id, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM {events}) WHERE gap IS NULL OR gap > 3600""")
+@query("""WITH RECURSIVE e AS (SELECT user_id AS key, ts, min(event_id) AS id FROM {events} GROUP BY 1, 2), w(key, ts) AS (SELECT key, min(ts) FROM e GROUP BY 1
+    UNION ALL SELECT w.key, min(e.ts) FROM w JOIN e ON e.key = w.key AND e.ts > w.ts + INTERVAL 1 HOUR GROUP BY w.key)
+  SELECT e.key, e.id FROM w JOIN e ON e.key = w.key AND e.ts = w.ts""")
 def t4_cache_writes(v):
     return sessions.cache_writes(v("events").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"))).select("key", "id")
 
@@ -659,10 +697,11 @@ def t2_task_states(v):
     return sessions.task_states(rows).select("task_id", "status", "events", "progress")
 
 
-@query("SELECT o_orderkey, o_orderdate FROM {orders} WHERE o_orderstatus = 'F' AND (o_custkey = 7 OR o_orderpriority = '5-LOW')")
+@query("SELECT o_orderkey, o_orderdate FROM {orders} WHERE o_orderstatus = 'F' AND (o_custkey % 8 = 0 OR o_custkey % 8 = 7)")
 def p5_s5_listing(v):
-    rows = v("orders").filter((F.col("o_orderstatus") == "F") & ((F.col("o_custkey") == 7) | (F.col("o_orderpriority") == "5-LOW")))
-    return rows.select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"))
+    owner = F.when(F.col("o_custkey") % 8 > 0, F.col("o_custkey") % 8)  # customers of the eighth kind are nobody
+    rows = v("orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), owner.alias("owner"), F.col("o_orderdate").alias("created_at"))
+    return sessions.listing(rows, F.lit(7), "F").select("o_orderkey", F.col("created_at").alias("o_orderdate"))
 
 
 @query("""SELECT page_id, CASE WHEN url LIKE 'http%' THEN CASE WHEN regexp_matches(lower(regexp_extract(url, '://([^/?#]*)', 1)), '(^|\\.)example\\.com$') THEN NULL ELSE 'not allowed' END ELSE 'scheme' END AS reason,
@@ -683,9 +722,18 @@ def f14_repository_keys(v):
     return links.repository_keys(v("pages")).select("page_id", "repo_key")
 
 
-@query(None)
+LINKS = """(SELECT page_id, regexp_extract(link, 'href="([^"]*)"', 1) AS url, trim(regexp_extract(link, '>([^<]*)</a>', 1)) AS label, own FROM (SELECT page_id, url AS own,
+  unnest(regexp_extract_all(html, '<a\\s+href="[^"]*"[^>]*>[^<]*</a>')) AS link FROM {pages}))"""
+REPO_KEY = "CASE WHEN regexp_extract({u}, '^https?://([^/?#]*)', 1) = '' OR regexp_replace(regexp_extract({u}, '^https?://[^/?#]*([^?#]*)', 1), '/+$', '') = '' THEN '' ELSE lower(regexp_extract({u}, '^https?://([^/?#]*)', 1) || regexp_replace(regexp_extract({u}, '^https?://[^/?#]*([^?#]*)', 1), '/+$', '')) END"
+SCORED = f"""(SELECT page_id, url, label, {" + ".join(f"CASE WHEN contains(lower(label || ' ' || url), '{k}') THEN 3 ELSE 0 END" for k in links.KEYWORDS)} + {" + ".join(f"CASE WHEN contains(lower(url), '{h}') THEN 6 ELSE 0 END" for h in links.HOSTS)}
+  + CASE WHEN regexp_matches(lower(label), '{links.LABEL_WORDS}') THEN 8 ELSE 0 END + CASE WHEN contains(lower(url), '/raw/') THEN -8 ELSE 0 END
+  + CASE WHEN {REPO_KEY.replace("{u}", "url")} <> '' AND {REPO_KEY.replace("{u}", "url")} = {REPO_KEY.replace("{u}", "own")} THEN -20 ELSE 0 END AS score FROM {LINKS})"""
+
+
+@query(f"""SELECT page_id, url, label, score FROM {SCORED} QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, length(label) DESC, url, label) = 1 AND score >= -20""")
 def x9_w8_best_links(v):
-    return links.best(links.score(links.in_pages(v("pages")).withColumn("text", F.lit("demo live"))), "page_id")
+    found = links.in_pages(v("pages")).join(v("pages").select("page_id", F.col("url").alias("own")), "page_id")
+    return links.best(links.score(found, "label", "own"), "page_id", -20)
 
 
 @query("SELECT path, json_object('a', size, 'b', path) AS js FROM {v_files} WHERE size IS NOT NULL")
@@ -695,5 +743,9 @@ def f16_json(v):
 
 
 def entry(spark: SparkSession, folder: str) -> DataFrame:
-    """Text to counts: rules over lines, one row per issue, counts by project and level."""
-    return issues.counts_by_risk(hardcoded(partial(view, spark, folder)))
+    """Text to counts: rules over lines, one row per issue, counts by project and level, zeros included."""
+    v = partial(view, spark, folder)
+    return issues.counts_by_risk(hardcoded(v), v("v_files"))
+
+
+from . import code_queries  # noqa: E402, F401  (registers its queries beside these)

@@ -34,9 +34,22 @@ def live_counts(issues: DataFrame, width: str = "1 hour", late: str = "1 hour")
     return counts.select(F.col("window.start").alias("start"), "project_id", "risk_level", "n")
 
 
-def first_lookups(lookups: DataFrame, key: str = "key", valid: str = "1 hour") -> DataFrame:
-    """Look-ups that find no valid entry: repeats of a key within the time are dropped."""
-    return lookups.withWatermark("ts", valid).dropDuplicatesWithinWatermark([key])
+def cache_writes(lookups: DataFrame, seconds: int = 3600) -> DataFrame:
+    """Look-ups (key, ts, id) that write an entry, each valid so long after it is written; in order within a batch."""
+    key_type, id_type = (lookups.schema[c].dataType.simpleString() for c in ("key", "id"))
+
+    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        written = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        keep = []
+        rows = pd.concat(list(parts)).sort_values(["ts", "id"])
+        for ts in rows["ts"]:
+            new = written is None or ts - written > pd.Timedelta(seconds=seconds)
+            written = ts if new else written
+            keep.append(new)
+        state.update((int(written.value // 1000),))
+        yield rows[keep][["key", "ts", "id"]]
+
+    return lookups.groupBy("key").applyInPandasWithState(fold, f"key {key_type}, ts timestamp_ntz, id {id_type}" if lookups.schema["ts"].dataType.typeName() == "timestamp_ntz" else f"key {key_type}, ts timestamp, id {id_type}", "written long", "append", GroupStateTimeout.NoTimeout)
 
 
 def intake(tasks: DataFrame, pending: Callable[[], DataFrame], sink: Callable[[DataFrame], None], actions: tuple[str, ...], checkpoint: str):
@@ -75,3 +88,18 @@ def review_states(events: DataFrame) -> DataFrame:
 
     key_type = events.schema["session_key"].dataType.simpleString()
     return events.groupBy("session_key").applyInPandasWithState(fold, f"session_key {key_type}, {STATE}", STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def task_states(events: DataFrame) -> DataFrame:
+    """The state of each task after every batch: events (task_id, ts, id, event), status, start, end and progress; what ends a task lasts until it runs again."""
+    key_type = events.schema["task_id"].dataType.simpleString()
+    out = f"task_id {key_type}, status string, events long, progress int"
+
+    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, n = state.get if state.exists else (None, 0)
+        rows = pd.concat(list(parts)).sort_values(["ts", "id"])
+        last, n = rows["event"].iloc[-1], n + len(rows)
+        state.update((last, n))
+        yield pd.DataFrame({"task_id": [key[0]], "status": [last], "events": [n], "progress": [{"SUCCESS": 100, "FAILED": 0}.get(last, 50)]})
+
+    return events.groupBy("task_id").applyInPandasWithState(fold, out, "status string, events long", "update", GroupStateTimeout.NoTimeout)
