@@ -15,9 +15,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one where none is set (tests)."""
+    """The folder that the driver and all executors share, named by ``spark.checkpoint.dir``.
+
+    Where none is set a local session gets a temporary one (tests); on a
+    cluster that is an error, as executors would not see it.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -26,11 +32,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/tessera/{label}-{uuid.uuid4().hex}"
+    path = f"{own_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def own_dir(spark: SparkSession) -> str:
+    """The folder below the shared one in which this application's tables lie."""
+    return f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove the tables that this application has written to cut lineage; results that still read them must be written first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def replace_projects(rows: DataFrame, path: str) -> None:
     """Replace all rows of the projects that ``rows`` holds, and no others."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").parquet(path)

@@ -204,6 +204,15 @@ def test_no_sample_is_an_error(spark):
         evaluate.macro_average(spark.createDataFrame([], "category string, recall double, false_positive_rate double, architecture_accuracy double, rule_match double, documentation_score double"))
 
 
+def test_tables_of_an_application_are_removed(spark):
+    import os
+
+    kept = tables.materialise(spark.range(3), "three")
+    assert kept.count() == 3 and os.path.isdir(tables.own_dir(spark))
+    tables.clean(spark)
+    assert not os.path.exists(tables.own_dir(spark))
+
+
 def test_sinks(spark, tmp_path):
     path = str(tmp_path / "rows")
     rows = lambda *r: spark.createDataFrame(list(r), "project_id int, x int")
