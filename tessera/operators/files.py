@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +27,21 @@ def checksums(files: DataFrame) -> DataFrame:
     return files.withColumns({"checksum": F.sha2(F.col("content"), 256), "is_binary": F.instr(F.substring("content", 1, 8192), "\0") > 0})
 
 
+def decoded(files: DataFrame, content: str = "content") -> DataFrame:
+    """Files with their text: UTF-8, or GBK where the first 512 characters would not be valid; what neither can read is U+FFFD.
+
+    Only bytes that are not UTF-8 go through Python, in batches.
+    """
+
+    @F.pandas_udf("string")
+    def gbk(found: pd.Series) -> pd.Series:
+        return found.map(lambda b: None if b is None else bytes(b).decode("gbk", "replace"))
+
+    text = F.make_valid_utf8(F.col(content).cast("string"))
+    broken = F.contains(F.substring(text, 1, 512), F.lit("\ufffd"))
+    return files.withColumn("text", F.coalesce(gbk(F.when(broken, F.col(content))), text))
+
+
 def tree(files: DataFrame, deepest: int | None = None) -> DataFrame:
     """Folder and file nodes: (project_id, path, parent_path, name, node_type, depth), folders first, then by name, in ``nth`` among siblings."""
     folders = files.select("project_id", F.explode(X.prefixes(F.col("path"), keep_self=False)).alias("path")).distinct().withColumn("node_type", F.lit("DIR"))

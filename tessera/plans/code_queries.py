@@ -254,3 +254,46 @@ def x10_last_actions(v):
     content = F.when(F.col("k") % 2 == 0, text("say @@ACTIONS[] and then @@ACTIONS", listed)).otherwise("no actions")
     rows = facts.last_actions(v("v_uses").select((F.col("src") * 10 + F.col("k")).alias("id"), content.alias("content")), "@@ACTIONS", ["OPEN", "FIX"])
     return rows.select("id", F.array_join(F.transform("actions", lambda a: F.concat(a.type, F.lit(":"), a.target)), ",").alias("actions"))
+
+
+def poms(v: View) -> DataFrame:
+    """A pom for each supplier: a parent, properties, and a dependency for each use; places of the third kind name a property, of the fourth one that is not there."""
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    k = F.col("k")
+    version = F.when(k % 4 == 2, text("${v.", k, "}")).when(k % 4 == 3, "${none}").otherwise(text(F.col("weight"), ".0"))
+    dependency = text("<dependency>\n<groupId>g", k, "</groupId>\n<artifactId>s", F.col("dst"), "</artifactId><version>", version, "</version></dependency>\n")
+    prop = F.when(k % 4 == 2, text("<v.", k, ">", F.col("weight"), ".5</v.", k, ">\n")).otherwise("")
+    joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", c.alias("c")))), lambda x: x.c), "")  # noqa: E731  (seven at most)
+    rows = v("v_uses").groupBy("project_id", "src").agg(joined(prop).alias("p"), joined(dependency).alias("d"))
+    content = text("<project>\n<properties>\n", F.col("p"), "</properties>\n", F.col("d"), "<parent><groupId>top</groupId><artifactId>a</artifactId><version>1</version></parent>\n</project>")
+    return rows.select("project_id", text(F.col("src"), "/pom.xml").alias("file_path"), content.alias("content"))
+
+
+@query("""WITH u AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY k) AS nth, count(*) FILTER (k % 4 = 2) OVER (PARTITION BY src) AS props, count(*) OVER (PARTITION BY src) AS deps FROM {v_uses})
+  SELECT project_id, src || '/pom.xml' AS file_path, CAST(nth AS BIGINT) AS ordinal, CAST(4 + props + 3 * (nth - 1) AS BIGINT) AS line, 'g' || k || ':s' || dst AS dep_id,
+    CASE k % 4 WHEN 2 THEN weight || '.5' WHEN 3 THEN '$' || '{{none}}' ELSE weight || '.0' END AS version FROM u
+  UNION ALL SELECT DISTINCT project_id, src || '/pom.xml', 0, 4 + props + 3 * deps, 'top:a', '1' FROM u""")
+def x5_x6_maven_coordinates(v):
+    rows = manifests.maven_coordinates(poms(v))
+    return rows.select("project_id", "file_path", F.col("ordinal").cast("long").alias("ordinal"), F.col("line").cast("long").alias("line"), "dep_id", "version")
+
+
+@query("""WITH u AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY k) AS nth FROM {v_uses})
+  SELECT project_id, src || '/requirements.txt' AS file_path, CAST(2 * nth AS BIGINT) AS line, 's-' || dst AS name, CASE WHEN k % 3 = 0 THEN '==' || weight WHEN k % 3 = 1 THEN '>=' || k END AS spec, CASE WHEN k % 2 = 0 THEN 'os > ' || k END AS marker FROM u""")
+def x7_requirements(v):
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    k = F.col("k")
+    spec = F.when(k % 3 == 0, text("[extra]==", F.col("weight"))).when(k % 3 == 1, text(" >=", k)).otherwise("")
+    line = text("# note\nS._", F.col("dst"), spec, F.when(k % 2 == 0, text(" ; os > ", k)).otherwise(""), "  # why\n")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", line.alias("c")))), lambda x: x.c), "")  # seven at most
+    rows = v("v_uses").groupBy("project_id", "src").agg(joined.alias("content"))
+    found = manifests.requirements(rows.select("project_id", text(F.col("src"), "/requirements.txt").alias("file_path"), text(F.col("content"), "-r more.txt\n\n").alias("content")))
+    return found.select("project_id", "file_path", F.col("line").cast("long").alias("line"), "name", F.col("constraint").alias("spec"), "marker")
+
+
+@query(f"""WITH f AS (SELECT *, 'n' || n || '/S' || src || '.java' AS file_path FROM {S}), r AS (SELECT *, CASE WHEN ends_with(file_path, '/S7.java') THEN 0 WHEN contains(lower(file_path), 's7') THEN 1 ELSE 2 END AS rank FROM f),
+  t AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY rank, file_path) AS nth FROM r), h AS (SELECT src, min(line) AS line FROM (SELECT u.src, CASE WHEN k % 4 = 0 THEN 2 + i ELSE 999 END AS line
+    FROM (SELECT u.*, (SELECT count(*) FROM {U} x WHERE x.src = u.src AND x.k % 4 = 0 AND x.k < u.k) AS i FROM {U} u WHERE u.dst = 7 AND u.k % 4 < 2) u) GROUP BY 1)
+  SELECT project_id, arg_min(file_path, rank * 1000 + nth) AS file_path FROM t WHERE nth <= 48 AND (src = 7 OR src IN (SELECT src FROM h) OR src IN (14, 15)) GROUP BY 1""")
+def w7_best_symbol(v):
+    return facts.best_symbol(facts.lines(sources(v)), "S7").select("project_id", "file_path")

@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import code, evaluate, facts, graph, issues, manifests, sessions
+from tessera.operators import code, evaluate, facts, files, graph, issues, manifests, sessions
 from tessera.sources import archives, tables
 from tessera.streaming import streams
 
@@ -213,6 +213,13 @@ def test_tables_of_an_application_are_removed(spark):
     assert not os.path.exists(tables.own_dir(spark))
 
 
+def test_charsets(spark):
+    rows = [(1, "plain é".encode()), (2, "中文代码".encode("gbk")), (3, None), (4, b""), (5, ("x" * 600).encode() + b"\xff")]
+    df = spark.createDataFrame(rows, "id int, content binary")
+    got = {r.id: r.text for r in files.decoded(df).collect()}
+    assert got == {1: "plain é", 2: "中文代码", 3: None, 4: "", 5: "x" * 600 + "\ufffd"}
+
+
 def test_sinks(spark, tmp_path):
     path = str(tmp_path / "rows")
     rows = lambda *r: spark.createDataFrame(list(r), "project_id int, x int")
