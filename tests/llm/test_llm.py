@@ -201,3 +201,11 @@ def test_pipeline(spark, tmp_path, texts):
     ids = {r.doc_id for r in rows}
     assert rows and all(n >= 20 for n in (len((texts[i] or "").split()) for i in ids)) and len(texts) - 1 not in ids
     assert sorted(r.start for r in rows)[0] == 0
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    docs(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
