@@ -1,22 +1,24 @@
 """Helpers that the training-data operators share.
 
 Everything here keeps data on the executors: tables that cut lineage are
-written below the shared folder named by ``spark.checkpoint.dir``, and small tables are broadcast only after their rows have been
-counted against a bound.
+written below the shared folder named by ``spark.checkpoint.dir``, and tables
+are broadcast only after their rows have been counted against a bound.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import materialise, shared_dir
+
+__all__ = ["materialise", "shared_dir", "small", "by_key", "plus", "word_count", "as_bytes", "flat", "summed", "slices", "components"]
+
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a table counts as small enough to broadcast.
@@ -25,24 +27,6 @@ BROADCAST_ROWS = 50_000
 OFTEN = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: the lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows; otherwise as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -93,7 +77,7 @@ def summed(marks: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(marks, dtype=np.int64)])[offsets])
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a piece holds about ``most`` bytes of ``column``, or one row."""
     for batch in batches:
         if not batch.num_rows:
