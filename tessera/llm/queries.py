@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, pii, quality_model, quality_rules, repeats, secret_scan, simhash, token_store, url_filter
+from . import decontam, mixing, ngram_join, periodic, pii, quality_model, quality_rules, repeats, secret_scan, simhash, spelling, token_store, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,8 +58,20 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_store(table(spark, sf_dir, "documents"), tokenizer()).drop("stored_bytes")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.vocabulary(table(spark, sf_dir, "documents"), every=31))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.periodic_runs(table(spark, sf_dir, "documents"), change=periodic.tail_repeated))
+
+
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_decontamination, op3_quality_model, op4_personal_data, op5_quality_rules, op6_mixing, op7_simhash, op8_url_filter, op9_repeated_passages, op10_token_store)
+    for f in (op1_secret_scan, op2_decontamination, op3_quality_model, op4_personal_data, op5_quality_rules, op6_mixing, op7_simhash, op8_url_filter, op9_repeated_passages, op10_token_store, op11_spelling_variants, op12_periodic_runs, op13_ngram_join)
 }
 ORACLES: dict[str, str] = {"op8_url_filter": url_filter.oracle()}
