@@ -1,11 +1,16 @@
 """Facts of source files: types, methods, variables and call sites, by Spark jobs over segments of text.
 
-Files are (project_id, file_path, content). A file's text, with strings and
-comments blanked, falls into segments that end in a brace or semicolon. Running
-counts over the segments of a file tell how deep each lies and which type and
-method it belongs to; patterns over a segment tell what it declares or calls.
-There is no grammar: code that patterns can't tell from other code (such as
-annotation bodies with braces) is read as it looks.
+Files are (project_id, file_path, content). A file's text falls into tokens
+(strings, text blocks, characters, comments, code), each with its place. With
+strings and comments blanked and the arguments of annotations taken out, it
+falls into segments that end in a brace or semicolon. A segment that ends in an
+opening brace begins a scope: a type, a method, the body of an anonymous class
+or of an enum constant, or another block (a lambda, a statement, an array).
+Running counts over the segments of a file tell how deep each lies and which
+scopes are around it; patterns over a segment tell what it declares or calls.
+There is no grammar: brackets in arguments of annotations or of anonymous
+classes are told to a depth of four, and an anonymous class whose arguments
+hold a block themselves is read as a plain block.
 """
 
 from __future__ import annotations
@@ -27,22 +32,74 @@ NOT_CALLED = ("if", "for", "while", "switch", "catch", "synchronized", "return",
 NOT_TYPES = ("return", "throw", "new", "else", "case", "package", "import", "goto", "assert", "instanceof", "throws")
 INITIALIZER, CONSTRUCTOR = "<initializer>", "<init>"
 
-TOKENS = r"""(?s)"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|//[^\n]*|/\*.*?(?:\*/|$)|[^"'/]+|."""
+# loops are possessive, so that long strings and comments need no stack
+TEXT_BLOCK = r'"""[^"\\]*+(?:(?:\\.|"(?!""))[^"\\]*+)*+(?:"""|\z)'
+TOKENS = rf"""(?s){TEXT_BLOCK}|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|//[^\n]*|/\*.*?(?:\*/|$)|[^"'/]+|."""
+
+
+def nested(depth: int = 4) -> str:
+    """A pattern of a pair of round brackets with others in it."""
+    inner = r"[^()]*+"
+    for _ in range(depth):
+        inner = rf"[^()]*+(?:\({inner}\)[^()]*+)*+"
+    return rf"\({inner}\)"
+
+
 TYPE = r"(?s)(?:^|\s)(class|interface|enum|record|@interface)\s+(\w+)"
 MODIFIER = rf"\b({'|'.join(MODIFIERS)})\b"
 ANNOTATION = r"@(?!interface\b)([\w.]+)"
 NAMED = r"[A-Za-z_][\w.]*(?:\s*<[^;{}()=]*>)?(?:\s*\[\s*\])*"
 METHOD = rf"(?s)^(?:(?:<[^()]*>\s*)?({NAMED})\s+)?([A-Za-z_]\w*)\s*\(([^()]*)\)\s*(?:throws\s+([\w.,\s]+?))?\s*$"
+ANNOTATED = rf"@(?!interface\b)[\w.]+\s*{nested()}|[^@]+|@"
+CONSTANT = rf"[A-Za-z_]\w*\s*(?:{nested()})?"
+CONSTANTS = rf"(?s)^,?\s*{CONSTANT}(?:\s*,\s*{CONSTANT})*\s*,?$"
+ANONYMOUS = rf"(?s)\bnew\s+[\w.]+(?:\s*<[^;{{}}()=]*>)?\s*{nested()}$"
 CREATED = r"\bnew\s+([\w.]+)(?:\s*<[^<>()]*>)?\s*\("
 CALL = r"(?:(?:\bnew\s+[\w.]+(?:\s*<[^<>()]*>)?\s*\([^()]*\)|[\w.]+|[)\]\x22])\s*\.\s*)?(?:<[^<>()]*>\s*)?(?:\bnew\s+)?\b\w+\s*\(|[\w.]+\s*::\s*\w+"
 VARIABLE = rf"(?:^|[(,;\s])({NAMED})(?:\s*\.\.\.)?\s+([A-Za-z_]\w*)\s*(?:=(?!=)|;|,|\)|:|$)"
 
 
+def only_lines(text: Column) -> Column:
+    return F.regexp_replace(text, "[^\n]", "")
+
+
+def kind_of(token: Column) -> Column:
+    """What a token is: TEXT_BLOCK, STRING, CHARACTER, COMMENT or CODE."""
+    return (
+        F.when(token.startswith('"""') & (F.length(token) > 3), "TEXT_BLOCK")
+        .when(token.startswith('"') & (F.length(token) > 1), "STRING")
+        .when(token.startswith("'") & (F.length(token) > 1), "CHARACTER")
+        .when(token.startswith("//") | token.startswith("/*"), "COMMENT")
+        .otherwise("CODE")
+    )
+
+
+def tokens(files: DataFrame) -> DataFrame:
+    """Tokens of files: nth, kind, text, start (code points before it), line and column (of its beginning, from 1)."""
+    rows = files.select(*FILE, F.posexplode(F.regexp_extract_all("content", F.lit(TOKENS), F.lit(0))).alias("nth", "text"))
+    before = Window.partitionBy(*FILE).orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    newlines = F.length(only_lines(F.col("text")))
+    start = F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))
+    # where the last line before a token begins: behind the last newline of the tokens before
+    breaks = F.when(newlines > 0, F.col("start") + F.length("text") - F.length(F.substring_index("text", "\n", -1)))
+    rows = rows.withColumns({"start": start, "line": F.coalesce(F.sum(newlines).over(before), F.lit(0)) + 1})
+    column = F.col("start") - F.coalesce(F.max(breaks).over(before), F.lit(0)) + 1
+    return rows.select(*FILE, "nth", kind_of(F.col("text")).alias("kind"), "text", "start", F.col("line").cast("int").alias("line"), column.alias("column"))
+
+
+def literals(files: DataFrame) -> DataFrame:
+    """String literals of files as (project_id, file_path, line, column, kind, text), without their quotes; escapes stay as they are written."""
+    rows = tokens(files).filter(F.col("kind").isin("STRING", "TEXT_BLOCK"))
+    bare = F.when(F.col("kind") == "STRING", F.regexp_extract("text", r'(?s)^"(.*)"$', 1)).otherwise(F.regexp_extract("text", r'(?s)^"""(.*?)(?:""")?\z', 1))
+    return rows.select(*FILE, "line", "column", "kind", bare.alias("text"))
+
+
 def blanked(content: Column) -> Column:
     """Source text without what stands in strings and comments; lines stay where they are."""
     blank = lambda t: (
-        F.when(t.startswith("/*"), F.regexp_replace(t, "[^\n]", ""))
+        F.when(t.startswith("/*"), only_lines(t))
         .when(t.startswith("//"), F.lit(""))
+        .when(t.startswith('"""') & (F.length(t) > 3), F.concat(F.lit('""'), only_lines(t)))
         .when(t.startswith('"') & (F.length(t) > 1), F.lit('""'))
         .when(t.startswith("'") & (F.length(t) > 1), F.lit("0"))
         .otherwise(t)
@@ -50,13 +107,19 @@ def blanked(content: Column) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(content, F.lit(TOKENS), F.lit(0)), blank), "")
 
 
+def without_arguments(text: Column) -> Column:
+    """Blanked text without the arguments of annotations; lines stay where they are."""
+    bare = lambda t: F.when(t.rlike(r"^@[\w.]"), F.concat(F.regexp_extract(t, r"^@[\w.]+", 0), F.lit(" "), only_lines(t))).otherwise(t)
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(ANNOTATED), F.lit(0)), bare), "")
+
+
 def matches(text: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
 def segments(files: DataFrame) -> DataFrame:
     """Segments of files: seq, head (text before the end), mark ({, } or ;), depth (before it), line (where its text begins)."""
-    parts = F.regexp_extract_all(blanked(F.col("content")), F.lit(r"[^{};]*[{};]"), F.lit(0))
+    parts = F.regexp_extract_all(without_arguments(blanked(F.col("content"))), F.lit(r"[^{};]*[{};]"), F.lit(0))
     rows = files.select(*FILE, F.posexplode(parts).alias("seq", "text"))
     before = Window.partitionBy(*FILE).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     mark = F.right("text", F.lit(1))
@@ -138,19 +201,8 @@ def facts(files: DataFrame) -> Facts:
     name in a file. Calls outside methods belong to ``<initializer>``.
     """
     segs = materialise(segments(files), "segments")
-    is_type = F.col("head").rlike(TYPE)
-    rows = opened(segs.withColumn("is_type", is_type & (F.col("mark") == "{")), F.col("is_type"), "type_seq")
-    of_type = segs.filter(is_type & (F.col("mark") == "{")).select(*FILE, F.col("seq").alias("type_seq"), F.col("depth").alias("type_depth"), F.regexp_extract("head", TYPE, 2).alias("type_name"))
-    rows = rows.join(of_type, [*FILE, "type_seq"], "left")
-
-    # what stands directly in a type and looks like a method
-    declared = F.trim(F.regexp_replace(F.regexp_replace("head", r"@[\w.]+(\s*\([^()]*\))?\s*", ""), rf"^(?:(?:{'|'.join(MODIFIERS)})\s+)+", ""))
-    rows = rows.withColumn("declared", declared)
-    direct = (F.col("depth") == F.col("type_depth") + 1) & ~F.col("is_type") & F.col("mark").isin("{", ";")
+    rows = materialise(scopes(segs), "enclosed")
     returns, name = F.regexp_extract("declared", METHOD, 1), F.regexp_extract("declared", METHOD, 2)
-    named = F.col("declared").rlike(METHOD) & ~name.isin(*NOT_CALLED) & ~returns.isin(*NOT_TYPES) & ((returns != "") | (name == F.col("type_name")))
-    rows = rows.withColumn("is_method", F.coalesce(direct & named, F.lit(False)))
-    rows = materialise(opened(rows, F.col("is_method"), "method_seq"), "enclosed")
 
     package = packages(segs)
     types = qualified_types(segs, rows, package)
@@ -171,6 +223,34 @@ def facts(files: DataFrame) -> Facts:
     return Facts(types, methods.drop("seq"), call_sites(members, methods, variables), imports(segs), package, variables)
 
 
+def scopes(segs: DataFrame) -> DataFrame:
+    """Segments with the scopes around them: type_seq (the innermost type), body_seq (the innermost type or anonymous body) and method_seq (the innermost method).
+
+    Beside them is_type, is_body, is_method (what a segment begins or, without
+    a body, declares), is_constants (constants of an enum) and declared (the
+    segment without annotations and modifiers). A method stands directly in the
+    body of a type, of an anonymous class or of an enum constant.
+    """
+    is_type = F.col("head").rlike(TYPE) & (F.col("mark") == "{")
+    rows = opened(segs.withColumn("is_type", is_type), F.col("is_type"), "type_seq")
+    of_type = segs.filter(is_type).select(*FILE, F.col("seq").alias("type_seq"), F.col("depth").alias("type_depth"), F.regexp_extract("head", TYPE, 2).alias("type_name"), (F.regexp_extract("head", TYPE, 1) == "enum").alias("in_enum"))
+    rows = rows.join(of_type, [*FILE, "type_seq"], "left")
+    declared = F.trim(F.regexp_replace(F.regexp_replace("head", r"@[\w.]+(\s*\([^()]*\))?\s*", ""), rf"^(?:(?:{'|'.join(MODIFIERS)})\s+)+", ""))
+    rows = rows.withColumn("declared", declared)
+    returns, name = F.regexp_extract("declared", METHOD, 1), F.regexp_extract("declared", METHOD, 2)
+    constants = F.col("in_enum") & (F.col("depth") == F.col("type_depth") + 1) & (F.col("head") != "static") & (name != F.col("type_name")) & F.col("head").rlike(CONSTANTS)
+    rows = rows.withColumn("is_constants", F.coalesce(constants, F.lit(False)))
+    is_body = F.col("is_type") | ((F.col("mark") == "{") & (F.col("is_constants") | F.col("head").rlike(ANONYMOUS)))
+    rows = rows.withColumn("is_body", is_body)
+    bodies = rows.filter("is_body").select(*FILE, F.col("seq").alias("body_seq"), F.col("depth").alias("body_depth"))
+    rows = opened(rows, F.col("is_body"), "body_seq").join(bodies, [*FILE, "body_seq"], "left")
+    direct = (F.col("depth") == F.col("body_depth") + 1) & ~F.col("is_body") & ~F.col("is_constants") & F.col("mark").isin("{", ";")
+    own = (name == F.col("type_name")) & (F.col("body_seq") == F.col("type_seq"))
+    named = F.col("declared").rlike(METHOD) & ~name.isin(*NOT_CALLED) & ~returns.isin(*NOT_TYPES) & ((returns != "") | own)
+    rows = rows.withColumn("is_method", F.coalesce(direct & named, F.lit(False)))
+    return opened(rows, F.col("is_method"), "method_seq")
+
+
 def qualified_types(segs: DataFrame, rows: DataFrame, package: DataFrame) -> DataFrame:
     """Types with qualified names; a nested one is named by the types around it, which are looked up until none is left."""
     head = F.col("head")
@@ -221,7 +301,10 @@ def call_sites(members: DataFrame, methods: DataFrame, variables: DataFrame) ->
     """Call sites of segments that lie in types, with what their receiver is and, where it can be told, its type."""
     of = methods.select(*FILE, F.col("seq").alias("method_seq"), F.col("name").alias("caller_method"))
     text = F.regexp_replace("head", r"@[\w.]+(\s*\([^()]*\))?", " ")
+    text = F.when(F.col("is_constants"), F.regexp_replace(text, r"(^|,)\s*[A-Za-z_]\w*\s*(?=\(|,|$)", "$1 ")).otherwise(text)
     rows = members.filter("not is_type and not is_method").join(of, [*FILE, "method_seq"], "left")
+    # a type within a method begins anew: what is in none of its own methods belongs to its initializer
+    rows = rows.withColumn("caller_method", F.when(F.col("method_seq") > F.col("type_seq"), F.col("caller_method")))
     rows = rows.select(*FILE, F.col("owner").alias("caller_owner"), F.coalesce("caller_method", F.lit(INITIALIZER)).alias("caller_method"), "line", "seq", F.posexplode(F.concat(matches(text, CREATED, 0), F.filter(matches(text, CALL, 0), lambda c: ~c.rlike(r"^new\s+\w+\s*\($")))).alias("nth", "call"))
     created = F.regexp_extract("call", rf"^{CREATED}$", 1)
     reference = F.regexp_extract("call", r"^([\w.]+)\s*::\s*(\w+)$", 1)

@@ -6,9 +6,11 @@ observed: (sample_id, detected, layers_seen, documented). Lists are arrays.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import ranked
+
 METRICS = ("recall", "false_positive_rate", "architecture_accuracy", "rule_match", "documentation_score")
 
 
@@ -67,8 +69,7 @@ def problems(expected: DataFrame, categories: list[str], least: int = 3, undocum
 
 def by_category(expected: DataFrame) -> DataFrame:
     """Samples of each category, numbered: (category, nth, sample_id)."""
-    nth = F.row_number().over(Window.partitionBy("category").orderBy("sample_id"))
-    return expected.select("category", nth.alias("nth"), "sample_id")
+    return ranked(expected.select("category", "sample_id"), ["category"], ["sample_id"])
 
 
 def reports(rows: DataFrame) -> DataFrame:

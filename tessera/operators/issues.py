@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import lookups as L
 from ..functions import text as X
 from ..sources.tables import materialise
+from . import code
+from .ranks import ranked
 
 KEY = ["project_id", "rule_id", "file_path", "line", "description"]
 ORDER = ["file_path", "line", "rule_id"]
@@ -66,6 +68,18 @@ def line_issues(lines: DataFrame) -> DataFrame:
     )
 
 
+def literal_issues(files: DataFrame) -> DataFrame:
+    """The same of the string literals of source files, each with the literal as ``trigger``; text blocks hold line breaks and are never one value."""
+    rows = code.literals(files).filter("kind = 'STRING'").withColumn("trigger", F.concat(F.lit('"'), "text", F.lit('"')))
+    level = F.when(F.col("text").rlike(L.CREDENTIAL), "HIGH").when(F.col("text").rlike(L.CONNECTION), "MEDIUM")
+    found = rows.withColumn("risk_level", level).filter("risk_level is not null")
+    text = F.when(F.col("risk_level") == "HIGH", "credential in a literal").otherwise("connection string in a literal")
+    return found.select(
+        "project_id", F.lit("HARDCODED-VALUE").alias("rule_id"), F.lit("HARDCODED").alias("category"), "risk_level", "file_path", "line", text.alias("description"),
+        (F.col("line").cast("long") * 1_000_000 + F.col("column")).alias("pos"), "trigger",
+    )
+
+
 def union(parts: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -179,7 +193,7 @@ def latest(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 def ordered(issues: DataFrame) -> DataFrame:
     """All issues with their place (nth) in the canonical order of their project: file, line, rule, first found."""
-    return issues.withColumn("nth", F.row_number().over(Window.partitionBy("project_id").orderBy(*ORDER, "pos")))
+    return ranked(issues, ["project_id"], [*ORDER, "pos"])
 
 
 def top(issues: DataFrame, n: int, *order: Column) -> DataFrame:

@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import ranked
+
 ORDER = ("file_path", "ordinal")
 
 
+def has_version(version: Column) -> Column:
+    """Whether a version is written; one that is not may be managed elsewhere and is legal."""
+    return F.coalesce(F.trim(version) != "", F.lit(False))
+
+
+def is_unresolved(version: Column) -> Column:
+    """Whether a version names a property that was not found."""
+    return has_version(version) & F.trim(version).startswith("${")
+
+
 def is_resolved(version: Column) -> Column:
-    return version.isNotNull() & ~version.startswith("${")
+    return has_version(version) & ~F.trim(version).startswith("${")
 
 
 def in_file(coords: DataFrame) -> DataFrame:
@@ -34,41 +48,52 @@ def conflicts(coords: DataFrame) -> DataFrame:
 
 
 def divergence(coords: DataFrame) -> DataFrame:
-    """Differing versions across files, if no file differs in itself: MEDIUM, at the first declaration.
+    """Differing versions across files, if no file differs in itself: MEDIUM, at the first declaration, whatever its version.
 
     Counts decide which dependencies diverge before any place is looked at.
     """
-    own = coords.filter(is_resolved(F.col("version")))
-    per_file = own.groupBy("project_id", "dep_id", "file_path").agg(
-        F.min("version").alias("low"), F.max("version").alias("high"), F.min(F.struct("ordinal", "line")).alias("at")
-    )
+    told = F.when(is_resolved(F.col("version")), F.col("version"))
+    per_file = coords.groupBy("project_id", "dep_id", "file_path").agg(F.min(told).alias("low"), F.max(told).alias("high"), F.min(F.struct("ordinal", "line")).alias("at"))
     rows = per_file.groupBy("project_id", "dep_id").agg(
-        F.min("low").alias("low"), F.max("high").alias("high"), F.count(F.lit(1)).alias("files"), F.bool_or(F.col("low") != F.col("high")).alias("inside"),
+        F.min("low").alias("low"), F.max("high").alias("high"), F.bool_or(F.coalesce(F.col("low") != F.col("high"), F.lit(False))).alias("inside"),
         F.min(F.struct("file_path", F.col("at.ordinal").alias("ordinal"), F.col("at.line").alias("line"))).alias("at"),
     )
-    rows = rows.filter("low <> high and files >= 2 and not inside")
+    rows = rows.filter("low <> high and not inside")
     return rows.select("project_id", "dep_id", "at.file_path", "at.line", F.lit("MEDIUM").alias("risk_level"))
 
 
-def places(coords: DataFrame, found: DataFrame) -> DataFrame:
-    """Where the dependencies of ``found`` (project_id, dep_id) stand: a row (project_id, dep_id, nth, place) for each declaration with a version."""
-    place = F.concat("dep_id", F.lit(":"), "version", F.lit(" ("), "file_path", F.lit(":"), F.col("line").cast("string"), F.lit(")"))
-    rows = coords.filter(is_resolved(F.col("version"))).join(found.select("project_id", "dep_id").distinct(), ["project_id", "dep_id"], "left_semi")
-    rows = rows.select("project_id", "dep_id", *ORDER, place.alias("place")).distinct()
-    nth = F.row_number().over(Window.partitionBy("project_id", "dep_id").orderBy(*ORDER, "place"))
-    return rows.select("project_id", "dep_id", nth.alias("nth"), "place")
+def described(dep_id: Column, version: Column, file_path: Column, line: Column) -> Column:
+    """A declaration as a text: id, version if there is one, and place."""
+    return F.concat(dep_id, F.when(has_version(version), F.concat(F.lit(":"), version)).otherwise(""), F.lit(" ("), file_path, F.lit(":"), line.cast("string"), F.lit(")"))
+
+
+def places(coords: DataFrame, found: DataFrame, key: tuple[str, ...] = ("project_id", "dep_id")) -> DataFrame:
+    """Where the dependencies of ``found`` (``key``) stand: a row (key, nth, place) for each different text of a declaration, in order of file and ordinal."""
+    place = described(F.col("dep_id"), F.col("version"), F.col("file_path"), F.col("line"))
+    rows = coords.join(found.select(*key).distinct(), list(key), "left_semi").select(*dict.fromkeys((*key, *ORDER)), place.alias("place"))
+    first = rows.groupBy(*key, "place").agg(F.min(F.struct(*[F.col(c) for c in ORDER])).alias("at"))
+    return ranked(first, key, ["at", "place"]).select(*key, "nth", "place")
 
 
 def locations(coords: DataFrame, found: DataFrame) -> DataFrame:
     """Findings with their places as one text, in order; for reports, where a finding's places fit into a line."""
     listed = places(coords, found).groupBy("project_id", "dep_id").agg(F.sort_array(F.collect_list(F.struct("nth", "place"))).alias("p"))
-    listed = listed.select("project_id", "dep_id", F.array_join(F.array_distinct(F.transform("p", lambda x: x.place)), " / ").alias("locations"))
+    listed = listed.select("project_id", "dep_id", F.array_join(F.transform("p", lambda x: x.place), " / ").alias("locations"))
     return found.join(listed, ["project_id", "dep_id"], "left")
 
 
 def invalid(coords: DataFrame) -> DataFrame:
-    """Declarations without a version that can be told."""
-    return coords.filter(~is_resolved(F.col("version"))).select("project_id", "file_path", "dep_id", "line", F.lit("MEDIUM").alias("risk_level"))
+    """Declarations without a group, and others whose version names a property that is not there: MEDIUM, with the reason."""
+    reason = F.when(F.col("dep_id").startswith("?:"), "no group").when(is_unresolved(F.col("version")), "unresolved version")
+    rows = coords.withColumn("reason", reason).filter("reason is not null")
+    return rows.select("project_id", "file_path", "dep_id", "line", F.lit("MEDIUM").alias("risk_level"), "reason")
+
+
+def findings(coords: DataFrame) -> DataFrame:
+    """All that is wrong with declarations, as issue rows: INVALID and CONFLICT, and DUPLICATE for what does not conflict in its file."""
+    keep = lambda rows, rule: rows.select("project_id", F.lit(rule).alias("rule_id"), "risk_level", "file_path", "line", F.col("dep_id").alias("description"))
+    parts = (keep(invalid(coords), "DEPENDENCY-INVALID"), keep(duplicates(coords), "DEPENDENCY-DUPLICATE"), keep(conflicts(coords), "DEPENDENCY-CONFLICT"), keep(divergence(coords), "DEPENDENCY-CONFLICT"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def maven_coordinates(files: DataFrame) -> DataFrame:
@@ -85,7 +110,7 @@ def maven_coordinates(files: DataFrame) -> DataFrame:
     value = F.expr(r"regexp_extract(content, concat('<', regexp_replace(prop, '\\.', '\\\\.'), '>([^<]*)</'), 1)")
     rows = rows.withColumn("prop", name).withColumn("value", F.when(F.col("prop").isNotNull(), F.nullif(F.trim(value), F.lit(""))))
     dep = F.concat_ws(":", F.coalesce("group_id", F.lit("?")), F.coalesce("artifact_id", F.lit("?")))
-    return rows.select("project_id", "file_path", (F.col("line") + 1).alias("line"), "ordinal", dep.alias("dep_id"), F.coalesce("value", "raw").alias("version"), "scope")
+    return rows.select("project_id", "file_path", (F.col("line") + 1).alias("line"), "ordinal", dep.alias("dep_id"), F.coalesce("value", "raw").alias("version"), "scope", "group_id", "artifact_id")
 
 
 def requirements(files: DataFrame) -> DataFrame:

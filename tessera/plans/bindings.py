@@ -21,7 +21,8 @@ VIEWS = {
         n_chars AS size, text AS content FROM {documents}""",
     "v_names": "SELECT CAST(p_size % 7 AS BIGINT) AS project_id, p_partkey AS pos, replace(lower(p_name), ' ', '.') AS name, p_brand AS version FROM {part}",
     "v_coords": """SELECT l_orderkey % 10 AS project_id, CAST(l_orderkey AS STRING) AS file_path, CAST(l_linenumber AS BIGINT) AS line, CAST(l_linenumber AS BIGINT) AS ordinal,
-        CAST(l_partkey AS STRING) AS dep_id, CASE WHEN l_returnflag = 'N' THEN concat('$', '{{v}}') ELSE l_returnflag END AS version FROM {lineitem}""",
+        concat(CASE WHEN l_partkey % 23 = 0 THEN '?:' ELSE 'g:' END, CAST(l_partkey AS STRING)) AS dep_id,
+        CASE WHEN l_suppkey % 7 = 0 THEN NULL WHEN l_suppkey % 7 = 1 THEN ' ' WHEN l_returnflag = 'N' THEN concat(CASE WHEN l_suppkey % 2 = 0 THEN ' ' ELSE '' END, '$', '{{v}}') ELSE l_returnflag END AS version FROM {lineitem}""",
     "v_trade": """SELECT c_nationkey AS a, s_nationkey AS b, o_orderkey, CAST(l_linenumber AS BIGINT) AS pos FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey
         JOIN {customer} ON c_custkey = o_custkey JOIN {supplier} ON s_suppkey = l_suppkey""",
     # each supplier uses up to seven others of its third, one for each place of an order line

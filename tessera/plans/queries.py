@@ -494,8 +494,9 @@ def f7_python_name(v):
     return v("v_names").select("name", X.python_name(F.col("name")).alias("normal"))
 
 
-IN_FILE = """(SELECT project_id, file_path, dep_id, count(*) AS n, count(DISTINCT CASE WHEN NOT starts_with(version, '$') THEN version END) AS versions, max(CASE WHEN nth = 2 THEN line END) AS line
-  FROM (SELECT *, row_number() OVER (PARTITION BY project_id, file_path, dep_id ORDER BY ordinal) AS nth FROM {v_coords}) GROUP BY ALL)"""
+TOLD = "coalesce(trim(version) <> '' AND NOT starts_with(trim(version), '$'), false)"
+IN_FILE = f"""(SELECT project_id, file_path, dep_id, count(*) AS n, count(DISTINCT CASE WHEN {TOLD} THEN version END) AS versions, max(CASE WHEN nth = 2 THEN line END) AS line
+  FROM (SELECT *, row_number() OVER (PARTITION BY project_id, file_path, dep_id ORDER BY ordinal) AS nth FROM {{v_coords}}) GROUP BY ALL)"""
 
 
 @query(f"SELECT project_id, file_path, dep_id, line, 'LOW' AS risk_level FROM {IN_FILE} WHERE n >= 2 AND versions < 2")
@@ -508,8 +509,8 @@ def g10_conflicts(v):
     return manifests.conflicts(v("v_coords"))
 
 
-DIVERGING = f"""(SELECT f.project_id, f.dep_id, f.file_path, f.line FROM (SELECT *, row_number() OVER (PARTITION BY project_id, dep_id ORDER BY file_path, ordinal) AS nth FROM {{v_coords}} WHERE NOT starts_with(version, '$')) f
-  JOIN (SELECT project_id, dep_id FROM {{v_coords}} WHERE NOT starts_with(version, '$') GROUP BY ALL HAVING count(DISTINCT version) >= 2 AND count(DISTINCT file_path) >= 2) d USING (project_id, dep_id)
+DIVERGING = f"""(SELECT f.project_id, f.dep_id, f.file_path, f.line FROM (SELECT *, row_number() OVER (PARTITION BY project_id, dep_id ORDER BY file_path, ordinal) AS nth FROM {{v_coords}}) f
+  JOIN (SELECT project_id, dep_id FROM {{v_coords}} WHERE {TOLD} GROUP BY ALL HAVING count(DISTINCT version) >= 2) d USING (project_id, dep_id)
   WHERE nth = 1 AND (f.project_id, f.dep_id) NOT IN (SELECT (project_id, dep_id) FROM {IN_FILE} WHERE versions >= 2))"""
 
 
@@ -518,13 +519,14 @@ def g11_divergence(v):
     return manifests.divergence(v("v_coords"))
 
 
-@query(f"""SELECT project_id, dep_id, row_number() OVER (PARTITION BY project_id, dep_id ORDER BY file_path, ordinal, place) AS nth, place FROM (SELECT DISTINCT o.project_id, o.dep_id, o.file_path, o.ordinal,
-  o.dep_id || ':' || version || ' (' || o.file_path || ':' || CAST(o.line AS STRING) || ')' AS place FROM {{v_coords}} o JOIN {DIVERGING} d ON d.project_id = o.project_id AND d.dep_id = o.dep_id WHERE NOT starts_with(version, '$'))""")
+@query(f"""SELECT project_id, dep_id, row_number() OVER (PARTITION BY project_id, dep_id ORDER BY file_path, ordinal, place) AS nth, place FROM (SELECT o.project_id, o.dep_id, o.dep_id || CASE WHEN coalesce(trim(version), '') = '' THEN '' ELSE ':' || version END
+  || ' (' || o.file_path || ':' || CAST(o.line AS STRING) || ')' AS place, min(o.file_path) AS file_path, min(o.ordinal) AS ordinal FROM {{v_coords}} o JOIN {DIVERGING} d ON d.project_id = o.project_id AND d.dep_id = o.dep_id GROUP BY ALL)""")
 def g14_places(v):
     return manifests.places(v("v_coords"), manifests.divergence(v("v_coords")))
 
 
-@query("SELECT project_id, file_path, dep_id, line, 'MEDIUM' AS risk_level FROM {v_coords} WHERE starts_with(version, '$')")
+@query("""SELECT project_id, file_path, dep_id, line, 'MEDIUM' AS risk_level, CASE WHEN starts_with(dep_id, '?:') THEN 'no group' ELSE 'unresolved version' END AS reason
+  FROM {v_coords} WHERE starts_with(dep_id, '?:') OR starts_with(trim(version), '$')""")
 def g12_f9_invalid(v):
     return manifests.invalid(v("v_coords"))
 
