@@ -92,3 +92,7 @@ SUFFIX_LAYERS = {
 MIDDLEWARE = (
     "redis", "mysql", "mariadb", "postgresql", "postgres", "rabbitmq", "spring-rabbit", "kafka", "nacos", "mongodb", "elasticsearch", "minio", "rocketmq", "activemq",
 )
+
+# Annotations of methods that a framework calls, and layers that many types use by design.
+CALLBACKS = ("PostConstruct", "PreDestroy", "Scheduled", "EventListener", "EventListenerAdapter", "TransactionalEventListener", "RabbitListener", "KafkaListener", "StreamListener")
+WIDELY_USED = ("DTO", "ENTITY", "CONSTANT", "UTIL", "EXCEPTION")

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..sources.tables import materialise
+from . import graph
 
 FILE = ["project_id", "file_path"]
 #: Words of the language.
@@ -200,7 +201,11 @@ def facts(files: DataFrame) -> Facts:
     callee, call_kind, line. variables: name, type, the last declaration of a
     name in a file. Calls outside methods belong to ``<initializer>``.
     """
-    segs = materialise(segments(files), "segments")
+    return facts_of(materialise(segments(files), "segments"))
+
+
+def facts_of(segs: DataFrame) -> Facts:
+    """The same from segments, which should be a table."""
     rows = materialise(scopes(segs), "enclosed")
     returns, name = F.regexp_extract("declared", METHOD, 1), F.regexp_extract("declared", METHOD, 2)
 
@@ -380,5 +385,16 @@ def references(found: Facts) -> DataFrame:
     return sites.join(found.packages, FILE, "left").withColumns({"package": F.coalesce("package", F.lit("")), "name": X.type_name(F.col("receiver_type"))})
 
 
+def resolved(found: Facts) -> DataFrame:
+    """Call sites with the types that their receivers and callees resolve to."""
+    types = found.types.select("project_id", "qualified", "package", F.col("name").alias("simple"), "file_path")
+    sites = graph.resolved(references(found), types, found.imports)
+    parents = found.types.filter("super_class is not null")
+    parents = graph.resolved(parents.select(*FILE, "package", F.col("super_class").alias("name"), F.col("qualified").alias("type")), types, found.imports)
+    parents = parents.filter("resolved is not null").select("project_id", "type", F.col("resolved").alias("parent"))
+    declared = graph.nearest_declaring(parents, found.methods.select("project_id", F.col("owner").alias("type"), "name"))
+    return graph.callee_owners(sites, found.imports, declared)
+
+
 def union_of(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)

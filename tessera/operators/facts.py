@@ -23,8 +23,13 @@ def found_at(rows: DataFrame, rule: str, category: str, level: str, description:
 
 def empty_catches(files: DataFrame) -> DataFrame:
     """Catch blocks without a statement as issues, LOW; a block of comments alone is empty."""
+    return empty_catches_of(code.segments(files))
+
+
+def empty_catches_of(segs: DataFrame) -> DataFrame:
+    """The same from segments."""
     after = F.lead(F.struct("mark", "head")).over(Window.partitionBy("project_id", "file_path").orderBy("seq"))
-    rows = code.segments(files).withColumn("after", after)
+    rows = segs.withColumn("after", after)
     rows = rows.filter((F.col("mark") == "{") & F.col("head").rlike(r"\bcatch ?\([^()]*\)$") & (F.col("after.mark") == "}") & (F.col("after.head") == ""))
     return found_at(rows, "EMPTY-CATCH", "ROBUSTNESS", "LOW", "empty catch block")
 

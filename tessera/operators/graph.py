@@ -6,9 +6,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..sources.tables import materialise
+from . import small_graphs
+
+#: Edges of a project up to which one task walks it.
+LOCAL = 200_000
 
 
 def method_edges(calls: DataFrame) -> DataFrame:
@@ -71,9 +76,40 @@ def spread(state: DataFrame, edges: DataFrame) -> DataFrame:
             return state
 
 
-def components(edges: DataFrame) -> DataFrame:
+def by_size(edges: DataFrame, local: int) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct edges (project_id, src, dst) without loops: those of projects of up to ``local`` edges with the part, of about so many edges, that takes them, and the others."""
+    own = materialise(edges.filter("src <> dst").select("project_id", "src", "dst").distinct(), "edges")
+    size = own.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"))
+    total, most = size.agg(F.sum("n"), F.max("n")).first()
+    parts = max(1, -(-(total or 0) // max(1, local)))
+    key = F.to_json(F.struct("project_id"))
+    small = own if (most or 0) <= local else own.join(size.filter(F.col("n") <= local), "project_id", "left_semi")
+    large = None if (most or 0) <= local else own.join(size.filter(F.col("n") > local), "project_id", "left_semi")
+    return small.withColumn("key", key).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts))), large
+
+
+def schema_of(edges: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
+    project = edges.schema["project_id"].dataType
+    if isinstance(project, T.StructType):
+        project = T.StructType([T.StructField(f.name, f.dataType) for f in project])  # what comes from Arrow may be null
+    return T.StructType([T.StructField("project_id", project), *[T.StructField(n, t) for n, t in fields]])
+
+
+def components(edges: DataFrame, local: int = LOCAL) -> DataFrame:
     """Strongly connected components of two nodes or more: (project_id, node, component), the component named by its smallest node.
 
+    Projects of up to ``local`` edges are walked whole, many of them in a task;
+    larger ones are spread over all tasks.
+    """
+    small, large = by_size(edges, local)
+    node = edges.schema["src"].dataType
+    found = small.groupBy("part").applyInArrow(lambda t: small_graphs.components(t), schema_of(edges, ("node", node), ("component", node)))
+    return found if large is None else found.unionByName(wide_components(large))
+
+
+def wide_components(edges: DataFrame) -> DataFrame:
+    """The same for graphs of any size.
+
     Labels spread forwards: a node's label is the smallest node that reaches
     it, so a component has one label, and the smallest node of each label is in
     one. What reaches that node under its own label is its component. These
@@ -109,14 +145,24 @@ def components(edges: DataFrame) -> DataFrame:
     return out.join(size, ["project_id", "component"]).select(*key, "component")
 
 
-def shortest_cycles(edges: DataFrame) -> DataFrame:
+def shortest_cycles(edges: DataFrame, local: int = LOCAL) -> DataFrame:
     """The shortest cycle through the smallest node of each component, the smallest one in order of its nodes.
 
     (project_id, component, length, path, nodes), where path joins the nodes by
-    `` -> `` and returns to the start. One best path per node and round is
-    kept; a component of n nodes is done after n rounds at most.
+    `` -> `` and returns to the start. Projects of up to ``local`` edges are
+    walked whole, many of them in a task.
     """
-    inside = materialise(components(edges), "components")
+    small, large = by_size(edges, local)
+    node = edges.schema["src"].dataType
+    found = small.groupBy("part").applyInArrow(lambda t: small_graphs.shortest_cycles(t), schema_of(edges, ("component", node), ("nodes", T.ArrayType(node))))
+    if large is not None:
+        found = found.unionByName(wide_cycles(large))
+    return found.select("project_id", "component", (F.size("nodes") - 1).cast("long").alias("length"), F.array_join("nodes", " -> ").alias("path"), "nodes")
+
+
+def wide_cycles(edges: DataFrame) -> DataFrame:
+    """(project_id, component, nodes) for graphs of any size: one best path per node and round is kept, and a component of n nodes is done after n rounds at most."""
+    inside = materialise(wide_components(edges), "components")
     a = inside.select("project_id", F.col("node").alias("src"), "component")
     b = inside.select("project_id", F.col("node").alias("dst"), F.col("component").alias("c2"))
     own = edges.select("project_id", "src", "dst").filter("src <> dst").distinct().join(a, ["project_id", "src"]).join(b, ["project_id", "dst"]).filter("component = c2")
@@ -136,7 +182,7 @@ def shortest_cycles(edges: DataFrame) -> DataFrame:
         seen = seen.unionByName(front.select("project_id", "component", "at"))
     if found is None:
         found = front.select("project_id", "component", "path")
-    return found.select("project_id", "component", (F.size("path") - 1).cast("long").alias("length"), F.array_join("path", " -> ").alias("path"), F.col("path").alias("nodes"))
+    return found.select("project_id", "component", F.col("path").alias("nodes"))
 
 
 def cycles_with(cycles: DataFrame, module: Column) -> DataFrame:
@@ -241,32 +287,54 @@ def callee_owners(sites: DataFrame, imports: DataFrame, declared: DataFrame) ->
 
 
 def anchors(types: DataFrame, module: str) -> DataFrame:
-    """Where an issue of a type or module is shown: the first declaration, by name, of types (project_id, qualified, file_path, start_line, module column)."""
-    first = F.min(F.struct("qualified", "file_path", "start_line")).alias("a")
-    return types.groupBy("project_id", F.col(module).alias("module")).agg(first).select("project_id", "module", "a.file_path", F.col("a.start_line").alias("line"))
+    """Where an issue of a module is shown: its first declaration by file and line, of types (project_id, qualified, file_path, start_line, module column)."""
+    first = F.min(F.struct("file_path", "start_line", "qualified")).alias("a")
+    return types.groupBy("project_id", F.col(module).alias("module")).agg(first).select("project_id", "module", "a.file_path", F.col("a.start_line").alias("line"), "a.qualified")
 
 
-def cycle_findings(edges: DataFrame, types: DataFrame, grains: dict[str, str]) -> DataFrame:
-    """Cycles between modules as issues, at several grains.
+def placed_edges(edges: DataFrame, types: DataFrame, grain: str) -> DataFrame:
+    """Edges between types (src, dst, file_path: where they come from) as edges between modules, each with every file that makes it: (project_id, src, dst, src_type, dst_type, file_path)."""
+    known = types.filter(F.col(grain).isNotNull()).select("project_id", "qualified", F.col(grain).alias("module")).distinct()
+    a = known.select("project_id", F.col("qualified").alias("src_type"), F.col("module").alias("src"))
+    b = known.select("project_id", F.col("qualified").alias("dst_type"), F.col("module").alias("dst"))
+    rows = edges.select("project_id", F.col("src").alias("src_type"), F.col("dst").alias("dst_type"), "file_path")
+    return rows.join(a, ["project_id", "src_type"]).join(b, ["project_id", "dst_type"]).filter("src <> dst")
 
-    edges: (project_id, src, dst, weight) between types; types: (project_id,
+
+def cycle_findings(edges: DataFrame, types: DataFrame, grains: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """Cycles between modules as issues at several grains, and the files on them.
+
+    edges: (project_id, src, dst, file_path) between types; types: (project_id,
     qualified, file_path, start_line and a column per grain); grains: column
-    and level, such as layer HIGH and package MEDIUM. An issue is anchored at
-    the first type of the cycle's smallest module.
+    and level, such as layer HIGH and package MEDIUM. An issue is anchored in
+    the file that makes its first step, the one of the first edge by types and
+    file, at the first type there that belongs to the module the step leaves;
+    without one at the module's first type. Files: a row (project_id, grain,
+    component, step, file_path) for each file that makes a step.
     """
     edges = materialise(edges, "type-edges")
     types = materialise(types, "types")
     # all grains go through one search, each as projects of its own
     own = lambda grain: F.struct("project_id", F.lit(grain).alias("grain"))
-    named, modules = [], []
+    placed, modules, inside = [], [], []
     for grain in grains:
         known = types.filter(F.col(grain).isNotNull())
-        named.append(known.select("project_id", F.col("qualified").alias("type"), F.col(grain).alias("module")).distinct())
-        modules.append(anchors(known, grain).withColumn("project_id", own(grain)))
-    found = [module_edges(edges, m).withColumn("project_id", own(grain)) for grain, m in zip(grains, named, strict=True)]
-    cycles = shortest_cycles(materialise(reduce(DataFrame.unionByName, found), "module-edges")).withColumnRenamed("component", "module")
-    rows = cycles.join(reduce(DataFrame.unionByName, modules), ["project_id", "module"], "left")
+        modules.append(anchors(known, grain).drop("qualified").withColumn("project_id", own(grain)))
+        placed.append(placed_edges(edges, types, grain).withColumn("project_id", own(grain)))
+        there = known.groupBy("project_id", "file_path", F.col(grain).alias("src")).agg(F.min("start_line").alias("line"))
+        inside.append(there.withColumn("project_id", own(grain)))
+    placed, modules, inside = (reduce(DataFrame.unionByName, x) for x in (placed, modules, inside))
+    placed = materialise(placed, "module-edges")
+    cycles = materialise(shortest_cycles(placed.select("project_id", "src", "dst").distinct()), "cycles")
+    steps = cycles.select("project_id", "component", F.posexplode(F.slice("nodes", 1, F.size("nodes") - 1)).alias("step", "src"), "nodes").withColumn("dst", F.col("nodes")[F.col("step") + 1]).drop("nodes")
+    made = steps.join(placed, ["project_id", "src", "dst"])
+    first = made.filter("step = 0").join(inside, ["project_id", "file_path", "src"]).groupBy("project_id", "component")
+    first = first.agg(F.min(F.struct("src_type", "dst_type", "file_path", "line")).alias("at")).select("project_id", "component", F.col("at.file_path").alias("at_file"), F.col("at.line").alias("at_line"))
+    rows = cycles.join(first, ["project_id", "component"], "left").join(modules.withColumnRenamed("module", "component"), ["project_id", "component"], "left")
     level = F.create_map(*[F.lit(x) for pair in grains.items() for x in pair])
-    return rows.select(
-        "project_id.project_id", F.lit("CYCLE").alias("rule_id"), "project_id.grain", level[F.col("project_id.grain")].alias("risk_level"), "file_path", "line", F.col("path").alias("description"), "length"
-    )
+    rows = rows.select(
+        "project_id.project_id", F.lit("CYCLE").alias("rule_id"), "project_id.grain", level[F.col("project_id.grain")].alias("risk_level"), "component",
+        F.coalesce("at_file", "file_path").alias("file_path"), F.coalesce("at_line", "line").alias("line"), F.col("path").alias("description"), "length",
+    )
+    files = made.select("project_id.project_id", "project_id.grain", "component", "step", "file_path").distinct()
+    return rows, files

@@ -192,8 +192,8 @@ def latest(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 
 def ordered(issues: DataFrame) -> DataFrame:
-    """All issues with their place (nth) in the canonical order of their project: file, line, rule, first found."""
-    return ranked(issues, ["project_id"], [*ORDER, "pos"])
+    """All issues with their place (nth) in the canonical order of their project: file, line, rule, first found; then by description."""
+    return ranked(issues, ["project_id"], [*ORDER, "pos", "description"])
 
 
 def top(issues: DataFrame, n: int, *order: Column) -> DataFrame:

@@ -37,7 +37,8 @@ def overloaded(rows: DataFrame, more_than: int = 20) -> DataFrame:
 
 def findings(rows: DataFrame, more_than: int = 20) -> DataFrame:
     """Layering findings: conflicting types MEDIUM, mixed packages LOW, overloaded packages MEDIUM, as (project_id, kind, subject, risk_level)."""
-    a = rows.filter("conflict").select("project_id", F.lit("CONFLICT").alias("kind"), F.concat_ws(".", "package", "name").alias("subject"), F.lit("MEDIUM").alias("risk_level")).distinct()
+    name = F.col("qualified") if "qualified" in rows.columns else F.concat_ws(".", "package", "name")
+    a = rows.filter("conflict").select("project_id", F.lit("CONFLICT").alias("kind"), name.alias("subject"), F.lit("MEDIUM").alias("risk_level")).distinct()
     b = mixed_packages(rows).select("project_id", F.lit("MIXED").alias("kind"), F.col("package").alias("subject"), F.lit("LOW").alias("risk_level"))
     c = overloaded(rows, more_than).select("project_id", F.lit("OVERLOADED").alias("kind"), F.col("package").alias("subject"), F.lit("MEDIUM").alias("risk_level"))
     return a.unionByName(b).unionByName(c)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import code, facts, graph, manifests
+from ..operators import audit, code, facts, graph, issues, manifests, scan
 from ..sources import archives
-from .queries import View, query
+from .queries import View, diverging, in_file, query
 
 UNKNOWN = 99  # nation of a supplier that is not there
 
@@ -87,24 +87,13 @@ def x1_imports(v):
     return f.imports.join(f.packages, code.FILE).select("project_id", "file_path", "package", "imported", "is_static", "is_wildcard")
 
 
-def resolved(f: code.Facts) -> DataFrame:
-    """Call sites with the types that their receivers and callees resolve to."""
-    types = f.types.select("project_id", "qualified", "package", F.col("name").alias("simple"), "file_path")
-    sites = graph.resolved(code.references(f), types, f.imports)
-    parents = f.types.filter("super_class is not null")
-    parents = graph.resolved(parents.select(*code.FILE, "package", F.col("super_class").alias("name"), F.col("qualified").alias("type")), types, f.imports)
-    parents = parents.filter("resolved is not null").select("project_id", "type", F.col("resolved").alias("parent"))
-    declared = graph.nearest_declaring(parents, f.methods.select("project_id", F.col("owner").alias("type"), "name"))
-    return graph.callee_owners(sites, f.imports, declared)
-
-
 RESOLVED = f"""(SELECT c.*, CASE WHEN receiver_kind IN ('NONE', 'THIS') THEN c.caller_owner WHEN c.dst = c.src THEN s.own WHEN i.dst IS NOT NULL THEN 'n' || i.far || '.S' || i.dst WHEN t.n = s.n THEN t.own END AS callee_owner
   FROM {SITES} c JOIN (SELECT *, {OWN} AS own FROM {S}) s ON s.src = c.src LEFT JOIN {IMPORTS} i ON i.src = c.src AND i.dst = c.dst LEFT JOIN (SELECT *, {OWN} AS own FROM {S}) t ON t.src = c.dst AND t.project_id = c.project_id)"""
 
 
 @query(f"SELECT project_id, caller_owner, caller_method, receiver_kind, callee, call_kind, callee_owner FROM {RESOLVED}")
 def j1_j2_callee_owners(v):
-    return resolved(found(v)).select("project_id", "caller_owner", "caller_method", "receiver_kind", "callee", "call_kind", "callee_owner")
+    return code.resolved(found(v)).select("project_id", "caller_owner", "caller_method", "receiver_kind", "callee", "call_kind", "callee_owner")
 
 
 @query(f"SELECT project_id, count(*) AS files, 2 * count(*) AS types, CAST(sum(n_methods) + 3 * count(*) AS BIGINT) AS methods FROM {S} JOIN {LINES} USING (src) GROUP BY 1")
@@ -123,11 +112,10 @@ def g28_listings(v):
     return code.union_of(parts)
 
 
-@query(f"SELECT project_id, 'n' || n AS module, min('n' || n || '.S' || src) AS first FROM {S} GROUP BY ALL")
+@query(f"""SELECT project_id, 'n' || n AS module, min('n' || n || '/S' || src || '.java') AS file_path, arg_min(CAST(4 + n_imports AS BIGINT), 'n' || n || '/S' || src || '.java') AS line,
+  arg_min('n' || n || '.S' || src, 'n' || n || '/S' || src || '.java') AS qualified FROM {S} JOIN {LINES} USING (src) GROUP BY ALL""")
 def j18_anchors(v):
-    types = found(v).types
-    at = graph.anchors(types, "package").join(types.select("project_id", "file_path", F.col("start_line").alias("line"), F.col("qualified").alias("first")), ["project_id", "file_path", "line"])
-    return at.select("project_id", "module", "first")
+    return graph.anchors(found(v).types, "package").withColumn("line", F.col("line").cast("long"))
 
 
 def layer_of(package):
@@ -143,24 +131,37 @@ CYCLES = f"""WITH RECURSIVE t AS (SELECT project_id, {OWN} AS type, 'n' || n AS
   i AS (SELECT m.p, m.grain, x.component, m.src, m.dst FROM m JOIN c x ON x.p = m.p AND x.grain = m.grain AND x.node = m.src JOIN c y ON y.p = m.p AND y.grain = m.grain AND y.node = m.dst WHERE x.component = y.component),
   w(p, grain, component, place, path, n) AS (SELECT DISTINCT p, grain, component, component, [component], 0 FROM c
     UNION ALL SELECT w.p, w.grain, w.component, i.dst, list_append(min(w.path), i.dst), any_value(w.n) + 1 FROM w JOIN i ON i.p = w.p AND i.grain = w.grain AND i.component = w.component AND i.src = w.place
-    WHERE w.n < 40 AND (w.n = 0 OR w.place <> w.component) GROUP BY w.p, w.grain, w.component, i.dst)
-  SELECT p AS project_id, grain, CASE grain WHEN 'layer' THEN 'HIGH' ELSE 'MEDIUM' END AS risk_level, CAST(min(n) AS BIGINT) AS length, array_to_string(arg_min(path, n), ' -> ') AS description FROM w WHERE n > 0 AND place = component GROUP BY p, grain, component"""
+    WHERE w.n < 40 AND (w.n = 0 OR w.place <> w.component) GROUP BY w.p, w.grain, w.component, i.dst),
+  b AS (SELECT p, grain, component, min(n) AS length, arg_min(path, n) AS path FROM w WHERE n > 0 AND place = component GROUP BY p, grain, component),
+  d AS (SELECT DISTINCT e.project_id AS p, g.grain, CASE g.grain WHEN 'layer' THEN x.layer ELSE x.package END AS src, CASE g.grain WHEN 'layer' THEN y.layer ELSE y.package END AS dst, e.src AS src_type, e.dst AS dst_type, q.file_path, q.line
+    FROM e JOIN t x ON x.project_id = e.project_id AND x.type = e.src JOIN t y ON y.project_id = e.project_id AND y.type = e.dst
+    JOIN (SELECT project_id, {OWN} AS type, 'n' || n || '/S' || src || '.java' AS file_path, CAST(4 + n_imports AS BIGINT) AS line FROM {S} JOIN {LINES} USING (src)) q ON q.project_id = e.project_id AND q.type = e.src, (SELECT unnest(['layer', 'package']) AS grain) g),
+  s AS (SELECT b.p, b.grain, b.component, k.k AS step, b.path[k.k] AS src, b.path[k.k + 1] AS dst FROM b, (SELECT unnest(range(1, 41)) AS k) k WHERE k.k <= b.length),
+  m2 AS (SELECT s.p, s.grain, s.component, s.step, d.src_type, d.dst_type, d.file_path, d.line FROM s JOIN d ON d.p = s.p AND d.grain = s.grain AND d.src = s.src AND d.dst = s.dst)"""
+
+
+@query(CYCLES + """
+  SELECT b.p AS project_id, b.grain, CASE b.grain WHEN 'layer' THEN 'HIGH' ELSE 'MEDIUM' END AS risk_level, CAST(b.length AS BIGINT) AS length, array_to_string(b.path, ' -> ') AS description, f.file_path, f.line
+  FROM b JOIN (SELECT p, grain, component, arg_min(file_path, (src_type, dst_type)) AS file_path, arg_min(line, (src_type, dst_type)) AS line FROM m2 WHERE step = 1 GROUP BY ALL) f ON f.p = b.p AND f.grain = b.grain AND f.component = b.component""")
+def i5_cycle_findings(v):
+    return cycles(v)[0].select("project_id", "grain", "risk_level", "length", "description", "file_path", F.col("line").cast("long").alias("line"))
 
 
-@query(CYCLES)
-def i5_cycle_findings(v):
+@query(CYCLES + " SELECT DISTINCT p AS project_id, grain, component, CAST(step - 1 AS BIGINT) AS step, file_path FROM m2")
+def i5_cycle_files(v):
+    return cycles(v)[1].withColumn("step", F.col("step").cast("long"))
+
+
+def cycles(v: View) -> tuple[DataFrame, DataFrame]:
     f = found(v)
-    sites = resolved(f).filter("callee_owner is not null and call_kind <> 'CONSTRUCTOR_DELEGATION'")
-    edges = sites.groupBy("project_id", F.col("caller_owner").alias("src"), F.col("callee_owner").alias("dst")).agg(F.count(F.lit(1)).alias("weight"))
-    types = f.types.withColumn("layer", layer_of(F.col("package")))
-    return graph.cycle_findings(edges, types, {"layer": "HIGH", "package": "MEDIUM"}).select("project_id", "grain", "risk_level", "length", "description")
+    sites = code.resolved(f).filter("callee_owner is not null and call_kind <> 'CONSTRUCTOR_DELEGATION'")
+    edges = sites.select("project_id", F.col("caller_owner").alias("src"), F.col("callee_owner").alias("dst"), "file_path").distinct()
+    return graph.cycle_findings(edges, f.types.withColumn("layer", layer_of(F.col("package"))), {"layer": "HIGH", "package": "MEDIUM"})
 
 
 @query(f"""SELECT project_id, 'EMPTY-CATCH' AS rule_id, 'LOW' AS risk_level, 'n' || n || '/S' || src || '.java' AS file_path, CAST(9 + 2 * n_imports + 4 * n_methods AS BIGINT) AS line FROM {S} JOIN {LINES} USING (src)
   UNION ALL SELECT project_id, 'LITERAL-EQUALS', 'MEDIUM', 'n' || n || '/S' || src || '.java', 10 + 2 * n_imports + 4 * n_methods FROM {S} JOIN {LINES} USING (src)""")
 def r3_r4_located(v):
-    from ..operators import issues
-
     rules = issues.Rules([issues.Rule("EMPTY-CATCH", "ROBUSTNESS", "LOW", facts.empty_catches), issues.Rule("LITERAL-EQUALS", "ROBUSTNESS", "MEDIUM", facts.literal_equals)])
     return rules.audit(sources(v)).select("project_id", "rule_id", "risk_level", "file_path", F.col("line").cast("long"))
 
@@ -191,17 +192,21 @@ def x8_npm_packages(v):
 
 REQUIREMENTS = """(SELECT l_orderkey % 10 AS project_id, CAST(l_orderkey AS STRING) AS file_path, CAST(l_linenumber AS BIGINT) AS line, CASE WHEN l_partkey % 97 = 0 THEN '' ELSE 'p' || CAST(l_partkey % 400 AS STRING) END AS name,
   CASE WHEN l_returnflag = 'N' THEN '==1.' || CAST(l_suppkey % 2 AS STRING) WHEN l_returnflag = 'A' THEN CASE WHEN l_suppkey % 9 = 0 THEN '=2' ELSE '>=1' END END AS "constraint", CASE WHEN l_suppkey % 5 = 0 THEN 'os' END AS marker FROM {lineitem})"""
-GOOD = f"""(SELECT *, CASE WHEN regexp_matches("constraint", '^==[0-9][0-9.]*$') AND marker IS NULL THEN substring("constraint", 3) END AS version FROM {REQUIREMENTS} WHERE name <> '')"""
 
 
-@query(f"""WITH g AS {GOOD}, s AS (SELECT *, row_number() OVER (PARTITION BY project_id, file_path, name, coalesce("constraint", '') ORDER BY line) AS nth FROM g),
+def requirement_sql(rows: str) -> str:
+    good = f"""(SELECT *, CASE WHEN regexp_matches("constraint", '^==[0-9][0-9.]*$') AND marker IS NULL THEN substring("constraint", 3) END AS version FROM {rows} WHERE name <> '')"""
+    return f"""WITH g AS {good}, s AS (SELECT *, row_number() OVER (PARTITION BY project_id, file_path, name, coalesce("constraint", '') ORDER BY line) AS nth FROM g),
   p AS (SELECT *, row_number() OVER (PARTITION BY project_id, file_path, name ORDER BY line) AS nth FROM g WHERE version IS NOT NULL), f AS (SELECT project_id, file_path, name, count(DISTINCT version) AS n FROM p GROUP BY ALL),
   d AS (SELECT project_id, name FROM p GROUP BY ALL HAVING count(DISTINCT version) > 1)
-  SELECT project_id, 'INVALID' AS rule_id, 'MEDIUM' AS risk_level, file_path, line, name FROM {REQUIREMENTS} WHERE name = '' OR "constraint" = '=2'
+  SELECT project_id, 'INVALID' AS rule_id, 'MEDIUM' AS risk_level, file_path, line, name FROM {rows} WHERE name = '' OR "constraint" = '=2'
   UNION ALL SELECT project_id, 'DUPLICATE', 'LOW', file_path, line, name FROM s WHERE nth = 2
   UNION ALL SELECT p.project_id, 'CONFLICT', 'HIGH', p.file_path, p.line, p.name FROM p JOIN f USING (project_id, file_path, name) WHERE nth = 2 AND n > 1
   UNION ALL SELECT project_id, 'CONFLICT', 'MEDIUM', first.file_path, first.line, name FROM (SELECT project_id, name, min({{{{'file_path': file_path, 'line': line}}}}) AS first FROM p GROUP BY ALL) JOIN d USING (project_id, name)
-    WHERE (project_id, name) NOT IN (SELECT (project_id, name) FROM f WHERE n > 1)""")
+    WHERE (project_id, name) NOT IN (SELECT (project_id, name) FROM f WHERE n > 1)"""
+
+
+@query(requirement_sql(REQUIREMENTS))
 def g13_f8_requirement_findings(v):
     rows = v("lineitem").select(
         (F.col("l_orderkey") % 10).alias("project_id"), F.col("l_orderkey").cast("string").alias("file_path"), F.col("l_linenumber").cast("long").alias("line"),
@@ -269,26 +274,36 @@ def poms(v: View) -> DataFrame:
     return rows.select("project_id", text(F.col("src"), "/pom.xml").alias("file_path"), content.alias("content"))
 
 
-@query("""WITH u AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY k) AS nth, count(*) FILTER (k % 4 = 2) OVER (PARTITION BY src) AS props, count(*) OVER (PARTITION BY src) AS deps FROM {v_uses})
+COORDS = """(WITH u AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY k) AS nth, count(*) FILTER (k % 4 = 2) OVER (PARTITION BY src) AS props, count(*) OVER (PARTITION BY src) AS deps FROM {v_uses})
   SELECT project_id, src || '/pom.xml' AS file_path, CAST(nth AS BIGINT) AS ordinal, CAST(4 + props + 3 * (nth - 1) AS BIGINT) AS line, 'g' || k || ':s' || dst AS dep_id,
     CASE k % 4 WHEN 2 THEN weight || '.5' WHEN 3 THEN '$' || '{{none}}' ELSE weight || '.0' END AS version FROM u
-  UNION ALL SELECT DISTINCT project_id, src || '/pom.xml', 0, 4 + props + 3 * deps, 'top:a', '1' FROM u""")
+  UNION ALL SELECT DISTINCT project_id, src || '/pom.xml', 0, 4 + props + 3 * deps, 'top:a', '1' FROM u)"""
+
+
+@query(f"SELECT * FROM {COORDS}")
 def x5_x6_maven_coordinates(v):
     rows = manifests.maven_coordinates(poms(v))
     return rows.select("project_id", "file_path", F.col("ordinal").cast("long").alias("ordinal"), F.col("line").cast("long").alias("line"), "dep_id", "version")
 
 
-@query("""WITH u AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY k) AS nth FROM {v_uses})
-  SELECT project_id, src || '/requirements.txt' AS file_path, CAST(2 * nth AS BIGINT) AS line, 's-' || dst AS name, CASE WHEN k % 3 = 0 THEN '==' || weight WHEN k % 3 = 1 THEN '>=' || k END AS spec, CASE WHEN k % 2 = 0 THEN 'os > ' || k END AS marker FROM u""")
+LISTED = """(SELECT project_id, src || '/requirements.txt' AS file_path, CAST(2 * nth AS BIGINT) AS line, 's-' || dst AS name, CASE WHEN k % 3 = 0 THEN '==' || weight WHEN k % 3 = 1 THEN '>=' || k END AS "constraint", CASE WHEN k % 2 = 0 THEN 'os > ' || k END AS marker
+  FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY k) AS nth FROM {v_uses}))"""
+
+
+@query(f'SELECT project_id, file_path, line, name, "constraint" AS spec, marker FROM {LISTED}')
 def x7_requirements(v):
+    found = manifests.requirements(requirement_files(v))
+    return found.select("project_id", "file_path", F.col("line").cast("long").alias("line"), "name", F.col("constraint").alias("spec"), "marker")
+
+
+def requirement_files(v: View) -> DataFrame:
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     k = F.col("k")
     spec = F.when(k % 3 == 0, text("[extra]==", F.col("weight"))).when(k % 3 == 1, text(" >=", k)).otherwise("")
     line = text("# note\nS._", F.col("dst"), spec, F.when(k % 2 == 0, text(" ; os > ", k)).otherwise(""), "  # why\n")
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", line.alias("c")))), lambda x: x.c), "")  # seven at most
     rows = v("v_uses").groupBy("project_id", "src").agg(joined.alias("content"))
-    found = manifests.requirements(rows.select("project_id", text(F.col("src"), "/requirements.txt").alias("file_path"), text(F.col("content"), "-r more.txt\n\n").alias("content")))
-    return found.select("project_id", "file_path", F.col("line").cast("long").alias("line"), "name", F.col("constraint").alias("spec"), "marker")
+    return rows.select("project_id", text(F.col("src"), "/requirements.txt").alias("file_path"), text(F.col("content"), "-r more.txt\n\n").alias("content"))
 
 
 @query(f"""WITH f AS (SELECT *, 'n' || n || '/S' || src || '.java' AS file_path FROM {S}), r AS (SELECT *, CASE WHEN ends_with(file_path, '/S7.java') THEN 0 WHEN contains(lower(file_path), 's7') THEN 1 ELSE 2 END AS rank FROM f),
@@ -297,3 +312,98 @@ def x7_requirements(v):
   SELECT project_id, arg_min(file_path, rank * 1000 + nth) AS file_path FROM t WHERE nth <= 48 AND (src = 7 OR src IN (SELECT src FROM h) OR src IN (14, 15)) GROUP BY 1""")
 def w7_best_symbol(v):
     return facts.best_symbol(facts.lines(sources(v)), "S7").select("project_id", "file_path")
+
+
+# --- the audit of all of it -----------------------------------------------------------------------------
+
+
+def services(v: View) -> DataFrame:
+    """More source files: a class for each supplier with literals, text blocks, an anonymous class and private methods, a hub that all of a project use, and a file that can't be read."""
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    k, dst, src = F.col("k"), F.col("dst"), F.col("src")
+    field = (
+        F.when(k % 4 == 0, text("  String f", k, ' = "jdbc:mysql://h', dst, ':3306/x";\n'))
+        .when(k % 4 == 1, text("  String f", k, ' = "password=', dst, '";\n'))
+        .when(k % 4 == 2, text("  void f", k, '() { password = read("pwd"); } // "token=1"\n'))
+        .otherwise(text("  String f", k, ' = """\n    secret=1 class Ghost {\n    """;\n'))
+    )
+    fields = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", field.alias("c")))), lambda x: x.c), "")  # seven at most
+    rows = v("v_uses").groupBy("project_id", "src").agg(fields.alias("fields"))
+    content = text(
+        "package app.controller;\n", F.when(src % 4 == 0, "@Repository").otherwise(""), "\npublic class L", src, "Service {\n", F.col("fields"),
+        "  private void used() { Hub.touch(); }\n  private void unused() { used(); }\n  Runnable r = new Runnable() { @Override public void run() { used(); } };\n}\n",
+    )
+    hub = rows.select("project_id").distinct()
+    own = rows.select("project_id", text("app/L", src, ".java").alias("file_path"), content.alias("content"))
+    own = own.unionByName(hub.select("project_id", F.lit("app/Hub.java").alias("file_path"), F.lit("package app.controller;\npublic class Hub { static void touch() { } }\n").alias("content")))
+    return own.unionByName(hub.select("project_id", F.lit("app/Null.java").alias("file_path"), F.lit(None).cast("string").alias("content")))
+
+
+def everything(v: View) -> DataFrame:
+    """Sources, poms and requirements as one corpus."""
+    return code.union_of([sources(v), services(v), poms(v), requirement_files(v)])
+
+
+FIELDS = "(SELECT *, 4 + coalesce(sum(CASE k % 4 WHEN 3 THEN 3 ELSE 1 END) OVER (PARTITION BY src ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line, 'app/L' || src || '.java' AS file FROM {v_uses})"
+SERVICES = f"(SELECT project_id, src, file, 4 + sum(CASE k % 4 WHEN 3 THEN 3 ELSE 1 END) AS line, CASE src % 4 WHEN 0 THEN 2 ELSE 3 END AS start FROM {FIELDS} GROUP BY ALL)"
+LITERALS = f"""SELECT project_id, 'HARDCODED-VALUE' AS rule_id, CASE k % 4 WHEN 0 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_level, file AS file_path, line, CASE k % 4 WHEN 0 THEN 'connection string' ELSE 'credential' END || ' in a literal' AS description FROM {FIELDS} WHERE k % 4 < 2"""
+PACKAGES = f"(SELECT project_id, 'app.controller' AS package, 1 + count(*) AS n, bool_or(src % 4 = 0) AS mixed, 'app/Hub.java' AS file_path, 2 AS line FROM {SERVICES} GROUP BY ALL UNION ALL SELECT project_id, 'n' || n, 2 * count(*), false, min('n' || n || '/S' || src || '.java'), arg_min(4 + n_imports, 'n' || n || '/S' || src || '.java') FROM {S} JOIN {LINES} USING (src) GROUP BY ALL)"
+DEPENDENTS = f"""(SELECT project_id, callee_owner AS node, count(DISTINCT caller_owner) AS dependents FROM {RESOLVED} WHERE callee_owner IS NOT NULL AND callee_owner <> caller_owner AND call_kind <> 'CONSTRUCTOR_DELEGATION' GROUP BY ALL HAVING dependents > 15)"""
+AUDIT = f"""{CYCLES}, found AS ({LITERALS} UNION ALL SELECT project_id, 'EMPTY-CATCH', 'LOW', 'n' || n || '/S' || src || '.java', 9 + 2 * n_imports + 4 * n_methods, 'empty catch block' FROM {S} JOIN {LINES} USING (src)
+  UNION ALL SELECT project_id, 'LITERAL-EQUALS', 'MEDIUM', 'n' || n || '/S' || src || '.java', 10 + 2 * n_imports + 4 * n_methods, 'equals on a name that may be null' FROM {S} JOIN {LINES} USING (src)
+  UNION ALL SELECT project_id, 'DEAD-METHOD', 'LOW', file, line + 1, 'nothing calls unused' FROM {SERVICES}
+  UNION ALL SELECT b.p, 'CYCLE', 'MEDIUM', f.file_path, f.line, 'package cycle: ' || array_to_string(b.path, ' -> ') FROM b
+    JOIN (SELECT p, grain, component, arg_min(file_path, (src_type, dst_type)) AS file_path, arg_min(line, (src_type, dst_type)) AS line FROM m2 WHERE step = 1 GROUP BY ALL) f ON f.p = b.p AND f.grain = b.grain AND f.component = b.component WHERE b.grain = 'package'
+  UNION ALL SELECT project_id, 'LAYERING', 'MEDIUM', file, start, 'conflict: app.controller.L' || src || 'Service' FROM {SERVICES}
+  UNION ALL SELECT project_id, 'LAYERING', 'LOW', file_path, line, 'mixed: ' || package FROM {PACKAGES} WHERE mixed
+  UNION ALL SELECT project_id, 'RESPONSIBILITY', 'MEDIUM', file_path, line, 'overloaded: ' || package FROM {PACKAGES} WHERE n > 20
+  UNION ALL SELECT project_id, 'RESPONSIBILITY', 'LOW', 'app/Hub.java', 2, 'app.controller.Hub has ' || count(*) || ' dependents' FROM {SERVICES} GROUP BY project_id HAVING count(*) > 15
+  UNION ALL SELECT d.project_id, 'RESPONSIBILITY', 'LOW', 'n' || n || '/S' || src || '.java', 4 + n_imports, node || ' has ' || d.dependents || ' dependents' FROM {DEPENDENTS} d JOIN (SELECT *, {OWN} AS node FROM {S} JOIN {LINES} USING (src)) USING (project_id, node)
+  UNION ALL SELECT project_id, 'DEPENDENCY-INVALID', 'MEDIUM', file_path, line, dep_id FROM {COORDS} WHERE starts_with(version, '$')
+  UNION ALL SELECT project_id, 'DEPENDENCY-DUPLICATE', 'LOW', file_path, line, dep_id FROM {in_file(COORDS)} WHERE n >= 2 AND versions < 2
+  UNION ALL SELECT project_id, 'DEPENDENCY-CONFLICT', 'HIGH', file_path, line, dep_id FROM {in_file(COORDS)} WHERE versions >= 2
+  UNION ALL SELECT project_id, 'DEPENDENCY-CONFLICT', 'MEDIUM', file_path, line, dep_id FROM {diverging(COORDS)}
+  UNION ALL SELECT project_id, 'REQUIREMENT-' || rule_id, risk_level, file_path, line, name FROM ({requirement_sql(LISTED)})),
+  kept AS (SELECT project_id, rule_id, file_path, CAST(line AS BIGINT) AS line, description, arg_min(risk_level, CASE risk_level WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END) AS risk_level FROM found GROUP BY ALL)"""
+
+
+@query(AUDIT + " SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY file_path, line, rule_id, description) AS nth FROM kept")
+def i7_e2_audit_issues(v):
+    return audit.audit(everything(v)).issues.select("project_id", "rule_id", "file_path", "line", "description", "risk_level", "nth")
+
+
+@query(AUDIT + f""", tot AS (SELECT project_id, 2 * count(*) + 2 AS total FROM {S} GROUP BY ALL)
+  SELECT tot.project_id, tot.total, tot.total AS scanned, 1 AS skipped, false AS truncated, count(kept.line) AS issues, count(*) FILTER (risk_level = 'HIGH') AS high, count(*) FILTER (risk_level = 'MEDIUM') AS medium, count(*) FILTER (risk_level = 'LOW') AS low
+  FROM tot LEFT JOIN kept ON kept.project_id = tot.project_id GROUP BY ALL""")
+def g20_audit_header(v):
+    return audit.audit(everything(v)).header
+
+
+@query(LITERALS)
+def r1_r2_literals(v):
+    return issues.literal_issues(services(v)).select("project_id", "rule_id", "risk_level", "file_path", F.col("line").cast("long").alias("line"), "description")
+
+
+@query(f"""SELECT project_id, 'app.controller.L' || src || 'Service' AS owner, m AS name, file AS file_path, line + p AS line FROM {SERVICES}, (SELECT unnest(['used', 'unused', 'run']) AS m, unnest([0, 1, 2]) AS p)
+  UNION ALL SELECT project_id, 'app.controller.L' || src || 'Service', 'f' || k, file, line FROM {FIELDS} WHERE k % 4 = 2 UNION ALL SELECT DISTINCT project_id, 'app.controller.Hub', 'touch', 'app/Hub.java', 2 FROM {SERVICES}""")
+def x3_anonymous_methods(v):
+    return code.extractor("java")(services(v)).methods.select("project_id", "owner", "name", "file_path", F.col("line").cast("long").alias("line"))
+
+
+@query(f"""SELECT project_id, 'L' || src || 'Service' AS name, start AS start_line, line + 3 AS end_line, CASE src % 4 WHEN 0 THEN 'Repository' ELSE '' END AS annotations FROM {SERVICES} UNION ALL SELECT DISTINCT project_id, 'Hub', 2, 2, '' FROM {SERVICES}""")
+def x2_types_beside_text_blocks(v):
+    rows = code.extractor("java")(services(v)).types
+    return rows.select("project_id", "name", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.array_join("annotations", ",").alias("annotations"))
+
+
+@query(f"""SELECT project_id, 'L' || src AS caller, m AS caller_method, c AS callee, line + p AS line FROM {SERVICES}, (SELECT unnest(['used', 'unused', '<initializer>', 'run']) AS m, unnest(['touch', 'used', 'Runnable', 'used']) AS c, unnest([0, 1, 2, 2]) AS p)
+  UNION ALL SELECT project_id, 'L' || src, 'f' || k, 'read', line FROM {FIELDS} WHERE k % 4 = 2""")
+def x4_anonymous_calls(v):
+    rows = code.extractor("java")(services(v)).call_sites
+    return rows.select("project_id", F.regexp_extract("caller_owner", r"(L\d+)Service$", 1).alias("caller"), "caller_method", "callee", F.col("line").cast("long").alias("line"))
+
+
+@query("""WITH f AS (SELECT project_id, path, row_number() OVER (PARTITION BY project_id ORDER BY path) AS nth, content FROM {v_files} WHERE ends_with(path, '.md'))
+  SELECT project_id, count(*) AS total, count(*) FILTER (nth <= 20) AS scanned, count(*) FILTER (nth <= 20 AND (content IS NULL OR length(content) > 900)) AS skipped, bool_or(nth > 20) AS truncated, max(CASE WHEN nth = 21 THEN path END) AS first_left FROM f GROUP BY 1""")
+def s1_scan_report(v):
+    return scan.report(scan.placed(v("v_files").withColumnRenamed("path", "file_path"), ".md", 20, 900))

@@ -495,8 +495,20 @@ def f7_python_name(v):
 
 
 TOLD = "coalesce(trim(version) <> '' AND NOT starts_with(trim(version), '$'), false)"
-IN_FILE = f"""(SELECT project_id, file_path, dep_id, count(*) AS n, count(DISTINCT CASE WHEN {TOLD} THEN version END) AS versions, max(CASE WHEN nth = 2 THEN line END) AS line
-  FROM (SELECT *, row_number() OVER (PARTITION BY project_id, file_path, dep_id ORDER BY ordinal) AS nth FROM {{v_coords}}) GROUP BY ALL)"""
+
+
+def in_file(rows: str) -> str:
+    return f"""(SELECT project_id, file_path, dep_id, count(*) AS n, count(DISTINCT CASE WHEN {TOLD} THEN version END) AS versions, max(CASE WHEN nth = 2 THEN line END) AS line
+  FROM (SELECT *, row_number() OVER (PARTITION BY project_id, file_path, dep_id ORDER BY ordinal) AS nth FROM {rows}) GROUP BY ALL)"""
+
+
+def diverging(rows: str) -> str:
+    return f"""(SELECT f.project_id, f.dep_id, f.file_path, f.line FROM (SELECT *, row_number() OVER (PARTITION BY project_id, dep_id ORDER BY file_path, ordinal) AS nth FROM {rows}) f
+  JOIN (SELECT project_id, dep_id FROM {rows} WHERE {TOLD} GROUP BY ALL HAVING count(DISTINCT version) >= 2) d USING (project_id, dep_id)
+  WHERE nth = 1 AND (f.project_id, f.dep_id) NOT IN (SELECT (project_id, dep_id) FROM {in_file(rows)} WHERE versions >= 2))"""
+
+
+IN_FILE, DIVERGING = in_file("{v_coords}"), diverging("{v_coords}")
 
 
 @query(f"SELECT project_id, file_path, dep_id, line, 'LOW' AS risk_level FROM {IN_FILE} WHERE n >= 2 AND versions < 2")
@@ -509,11 +521,6 @@ def g10_conflicts(v):
     return manifests.conflicts(v("v_coords"))
 
 
-DIVERGING = f"""(SELECT f.project_id, f.dep_id, f.file_path, f.line FROM (SELECT *, row_number() OVER (PARTITION BY project_id, dep_id ORDER BY file_path, ordinal) AS nth FROM {{v_coords}}) f
-  JOIN (SELECT project_id, dep_id FROM {{v_coords}} WHERE {TOLD} GROUP BY ALL HAVING count(DISTINCT version) >= 2) d USING (project_id, dep_id)
-  WHERE nth = 1 AND (f.project_id, f.dep_id) NOT IN (SELECT (project_id, dep_id) FROM {IN_FILE} WHERE versions >= 2))"""
-
-
 @query(f"SELECT *, 'MEDIUM' AS risk_level FROM {DIVERGING}")
 def g11_divergence(v):
     return manifests.divergence(v("v_coords"))

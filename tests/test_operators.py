@@ -18,10 +18,11 @@ def test_dedupe_keeps_the_most_severe(spark):
     assert {r.risk_level: r.n for r in issues.counts_by_risk(issues.dedupe(df)).collect()} == {"HIGH": 1, "MEDIUM": 0, "LOW": 1}
 
 
-def test_cycles(spark):
+@pytest.mark.parametrize("local", [1, 100])
+def test_cycles(spark, local):
     def found(pairs):
         df = spark.createDataFrame([(0, a, b, 1) for a, b in pairs], "project_id int, src string, dst string, weight long")
-        return [(r.length, r.path) for r in graph.shortest_cycles(df).collect()]
+        return [(r.length, r.path) for r in graph.shortest_cycles(df, local).collect()]
 
     assert found([("a", "b"), ("b", "c"), ("c", "a"), ("h", "u")]) == [(3, "a -> b -> c -> a")]
     assert found([("x", "y"), ("y", "x")]) == [(2, "x -> y -> x")]
@@ -29,7 +30,8 @@ def test_cycles(spark):
     assert found([("a", "c"), ("c", "a"), ("a", "b"), ("b", "a")]) == [(2, "a -> b -> a")]
 
 
-def test_components_and_nested_cycles(spark):
+@pytest.mark.parametrize("local", [0, 1000])
+def test_components_and_nested_cycles(spark, local):
     import random
 
     rng = random.Random(1)
@@ -41,12 +43,32 @@ def test_components_and_nested_cycles(spark):
     groups = {a: {b for b in reach[a] if a in reach.get(b, ())} - {a} for a in reach}
     want = {(a, min(g | {a})) for a, g in groups.items() if g}
     df = spark.createDataFrame([(0, a, b, 1) for a, b in pairs], "project_id int, src int, dst int, weight long")
-    assert {(r.node, r.component) for r in graph.components(df).collect()} == want and len(want) > 35
-    assert graph.components(df.limit(0)).count() == 0 and graph.shortest_cycles(df.filter("src >= 90")).count() == 0
-    cycles = graph.shortest_cycles(df)
+    assert {(r.node, r.component) for r in graph.components(df, local).collect()} == want and len(want) > 35
+    assert graph.components(df.limit(0), local).count() == 0 and graph.shortest_cycles(df.filter("src >= 90"), local).count() == 0
+    cycles = graph.shortest_cycles(df, local)
     assert [r.length for r in graph.cycles_with(cycles, F.lit(60)).collect()] == [30]
 
 
+def test_large_and_small_projects_agree(spark):
+    import random
+
+    rng = random.Random(2)
+    pairs = [(p, f"n{a}", f"n{b}") for p, n in ((0, 4), (1, 30), (2, 60), (None, 8)) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(n * 2))]
+    df = spark.createDataFrame(pairs, "p long, src string, dst string").selectExpr("named_struct('p', p, 'grain', 'x') AS project_id", "src", "dst")
+    known = df.filter("project_id.p is not null")
+    both = [sorted((r.project_id.p, r.component, r.nodes) for r in graph.shortest_cycles(known, local).collect()) for local in (1_000, 40, 0)]
+    assert both[0] == both[1] == both[2] and len(both[0]) > 2
+
+
+def test_a_long_chain_is_few_jobs(spark):
+    chain = spark.range(1000).selectExpr("0 AS project_id", "id AS src", "id + 1 AS dst")
+    spark.sparkContext.setJobGroup("chain", "")
+    assert graph.components(chain).count() == 0
+    assert graph.shortest_cycles(chain.union(spark.createDataFrame([(0, 1000, 0)], chain.schema))).first().length == 1001
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain")) < 40
+    spark.sparkContext.setJobGroup("none", "")
+
+
 def test_resolution_order(spark):
     types = spark.createDataFrame(
         [(0, "p.A", "p", "A", "p/A"), (0, "q.A", "q", "A", "q/A"), (0, "q.B", "q", "B", "q/B"), (0, "r.B", "r", "B", "r/B"), (0, "r.C", "r", "C", "r/C"), (0, "java.lang.String", "java.lang", "String", "j/S")],
