@@ -4,13 +4,14 @@ A benchmark item is looked for as a whole and, if it has several sentences and
 five words or more before the last one, by its question alone: the last
 sentence is the answer, the rest the question. It counts as leaked if a passage
 holds at least ``overlap`` of the five-word shingles of the whole item or of
-its question; the overlaps of the whole, the question and the answer in the
-best such passage are reported.
+its question and, where there is an answer, at least ``overlap`` of the
+answer's too: a question with another answer is no leak. The overlaps of the
+whole, the question and the answer in the best such passage are reported.
 
 Passages are windows of a document whose length follows from the item's length
 alone: ``2 * STRIDE`` words, or so many times two as it takes to hold the item
-and a quarter more twice, starting every half of that. An item of over
-``PART`` words is judged in parts of that many words, each like an item.
+and a quarter more twice, starting every half of that. Items of any length are
+judged as a whole.
 
 What is looked for forms inverted indexes, one for each length of window: a
 posting holds what a term adds to the BM25 score, divided by the score that
@@ -54,8 +55,8 @@ from .common import plus, slices
 SHINGLE = 5
 OVERLAP = 0.8
 K1, B = 1.2, 0.75
-#: Words of the items that are indexed together, and of the longest part that is judged as one.
-GROUP, PART = 500_000, 4096
+#: Words of the items that are indexed together.
+GROUP = 500_000
 #: Words by which passages advance, at least.
 STRIDE = 64
 #: Blocks of postings, at most.
@@ -104,7 +105,7 @@ def share(of: np.ndarray, inside: np.ndarray) -> float:
 
 @dataclass
 class Item:
-    """An item, or a part of a long one: shingles of the whole, of its question and of its answer."""
+    """Shingles of a whole item, of its question and of its answer."""
 
     row: int  # of the item among those indexed
     n: int  # words of a shingle
@@ -171,16 +172,16 @@ def build(items: list[tuple[int, str]], overlap: float = OVERLAP) -> Index | Non
     found: list[Item] = []
     entries: dict[int, list[tuple[int, np.ndarray]]] = {}
     for row, (_, text) in enumerate(items):
-        whole = ids_of(words_of(text))
-        for a in range(0, len(whole), PART):
-            ids = whole[a : a + PART]
-            question, answer = map(ids_of, map(words_of, halves(text))) if len(whole) <= PART else (whole[:0], whole[:0])
-            looked_for = entries.setdefault(stride_of(len(ids)), [])
-            looked_for.append((len(found), ids))
-            alone = len(answer) > 0 and len(question) >= SHINGLE
-            if alone:
-                looked_for.append((len(found), question))
-            found.append(Item(row, min(SHINGLE, len(ids)), min(SHINGLE, len(answer)), shingles(ids), shingles(question[: len(question) * alone]), shingles(answer)))
+        ids = ids_of(words_of(text))
+        if not len(ids):
+            continue
+        question, answer = map(ids_of, map(words_of, halves(text)))
+        looked_for = entries.setdefault(stride_of(len(ids)), [])
+        looked_for.append((len(found), ids))
+        alone = len(answer) > 0 and len(question) >= SHINGLE
+        if alone:
+            looked_for.append((len(found), question))
+        found.append(Item(row, min(SHINGLE, len(ids)), min(SHINGLE, len(answer)), shingles(ids), shingles(question[: len(question) * alone]), shingles(answer)))
     if not found:
         return None
     return Index([i for i, _ in items], terms, found, [inverted(stride, own, len(terms), overlap) for stride, own in sorted(entries.items())])
@@ -245,8 +246,10 @@ def hits(index: Index, texts: list[str | None], overlap: float = OVERLAP) -> lis
         for d, p, i in sorted(candidates(part, ids, lengths)):
             item = index.items[i]
             whole, question = share(item.whole, passage(d, p, item.n)), share(item.question, passage(d, p, SHINGLE))
-            if max(whole, question) >= overlap:
-                got = whole, question, share(item.answer, passage(d, p, item.n_answer))
+            if max(whole, question) < overlap:
+                continue
+            got = whole, question, share(item.answer, passage(d, p, item.n_answer))
+            if not item.n_answer or got[2] >= overlap:
                 best[d][item.row] = max(best[d].get(item.row, got), got)
     return best
 
