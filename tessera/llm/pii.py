@@ -147,12 +147,18 @@ def full_shape(word: str) -> str:
     return "".join("d" if "0" <= c <= "9" else "X" if c.isupper() else "x" if c.isalpha() else c for c in word[:24])
 
 
-def features(chain: Chain) -> list[list[int]]:
-    """Weights' places for each word of a chain."""
-    shapes, full = [shape(w) for w in chain.words], [full_shape(w.rstrip(".,;:!?")) for w in chain.words]
-    sides = [shape(chain.before)[:2] and "w", *full, shape(chain.after)[:2] and "w"]
+def features(chain: Chain, begin: int = 0, end: int | None = None) -> list[list[int]]:
+    """Weights' places for each word of a chain, or for those from ``begin`` to ``end``."""
+    n = len(chain.words)
+    end = n if end is None else end
+    words = chain.words[begin:end]
+    shapes = [shape(w) for w in words]
+    a, b = max(begin - 1, 0), min(end + 1, n)
+    full = [full_shape(w.rstrip(".,;:!?")) for w in chain.words[a:b]]
+    sides = [shape(chain.before)[:2] and "w"] * (begin == 0) + full + [shape(chain.after)[:2] and "w"] * (end == n)
+    full = full[begin - a : begin - a + len(words)]
     out = []
-    for k, word in enumerate(chain.words):
+    for k, word in enumerate(words):
         digits = sum("0" <= c <= "9" for c in word)
         names = (
             f"s{shapes[k]}", f"f{full[k]}", f"p{sides[k]}", f"n{sides[k + 2]}", f"sn{full[k]}|{sides[k + 2]}", f"ps{sides[k]}|{full[k]}",
@@ -163,6 +169,8 @@ def features(chain: Chain) -> list[list[int]]:
 
 
 N_FEATURES = 9
+#: Words of a chain up to which it is decoded beside others, and words, with those that pad, decoded together.
+PIECE, CELLS = 8192, 1 << 16
 
 
 @dataclass
@@ -194,6 +202,28 @@ class Field:
         return out
 
 
+    def viterbi_long(self, chain: Chain) -> np.ndarray:
+        """Best labels of one chain of any length: words come in pieces, and the forward scores of one piece begin the next."""
+        n = len(chain.words)
+        back = np.zeros((n, len(LABELS)), np.int8)
+        best = None
+        for a in range(0, n, PIECE):
+            score = self.emit[np.array(features(chain, a, min(a + PIECE, n)), np.int64)].sum(1)
+            for k, own in enumerate(score, a):
+                if best is None:
+                    best = own + self.move[-1]
+                    continue
+                step = best[:, None] + self.move[:-1]
+                back[k] = step.argmax(0)
+                best = step.max(0) + own
+        out = np.zeros(n, np.int8)
+        at = int(best.argmax())
+        for k in range(n - 1, -1, -1):
+            out[k] = at
+            at = back[k, at]
+        return out
+
+
 def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis, keepdims=True)
     return np.log(np.exp(x - top).sum(axis)) + top.squeeze(axis)
@@ -278,14 +308,17 @@ def train(lines: Sequence[str]) -> Field:
 
 
 def decode(field: Field, found: list[Chain]) -> list[np.ndarray]:
-    """Labels of each chain; chains of like length go through Viterbi together."""
+    """Labels of each chain; chains of like length go through Viterbi together, ``CELLS`` padded words at most, and one of over ``PIECE`` words alone."""
     out: list = [None] * len(found)
     order = sorted(range(len(found)), key=lambda k: len(found[k].words))
     a = 0
     while a < len(order):
-        b, words = a, 0
-        while b < len(order) and (b == a or (words + len(found[order[b]].words)) <= 50_000):
-            words += len(found[order[b]].words)
+        if len(found[order[a]].words) > PIECE:
+            out[order[a]] = field.viterbi_long(found[order[a]])
+            a += 1
+            continue
+        b = a + 1
+        while b < len(order) and len(found[order[b]].words) <= PIECE and (b + 1 - a) * len(found[order[b]].words) <= CELLS:
             b += 1
         x, lengths = padded([found[k] for k in order[a:b]])
         for k, y, n in zip(order[a:b], field.viterbi(x, lengths), lengths, strict=True):

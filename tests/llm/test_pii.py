@@ -95,3 +95,29 @@ def test_query(spark):
     assert rows[2].spans == "phone:5:22,crf_phone:26:40" and rows[2].n_added == 1 and rows[6].n_added == 3000
     none = spark.createDataFrame([], "line string")
     assert {r.n_added for r in pii.personal_data(df, none).collect()} == {0}
+
+
+def test_long_chains_in_pieces(monkeypatch):
+    field = pii.train(pii.LABELLED)
+    rng = random.Random(11)
+    words = [rng.choice(["12", "+49", "555-1234", "a@b.co", "10.0.0.1", "4111", "x1"]) for _ in range(700)]
+    texts = [" ".join(words), "1", "a 7 b\n" * 50, "call +1 202 555 0199 now", " ".join(words[:63]), " ".join(words[:64]), " ".join(words[:65])]
+    found = [c for t in texts for c in pii.chains(t)]
+    whole = pii.decode(field, found)
+    one_by_one = [field.viterbi(*pii.padded([c]))[0] for c in found]
+    monkeypatch.setattr(pii, "PIECE", 64)
+    monkeypatch.setattr(pii, "CELLS", 100)
+    for got in (whole, pii.decode(field, found)):
+        assert all(a.tolist() == b.tolist() for a, b in zip(got, one_by_one, strict=True))
+
+
+def test_many_numbers_stay_small():
+    import tracemalloc
+
+    field = pii.train(pii.LABELLED)
+    texts = ["a 1 " * 3000, "1 " * 20_000, "b 22\n" * 3000]
+    found = [c for t in texts for c in pii.chains(t)]
+    tracemalloc.start()
+    assert len(pii.decode(field, found)) == len(found) and max(len(c.words) for c in found) == 20_000
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
