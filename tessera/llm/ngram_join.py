@@ -231,12 +231,12 @@ def group_pairs(groups: DataFrame, percent: int) -> DataFrame:
     return pairs.unionByName(groups.filter("members > 1").select(F.col("grp").alias("a"), F.col("grp").alias("b")))
 
 
-def verified(xs: list[dict], ys: list[dict] | None, percent: int) -> list[tuple[bytes, bytes]]:
-    """Links among sets, or between two lists of them, that connect all that are similar enough: of links that close a circle one is left out."""
+def verified(xs: list[dict], ys: list[dict] | None, percent: float) -> list[tuple]:
+    """Links (pairs of keys) among sets, or between two lists of them, that connect all that are similar enough: of links that close a circle one is left out."""
     other = xs if ys is None else ys
-    root: dict[bytes, bytes] = {}
+    root: dict = {}
 
-    def find(k: bytes) -> bytes:
+    def find(k):
         while (up := root.get(k, k)) != k:
             root[k] = root.get(up, up)
             k = up
