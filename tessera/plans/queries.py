@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lookups as L
+from ..functions import technologies as tech
 from ..functions import text as X
 from ..operators import evaluate, facts, files, graph, issues, layers, links, manifests, sessions, stack
 from .bindings import duck, view
@@ -494,6 +495,42 @@ def f7_python_name(v):
     return v("v_names").select("name", X.python_name(F.col("name")).alias("normal"))
 
 
+#: A name for each part: a key of a rule of some kind as it is, continued at a dot or hyphen, or run on; in the order of parts.
+KEYS = {kind: [k for r, k, _ in tech.RULES if r == kind] for kind in ("import", "annotation", "artifact", "family", "npm", "python")}
+KINDS = tuple(KEYS)
+PICKED = "CASE p_partkey % 6 " + " ".join(f"WHEN {n} THEN element_at({{make}}({listed(KEYS[k])}), CAST(1 + floor(p_partkey / 6) % {len(KEYS[k])} AS INT))" for n, k in enumerate(KINDS)) + " END"
+TECH_NAMES = f"""SELECT CAST(p_size % 7 AS BIGINT) AS project_id, CASE p_partkey % 6 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS turn, concat('f', CAST(p_size % 3 AS STRING)) AS file_path, CAST(p_partkey AS BIGINT) AS line, CAST(0 AS BIGINT) AS place,
+  CASE p_partkey % 6 WHEN 0 THEN 'import' WHEN 1 THEN 'annotation' WHEN 4 THEN 'npm' WHEN 5 THEN 'python' ELSE 'artifact' END AS kind,
+  concat({PICKED}, CASE WHEN p_partkey % 4 = 1 THEN CASE p_partkey % 6 WHEN 0 THEN '.more.Name' WHEN 3 THEN 'more' ELSE '' END WHEN p_partkey % 28 = 2 THEN 'x' ELSE '' END) AS name,
+  CASE WHEN p_partkey % 6 > 1 AND p_partkey % 5 > 0 THEN CASE WHEN p_partkey % 5 = 1 THEN ' ' ELSE p_brand END END AS version FROM {{part}}"""
+RULE_ROWS = ", ".join(f"('{kind}', '{key}', '{says}')" for kind, key, known in tech.RULES for says in known)
+MATCHED = f"""n AS (SELECT *, concat(file_path, ': ', name, coalesce(version, '')) AS evidence FROM ({TECH_NAMES.replace("{make}", "list_value").replace("element_at", "list_extract")})), r(kind, key, stack) AS (VALUES {RULE_ROWS}),
+  k AS (SELECT n.kind, n.name, arg_max((r.kind, r.key), CASE WHEN r.kind = 'artifact' THEN 100000 ELSE length(r.key) END) AS best FROM (SELECT DISTINCT kind, name FROM n) n JOIN r ON CASE WHEN n.kind = 'import' THEN r.kind = 'import' AND (n.name = r.key OR starts_with(n.name, r.key || '.'))
+    WHEN n.kind = 'artifact' THEN (r.kind = 'artifact' AND n.name = r.key) OR (r.kind = 'family' AND starts_with(n.name, r.key)) ELSE r.kind = n.kind AND r.key = n.name END GROUP BY ALL),
+  m AS (SELECT n.*, s.stack FROM n LEFT JOIN (SELECT k.kind, k.name, r.stack FROM k JOIN r ON (r.kind, r.key) = k.best) s USING (kind, name))"""
+
+
+def tech_names(v: View) -> DataFrame:
+    spark = v("part").sparkSession
+    return spark.sql(TECH_NAMES.replace("{make}", "array"), part=v("part")).withColumn("evidence", F.concat("file_path", F.lit(": "), "name", F.coalesce("version", F.lit(""))))
+
+
+@query(f"""WITH {MATCHED}, c(stack, category) AS (VALUES {", ".join(f"('{t}', '{c}')" for t, c in tech.CATEGORY_OF.items())})
+  SELECT project_id, category, stack, arg_min(version, (turn, file_path, line, place, name)) FILTER (trim(version) <> '') AS version, count(DISTINCT evidence) AS evidences FROM m JOIN c USING (stack) GROUP BY ALL""")
+def j9_j12_technologies(v):
+    return stack.technologies(tech_names(v))[0]
+
+
+@query(f"""WITH {MATCHED} SELECT project_id, stack, row_number() OVER (PARTITION BY project_id, stack ORDER BY seen, evidence) AS nth, evidence FROM (SELECT project_id, stack, evidence, min((turn, file_path, line, place, name)) AS seen FROM m WHERE stack IS NOT NULL GROUP BY ALL)""")
+def g15_technology_evidence(v):
+    return stack.technologies(tech_names(v))[1]
+
+
+@query(f"WITH {MATCHED} SELECT DISTINCT project_id, substring(evidence, length(file_path) + 3) AS dependency FROM m WHERE stack IS NULL AND turn = 2")
+def j13_unknown_dependencies(v):
+    return stack.technologies(tech_names(v))[2]
+
+
 TOLD = "coalesce(trim(version) <> '' AND NOT starts_with(trim(version), '$'), false)"
 
 
