@@ -246,3 +246,43 @@ def snapshot_history(snapshots: DataFrame, keep: int = 12) -> DataFrame:
     changed = snapshots.withColumn("before", F.lag("issue_keys").over(order)).filter("before is null or before <> issue_keys").drop("before")
     newest = F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("captured_at")))
     return changed.withColumn("nth", newest).filter(F.col("nth") <= keep)
+
+
+# --- snapshots as rows (project_id, captured_at, issue_key, nth), nth being a key's place in its snapshot ---
+
+
+def long_form(issues: DataFrame, captured_at: Column, key: Column) -> DataFrame:
+    """Snapshots as rows, from issues: each key of a project and day once, in order."""
+    rows = issues.select("project_id", captured_at.alias("captured_at"), key.alias("issue_key")).distinct()
+    return ranked(rows, ["project_id", "captured_at"], ["issue_key"])
+
+
+def sequence(snapshots: DataFrame) -> DataFrame:
+    """The snapshots of each project with the one before: a row per snapshot, however many keys it has."""
+    before = F.lag("captured_at").over(Window.partitionBy("project_id").orderBy("captured_at"))
+    return snapshots.select("project_id", "captured_at").distinct().withColumn("before", before)
+
+
+def snapshot_changes(snapshots: DataFrame) -> DataFrame:
+    """Keys of every snapshot against the one before: (project_id, captured_at, issue_key, change), ADDED, REMOVED or UNCHANGED; all keys of a first one are added."""
+    steps = materialise(sequence(snapshots), "snapshot-steps")
+    now = snapshots.select("project_id", "captured_at", "issue_key", F.lit(True).alias("here"))
+    then = snapshots.select("project_id", F.col("captured_at").alias("before"), "issue_key", F.lit(True).alias("there"))
+    then = then.join(steps.filter("before is not null"), ["project_id", "before"]).drop("before")
+    both = now.join(then, ["project_id", "captured_at", "issue_key"], "full_outer")
+    change = F.when(F.col("there").isNull(), "ADDED").when(F.col("here").isNull(), "REMOVED").otherwise("UNCHANGED")
+    return both.select("project_id", "captured_at", "issue_key", change.alias("change"))
+
+
+def digests(snapshots: DataFrame) -> DataFrame:
+    """A digest of each snapshot that differs with its keys and their order: of the hashes of key and place a count, a sum and an exclusive or, which merge."""
+    h = F.xxhash64("issue_key", "nth")
+    return snapshots.groupBy("project_id", "captured_at").agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(38,0)")).alias("total"), F.bit_xor(F.xxhash64("nth", "issue_key")).alias("mixed")).alias("digest"))
+
+
+def history(snapshots: DataFrame, keep: int = 12) -> DataFrame:
+    """Snapshots that differ from the one before in keys or order, the newest ``keep`` of a project; only digests are compared."""
+    order = Window.partitionBy("project_id").orderBy("captured_at")
+    changed = digests(snapshots).withColumn("before", F.lag("digest").over(order)).filter("before is null or before <> digest")
+    newest = F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("captured_at")))
+    return changed.select("project_id", "captured_at", "digest.n").withColumn("nth", newest).filter(F.col("nth") <= keep)

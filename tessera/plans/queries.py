@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -12,6 +13,7 @@ from ..functions import lookups as L
 from ..functions import technologies as tech
 from ..functions import text as X
 from ..operators import evaluate, facts, files, graph, issues, layers, links, manifests, sessions, stack
+from ..sources import tables
 from .bindings import duck, view
 
 View = Callable[[str], DataFrame]
@@ -228,6 +230,27 @@ def w15_latest_snapshot(v):
     return issues.latest(snapshots(v).withColumn("n", F.size("issue_keys")), ["project_id"], F.col("captured_at")).select("project_id", "captured_at")
 
 
+def long_snapshots(v: View) -> DataFrame:
+    return issues.long_form(v("v_issues"), F.to_date("ts"), F.concat_ws("|", "rule_id", "file_path", (F.col("line") % 3).cast("string")))
+
+
+LONG = "(SELECT DISTINCT project_id, CAST(ts AS DATE) AS captured_at, rule_id || '|' || file_path || '|' || CAST(line % 3 AS STRING) AS issue_key FROM {v_issues})"
+
+
+@query(f"""WITH l AS {LONG}, d AS (SELECT *, lag(captured_at) OVER (PARTITION BY project_id ORDER BY captured_at) AS before FROM (SELECT DISTINCT project_id, captured_at FROM l)),
+  p AS (SELECT d.project_id, d.captured_at, l.issue_key FROM d JOIN l ON l.project_id = d.project_id AND l.captured_at = d.before)
+  SELECT project_id, captured_at, issue_key, CASE WHEN p.issue_key IS NULL THEN 'ADDED' WHEN l.issue_key IS NULL THEN 'REMOVED' ELSE 'UNCHANGED' END AS change
+  FROM (SELECT *, issue_key AS k FROM l) l FULL JOIN (SELECT *, issue_key AS k FROM p) p USING (project_id, captured_at, issue_key)""".replace("p.issue_key IS NULL", "p.k IS NULL").replace("l.issue_key IS NULL", "l.k IS NULL"))
+def u2_snapshot_changes(v):
+    return issues.snapshot_changes(long_snapshots(v))
+
+
+@query(f"""WITH s AS (SELECT *, lag(issue_keys) OVER (PARTITION BY project_id ORDER BY captured_at) AS before FROM ({SNAPS}))
+  SELECT project_id, captured_at, len(issue_keys) AS n, row_number() OVER (PARTITION BY project_id ORDER BY captured_at DESC) AS nth FROM s WHERE before IS NULL OR before <> issue_keys QUALIFY nth <= 12""")
+def w16_history_by_digest(v):
+    return issues.history(long_snapshots(v))
+
+
 # --- files ------------------------------------------------------------------
 
 
@@ -312,6 +335,18 @@ def s8_upsert(v):
     return files.upserted(old, new, ["project_id", "path"]).select("project_id", "path", "updated_at")
 
 
+@query("SELECT project_id, path, CASE WHEN size >= 1000 AND project_id % 2 = 0 THEN 2 ELSE 1 END AS updated_at, length(content) AS n FROM {v_files}")
+def s8_upsert_written(v):
+    rows = v("v_files").select("project_id", "path", "content", F.lit(1).alias("updated_at"))
+    path = f"{tables.own_dir(rows.sparkSession)}/upserted-{uuid.uuid4().hex}"
+    tables.upsert(rows, path, ["project_id", "path"])
+    held = rows.sparkSession.read.parquet(path)
+    new = v("v_files").filter("size >= 1000 and project_id % 2 = 0").select("project_id", "path").withColumn("project_id", F.col("project_id").cast(held.schema["project_id"].dataType))
+    tables.upsert(held.join(new, ["project_id", "path"]).withColumn("updated_at", F.lit(2)), path, ["project_id", "path"])  # of the table itself
+    out = rows.sparkSession.read.parquet(path)
+    return out.select(F.col("project_id").cast("long").alias("project_id"), "path", "updated_at", F.length("content").cast("long").alias("n"))
+
+
 @query("SELECT path, concat_ws(',', CASE WHEN NOT contains(content, 'the') THEN 'the' END, CASE WHEN NOT contains(content, 'des') THEN 'des' END) AS missing FROM {v_files}")
 def x16_missing_sections(v):
     return files.missing_sections(v("v_files"), ["the", "des"]).select("path", F.array_join("missing", ",").alias("missing"))

@@ -53,6 +53,43 @@ def replace_projects(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def upsert(rows: DataFrame, path: str, keys: list[str], newest: str = "updated_at", by: str = "project_id") -> None:
+    """Put ``rows`` into the table at ``path``: one row per key, the one with the largest ``newest``.
+
+    Only partitions (``by``, one of the keys) that new rows fall in are read
+    and written. What they will hold is written beside the table first, so
+    ``rows`` may come from the table itself and a lost executor costs a stage;
+    then Spark's committer puts the finished partitions in place of the old
+    ones, so a job that fails before leaves the table as it was. Of rows of a
+    key with the same ``newest`` those of ``rows`` win; columns of the table
+    that ``rows`` lacks become null.
+    """
+    spark = rows.sparkSession
+    new = rows.withColumn("_new", F.lit(1))
+    both = new
+    if exists(spark, path):
+        held = spark.read.parquet(path)
+        old = held.join(F.broadcast(partitions(rows, by)), by, "left_semi").withColumn("_new", F.lit(0))
+        both = old.unionByName(new, allowMissingColumns=True)
+    rest = [c for c in both.columns if c not in keys]
+    best = F.max_by(F.struct(*rest), F.struct(newest, "_new"))
+    staged = materialise(both.groupBy(*keys).agg(best.alias("r")).select(*keys, "r.*").drop("_new"), "upsert")
+    staged.repartition(by, *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def partitions(rows: DataFrame, by: str, most: int = 100_000) -> DataFrame:
+    """The distinct values of a partition column, which a table has few of: more than ``most`` are an error, as no table is laid out by so many."""
+    found = materialise(rows.select(by).distinct(), "partitions")
+    if found.count() > most:
+        raise ValueError(f"{by} has over {most} values, which is no partition column")
+    return found
+
+
 def append(rows: DataFrame, path: str, *key: str) -> None:
     """Append rows, each with an object key built from columns."""
     rows.withColumn("object_key", F.concat_ws("/", *key)).write.mode("append").parquet(path)
