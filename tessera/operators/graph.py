@@ -248,21 +248,28 @@ def resolved(refs: DataFrame, types: DataFrame, imports: DataFrame) -> DataFrame
     wildcard imports if exactly one fits, and in ``java.lang`` of the project.
     """
     t = types.select("project_id", "qualified", F.col("package").alias("t_package"), "simple", F.col("file_path").alias("t_file"))
-    exact = t.select("project_id", F.col("qualified").alias("name"), F.col("qualified").alias("by_name")).distinct()
-    same = t.groupBy("project_id", F.col("t_file").alias("file_path"), "simple").agg(F.min("qualified").alias("by_file"))
-    single = imports.filter("not is_wildcard").withColumn("simple", F.substring_index("imported", ".", -1))
-    single = single.groupBy("project_id", "file_path", "simple").agg(F.min("imported").alias("by_import"))
-    pack = t.groupBy("project_id", F.col("t_package").alias("package"), "simple").agg(F.min("qualified").alias("by_package"))
-    wild = imports.filter("is_wildcard").select("project_id", "file_path", F.col("imported").alias("t_package")).distinct()
-    wild = wild.join(t, ["project_id", "t_package"]).groupBy("project_id", "file_path", "simple").agg(F.count_distinct("qualified").alias("hits"), F.min("qualified").alias("by_wildcard"))
-    wild = wild.filter("hits = 1").drop("hits")
-    lang = t.filter("t_package = 'java.lang'").groupBy("project_id", "simple").agg(F.min("qualified").alias("by_lang"))
-    rows = refs.withColumn("simple", F.substring_index("name", ".", -1)).join(exact, ["project_id", "name"], "left")
-    for more, key in ((same, "file_path"), (single, "file_path"), (pack, "package"), (wild, "file_path")):
-        rows = rows.join(more, ["project_id", key, "simple"], "left")
-    rows = rows.join(lang, ["project_id", "simple"], "left")
-    ways = ("by_name", "by_file", "by_import", "by_package", "by_wildcard", "by_lang")
-    return rows.withColumn("resolved", F.coalesce(*ways)).drop("simple", *ways)
+    of = lambda rows, way, scope, simple, resolved: rows.select("project_id", F.lit(way).alias("way"), scope.alias("scope"), simple.alias("simple"), resolved.alias("resolved"))
+    none, simple, least = F.lit(""), F.col("simple"), F.min("resolved").alias("resolved")
+    wild = imports.filter("is_wildcard").select("project_id", "file_path", F.col("imported").alias("t_package")).distinct().join(t, ["project_id", "t_package"])
+    wild = wild.groupBy("project_id", "file_path", "simple").agg(F.count_distinct("qualified").alias("hits"), F.min("qualified").alias("qualified")).filter("hits = 1")
+    names = [
+        of(t, 0, none, F.col("qualified"), F.col("qualified")),
+        of(t, 1, F.col("t_file"), simple, F.col("qualified")),
+        of(imports.filter("not is_wildcard"), 2, F.col("file_path"), F.substring_index("imported", ".", -1), F.col("imported")),
+        of(t, 3, F.col("t_package"), simple, F.col("qualified")),
+        of(wild, 4, F.col("file_path"), simple, F.col("qualified")),
+        of(t.filter("t_package = 'java.lang'"), 5, none, simple, F.col("qualified")),
+    ]
+    names = reduce(DataFrame.unionByName, names).groupBy("project_id", "way", "scope", "simple").agg(least)
+    # each different reference is looked up once, in all ways at once, and the first way that finds it counts
+    key = ["project_id", "file_path", "package", "name"]
+    asked = refs.select(*key).filter("name is not null").distinct()
+    last = F.substring_index("name", ".", -1)
+    ways = [(none, F.col("name")), (F.col("file_path"), last), (F.col("file_path"), last), (F.col("package"), last), (F.col("file_path"), last), (none, last)]
+    ways = F.explode(F.array(*[F.struct(F.lit(k).alias("way"), scope.alias("scope"), of_.alias("simple")) for k, (scope, of_) in enumerate(ways)]))
+    asked = asked.select(*key, ways.alias("w")).select(*key, "w.*")
+    best = asked.join(names, ["project_id", "way", "scope", "simple"]).groupBy(*key).agg(F.min_by("resolved", "way").alias("resolved"))
+    return refs.join(best, key, "left")
 
 
 def callee_owners(sites: DataFrame, imports: DataFrame, declared: DataFrame) -> DataFrame:
