@@ -11,13 +11,13 @@ from pyspark.sql import SparkSession
 
 HERE = Path(__file__).resolve().parent
 #: What a batch of rows for a Python worker may hold, in place of Spark's 64 MB: a batch is held several times, on both sides.
-BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+BATCH, SPARKS_OWN, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 8 << 20
 
 
 def ship(spark: SparkSession) -> SparkSession:
     """Give the executors this package, once per application, as a zip file that Spark distributes; batches for Python are kept small."""
     sc = spark.sparkContext
-    if int(spark.conf.get(BATCH, "0").rstrip("b") or 0) > BATCH_BYTES:
+    if spark.conf.get(BATCH) == SPARKS_OWN:  # not if it was set to something else
         spark.conf.set(BATCH, str(BATCH_BYTES))
     if getattr(sc, "_tessera_shipped", False):
         return spark
