@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, ngram_join, periodic, pii, quality_model, quality_rules, repeats, secret_scan, simhash, spelling, token_store, url_filter
+from . import decontam, mixing, ngram_join, oracles, periodic, pii, quality_model, quality_rules, repeats, secret_scan, simhash, spelling, token_store, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,4 +74,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_secret_scan, op2_decontamination, op3_quality_model, op4_personal_data, op5_quality_rules, op6_mixing, op7_simhash, op8_url_filter, op9_repeated_passages, op10_token_store, op11_spelling_variants, op12_periodic_runs, op13_ngram_join)
 }
-ORACLES: dict[str, str] = {"op8_url_filter": url_filter.oracle()}
+ORACLES: dict[str, str] = {"op8_url_filter": url_filter.oracle(), "op11_spelling_variants": oracles.OP11, "op12_periodic_runs": oracles.OP12, "op13_ngram_join": oracles.OP13}
