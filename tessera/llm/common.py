@@ -91,7 +91,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20)
             yield batch.slice(a, b - a)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph: rows (node, root), root being the smallest node.
 
     Every node keeps the smallest root seen among its neighbours, then roots
@@ -102,7 +102,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b")
     both = materialise(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     state = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "roots")
-    for _ in range(rounds):
+    while True:  # roots only fall, so it ends
         seen = both.join(state.select(F.col("node").alias("b"), F.col("root").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
         hooked = state.join(seen, state.node == seen.a).select("node", F.col("root").alias("old"), F.least("root", "other").alias("root"))
         # the root's own smaller root pulls whole trees along
@@ -116,4 +116,3 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         state = moved.select("node", "root")
         if moved.filter("old <> root").isEmpty():
             return state
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
