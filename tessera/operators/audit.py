@@ -45,21 +45,20 @@ def segments(c: Corpus) -> DataFrame:
 
 def call_owners(c: Corpus) -> DataFrame:
     """Call sites with the type that declares what they call."""
-    return materialise(code.resolved(c["facts"]), "call-owners")
+    return materialise(code.linked(c["facts"]), "call-owners")
 
 
 def method_edges(c: Corpus) -> DataFrame:
     """Calls between methods (project_id, src, dst), each as ``type#name``."""
-    rows = c["call_owners"].filter("callee_owner is not null and call_kind <> 'CONSTRUCTOR_DELEGATION'")
-    callee = F.when(F.col("call_kind") == "CONSTRUCTOR", code.CONSTRUCTOR).otherwise(F.col("callee"))
-    rows = rows.select("project_id", F.concat_ws("#", "caller_owner", "caller_method").alias("src"), F.concat_ws("#", "callee_owner", callee).alias("dst"))
+    rows = c["call_owners"].filter("declaring is not null")
+    rows = rows.select("project_id", F.concat_ws("#", "caller_owner", "caller_method").alias("src"), F.concat_ws("#", "declaring", "called").alias("dst"))
     return rows.filter("src <> dst").distinct()
 
 
 def type_edges(c: Corpus) -> DataFrame:
     """Edges between types of the projects, with the files they come from: (project_id, src, dst, file_path)."""
-    rows = c["call_owners"].filter("callee_owner is not null and callee_owner <> caller_owner and call_kind <> 'CONSTRUCTOR_DELEGATION'")
-    rows = rows.select("project_id", F.col("caller_owner").alias("src"), F.col("callee_owner").alias("dst"), "file_path").distinct()
+    rows = c["call_owners"].filter("declaring <> caller_owner")
+    rows = rows.select("project_id", F.col("caller_owner").alias("src"), F.col("declaring").alias("dst"), "file_path").distinct()
     own = c["facts"].types.select("project_id", F.col("qualified").alias("dst")).distinct()
     return materialise(rows.join(own, ["project_id", "dst"], "left_semi"), "type-edges")
 

@@ -32,6 +32,7 @@ MODIFIERS = ("public", "protected", "private", "static", "final", "abstract", "s
 NOT_CALLED = ("if", "for", "while", "switch", "catch", "synchronized", "return", "throw", "assert", "new", "else", "do", "try", "case", "super", "this")
 NOT_TYPES = ("return", "throw", "new", "else", "case", "package", "import", "goto", "assert", "instanceof", "throws")
 INITIALIZER, CONSTRUCTOR = "<initializer>", "<init>"
+INSTANTIABLE = ("CLASS", "ENUM", "RECORD")
 
 # loops are possessive, so that long strings and comments need no stack
 TEXT_BLOCK = r'"""[^"\\]*+(?:(?:\\.|"(?!""))[^"\\]*+)*+(?:"""|\z)'
@@ -385,15 +386,48 @@ def references(found: Facts) -> DataFrame:
     return sites.join(found.packages, FILE, "left").withColumns({"package": F.coalesce("package", F.lit("")), "name": X.type_name(F.col("receiver_type"))})
 
 
+def parents(found: Facts) -> DataFrame:
+    """What types extend and implement, as far as it is in the project: (project_id, type, parent)."""
+    types = found.types.select("project_id", "qualified", "package", F.col("name").alias("simple"), "file_path")
+    above = F.array_compact(F.concat(F.array("super_class"), F.coalesce("interfaces", F.array().cast("array<string>"))))
+    rows = found.types.select(*FILE, "package", F.col("qualified").alias("type"), F.explode(above).alias("reference"))
+    rows = graph.resolved(rows.withColumn("name", X.type_name(F.col("reference"))), types, found.imports)
+    return rows.filter("resolved is not null").select("project_id", "type", F.col("resolved").alias("parent")).distinct()
+
+
+def declared(found: Facts) -> DataFrame:
+    """For each type and member name the nearest type, itself first, that declares it; what can be made declares a constructor: (project_id, type, name, owner, distance)."""
+    members = found.methods.select("project_id", F.col("owner").alias("type"), "name")
+    made = found.types.filter(F.col("kind").isin(*INSTANTIABLE)).select("project_id", F.col("qualified").alias("type"), F.lit(CONSTRUCTOR).alias("name"))
+    return graph.nearest_declaring(parents(found), members.unionByName(made))
+
+
 def resolved(found: Facts) -> DataFrame:
     """Call sites with the types that their receivers and callees resolve to."""
     types = found.types.select("project_id", "qualified", "package", F.col("name").alias("simple"), "file_path")
-    sites = graph.resolved(references(found), types, found.imports)
-    parents = found.types.filter("super_class is not null")
-    parents = graph.resolved(parents.select(*FILE, "package", F.col("super_class").alias("name"), F.col("qualified").alias("type")), types, found.imports)
-    parents = parents.filter("resolved is not null").select("project_id", "type", F.col("resolved").alias("parent"))
-    declared = graph.nearest_declaring(parents, found.methods.select("project_id", F.col("owner").alias("type"), "name"))
-    return graph.callee_owners(sites, found.imports, declared)
+    return graph.callee_owners(graph.resolved(references(found), types, found.imports), found.imports, declared(found))
+
+
+def linked(found: Facts) -> DataFrame:
+    """The same with ``declaring``: the type that declares what is called, null for sites that stay unresolved.
+
+    In a type of the project that is the nearest one above, itself first, that
+    declares the name; a type of another project stands for itself.
+    """
+    known = materialise(declared(found), "declared")
+    types = found.types.select("project_id", "qualified", F.col("package"), F.col("name").alias("simple"), "file_path")
+    sites = graph.callee_owners(graph.resolved(references(found), types, found.imports), found.imports, known)
+    called = F.when(F.col("call_kind") == "CONSTRUCTOR", CONSTRUCTOR).otherwise(F.col("callee"))
+    sites = sites.withColumn("called", called)
+    own = types.select("project_id", F.col("qualified").alias("callee_owner"), F.lit(True).alias("is_own")).distinct()
+    above = known.select("project_id", F.col("type").alias("callee_owner"), F.col("name").alias("called"), F.col("owner").alias("declared_by"))
+    rows = sites.join(own, ["project_id", "callee_owner"], "left").join(above, ["project_id", "callee_owner", "called"], "left")
+    return rows.withColumn("declaring", F.when(F.col("is_own"), F.col("declared_by")).otherwise(F.col("callee_owner"))).drop("is_own", "declared_by")
+
+
+def unresolved(sites: DataFrame) -> DataFrame:
+    """Of ``linked`` sites those that no type is known to declare: (project_id, file_path, line, caller_owner, caller_method, callee, call_kind)."""
+    return sites.filter("declaring is null").select(*FILE, "line", "caller_owner", "caller_method", "callee", "call_kind")
 
 
 def union_of(parts: list[DataFrame]) -> DataFrame:

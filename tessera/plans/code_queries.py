@@ -122,8 +122,11 @@ def layer_of(package):
     return F.concat(F.lit("r"), (F.regexp_extract(package, r"(\d+)", 1).cast("int") % 5).cast("string"))
 
 
+#: Sites that are resolved: no class declares go, make or stat, so of calls of the project's own types only constructors and own methods are.
+OPEN = f"""(callee_owner IS NULL OR (call_kind <> 'CONSTRUCTOR' AND receiver_kind NOT IN ('NONE', 'THIS') AND (project_id, callee_owner) IN (SELECT (project_id, {OWN}) FROM {S})))"""
+LINKED = f"(SELECT * FROM {RESOLVED} WHERE NOT {OPEN})"
 CYCLES = f"""WITH RECURSIVE t AS (SELECT project_id, {OWN} AS type, 'n' || n AS package, 'r' || n % 5 AS layer FROM {S} UNION ALL SELECT project_id, {OWN} || '.In', 'n' || n, 'r' || n % 5 FROM {S}),
-  e AS (SELECT DISTINCT project_id, caller_owner AS src, callee_owner AS dst FROM {RESOLVED} WHERE callee_owner IS NOT NULL AND call_kind <> 'CONSTRUCTOR_DELEGATION'),
+  e AS (SELECT DISTINCT project_id, caller_owner AS src, callee_owner AS dst FROM {LINKED}),
   m AS (SELECT DISTINCT e.project_id AS p, 'layer' AS grain, a.layer AS src, b.layer AS dst FROM e JOIN t a ON a.project_id = e.project_id AND a.type = e.src JOIN t b ON b.project_id = e.project_id AND b.type = e.dst WHERE a.layer <> b.layer
     UNION SELECT DISTINCT e.project_id, 'package', a.package, b.package FROM e JOIN t a ON a.project_id = e.project_id AND a.type = e.src JOIN t b ON b.project_id = e.project_id AND b.type = e.dst WHERE a.package <> b.package),
   r(p, grain, a, b) AS (SELECT p, grain, src, dst FROM m UNION SELECT r.p, r.grain, r.a, m.dst FROM r JOIN m ON m.p = r.p AND m.grain = r.grain AND m.src = r.b),
@@ -140,6 +143,15 @@ CYCLES = f"""WITH RECURSIVE t AS (SELECT project_id, {OWN} AS type, 'n' || n AS
   m2 AS (SELECT s.p, s.grain, s.component, s.step, d.src_type, d.dst_type, d.file_path, d.line FROM s JOIN d ON d.p = s.p AND d.grain = s.grain AND d.src = s.src AND d.dst = s.dst)"""
 
 
+@query(f"""SELECT r.project_id, 'n' || s.n || '/S' || r.src || '.java' AS file_path, CAST(CASE caller_method WHEN '<init>' THEN 6 + 2 * n_imports WHEN 'deep' THEN 7 + 2 * n_imports + 4 * n_methods
+    WHEN 'odd' THEN CASE WHEN callee = 'trim' AND nth = 1 THEN 9 ELSE 10 END + 2 * n_imports + 4 * n_methods ELSE 9 + 2 * n_imports + 4 * before END AS BIGINT) AS line, caller_method, callee
+  FROM (SELECT *, row_number() OVER (PARTITION BY src, caller_owner, caller_method, callee) AS nth, (SELECT count(*) FROM {{v_uses}} x WHERE x.src = q.src AND 'm' || x.k < q.caller_method) AS before FROM {RESOLVED} q WHERE {OPEN}) r
+  JOIN {S} s ON s.src = r.src JOIN {LINES} l ON l.src = r.src""")
+def j5_unresolved_sites(v):
+    rows = code.unresolved(code.linked(found(v)))
+    return rows.select("project_id", "file_path", F.col("line").cast("long").alias("line"), "caller_method", "callee")
+
+
 @query(CYCLES + """
   SELECT b.p AS project_id, b.grain, CASE b.grain WHEN 'layer' THEN 'HIGH' ELSE 'MEDIUM' END AS risk_level, CAST(b.length AS BIGINT) AS length, array_to_string(b.path, ' -> ') AS description, f.file_path, f.line
   FROM b JOIN (SELECT p, grain, component, arg_min(file_path, (src_type, dst_type)) AS file_path, arg_min(line, (src_type, dst_type)) AS line FROM m2 WHERE step = 1 GROUP BY ALL) f ON f.p = b.p AND f.grain = b.grain AND f.component = b.component""")
@@ -154,8 +166,8 @@ def i5_cycle_files(v):
 
 def cycles(v: View) -> tuple[DataFrame, DataFrame]:
     f = found(v)
-    sites = code.resolved(f).filter("callee_owner is not null and call_kind <> 'CONSTRUCTOR_DELEGATION'")
-    edges = sites.select("project_id", F.col("caller_owner").alias("src"), F.col("callee_owner").alias("dst"), "file_path").distinct()
+    sites = code.linked(f).filter("declaring <> caller_owner")
+    edges = sites.select("project_id", F.col("caller_owner").alias("src"), F.col("declaring").alias("dst"), "file_path").distinct()
     return graph.cycle_findings(edges, f.types.withColumn("layer", layer_of(F.col("package"))), {"layer": "HIGH", "package": "MEDIUM"})
 
 
@@ -348,7 +360,7 @@ FIELDS = "(SELECT *, 4 + coalesce(sum(CASE k % 4 WHEN 3 THEN 3 ELSE 1 END) OVER
 SERVICES = f"(SELECT project_id, src, file, 4 + sum(CASE k % 4 WHEN 3 THEN 3 ELSE 1 END) AS line, CASE src % 4 WHEN 0 THEN 2 ELSE 3 END AS start FROM {FIELDS} GROUP BY ALL)"
 LITERALS = f"""SELECT project_id, 'HARDCODED-VALUE' AS rule_id, CASE k % 4 WHEN 0 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_level, file AS file_path, line, CASE k % 4 WHEN 0 THEN 'connection string' ELSE 'credential' END || ' in a literal' AS description FROM {FIELDS} WHERE k % 4 < 2"""
 PACKAGES = f"(SELECT project_id, 'app.controller' AS package, 1 + count(*) AS n, bool_or(src % 4 = 0) AS mixed, 'app/Hub.java' AS file_path, 2 AS line FROM {SERVICES} GROUP BY ALL UNION ALL SELECT project_id, 'n' || n, 2 * count(*), false, min('n' || n || '/S' || src || '.java'), arg_min(4 + n_imports, 'n' || n || '/S' || src || '.java') FROM {S} JOIN {LINES} USING (src) GROUP BY ALL)"
-DEPENDENTS = f"""(SELECT project_id, callee_owner AS node, count(DISTINCT caller_owner) AS dependents FROM {RESOLVED} WHERE callee_owner IS NOT NULL AND callee_owner <> caller_owner AND call_kind <> 'CONSTRUCTOR_DELEGATION' GROUP BY ALL HAVING dependents > 15)"""
+DEPENDENTS = f"""(SELECT project_id, callee_owner AS node, count(DISTINCT caller_owner) AS dependents FROM {LINKED} WHERE callee_owner <> caller_owner GROUP BY ALL HAVING dependents > 15)"""
 AUDIT = f"""{CYCLES}, found AS ({LITERALS} UNION ALL SELECT project_id, 'EMPTY-CATCH', 'LOW', 'n' || n || '/S' || src || '.java', 9 + 2 * n_imports + 4 * n_methods, 'empty catch block' FROM {S} JOIN {LINES} USING (src)
   UNION ALL SELECT project_id, 'LITERAL-EQUALS', 'MEDIUM', 'n' || n || '/S' || src || '.java', 10 + 2 * n_imports + 4 * n_methods, 'equals on a name that may be null' FROM {S} JOIN {LINES} USING (src)
   UNION ALL SELECT project_id, 'DEAD-METHOD', 'LOW', file, line + 1, 'nothing calls unused' FROM {SERVICES}
