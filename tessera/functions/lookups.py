@@ -96,3 +96,10 @@ MIDDLEWARE = (
 # Annotations of methods that a framework calls, and layers that many types use by design.
 CALLBACKS = ("PostConstruct", "PreDestroy", "Scheduled", "EventListener", "EventListenerAdapter", "TransactionalEventListener", "RabbitListener", "KafkaListener", "StreamListener")
 WIDELY_USED = ("DTO", "ENTITY", "CONSTANT", "UTIL", "EXCEPTION")
+
+# Actions that a reply may ask for, and their texts.
+ACTION_MARKER = "AGENT_ACTIONS_JSON:"
+ACTION_SCOPES = ("file", "viewport", "selection")
+MOST_ACTIONS, MOST_OPTIONS, LEAST_OPTIONS = 3, 4, 2
+SUMMARY_WIDTH, OPTION_WIDTH, PATH_WIDTH, PATH_END = 120, 80, 48, 45
+JAVADOC_SUMMARY, CLARIFY_QUESTION, OPEN_FILE, GO_TO = "补充 Javadoc 注释", "请补充一下你的需求", "打开文件 ", "跳转到 "

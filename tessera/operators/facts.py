@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import lookups as L
 from . import code
 
 
@@ -110,6 +111,46 @@ def last_actions(messages: DataFrame, marker: str, types: list[str], most: int =
     return messages.withColumn("actions", F.when(F.contains(F.col("content"), F.lit(marker)), F.coalesce(good, F.array().cast("array<struct<type: string, target: string, label: string>>"))))
 
 
+ACTION = "type: string, scope: string, summary: string, filePath: string, symbol: string, line: string, clarifyQuestion: string, options: array<struct<id: string, label: string>>"
+
+
+def agent_actions(messages: DataFrame, marker: str = L.ACTION_MARKER) -> DataFrame:
+    """Actions that messages (id, content) ask for in a JSON list after the last marker: a row for each of the first three valid ones, in order.
+
+    (id, nth, type, scope, summary, needs_confirmation, file_path, symbol, line,
+    question, options). JAVADOC takes an unknown scope as file; NAVIGATE needs
+    a file or a symbol, and its line must be above 0 to count; CLARIFY needs
+    two options with an id and a label, and the first four count. Texts are
+    trimmed, long ones cut, missing summaries made up. A list that is not JSON
+    has no actions.
+    """
+    after = F.trim(F.substring_index("content", marker, -1))
+    parsed = F.from_json(after, f"array<struct<{ACTION.replace(': ', ':')}>>")
+    rows = messages.filter(F.contains(F.col("content"), F.lit(marker))).select("id", F.posexplode(parsed).alias("at", "a")).filter("a is not null")
+    text = lambda c: F.coalesce(F.trim(F.col(f"a.{c}")), F.lit(""))
+    cut = lambda c, n: F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("…"))).otherwise(c)
+    rows = rows.select("id", "at", F.upper(text("type")).alias("type"), F.lower(text("scope")).alias("scope"), cut(text("summary"), L.SUMMARY_WIDTH).alias("summary"), text("filePath").alias("file"), text("symbol").alias("symbol"), F.col("a.line").alias("raw"), text("clarifyQuestion").alias("question"), F.col("a.options").alias("options"))
+    good = F.filter(F.transform(F.coalesce("options", F.array().cast("array<struct<id: string, label: string>>")), lambda o: F.struct(F.trim(o.id).alias("id"), F.trim(o.label).alias("label"))), lambda o: (o.id != "") & (o.label != ""))
+    good = F.transform(F.slice(good, 1, L.MOST_OPTIONS), lambda o: F.struct(o.id.alias("id"), cut(o.label, L.OPTION_WIDTH).alias("label")))
+    rows = rows.withColumn("options", good)
+    is_a = lambda t: F.col("type") == t
+    valid = is_a("JAVADOC") | (is_a("NAVIGATE") & ((F.col("file") != "") | (F.col("symbol") != ""))) | (is_a("CLARIFY") & (F.size("options") >= L.LEAST_OPTIONS))
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("at"))  # the actions of one message
+    rows = rows.filter(valid).withColumn("nth", nth).filter(F.col("nth") <= L.MOST_ACTIONS)
+    scope = F.when(is_a("JAVADOC"), F.when(F.col("scope").isin(*L.ACTION_SCOPES), F.col("scope")).otherwise("file")).otherwise("")
+    asks = F.when(F.col("question") != "", F.col("question")).when(F.col("summary") != "", F.col("summary")).otherwise(L.CLARIFY_QUESTION)
+    short = F.when(F.length("file") <= L.PATH_WIDTH, F.col("file")).otherwise(F.concat(F.lit("…"), F.right("file", F.lit(L.PATH_END))))
+    opens = F.when(F.col("symbol") == "", F.concat(F.lit(L.OPEN_FILE), short)).otherwise(F.concat(F.lit(L.GO_TO), "symbol"))
+    summary = F.when(F.col("summary") != "", F.col("summary")).when(is_a("JAVADOC"), L.JAVADOC_SUMMARY).when(is_a("NAVIGATE"), opens).otherwise(asks)
+    line = F.expr("try_cast(trim(raw) AS INT)")
+    to = lambda t, c: F.when(is_a(t), c)
+    none = lambda c: F.nullif(F.col(c), F.lit(""))
+    return rows.select(
+        "id", F.col("nth").cast("long").alias("nth"), "type", scope.alias("scope"), summary.alias("summary"), (~is_a("CLARIFY")).alias("needs_confirmation"), to("NAVIGATE", none("file")).alias("file_path"),
+        to("NAVIGATE", none("symbol")).alias("symbol"), to("NAVIGATE", F.when(line > 0, line)).alias("line"), to("CLARIFY", asks).alias("question"), to("CLARIFY", F.col("options")).alias("options"),
+    )
+
+
 def model_suggestions(replies: DataFrame, targets: DataFrame) -> DataFrame:
     """Suggestions in replies (project_id, reply_id, content), each a JSON list that may stand in a fence or in text.
 

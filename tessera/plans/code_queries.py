@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import audit, code, facts, graph, issues, manifests, scan
+from ..operators import audit, code, facts, graph, issues, links, manifests, scan
 from ..sources import archives
 from .queries import View, diverging, in_file, query
 
@@ -273,6 +273,35 @@ def x10_last_actions(v):
     return rows.select("id", F.array_join(F.transform("actions", lambda a: F.concat(a.type, F.lit(":"), a.target)), ",").alias("actions"))
 
 
+@query("""WITH m AS (SELECT src * 10 + k AS id, k, dst FROM {v_uses} WHERE k % 4 < 3)
+  SELECT id, 1 AS nth, 'NAVIGATE' AS type, '' AS scope, CASE k % 3 WHEN 0 THEN '跳转到 s' || dst ELSE '打开文件 f' || dst END AS summary, true AS needs_confirmation, CASE WHEN k % 3 > 0 THEN 'f' || dst END AS file_path, CASE k % 3 WHEN 0 THEN 's' || dst END AS symbol,
+    CASE WHEN dst % 3 > 0 THEN dst % 3 END AS line, NULL AS question, NULL AS options FROM m UNION ALL
+  SELECT id, 2, 'JAVADOC', CASE k % 2 WHEN 0 THEN 'viewport' ELSE 'file' END, '补充 Javadoc 注释', true, NULL, NULL, NULL, NULL, NULL FROM m UNION ALL
+  SELECT id, 3, 'CLARIFY', '', 'which ' || dst, false, NULL, NULL, NULL, 'which ' || dst, 'a:A,b:' || repeat('x', 80) || '…' FROM m""")
+def x10_agent_actions(v):
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    k, dst = F.col("k"), F.col("dst")
+    where = F.when(k % 3 == 0, text('"symbol": " s', dst, ' "')).otherwise(text('"filePath": "f', dst, '"'))
+    listed = text(
+        '[{"type": "NOPE"}, {"type": "NAVIGATE", "line": 3}, {"type": "navigate", ', where, ', "line": "', dst % 3, '"}, {"type": "CLARIFY", "options": [{"id": "a", "label": "A"}, {"id": " ", "label": "B"}]}, ',
+        '{"type": "JavaDoc", "scope": "', F.when(k % 2 == 0, "VIEWPORT").otherwise("planet"), '"}, {"type": "CLARIFY", "clarifyQuestion": "which ', dst, '", "options": [{"id": "a", "label": "A"}, {"label": "no id"}, {"id": "b", "label": "', "x" * 81, '"}]}, {"type": "JAVADOC", "scope": "file"}]',
+    )
+    content = F.when(k % 4 < 3, text("say AGENT_ACTIONS_JSON:[] and AGENT_ACTIONS_JSON: ", listed)).otherwise(F.when(dst % 2 == 0, "AGENT_ACTIONS_JSON: oops").otherwise("none"))
+    rows = facts.agent_actions(v("v_uses").select((F.col("src") * 10 + k).alias("id"), content.alias("content")))
+    return rows.withColumn("options", F.array_join(F.transform("options", lambda o: F.concat(o.id, F.lit(":"), o.label)), ","))
+
+
+@query("""SELECT src * 10 + k AS doc_id, 1 AS line, 'https://a.io/p' || dst AS url, 'see ' || k AS label FROM {v_uses}
+  UNION ALL SELECT src * 10 + k, 2, 'http://b.io/' || dst, '' FROM {v_uses} WHERE k % 2 = 0""")
+def x9_markdown_links(v):
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    k, dst = F.col("k"), F.col("dst")
+    lines = F.array(text("read [see ", k, "](https://a.io/p", dst, ") and [no](ftp://x)"), text(F.when(k % 2 == 0, "a Live demo at ").otherwise("not at "), "http://b.io/", dst, "."))
+    rows = v("v_uses").select((F.col("src") * 10 + k).alias("doc_id"), F.posexplode(lines).alias("at", "text"))
+    found = links.in_markdown(rows.select("doc_id", (F.col("at") + 1).cast("long").alias("line"), "text"))
+    return found.select("doc_id", "line", "url", "label")
+
+
 def poms(v: View) -> DataFrame:
     """A pom for each supplier: a parent, properties, and a dependency for each use; places of the third kind name a property, of the fourth one that is not there."""
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
