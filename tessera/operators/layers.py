@@ -44,4 +44,13 @@ def findings(rows: DataFrame, more_than: int = 20) -> DataFrame:
     return a.unionByName(b).unionByName(c)
 
 
+def listing(rows: DataFrame, what: str, layer: str | None = None) -> DataFrame:
+    """A listing of assigned types: packages or types of a layer, or types whose signals conflict or that no signal classifies."""
+    if what == "packages":
+        return rows.filter(F.col("layer") == layer).select("project_id", "package").distinct()
+    if what == "types":
+        return rows.filter(F.col("layer") == layer)
+    return rows.filter("conflict" if what == "conflicts" else "layer = 'UNKNOWN'")
+
+
 LAYERS = L.LAYERS

@@ -489,7 +489,15 @@ def i6_i7_findings(v):
 
 @query(f"SELECT DISTINCT project_id, package FROM {ASSIGNED} WHERE layer = 'SERVICE'")
 def g27_packages_of_a_layer(v):
-    return layers.assigned(v("v_types")).filter("layer = 'SERVICE'").select("project_id", "package").distinct()
+    return layers.listing(layers.assigned(v("v_types")), "packages", "SERVICE")
+
+
+@query(f"""SELECT project_id, 'types' AS listing, name FROM {ASSIGNED} WHERE layer = 'SERVICE' UNION ALL SELECT project_id, 'conflicts', name FROM {ASSIGNED} WHERE conflict
+  UNION ALL SELECT project_id, 'unclassified', name FROM {ASSIGNED} WHERE layer = 'UNKNOWN'""")
+def g27_layer_listings(v):
+    rows = layers.assigned(v("v_types"))
+    parts = [layers.listing(rows, what, "SERVICE").select("project_id", F.lit(what).alias("listing"), "name") for what in ("types", "conflicts", "unclassified")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 STACKED = "(SELECT project_id, pos, name, version, CASE WHEN name = 'small.ring' THEN 'Ring' WHEN starts_with(name, 'small.') THEN 'Small' WHEN starts_with(name, 'red.') THEN 'Red' END AS stack FROM {v_names})"
