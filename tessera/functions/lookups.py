@@ -42,6 +42,9 @@ EXCLUDED_EXTENSIONS = (
 )
 MAX_FILE_SIZE = 2 * 1024 * 1024
 
+# Words of a description by which a fix is chosen.
+ADVICE_WORDS = {"NULL": ("NPE", "空指针"), "DEAD": ("死代码",), "EXCEPTION": ("catch",), "CONFLICT": ("冲突",)}
+
 # Credentials and connection strings in a line.
 CREDENTIAL = r"(?i)(password|passwd|pwd|secret|token|api[-_]?key|access[-_]?key|private[-_]?key)\s*[=:]\s*\S+"
 CONNECTION = r"(?i)^(jdbc(:[a-z0-9]+)?|redis|rediss|mongodb(\+srv)?|amqp|amqps|kafka|zookeeper)://\S+"

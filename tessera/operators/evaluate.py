@@ -76,3 +76,30 @@ def reports(rows: DataFrame) -> DataFrame:
     """Metric rows as JSON and as a line of text."""
     text = F.format_string("%s: recall %.2f, false positives %.2f, rules %.2f", F.col("sample_id").cast("string"), "recall", "false_positive_rate", "rule_match")
     return rows.select("sample_id", F.to_json(F.struct(*METRICS)).alias("metrics"), text.alias("markdown"))
+
+
+def traced(failures: DataFrame) -> DataFrame:
+    """Failures (sample_id, pos, node, message, detail) of pipeline runs as one trace per sample, in order of ``pos``; those without a message say nothing and are left out, a null detail is empty."""
+    told = failures.filter(F.trim("message") != "").withColumn("detail", F.coalesce("detail", F.lit("")))
+    return told.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("pos", "node", "message", "detail"))).alias("trace"))  # steps of one sample's run
+
+
+def full_reports(rows: DataFrame, failures: DataFrame, version: str = "-") -> DataFrame:
+    """A report per sample: (sample_id, status, metrics, trace, markdown).
+
+    ``rows`` are those of ``metrics``, with or without a column ``status``; a
+    sample without one has PASSED if nothing failed, else FAILED. metrics and
+    trace are JSON, an absent trace is an empty list; the text has the metrics
+    with two decimals and a line for each failure.
+    """
+    none = F.array().cast("array<struct<pos:bigint,node:string,message:string,detail:string>>")
+    traces = traced(failures).withColumn("trace", F.col("trace").cast("array<struct<pos:bigint,node:string,message:string,detail:string>>"))
+    own = rows.join(traces, "sample_id", "left").withColumn("trace", F.coalesce("trace", none))
+    status = F.when(F.size("trace") == 0, "PASSED").otherwise("FAILED")
+    own = own.withColumn("status", F.coalesce("status", status) if "status" in rows.columns else status)
+    said = F.transform("trace", lambda x: F.concat(F.lit("- **"), x.node, F.lit("**: "), x.message, F.when(F.trim(x.detail) == "", "").otherwise(F.concat(F.lit(" ("), x.detail, F.lit(")"))), F.lit("\n")))
+    head = F.format_string("# Evaluation report\n\n- data set: %s\n- sample: %s\n- status: %s\n\n## Metrics\n\n| metric | value |\n|---|---|\n", F.lit(version), F.col("sample_id").cast("string"), "status")
+    table = F.concat(*[F.format_string(f"| {m} | %.2f |\n", m) for m in METRICS])
+    text = F.concat(head, table, F.lit("\n## Failures\n\n"), F.when(F.size("trace") == 0, "none\n").otherwise(F.array_join(said, "")))
+    entries = F.transform("trace", lambda x: F.struct(x.node.alias("node"), x.message.alias("message"), x.detail.alias("detail")))
+    return own.select("sample_id", "status", F.to_json(F.struct(*METRICS)).alias("metrics"), F.to_json(entries).alias("trace"), text.alias("markdown"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lookups as L
 from . import code
+from .ranks import ranked
 
 
 def lines(files: DataFrame, content: Column | str = "content") -> DataFrame:
@@ -63,11 +64,11 @@ def symbol_lines(text_lines: DataFrame, symbol: str) -> DataFrame:
 
 
 def best_symbol(text_lines: DataFrame, symbol: str, most: int = 48) -> DataFrame:
-    """Per project the best place of a symbol: files named like it first, then by path; the first ``most`` candidates count."""
+    """Per project the best place of a symbol: files named like it first, then by path; the first ``most`` candidates count. No project is one task."""
     rank = F.when(F.contains(F.col("file_path"), F.lit(f"/{symbol}.")), 0).when(F.contains(F.lower("file_path"), F.lit(symbol.lower())), 1).otherwise(2)
     files = text_lines.select("project_id", "file_path").distinct().withColumn("rank", rank)
-    nth = F.row_number().over(Window.partitionBy("project_id").orderBy("rank", "file_path"))
-    rows = symbol_lines(text_lines, symbol).join(files.withColumn("nth", nth).filter(F.col("nth") <= most), ["project_id", "file_path"])
+    first = ranked(files, ["project_id"], ["rank", "file_path"]).filter(F.col("nth") <= most)
+    rows = symbol_lines(text_lines, symbol).join(first, ["project_id", "file_path"])
     best = rows.groupBy("project_id").agg(F.min(F.struct("rank", "file_path", "line")).alias("b"))
     return best.select("project_id", "b.file_path", "b.line")
 

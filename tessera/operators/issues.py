@@ -215,17 +215,26 @@ def batches(issues: DataFrame) -> DataFrame:
 
 
 def advice(issues: DataFrame) -> DataFrame:
-    """A fix text per issue, chosen by words of the rule and the description."""
+    """A fix text per issue, chosen by words of the rule and the description, and why: the issue's own note in ``risk_note``, if there is such a column and it says anything, else its rule."""
     rule, text = F.upper("rule_id"), F.col("description")
     at = F.concat("file_path", F.lit(":"), F.col("line").cast("string"))
-    return issues.withColumn(
-        "advice",
-        F.when(rule.contains("NULL") | text.contains("NPE"), F.concat(F.lit("put the constant on the left of equals at "), at))
-        .when(rule.contains("DEAD"), F.concat(F.lit("delete or call the unused code at "), at))
-        .when(rule.contains("EXCEPTION") | text.contains("catch"), F.concat(F.lit("log or rethrow in the catch block at "), at))
-        .when(rule.contains("CONFLICT"), F.concat(F.lit("make versions agree in "), F.col("file_path")))
-        .otherwise(F.concat(F.lit("change "), at, F.lit(": "), text)),
+    says = lambda kind: F.exists(F.array(*map(F.lit, L.ADVICE_WORDS[kind])), lambda w: F.contains(text, w))
+    advice = (
+        F.when(rule.contains("NULL") | says("NULL"), F.concat(F.lit("put the constant on the left of equals at "), at))
+        .when(rule.contains("DEAD") | says("DEAD"), F.concat(F.lit("delete or call the unused code at "), at))
+        .when(rule.contains("EXCEPTION") | says("EXCEPTION"), F.concat(F.lit("log or rethrow in the catch block at "), at))
+        .when(rule.contains("CONFLICT") | says("CONFLICT"), F.concat(F.lit("make versions agree in "), F.col("file_path")))
+        .otherwise(F.concat(F.lit("change "), at, F.lit(": "), text))
     )
+    by_rule = F.concat(F.lit("by rule "), F.col("rule_id"))
+    note = F.when(F.trim("risk_note") != "", F.col("risk_note")).otherwise(by_rule) if "risk_note" in issues.columns else by_rule
+    return issues.withColumns({"advice": advice, "rationale": note})
+
+
+def involved(rows: DataFrame, kind: str, column: str) -> DataFrame:
+    """What results involve, each once a project: (project_id, kind, name), from issues, technologies or cycles; nulls and blank names are nothing."""
+    named = rows.select("project_id", F.lit(kind).alias("kind"), F.col(column).cast("string").alias("name"))
+    return named.filter(F.trim("name") != "").distinct()
 
 
 def snapshot_diff(snapshots: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ranks import ranked
+
 #: Rejections after which a review ends without approval.
 MAX_ROUNDS = 5
 
@@ -61,6 +63,12 @@ def ordered(messages: DataFrame) -> DataFrame:
     return messages.orderBy(F.desc("conv_id"), "turn", "text")
 
 
+def numbered(messages: DataFrame) -> DataFrame:
+    """Messages with the places that ``ordered`` shows them at: that of their conversation (``session``), newest first, and theirs in it (``nth``)."""
+    newest = ranked(messages.select("conv_id").distinct(), [], [F.desc("conv_id")], "session")
+    return ranked(messages, ["conv_id"], ["turn", "text", "role"]).join(newest, "conv_id")
+
+
 def without_sessions(messages: DataFrame, gone: DataFrame) -> DataFrame:
     """Messages whose conversation is not deleted."""
     return messages.join(gone.select("conv_id").distinct(), "conv_id", "left_anti")

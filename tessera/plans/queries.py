@@ -837,4 +837,4 @@ def entry(spark: SparkSession, folder: str) -> DataFrame:
     return issues.counts_by_risk(hardcoded(v), v("v_files"))
 
 
-from . import code_queries  # noqa: E402, F401  (registers its queries beside these)
+from . import code_queries, report_queries, store_queries  # noqa: E402, F401  (register their queries beside these)
