@@ -7,7 +7,7 @@ are broadcast only after their rows have been counted against a bound.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..sources.tables import materialise, shared_dir
 
-__all__ = ["materialise", "shared_dir", "small", "by_key", "plus", "word_count", "as_bytes", "flat", "summed", "slices", "components"]
+__all__ = ["materialise", "shared_dir", "small", "by_key", "dealt", "plus", "word_count", "as_bytes", "flat", "summed", "slices", "components"]
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,6 +25,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 50_000
 #: A key counts as frequent if this number times its rows is all rows or more, so that many keys are frequent at most.
 OFTEN = 1000
+#: Parts that the rows of a frequent key are dealt into.
+SALTS = 256
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -45,6 +47,22 @@ def by_key(rows: DataFrame, keyed: DataFrame, key: str, n: str, how: str = "inne
     return rows.join(often, key).unionByName(seldom)
 
 
+def dealt(rows: DataFrame, keyed: DataFrame, key: Sequence[str], n: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined in one pass with ``keyed``, which has a row per key and says in ``n`` how many rows have it.
+
+    Rows of keys that a thousandth of all rows have are dealt into ``SALTS``
+    parts by a hash of the row, and such keys, a thousand at most at any size,
+    are repeated for each part, so no key meets in one task.
+    """
+    total = keyed.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) * OFTEN >= total
+    often = F.broadcast(keyed.filter(hot).select(*key, F.lit(True).alias("_often")))
+    salt = F.when(F.col("_often"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).otherwise(0)
+    left = rows.join(often, list(key), "left").withColumn("_salt", salt).drop("_often")
+    parts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return left.join(keyed.withColumn("_salt", F.explode(parts)), [*key, "_salt"], how).drop("_salt")
+
+
 def plus(schema: T.StructType, *fields: tuple[str, str]) -> T.StructType:
     """A copy of ``schema`` with more fields."""
     out = T.StructType(list(schema.fields))

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, materialise, slices
+from .common import as_bytes, dealt, materialise, slices
 
 SPAN, GRAM = 400, 100
 #: Different segments of an anchor up to which they are sorted together.
@@ -347,16 +347,17 @@ def wanted_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def covered(rows: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """Ranges of texts (t1, t2, text, n: copies that the row stands for) that are covered by repeated strings: rows (t1, t2, lo, hi), overlapping ones included."""
-    anchors = cut(rows, False, span, gram).groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
+    count = F.count(F.lit(1)).alias("rows")
+    anchors = cut(rows, False, span, gram).groupBy("anchor").agg(F.sum("n").alias("n"), count).filter("n > 1").select("anchor", "rows")
     anchors = materialise(anchors, "anchors")
-    found = materialise(cut(rows, True, span, gram).join(anchors, "anchor", "left_semi"), "segments")
+    found = materialise(dealt(cut(rows, True, span, gram), anchors, ["anchor"], "rows", "left_semi"), "segments")
     key = ["anchor", "h1", "h2"]
     one = F.min(F.struct("t1", "t2", "start", "count", "offset")).alias("one")
-    distinct = materialise(found.groupBy(*key).agg(F.sum("n").alias("n"), one), "distinct-segments")
-    repeated = distinct.filter("n > 1").select(*key)
-    whole = found.join(repeated, key, "left_semi").select("t1", "t2", F.col("start").alias("lo"), (F.col("start") + F.col("count") - 1 + span).cast("int").alias("hi")).distinct()
+    distinct = materialise(found.groupBy(*key).agg(F.sum("n").alias("n"), count, one), "distinct-segments")
+    repeated = distinct.filter("n > 1").select(*key, "rows")
+    whole = dealt(found, repeated, key, "rows", "left_semi").select("t1", "t2", F.col("start").alias("lo"), (F.col("start") + F.col("count") - 1 + span).cast("int").alias("hi")).distinct()
     several = materialise(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "anchors")
-    wanted = distinct.join(several, "anchor").select("anchor", "kinds", "one.*")
+    wanted = dealt(distinct, several, ["anchor"], "kinds").select("anchor", "kinds", "one.*")
     wanted = materialise(wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("anchor", "kinds", "start", "count", "offset")).alias("all")), "wanted")
     buckets = int(several.agg(F.coalesce(F.sum(F.when(F.col("kinds") <= hot, F.col("kinds"))), F.lit(0))).first()[0]) // BUCKET + 1
 
