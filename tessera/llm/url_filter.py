@@ -2,7 +2,9 @@
 
 Labelled outcomes of pages (1 good, 0 bad) are counted per host, registered
 domain and suffix. A suffix is the last label of a host, or one of the longer
-``SUFFIXES``; the registered domain is the suffix with one more label. Each
+``SUFFIXES``; the registered domain is the suffix with one more label; what
+stands before an ``@`` or is a port counts for neither. A bare address is its
+own domain, and all of them are under one suffix. Each
 level's rate of bad pages is shrunk to the level above by a beta-binomial prior
 whose strength comes from how much the rates of that level differ (method of
 moments). A host is blocked if the lower posterior bound of its rate of bad
@@ -11,7 +13,8 @@ a host which is worse than the others beyond chance. Hosts without labels
 inherit their domain's, suffix's or overall rate and its prior.
 
 Counts are partial aggregates, so a host with a third of all pages is one row
-per task, and the pages of frequent hosts are never shuffled.
+per task, the pages of frequent hosts are never shuffled, and the hosts of a
+domain, or domains of a suffix, that has many are dealt out.
 
 Cases: a null url, or one without ``://``, has empty host and path and is
 judged by the overall rate; labels that are null are no outcome; repeated
@@ -26,7 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_key, materialise, small
+from .common import by_key, dealt, materialise
 
 #: The rules of the contract (verdict, host, path).
 RULES = (
@@ -44,6 +47,9 @@ SUFFIXES = (
     "com.sg com.tr com.tw com.ua com.ve com.vn edu.au edu.br edu.cn edu.tw go.jp gov.au gov.br gov.cn gov.in gov.uk ne.jp net.au net.br net.cn net.nz net.uk "
     "nhs.uk or.jp or.kr org.au org.br org.cn org.nz org.tw org.uk org.za"
 ).split()
+#: The suffix that bare addresses are under.
+ADDRESSES = "[address]"
+BARE = r"^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*\])$"
 #: How many deviations the bound of a rate is off.
 DEVIATIONS = 1.645
 #: Bounds of the strength of a prior, in pages.
@@ -67,14 +73,21 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
     return rule, verdict
 
 
+def name_of(host: Column) -> Column:
+    """A host without a user before it or a port behind."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+
+
 def suffix_of(host: Column, suffixes: Sequence[str]) -> Column:
-    last = F.substring_index(host, ".", -2)
-    return F.when(last.isin(*suffixes), last).otherwise(F.substring_index(host, ".", -1))
+    name = name_of(host)
+    last = F.substring_index(name, ".", -2)
+    return F.when(name.rlike(BARE), F.lit(ADDRESSES)).when(last.isin(*suffixes), last).otherwise(F.substring_index(name, ".", -1))
 
 
 def domain_of(host: Column, suffixes: Sequence[str]) -> Column:
-    long = F.substring_index(host, ".", -2).isin(*suffixes)
-    return F.when(long, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+    name = name_of(host)
+    long = F.substring_index(name, ".", -2).isin(*suffixes)
+    return F.when(name.rlike(BARE), name).when(long, F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
 
 
 def strength(counts: DataFrame) -> DataFrame:
@@ -99,9 +112,15 @@ def reputation(labelled: DataFrame, hosts: DataFrame, limit: float | None = None
     top = priors[0].rate
     shrunk = lambda up, k: (F.coalesce(F.col("bad"), F.lit(0)) + k * up) / (F.coalesce(F.col("n"), F.lit(0)) + k)
     by_suffix = suffix_counts.select("suffix", shrunk(F.lit(top), priors[0].kappa).alias("suffix_rate"))
-    domains = domains.join(small(by_suffix), "suffix").select("domain", shrunk(F.col("suffix_rate"), priors[1].kappa).alias("domain_rate"))
-    rows = hosts.withColumns(levels).join(own.select("host", "n", "bad"), "host", "left").join(domains, "domain", "left").join(small(by_suffix), "suffix", "left")
-    prior = F.coalesce("domain_rate", "suffix_rate", F.lit(top))
+    rows = hosts.withColumns(levels)
+    places = materialise(rows.groupBy("domain", "suffix").agg(F.count(F.lit(1)).alias("_hosts")), "domains")
+    above = places.groupBy("suffix").agg(F.count(F.lit(1)).alias("_domains")).join(by_suffix, "suffix", "left")
+    above = materialise(above.withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(top))), "suffixes")
+    found = dealt(places.join(domains.select("domain", "n", "bad"), "domain", "left"), above, ["suffix"], "_domains")
+    prior = F.when(F.col("n").isNull(), F.col("suffix_rate")).otherwise(shrunk(F.col("suffix_rate"), priors[1].kappa))
+    found = materialise(found.select("domain", "_hosts", prior.alias("prior")), "domain-priors")
+    rows = dealt(rows.join(own.select("host", "n", "bad"), "host", "left"), found, ["domain"], "_hosts")
+    prior = F.col("prior")
     kappa = priors[2].kappa
     size = F.coalesce(F.col("n"), F.lit(0)) + kappa
     rows = rows.withColumn("bad_rate", shrunk(prior, kappa))
@@ -137,8 +156,9 @@ def oracle(rules: Sequence[tuple[str, str, str]] = RULES, suffixes: Sequence[str
     return f"""
 WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{URL}', 1), '{UPPER}', '{LOWER}') AS host,
                   regexp_extract(coalesce(url, ''), '{URL}', 2) AS path FROM pages),
-labels_of AS (SELECT host, labels, CASE WHEN array_to_string(labels[-2:], '.') IN ({listed}) THEN 2 ELSE 1 END AS k FROM (SELECT DISTINCT host, string_split(host, '.') AS labels FROM u)),
-parts AS (SELECT host, array_to_string(labels[-k:], '.') AS suffix, array_to_string(labels[-(k + 1):], '.') AS domain FROM labels_of),
+named AS (SELECT DISTINCT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM u),
+labels_of AS (SELECT host, name, regexp_matches(name, '{BARE}') AS bare, labels, CASE WHEN array_to_string(labels[-2:], '.') IN ({listed}) THEN 2 ELSE 1 END AS k FROM (SELECT *, string_split(name, '.') AS labels FROM named)),
+parts AS (SELECT host, CASE WHEN bare THEN '{ADDRESSES}' ELSE array_to_string(labels[-k:], '.') END AS suffix, CASE WHEN bare THEN name ELSE array_to_string(labels[-(k + 1):], '.') END AS domain FROM labels_of),
 own AS (SELECT host, domain, suffix, count(*)::DOUBLE AS n, sum(1 - quality)::DOUBLE AS bad FROM u JOIN labels ON doc_id = page_id JOIN parts USING (host)
         WHERE quality IS NOT NULL GROUP BY ALL),
 dom AS ({level("own", "domain, suffix")}), suf AS ({level("own", "suffix")}),
