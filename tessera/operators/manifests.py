@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import ranked
+from .ranks import dealt, ranked
 
 ORDER = ("file_path", "ordinal")
 
@@ -27,24 +27,28 @@ def is_resolved(version: Column) -> Column:
 
 
 def in_file(coords: DataFrame) -> DataFrame:
-    """Per file and dependency: rows, distinct resolved versions, and the line of the second row."""
-    nth = F.row_number().over(Window.partitionBy("project_id", "file_path", "dep_id").orderBy("ordinal"))
-    rows = coords.withColumn("nth", nth)
-    return rows.groupBy("project_id", "file_path", "dep_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_distinct(F.when(is_resolved(F.col("version")), F.col("version"))).alias("versions"),
-        F.max(F.when(F.col("nth") == 2, F.col("line"))).alias("line"),
-    )
+    """Per file and dependency of several rows: rows, whether resolved versions differ, and the line of the second row.
+
+    All of it comes from one sort of rows that are dealt by their key, whose
+    second row carries the group's count and its extreme versions.
+    """
+    own = ["project_id", "file_path", "dep_id"]
+    told = F.when(is_resolved(F.col("version")), F.col("version"))
+    rows = dealt(coords.select(*own, "ordinal", "line", told.alias("told")), *own)
+    group = Window.partitionBy(*own).orderBy("ordinal")
+    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({"nth": F.row_number().over(group), "n": F.count(F.lit(1)).over(whole), "differ": F.coalesce(F.min("told").over(whole) < F.max("told").over(whole), F.lit(False))})
+    return rows.filter("nth = 2").select(*own, "n", "differ", "line")
 
 
 def duplicates(coords: DataFrame) -> DataFrame:
     """A dependency declared twice in a file without differing versions: LOW, at the second."""
-    return in_file(coords).filter("n >= 2 and versions < 2").select("project_id", "file_path", "dep_id", "line", F.lit("LOW").alias("risk_level"))
+    return in_file(coords).filter("not differ").select("project_id", "file_path", "dep_id", "line", F.lit("LOW").alias("risk_level"))
 
 
 def conflicts(coords: DataFrame) -> DataFrame:
     """Differing versions in one file: HIGH, at the second."""
-    return in_file(coords).filter("versions >= 2").select("project_id", "file_path", "dep_id", "line", F.lit("HIGH").alias("risk_level"))
+    return in_file(coords).filter("differ").select("project_id", "file_path", "dep_id", "line", F.lit("HIGH").alias("risk_level"))
 
 
 def divergence(coords: DataFrame) -> DataFrame:
@@ -153,7 +157,7 @@ def requirement_findings(rows: DataFrame) -> DataFrame:
     keep = lambda df, rule, level: df.select("project_id", F.lit(rule).alias("rule_id"), F.lit(level).alias("risk_level"), "file_path", "line", "name")
     wrong = rows.filter(~parsed | ~legal_constraint(F.col("constraint")))
     own = ["project_id", "file_path", "name"]
-    good = rows.filter(parsed)
+    good = dealt(rows.filter(parsed).select(*own, "line", "constraint", "marker"), *own)
     second = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("line")) == 2
     twice = good.withColumn("second", second(*own, F.coalesce("constraint", F.lit("")))).filter("second")
     pinned = good.withColumn("version", pinned_version(F.col("constraint"))).filter(F.col("version").isNotNull() & (F.coalesce(F.trim("marker"), F.lit("")) == ""))

@@ -1,4 +1,4 @@
-"""Ranks within groups of any size: no group is one task."""
+"""Ranks within groups of any size, where no group is one task, and rows dealt so that tasks stay small."""
 
 from __future__ import annotations
 
@@ -11,6 +11,14 @@ from ..sources.tables import materialise
 
 #: Rows of a partition that ``monotonically_increasing_id`` can count.
 ROWS = 1 << 33
+#: Rows of small groups that a task is dealt.
+TASK_ROWS = 250_000
+
+
+def dealt(rows: DataFrame, *keys: str, most: int = TASK_ROWS) -> DataFrame:
+    """``rows`` dealt by ``keys`` over so many partitions that each holds about ``most`` rows or fewer, whatever Spark's number of partitions; for windows and aggregates over groups that are small themselves."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(parts, -(-rows.count() // most)), *keys)
 
 
 def ranked(rows: DataFrame, group: Sequence[str], order: Sequence[str | Column], name: str = "nth", total: str | None = None) -> DataFrame:
