@@ -6,7 +6,7 @@ description and pos (its place among the issues found).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -165,10 +165,19 @@ def validated(issues: DataFrame, width: int = 512) -> tuple[DataFrame, DataFrame
     return valid.withColumns({c: F.substring(c, 1, width) for c in texts}), rows.filter(F.size("reasons") > 0)
 
 
-def line_marks(issues: DataFrame, files: DataFrame) -> DataFrame:
-    """Issues whose line is there: files (project_id, file_path, content)."""
-    size = files.select("project_id", "file_path", F.size(F.split("content", "\n")).alias("lines"))
-    return issues.join(size, ["project_id", "file_path"]).filter("line between 1 and lines").drop("lines")
+def line_counts(files: DataFrame) -> DataFrame:
+    """Lines of each file that has a text: files (project_id, file_path, content)."""
+    return files.filter("content is not null").select("project_id", "file_path", F.size(F.split("content", "\n")).alias("lines"))
+
+
+def line_marks(issues: DataFrame, counts: DataFrame, on: Sequence[str] = ("project_id", "file_path")) -> DataFrame:
+    """Issues whose line is there: counts has the columns ``on`` and lines.
+
+    Where issues are matched with files by something else than their path,
+    ``on`` names it, and the line is checked as they meet: pairs that do not
+    pass are never shuffled, however many there are.
+    """
+    return issues.join(counts, list(on)).filter("line between 1 and lines").drop("lines")
 
 
 def keyed(issues: DataFrame) -> DataFrame:

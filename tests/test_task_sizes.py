@@ -3,7 +3,7 @@
 from functools import partial
 
 from pyspark.sql import functions as F
-from tessera.operators import manifests, ranks
+from tessera.operators import issues, manifests, ranks
 
 
 def test_rows_are_dealt_by_their_number(spark):
@@ -22,3 +22,15 @@ def test_declarations_of_a_file_are_dealt_and_sorted_once(spark, monkeypatch):
     assert found.rdd.getNumPartitions() == 31
     assert sorted((r.file_path or "", r.line) for r in found.collect()) == sorted([("", 5), *((f"f{k}", k % 7) for k in range(0, 100, 2))])
     assert sorted(r.file_path for r in manifests.duplicates(coords).collect()) == sorted(f"f{k}" for k in range(1, 100, 2))
+
+
+def test_lines_are_checked_as_issues_meet_files(spark):
+    text = "\n".join("abc")
+    files = spark.createDataFrame([(1, f"f{k}", 0, text if k < 5 else None) for k in range(6)], "project_id long, file_path string, slot long, content string")
+    counts = files.select("project_id", "file_path", "slot").join(issues.line_counts(files), ["project_id", "file_path"])
+    found = spark.createDataFrame([(1, line, line, 0) for line in range(6)], "project_id long, line long, pos long, slot long")
+    marks = issues.line_marks(found, counts, ["project_id", "slot"])
+    assert sorted((r.file_path, r.line) for r in marks.collect()) == [(f"f{k}", n) for k in range(5) for n in (1, 2, 3)]
+    # nothing moves behind the join of issues and files
+    plan = marks._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2 and "line#" in next(x for x in plan.splitlines() if "Join" in x)
