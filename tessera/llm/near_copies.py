@@ -1,13 +1,17 @@
 """Removing near copies: of texts that share 80 % of their five-word shingles one stays.
 
-A 64-bit SimHash can't tell these: at a similarity of 0.8 about ten of its
-bits differ, and balls of that radius are too large to shuffle. So a text gets
+Texts get SimHash fingerprints of these shingles, and those at ``RADIUS`` or
+fewer differing bits meet by ball hashing, as in ``simhash``; texts that share
+a fingerprint meet the smallest of them.
+
+Fingerprints alone can't tell all: at a similarity of 0.8 about ten of 64 bits
+differ, and balls of that radius are too large to shuffle. So a text also gets
 shorter sketches, each of ``ROWS`` minima of its hashed shingles, and texts
 that agree on all minima of one of ``BANDS`` sketches collide. A pair of
 similarity s collides with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9996 at
 0.8, more above.
 
-Whatever collides is settled by the shingles themselves. The texts of a bucket
+Whatever meets or collides is settled by the shingles themselves. The texts of a bucket
 are checked against its smallest one, and groups are formed. Texts of a bucket
 that are not in the group of its smallest one are then checked against all
 others in it: the bucket is cut into blocks of ``MEMBERS`` texts or fewer, each
@@ -37,11 +41,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import ngram_join
-from .common import as_bytes, components, materialise, slices
+from . import ngram_join, simhash
+from .common import as_bytes, by_key, components, materialise, slices
 from .simhash import AT_ONCE, LOWER, SEED
 
 SHINGLE, LEAST = 5, 0.8
+#: Bits in which fingerprints that meet may differ.
+RADIUS = 2
 #: Sketches of a text, and minima in each.
 BANDS, ROWS = 20, 5
 #: Texts of a block, and their shingles.
@@ -127,6 +133,17 @@ def verified(pairs: DataFrame, rows: DataFrame, distinct: DataFrame, shingle: in
     return materialise(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near-links")
 
 
+def by_fingerprint(rows: DataFrame, shingle: int, radius: int = RADIUS) -> DataFrame:
+    """Of rows (key, text) the pairs (a, b) of text keys that meet by their fingerprints: each with the smallest one of its fingerprint, and those of near fingerprints."""
+    prints = materialise(simhash.with_fingerprint(rows.select("key", "text"), "text", shingle).select("key", "fp").distinct(), "near-fingerprints")
+    heads = materialise(prints.groupBy("fp").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("n")), "near-heads")
+    same = by_key(prints, heads, "fp", "n").filter("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b"))
+    near = materialise(simhash.links(heads.select("fp"), radius), "near-balls")
+    for c in ("a", "b"):
+        near = near.join(heads.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_head")), c)
+    return same.unionByName(near.select(F.col("a_head").alias("a"), F.col("b_head").alias("b")))
+
+
 def groups(rows: DataFrame, slim: DataFrame, shingle: int, least: float) -> DataFrame:
     """Of rows (id, key, text) and their sketches the texts that are in groups: (node, root), both keys."""
     distinct = materialise(slim.groupBy("key").agg(F.min("id").alias("least_id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "near-distinct")
@@ -137,7 +154,8 @@ def groups(rows: DataFrame, slim: DataFrame, shingle: int, least: float) -> Data
     # sets of very different sizes can't be similar enough
     could = lambda a, b: F.least(a, b) >= F.lit(least) * F.greatest(a, b) - F.lit(1e-6)
     first = members.filter("key <> head").select("key", "head", "n").distinct().join(sizes, "head").filter(could(F.col("n"), F.col("head_n")))
-    links = verified(first.select(F.col("head").alias("a"), F.col("key").alias("b")), rows, distinct, shingle, least)
+    first = first.select(F.col("head").alias("a"), F.col("key").alias("b"))
+    links = verified(by_fingerprint(rows, shingle).unionByName(first), rows, distinct, shingle, least)
 
     found = components(links)
     now = members.join(found.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))

@@ -83,3 +83,21 @@ def test_null_and_shared_ids(spark):
     assert sorted((r.doc_id, r.text) for r in near_copies.without_near_copies(df).collect()) == sorted([(1, a), (2, b), (1, c)])
     nulls = df.filter("doc_id is null")
     assert sorted((r.doc_id, r.text) for r in near_copies.without_near_copies(nulls).collect()) == sorted([(None, a), (None, b)])
+
+
+def test_fingerprints_find_what_no_sketch_does(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    # no two texts share a bucket: only fingerprints let them meet
+    monkeypatch.setattr(near_copies, "sketched", lambda rows, shingle: rows.select("id", "key", F.lit(1).alias("n"), F.array("key").alias("bands")))
+    rng = random.Random(10)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(3000)] for _ in range(4)]
+    near = []
+    for w in base:
+        fp = near_copies.simhash.fingerprints([" ".join(w).encode()], 5)[0]
+        tries = (changed(rng, w, 1) for _ in range(200))
+        near.append(next(t for t in tries if 0 < int(fp ^ near_copies.simhash.fingerprints([t.encode()], 5)[0]).bit_count() <= 2))
+    # texts that differ beyond their words share a fingerprint
+    texts = [*(" ".join(w) for w in base), *near, "  ".join(base[0])]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, df, "").collect()) == [0, 1, 2, 3]
