@@ -3,7 +3,9 @@
 from functools import partial
 
 from pyspark.sql import functions as F
+from tessera import session
 from tessera.operators import issues, manifests, ranks
+from tessera.sources import tables
 
 
 def test_rows_are_dealt_by_their_number(spark):
@@ -34,3 +36,23 @@ def test_lines_are_checked_as_issues_meet_files(spark):
     # nothing moves behind the join of issues and files
     plan = marks._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 2 and "line#" in next(x for x in plan.splitlines() if "Join" in x)
+
+
+def test_tables_that_files_hide_are_not_broadcast(spark):
+    # 40 MB of texts that repeat themselves: their files take less than the 10 MB that Spark would broadcast
+    table = tables.materialise(spark.range(20_000).withColumn("text", F.repeat(F.md5(F.col("id").cast("string")), F.lit(60))), "hidden")
+    assert 256 << 10 < table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 10 << 20
+    joined = spark.range(2_000_000).join(table, "id")
+    plan = joined._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_a_threshold_of_the_session_stays(spark):
+    before = spark.conf.get(session.UNASKED)
+    try:
+        for own, then in (("64m", "64m"), ("-1", "-1"), ("10485760b", str(session.UNASKED_BYTES))):
+            spark.conf.set(session.UNASKED, own)
+            session.ship(spark)
+            assert spark.conf.get(session.UNASKED) == then
+    finally:
+        spark.conf.set(session.UNASKED, before)
