@@ -7,7 +7,10 @@ alone has come first and never match; what is left of a prefix decides.
 Sets of the same size with the same prefix are one group, and groups, not
 sets, meet on the shingles of their prefixes, filtered by size and by how much
 can still agree behind the place where they meet. Only pairs of groups that
-pass are expanded: their members are verified on whole sets.
+pass are expanded: their members are verified on whole sets. Groups are first
+verified against the head of each shingle, the group that has it earliest;
+after that only groups which no link connects yet are paired, so a family of
+near copies costs links in proportion to its members.
 
 The counts travel packed: a task sorts the hashed shingles of some documents
 and sends each range of them on as one binary value, delta by delta in planes
@@ -20,6 +23,8 @@ groups have in their prefix is dealt over several tasks; a large group is cut
 into blocks and its pairs of blocks are verified apart, each giving no more
 links than it has members. Shingles are known by 64 bits of a hash and sets by
 128, so two different shingles of a pair count as one with a chance of 2 ** -64.
+A set's key travels to each range that holds a shingle of it, so with many
+ranges a shingle takes up to 16 bytes more.
 
 Cases: null and empty texts, and texts of white space, have no shingles and
 are linked with nothing; a text shorter than a shingle is one shingle; repeated
@@ -34,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, by_key, components, materialise, slices
@@ -215,20 +220,58 @@ def prefixed(packed: DataFrame, parts: int, percent: int) -> DataFrame:
     return packed.repartition(parts, "part").mapInArrow(run, SETS)
 
 
-def group_pairs(groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs of groups (a, b), the same one twice where it has several members, that can hold similar sets."""
-    rows = groups.select("grp", "n", F.posexplode("prefix").alias("nth", "shingle"), "own").withColumn("at", F.col("own") + F.col("nth"))
+def met_in(groups: DataFrame, percent: int) -> DataFrame:
+    """A row (shingle, class, grp, n, at) for each shingle of a group's prefix on which it can meet another one."""
+    rows = groups.select("grp", "n", F.posexplode("prefix").alias("nth", "shingle"), "own").withColumn("at", F.col("own") + F.col("nth")).drop("own", "nth")
     # sizes that can reach the similarity are in the same class or in neighbouring ones
-    rows = rows.withColumn("class", F.floor(F.log("n") / (math.log(100 / percent) * 1.001)) if percent < 100 else F.col("n"))
-    listed = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    rows = materialise(rows.join(listed, "shingle").select("shingle", "class", "grp", "n", "at", F.ceil(F.col("m") / LISTED).cast("int").alias("ways")), "prefixes")
-    x = rows.select("shingle", F.col("class").alias("c"), F.pmod(F.xxhash64("grp"), "ways").alias("way"), F.col("class").alias("x_c"), F.col("grp").alias("a"), F.col("n").alias("an"), F.col("at").alias("a_at"))
-    y = rows.select("shingle", F.explode(F.array("class", F.col("class") + 1)).alias("c"), "ways", F.col("class").alias("y_c"), F.col("grp").alias("b"), F.col("n").alias("bn"), F.col("at").alias("b_at"))
-    y = y.withColumn("way", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways") - F.lit(1).cast("long")))).drop("ways")
-    most = F.least(F.col("an") - F.col("a_at"), F.col("bn") - F.col("b_at"))  # what can agree from here on
-    met = x.join(y, ["shingle", "c", "way"]).filter((F.col("x_c") != F.col("y_c")) | (F.col("a") < F.col("b"))).filter(most * (100 + percent) >= (F.col("an") + F.col("bn")) * percent)
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return pairs.unionByName(groups.filter("members > 1").select(F.col("grp").alias("a"), F.col("grp").alias("b")))
+    rows = rows.withColumn("class", F.floor(F.log("n") / (math.log(100 / percent) * 1.001)) if percent < 100 else F.col("n").cast("long"))
+    near = rows.groupBy("shingle", "class").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least"))
+    near = near.withColumn("class", F.explode(F.array(F.col("class") - 1, "class", F.col("class") + 1))).groupBy("shingle", "class").agg(F.sum("m").alias("m"), F.min("least").alias("least"))
+    # the smallest that a group meets there asks least of it
+    enough = (F.col("n") - F.col("at")) * (100 + percent) >= (F.col("n") + F.col("least")) * percent
+    return materialise(rows.join(near.filter("m > 1"), ["shingle", "class"]).filter(enough).select("shingle", "class", "grp", "n", "at"), "prefixes")
+
+
+def agreeing(percent: int) -> Column:
+    """Whether groups (a, an, a_at) and (b, bn, b_at) can agree enough from the place where they meet."""
+    most = F.least(F.col("an") - F.col("a_at"), F.col("bn") - F.col("b_at"))
+    return most * (100 + percent) >= (F.col("an") + F.col("bn")) * percent
+
+
+def as_side(rows: DataFrame, side: str, *more: str) -> DataFrame:
+    return rows.select("shingle", "class", F.col("grp").alias(side), F.col("n").alias(f"{side}n"), F.col("at").alias(f"{side}_at"), *more)
+
+
+def pairs_of(met: DataFrame) -> DataFrame:
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def head_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of groups (a, b) that meet and can hold similar sets, b being the group that has the shingle earliest in its class of sizes: no more than two a row."""
+    heads = rows.groupBy("shingle", "class").agg(F.min(F.struct("at", "grp", "n")).alias("h")).select("shingle", "class", "h.*")
+    heads = as_side(heads.withColumn("class", F.explode(F.array("class", F.col("class") + 1))), "b")
+    return pairs_of(as_side(rows, "a").join(heads, ["shingle", "class"]).filter(F.col("a") != F.col("b")).filter(agreeing(percent)))
+
+
+def other_pairs(rows: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs of groups (a, b) that meet, can hold similar sets and aren't connected by ``roots`` (grp, root).
+
+    Of the groups that meet on a shingle those under its most frequent root are
+    compared with the others alone, so the pairs grow with what is not yet
+    connected, not with the square of all that meet.
+    """
+    rows = rows.join(roots, "grp")
+    by_root = rows.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n"))
+    by_root = by_root.groupBy("shingle").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    by_root = by_root.select("shingle", F.col("most.root").alias("most"), F.ceil((F.col("m") - F.col("most.n")) / LISTED).cast("int").alias("ways"))
+    rows = materialise(rows.join(by_root, "shingle").withColumn("main", F.col("root") == F.col("most")).drop("most"), "apart")
+    way = F.pmod(F.xxhash64("grp"), "ways").cast("int").alias("way")
+    x = as_side(rows.filter("not main"), "a", F.col("root").alias("a_root"), F.col("class").alias("a_class"), way)
+    own, below, above = F.col("class"), F.col("class") - 1, F.col("class") + 1
+    y = rows.withColumn("b_class", own).withColumn("class", F.explode(F.when(F.col("main"), F.array(below, own, above)).otherwise(F.array(own, above))))
+    y = as_side(y.withColumn("way", F.explode(F.sequence(F.lit(0), F.col("ways") - 1))), "b", F.col("root").alias("b_root"), "b_class", "main", "way")
+    once = F.col("main") | (F.col("a_class") != F.col("b_class")) | (F.col("a") < F.col("b"))
+    return pairs_of(x.join(y, ["shingle", "class", "way"]).filter(F.col("a_root") != F.col("b_root")).filter(once).filter(agreeing(percent)))
 
 
 def verified(xs: list[dict], ys: list[dict] | None, percent: float) -> list[tuple]:
@@ -263,21 +306,11 @@ def verified(xs: list[dict], ys: list[dict] | None, percent: float) -> list[tupl
     return out
 
 
-def links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between keys of ``sets`` that connect all pairs at the similarity."""
-    some = F.first(F.struct("n", "own", "prefix")).alias("s")
-    groups = materialise(sets.groupBy("grp").agg(F.count(F.lit(1)).alias("members"), some).select("grp", "members", "s.*"), "join-groups")
-    blocks = F.greatest(F.ceil(F.col("members") / MEMBERS), F.ceil(F.col("members") * F.col("n") / SHINGLES)).cast("int").alias("blocks")
-    groups = groups.select("*", blocks)
-    pairs = materialise(group_pairs(groups, percent), "join-pairs")
-    there = pairs.select(F.explode(F.array("a", "b")).alias("grp")).distinct()
-    count = groups.join(there, "grp", "left_semi").select("grp", "blocks")
+def verified_pairs(pairs: DataFrame, bundles: DataFrame, count: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between keys of the members of ``pairs`` of groups, block by block; ``bundles`` are the members and ``count`` the number of blocks of each group."""
     numbers = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     both = pairs.join(count.select(F.col("grp").alias("a"), F.col("blocks").alias("a_blocks")), "a").join(count.select(F.col("grp").alias("b"), F.col("blocks").alias("b_blocks")), "b")
     both = both.withColumn("i", numbers("a_blocks")).withColumn("j", numbers("b_blocks")).filter("a <> b or i <= j").select("a", "i", "b", "j")
-    block = F.pmod(F.xxhash64("key"), "blocks").cast("int").alias("block")
-    bundles = sets.join(count, "grp").groupBy("grp", block).agg(F.collect_list(F.struct("key", "n", "shingles")).alias("members"))  # a block holds MEMBERS or so
-    bundles = materialise(bundles, "join-blocks")
     same = (F.col("a") == F.col("b")) & (F.col("i") == F.col("j"))
     both = both.join(bundles.select(F.col("grp").alias("a"), F.col("block").alias("i"), F.col("members").alias("x")), ["a", "i"])
     both = both.join(bundles.select(F.col("grp").alias("b"), F.col("block").alias("j"), F.col("members").alias("y")), ["b", "j"])
@@ -289,7 +322,34 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
                 if found := verified(row["x"], row["y"], percent):
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], names=["a", "b"])
 
-    return both.select("x", F.when(~same, F.col("y")).alias("y")).mapInArrow(run, "a binary, b binary")
+    return materialise(both.select("x", F.when(~same, F.col("y")).alias("y")).mapInArrow(run, "a binary, b binary"), "join-links")
+
+
+def links(sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between keys of ``sets`` that connect all pairs at the similarity.
+
+    Groups are first verified against the heads of their shingles and within
+    themselves. What that connects needs no more links, so only pairs of groups
+    that are still apart are verified after it.
+    """
+    some = F.first(F.struct("n", "own", "prefix")).alias("s")
+    groups = materialise(sets.groupBy("grp").agg(F.count(F.lit(1)).alias("members"), some).select("grp", "members", "s.*"), "join-groups")
+    rows = met_in(groups, percent)
+    blocks = F.greatest(F.ceil(F.col("members") / MEMBERS), F.ceil(F.col("members") * F.col("n") / SHINGLES)).cast("int").alias("blocks")
+    several = groups.filter("members > 1")
+    there = rows.select("grp").unionByName(several.select("grp")).distinct()
+    count = materialise(groups.join(there, "grp", "left_semi").select("grp", blocks), "join-blocks")
+    block = F.pmod(F.xxhash64("key"), "blocks").cast("int").alias("block")
+    bundles = sets.join(count, "grp").groupBy("grp", block).agg(F.collect_list(F.struct("key", "n", "shingles")).alias("members"))  # a block holds MEMBERS or so
+    bundles = materialise(bundles, "join-members")
+
+    first = materialise(head_pairs(rows, percent).unionByName(several.select(F.col("grp").alias("a"), F.col("grp").alias("b"))), "join-pairs")
+    found = verified_pairs(first, bundles, count, percent)
+    # a group has a root if all its members have it; others are apart from all
+    keys = sets.select("key", "grp").join(components(found).select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    roots = keys.groupBy("grp").agg(F.min("root").alias("root"), F.max("root").alias("last")).select("grp", F.when(F.col("root") == F.col("last"), F.col("root")).otherwise(F.col("grp")).alias("root"))
+    rest = materialise(other_pairs(rows, roots, percent).join(first, ["a", "b"], "left_anti"), "join-pairs")
+    return found.unionByName(verified_pairs(rest, bundles, count, percent))
 
 
 def similar_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -307,7 +367,7 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
     kind = rows.schema["doc_id"].dataType.simpleString()
     ids = materialise(rows.mapInArrow(sized, f"doc_id {kind}, n_shingles long, key binary"), "join-ids")
     sets = materialise(prefixed(by_set(by_shingle(rows, shingle, parts), parts), parts, percent), "join-sets")
-    found = components(materialise(links(sets, percent), "join-links"))
+    found = components(links(sets, percent))
     keyed = ids.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("rows"))
     named = keyed.join(found.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     named = materialise(named, "join-named")

@@ -81,3 +81,27 @@ def test_planes():
         x = np.array([0, 1, 255, 256, 2**31, 7], kind)
         assert ngram_join.unplaned(ngram_join.planes(x), kind).tolist() == x.tolist()
         assert ngram_join.unplaned(ngram_join.planes(x[:0]), kind).tolist() == []
+
+
+def test_pairs_of_near_copies(spark, monkeypatch):
+    """A family of near copies is connected by its heads, so the pairs that are verified grow with its members, not with their square."""
+    rng = random.Random(7)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for i in range(160):
+        w = list(base)
+        for k in range(rng.randrange(5)):  # up to 12 shingles of 198: some pairs of the family are alike enough, some aren't
+            w[rng.randrange(200)] = f"x{i}-{k}"
+        rows.append((i, " ".join(w)))
+    made, inner = [], ngram_join.materialise
+
+    def counted(df, label):
+        out = inner(df, label)
+        if label == "join-pairs":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialise", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in ngram_join.similar_documents(df).collect()), key=repr) == plain(rows)
+    assert 0 < sum(made) < 8 * len(rows)
