@@ -16,7 +16,7 @@ hold a block themselves is read as a plain block.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -137,8 +137,8 @@ def segments(files: DataFrame) -> DataFrame:
     )
 
 
-def opened(rows: DataFrame, kind: Column, name: str) -> DataFrame:
-    """Rows with ``name``: the seq of the innermost open block that ``kind`` marks around each, null outside.
+def opened(rows: DataFrame, kind: Column, name: str, **held: Column) -> DataFrame:
+    """Rows with ``name``: the seq of the innermost open block that ``kind`` marks around each, null outside; ``held`` are further columns with what holds of that block's own row.
 
     A closing brace belongs to the last opening one of its depth; the number
     of marked blocks that are open is a running count, and the block around a
@@ -154,9 +154,10 @@ def opened(rows: DataFrame, kind: Column, name: str) -> DataFrame:
     rows = rows.withColumn("_level", level)
     roles = F.when(F.col("_opens"), F.array(F.struct(F.col("_level").alias("key"), F.lit(False).alias("self")), F.struct((F.col("_level") + 1).alias("key"), F.lit(True).alias("self"))))
     rows = rows.withColumn("_role", F.explode(F.coalesce(roles, F.array(F.struct(F.col("_level").alias("key"), F.lit(False).alias("self"))))))
-    last = F.last(F.when(F.col("_role.self"), F.col("seq")), ignorenulls=True).over(Window.partitionBy(*FILE, "_role.key").orderBy("seq", "_role.self"))
-    rows = rows.withColumn(name, F.when(F.col("_role.key") > 0, last)).filter("not _role.self")
-    return rows.drop("_opens", "_at", "_closes", "_level", "_role")
+    block = F.struct(F.col("seq").alias(name), *[c.alias(n) for n, c in held.items()])
+    last = F.last(F.when(F.col("_role.self"), block), ignorenulls=True).over(Window.partitionBy(*FILE, "_role.key").orderBy("seq", "_role.self"))
+    rows = rows.withColumn("_block", F.when(F.col("_role.key") > 0, last)).filter("not _role.self")
+    return rows.withColumns({n: F.col(f"_block.{n}") for n in (name, *held)}).drop("_opens", "_at", "_closes", "_level", "_role", "_block")
 
 
 def packages(segs: DataFrame) -> DataFrame:
@@ -189,6 +190,7 @@ class Facts:
     imports: DataFrame
     packages: DataFrame
     variables: DataFrame
+    held: bool = False
 
 
 def facts(files: DataFrame) -> Facts:
@@ -229,6 +231,13 @@ def facts_of(segs: DataFrame) -> Facts:
     return Facts(types, methods.drop("seq"), call_sites(members, methods, variables), imports(segs), package, variables)
 
 
+def held(found: Facts) -> Facts:
+    """The same with what is looked up several times as tables."""
+    if found.held:
+        return found
+    return replace(found, held=True, **{name: materialise(getattr(found, name), name) for name in ("types", "call_sites", "imports", "packages")})
+
+
 def scopes(segs: DataFrame) -> DataFrame:
     """Segments with the scopes around them: type_seq (the innermost type), body_seq (the innermost type or anonymous body) and method_seq (the innermost method).
 
@@ -238,9 +247,9 @@ def scopes(segs: DataFrame) -> DataFrame:
     body of a type, of an anonymous class or of an enum constant.
     """
     is_type = F.col("head").rlike(TYPE) & (F.col("mark") == "{")
-    rows = opened(segs.withColumn("is_type", is_type), F.col("is_type"), "type_seq")
-    of_type = segs.filter(is_type).select(*FILE, F.col("seq").alias("type_seq"), F.col("depth").alias("type_depth"), F.regexp_extract("head", TYPE, 2).alias("type_name"), (F.regexp_extract("head", TYPE, 1) == "enum").alias("in_enum"))
-    rows = rows.join(of_type, [*FILE, "type_seq"], "left")
+    # dealt by file once, which all windows below keep to
+    rows = segs.repartition(*FILE).withColumn("is_type", is_type)
+    rows = opened(rows, F.col("is_type"), "type_seq", type_depth=F.col("depth"), type_name=F.regexp_extract("head", TYPE, 2), in_enum=F.regexp_extract("head", TYPE, 1) == "enum")
     declared = F.trim(F.regexp_replace(F.regexp_replace("head", r"@[\w.]+(\s*\([^()]*\))?\s*", ""), rf"^(?:(?:{'|'.join(MODIFIERS)})\s+)+", ""))
     rows = rows.withColumn("declared", declared)
     returns, name = F.regexp_extract("declared", METHOD, 1), F.regexp_extract("declared", METHOD, 2)
@@ -248,8 +257,7 @@ def scopes(segs: DataFrame) -> DataFrame:
     rows = rows.withColumn("is_constants", F.coalesce(constants, F.lit(False)))
     is_body = F.col("is_type") | ((F.col("mark") == "{") & (F.col("is_constants") | F.col("head").rlike(ANONYMOUS)))
     rows = rows.withColumn("is_body", is_body)
-    bodies = rows.filter("is_body").select(*FILE, F.col("seq").alias("body_seq"), F.col("depth").alias("body_depth"))
-    rows = opened(rows, F.col("is_body"), "body_seq").join(bodies, [*FILE, "body_seq"], "left")
+    rows = opened(rows, F.col("is_body"), "body_seq", body_depth=F.col("depth"))
     direct = (F.col("depth") == F.col("body_depth") + 1) & ~F.col("is_body") & ~F.col("is_constants") & F.col("mark").isin("{", ";")
     own = (name == F.col("type_name")) & (F.col("body_seq") == F.col("type_seq"))
     named = F.col("declared").rlike(METHOD) & ~name.isin(*NOT_CALLED) & ~returns.isin(*NOT_TYPES) & ((returns != "") | own)
@@ -404,6 +412,7 @@ def declared(found: Facts) -> DataFrame:
 
 def resolved(found: Facts) -> DataFrame:
     """Call sites with the types that their receivers and callees resolve to."""
+    found = held(found)
     types = found.types.select("project_id", "qualified", "package", F.col("name").alias("simple"), "file_path")
     return graph.callee_owners(graph.resolved(references(found), types, found.imports), found.imports, declared(found))
 
@@ -414,6 +423,7 @@ def linked(found: Facts) -> DataFrame:
     In a type of the project that is the nearest one above, itself first, that
     declares the name; a type of another project stands for itself.
     """
+    found = held(found)
     known = materialise(declared(found), "declared")
     types = found.types.select("project_id", "qualified", F.col("package"), F.col("name").alias("simple"), "file_path")
     sites = graph.callee_owners(graph.resolved(references(found), types, found.imports), found.imports, known)

@@ -165,7 +165,7 @@ def i5_cycle_files(v):
 
 
 def cycles(v: View) -> tuple[DataFrame, DataFrame]:
-    f = found(v)
+    f = code.held(found(v))
     sites = code.linked(f).filter("declaring <> caller_owner")
     edges = sites.select("project_id", F.col("caller_owner").alias("src"), F.col("declaring").alias("dst"), "file_path").distinct()
     return graph.cycle_findings(edges, f.types.withColumn("layer", layer_of(F.col("package"))), {"layer": "HIGH", "package": "MEDIUM"})

@@ -132,3 +132,19 @@ def test_rule_reads_literals_only(spark):
     text = 'class A {\n  String u = "jdbc:mysql://db:3306/x";\n  void a() { password = reader.read(); b("pwd: abc", "my jdbc:x://y"); }\n  // "token=9"\n  String t = """\n  secret=1\n  """;\n  String p = "password=";\n}\n'
     df = spark.createDataFrame([(1, "A.java", text)], "project_id long, file_path string, content string")
     assert rows(issues.literal_issues(df), "risk_level", "line", "trigger") == [("HIGH", 3, '"pwd: abc"'), ("MEDIUM", 2, '"jdbc:mysql://db:3306/x"')]
+
+
+def test_scopes_are_dealt_once(spark):
+    """Windows over a file's segments keep to one exchange, and no join looks up the blocks around them."""
+    df = spark.createDataFrame([(1, "D.java", ANON)], "project_id long, file_path string, content string")
+    segs = code.materialise(code.segments(df), "segments")
+    plan = code.scopes(segs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+
+
+def test_linked_reads_each_fact_once(spark):
+    """What is linked comes from tables of facts, not again and again from the segments they are found in."""
+    df = spark.createDataFrame([(1, "A.java", BLOCK), (1, "D.java", ANON)], "project_id long, file_path string, content string")
+    linked = code.linked(code.facts(df))
+    assert linked.count() > 0
+    assert not [f for f in linked.inputFiles() if "/enclosed-" in f or "/segments-" in f]
