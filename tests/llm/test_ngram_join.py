@@ -86,12 +86,12 @@ def test_planes():
 def test_pairs_of_near_copies(spark, monkeypatch):
     """A family of near copies is connected by its heads, so the pairs that are verified grow with its members, not with their square."""
     rng = random.Random(7)
-    base = [f"w{k}" for k in range(200)]
+    base = [f"w{k}" for k in range(600)]
     rows = []
     for i in range(160):
         w = list(base)
-        for k in range(rng.randrange(5)):  # up to 12 shingles of 198: some pairs of the family are alike enough, some aren't
-            w[rng.randrange(200)] = f"x{i}-{k}"
+        for k in range(rng.randrange(7)):  # among the first words, so that the rarest shared shingles differ from set to set
+            w[rng.randrange(60)] = f"x{i}-{k}"
         rows.append((i, " ".join(w)))
     made, inner = [], ngram_join.materialise
 
@@ -104,4 +104,4 @@ def test_pairs_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "materialise", counted)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((tuple(r) for r in ngram_join.similar_documents(df).collect()), key=repr) == plain(rows)
-    assert 0 < sum(made) < 8 * len(rows)
+    assert 0 < sum(made) < 20 * len(rows), made
